@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgefield.llm import minhash, substrings
+from edgefield.llm import minhash, packing, substrings
 from edgefield.llm._common import table
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -32,6 +32,10 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = d.doc_id
 """
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.with_digest(packing.tokenized_pieces(table(spark, sf_dir, "documents"))))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.kept_digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ FROM w LEFT JOIN lost USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op8_packing": op8_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
