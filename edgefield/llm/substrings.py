@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgefield.llm._common import text_bytes
-from edgefield.llm._words import Words, runs, words
+from edgefield.llm._words import Words, mixed, runs, words
 
 WINDOW = 13
 ANCHOR = 5
@@ -48,7 +48,7 @@ def _anchors(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray
     phrases, _ = runs(w.hash, w.row, anchor)
     n = max(0, len(w.hash) - window + 1)
     if not n:
-        return phrases, np.zeros(0, np.int64)
+        return mixed(phrases), np.zeros(0, np.int64)
     whole = w.row[:n] == w.row[window - 1 :]
     at = np.arange(n)
     best, value = at.copy(), phrases[:n].copy()
@@ -58,7 +58,7 @@ def _anchors(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray
         best[less] = at[less] + i
         value = np.minimum(value, other)
     best[~whole] = -1
-    return phrases, best
+    return mixed(phrases), best  # anchors have small hashes; mixed, they spread evenly over the shards
 
 
 def _packed(hashes: np.ndarray, docs: np.ndarray | None, chunk: int, shards: int) -> pa.Table:
