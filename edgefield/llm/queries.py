@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgefield.llm import minhash, packing, substrings
+from edgefield.llm import embeddings, minhash, packing, substrings
 from edgefield.llm._common import table
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(shingle=4))
 
@@ -52,6 +56,7 @@ FROM w LEFT JOIN lost USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op8_packing": op8_packing,
     "op10_substring_dedup": op10_substring_dedup,
