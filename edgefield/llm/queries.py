@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgefield.llm import embeddings, minhash, packing, substrings
+from edgefield.llm import embeddings, minhash, mixing, packing, secrets, substrings
 from edgefield.llm._common import table
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -36,6 +37,18 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = d.doc_id
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    level = lambda d: F.coalesce(d, F.lit(mixing.NONE)).alias(d)
+    return out.select("doc_id", level("source"), level("lang"), "topic", "tokens", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "kept")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not as SQL: the battery of tests and its cut-offs are held against a brute-force version in the tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(secrets.find_secrets(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.with_digest(packing.tokenized_pieces(table(spark, sf_dir, "documents"))))
 
@@ -58,10 +71,13 @@ FROM w LEFT JOIN lost USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_dedup": OP3_SQL,
+    "op6_mixing": mixing.oracle(),
     "op10_substring_dedup": OP10_SQL,
 }
