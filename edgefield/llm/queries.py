@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgefield.llm import embeddings, minhash, mixing, packing, secrets, substrings
+from edgefield.llm import embeddings, minhash, mixing, packing, secrets, substrings, urls
 from edgefield.llm._common import table
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -53,6 +53,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.with_digest(packing.tokenized_pieces(table(spark, sf_dir, "documents"))))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not as SQL: the trees are learned step by step; rules, hosts and paths are held against a plain version in the tests."""
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.kept_digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
+    "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
