@@ -21,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+PLAIN = np.ones(256, bool)  # another set of separators: all of ASCII but letters and digits
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 class Words(NamedTuple):
@@ -67,15 +69,15 @@ def raw(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
+def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
     data, offsets = raw(texts)
     size = len(data)
     found = []
     lo = 0
     while lo < size:
         hi = min(lo + SLICE, size)
-        while hi < size and not _SPACE[data[hi]]:  # a slice ends between words: at a space, or where a row begins
-            ahead = np.flatnonzero(_SPACE[data[hi : hi + 65536]])
+        while hi < size and not space[data[hi]]:  # a slice ends between words: at a space, or where a row begins
+            ahead = np.flatnonzero(space[data[hi : hi + 65536]])
             stop = hi + int(ahead[0]) if len(ahead) else min(hi + 65536, size)
             row = int(offsets[np.searchsorted(offsets, hi)])
             if row <= stop:
@@ -86,7 +88,7 @@ def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
         if lower:
             b = _LOWER[b]
         n = hi - lo
-        inside = ~_SPACE[b]
+        inside = ~space[b]
         first = offsets[np.searchsorted(offsets, lo, "right") : np.searchsorted(offsets, hi)] - lo
         start, end = inside.copy(), inside.copy()
         start[1:] &= ~inside[:-1]

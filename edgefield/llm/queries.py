@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgefield.llm import embeddings, minhash, mixing, packing, secrets, substrings, urls
+from edgefield.llm import embeddings, langid, minhash, mixing, packing, secrets, substrings, toxicity, urls
 from edgefield.llm._common import table
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -17,10 +17,23 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not as SQL: a learned model; held-out accuracy is tested."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.scored(docs, model).withColumn("n_offending", F.size("sentences").cast("long"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(shingle=4))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not as SQL: a learned model; held-out accuracy is tested."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predicted(docs, langid.learn(docs))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP3_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -75,7 +88,9 @@ FROM w LEFT JOIN lost USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_language_id": op4_language_id,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
