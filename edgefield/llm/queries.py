@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgefield.llm import embeddings, langid, minhash, mixing, packing, secrets, substrings, toxicity, urls
+from edgefield.llm import embeddings, langid, matroska, minhash, mixing, packing, secrets, substrings, toxicity, urls
 from edgefield.llm._common import table
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -50,6 +50,11 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = d.doc_id
 """
 
 
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not as SQL: files are written and parsed; round trips are tested."""
+    return matroska.digests(matroska.stored(table(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     level = lambda d: F.coalesce(d, F.lit(mixing.NONE)).alias(d)
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_language_id": op4_language_id,
+    "op5_matroska": op5_matroska,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
