@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edgefield.llm._common import is_held_out
 from edgefield.llm._words import raw
@@ -165,7 +166,7 @@ def _decided(margins: np.ndarray, machines: tuple[Machine, ...], n: int) -> tupl
     return best, sure[np.arange(rows), best] / (n - 1) if n > 1 else np.ones(rows)
 
 
-def _predicted(model: Model, p: Learning):
+def _predicted(model: Model, p: Learning, carry: list[str]):
     machines = [m for group in (model.between, *model.within) for m in group]
     table = np.zeros((p.size + 1, len(machines) + 1), np.float32)
     for k, m in enumerate(machines):
@@ -198,7 +199,9 @@ def _predicted(model: Model, p: Learning):
                 for i in np.flatnonzero(~np.logical_or.reduceat((b >= 65) & (_LETTER[b] != 32) & (b < 128), starts[:-1])).tolist():
                     if not any(map(str.isalpha, texts[i].as_py() or "")):
                         langs[i], score[i] = UNKNOWN, 0.0
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "lang_pred": pa.array(langs.tolist(), pa.string()), "score": pa.array(np.clip(score, 0, 1))})
+                rows = batch.slice(lo, hi - lo)
+                carried = {c: rows.column(c) for c in rows.schema.names if c in carry}
+                yield pa.RecordBatch.from_pydict({**carried, "lang_pred": pa.array(langs.tolist(), pa.string()), "score": pa.array(np.clip(score, 0, 1))})
 
     return run
 
@@ -208,5 +211,13 @@ def predicted(docs: DataFrame, model: Model, p: Learning = Learning()) -> DataFr
 
     A text that is null or has no letter is und at score 0. Repeated texts are predicted alike. A null doc_id counts as held out.
     Columns besides doc_id and text are not looked at. No rows give no rows."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predicted(model, p), "doc_id long, lang_pred string, score double")
+    out = annotated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, p, ["doc_id"])
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def annotated(docs: DataFrame, model: Model, p: Learning = Learning(), carry: list[str] | None = None) -> DataFrame:
+    """docs' columns, or those of carry, with lang_pred and score added; columns of docs with these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
+    carry = docs.columns if carry is None else carry
+    schema = T.StructType([f for f in docs.schema if f.name in carry]).add("lang_pred", "string").add("score", "double")
+    return docs.mapInArrow(_predicted(model, p, carry), schema)
