@@ -9,7 +9,8 @@ Equal sets are joined first, by their size and 128 bits of hash. Then, over one
 1. every document is compared on full sets with the smallest document that shares a table key; links make components;
 2. buckets that still hold several components are compared in blocks by sketches of the sets (one minimum of each of 512
    parts). Pairs of different components whose estimate lies no more than 4.5 standard deviations below the threshold are
-   compared on full sets; their links complete the components.
+   compared on full sets; their links complete the components. A pair is looked at in the first table where its keys agree.
+   A sketch draws its members from the union without replacement, so for small sets the deviation is far below a binomial one.
 So a group of thousands of copies costs about one comparison for each copy and key, not one for each pair, and no pair that
 shares a key and could link two components is left out.
 """
@@ -153,6 +154,8 @@ def _plausible(p: MinHash):
         block = table.column("block").to_numpy()
         rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
         side, alike = table.column("side").to_numpy(), table.column("alike").to_numpy(zero_copy_only=False)
+        i_of, j_of = (table.column(c).to_numpy() for c in ("i", "j"))
+        lefts, rights = (np.stack(table.column(c).to_numpy()) for c in ("left", "right"))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, p.sketch)
         cuts = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -166,7 +169,11 @@ def _plausible(p: MinHash):
                 mine, theirs = sketches[i], sketches[other]
                 shown = ((theirs != 0) | (mine != 0)).sum(1)
                 same = ((theirs == mine) & (mine != 0)).sum(1)
-                good = other[same / shown >= least - 4.5 * np.sqrt(least * (1 - least) / shown)]
+                union = (n[other] + n[i]) / (1 + least)  # at the threshold
+                unseen = np.maximum(0.0, union - shown) / np.maximum(1.0, union - 1)
+                good = other[same + 1 >= shown * (least - 4.5 * np.sqrt(least * (1 - least) / shown * unseen))]
+                first = ((lefts[good] == lefts[i]).argmax(1) == i_of[i]) & ((rights[good] == rights[i]).argmax(1) == j_of[i])
+                good = good[first]
                 if len(good):
                     yield int(rep[i]), rep[good].tolist()
 
@@ -198,13 +205,14 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(texts.mapInArrow(_signed(p), _SIGNED), "signed")
-    reps = (
+    reps = written(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("left").alias("left"), F.any_value("right").alias("right"))
+        .agg(F.min("doc_id").alias("rep"), F.any_value("left").alias("left"), F.any_value("right").alias("right")),
+        "reps",
     )
     tables = reps.select("rep", F.posexplode("left").alias("i", "one"), "right").select("rep", "i", "one", F.posexplode("right").alias("j", "two"))
-    keys = tables.select("rep", F.xxhash64("i", "j", "one", "two").alias("key"))
+    keys = tables.select("rep", "i", "j", F.xxhash64("i", "j", "one", "two").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
     hits = written(keys.join(shared, "key"), "hits")
     wanted = hits.select(F.col("rep").alias("doc_id")).distinct()
@@ -214,8 +222,8 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
     of = hits.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = of.join(several, "key").join(sets.select("rep", "sketch", F.size("shingles").alias("n_shingles")), "rep")
-    blocks = into_blocks(left, "key", "n", "rep", p.block).select("block", "rep", "component", "n_shingles", "sketch", "side", "alike")
+    left = of.join(several, "key").join(sets.select("rep", "sketch", F.size("shingles").alias("n_shingles")), "rep").join(reps.select("rep", "left", "right"), "rep")
+    blocks = into_blocks(left, "key", "n", "rep", p.block).select("block", "rep", "component", "n_shingles", "sketch", "i", "j", "left", "right", "side", "alike")
     found = blocks.repartition(parts(spark), "block").sortWithinPartitions("block").mapInArrow(_plausible(p), "a long, bs array<long>")
     more = found.select("a", F.explode("bs").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     again = written(_verified(more, sets, p), "links")
