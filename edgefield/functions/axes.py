@@ -45,10 +45,10 @@ AXES = {
         Axis("defocus", "aperture_f_number", "f-number", 1.4, 8.0, "lo", 1),
         Axis("lens_distortion", "k1", "1", 0.0, 0.4, "hi", 1),
         Axis("lens_distortion", "k2", "1", 0.0, 0.1, "hi", 1),
-        Axis("rolling_shutter", "readout_ms", "ms", 0.0, 40.0, "hi", 1),
+        Axis("rolling_shutter", "readout_time_ms", "ms", 0.0, 40.0, "hi", 1),
         Axis("rolling_shutter", "angular_velocity_deg_s", "deg/s", 0.0, 240.0, "hi", 1),
         Axis("low_light", "illuminance_lux", "lux", 0.5, 400.0, "lo", 2),
-        Axis("jpeg", "quality", "quality", 5.0, 100.0, "lo", 3),
+        Axis("jpeg", "quality", "jpeg-q", 5.0, 100.0, "lo", 3),
     )
 }
 
