@@ -124,9 +124,11 @@ def patterns(histogram: dict[int, int], size: int) -> list[Pattern]:
                 if count > used:
                     put(lengths, tokens, count - used)
                 put((*lengths, length), tokens + length, used)
-            else:
-                used = left
-                put((length,), length, left)
+            else:  # a pack that a piece opens is the shortest one for the next piece
+                stack = min(left, size // length)
+                packs = left // stack
+                used = stack * packs
+                put((length,) * stack, length * stack, packs)
             left -= used
     for lengths, _, count in open_.values():
         full[lengths] += count
