@@ -28,6 +28,8 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 
+_SCALE = 1024.0  # of frequencies on their way to the driver as 16-bit floats
+
 _LETTER = np.full(256, 32, np.uint8)  # letters in lower case and bytes of longer characters stay, all else is blank
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
@@ -94,7 +96,7 @@ def _histograms(p: Learning):
                 rows = []
                 for a, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
                     h = np.bincount(f[a : max(a, e - 2)], minlength=p.size + 1)[: p.size].astype(np.float32)
-                    rows.append((h / max(1.0, h.sum())).tobytes())
+                    rows.append((h * (_SCALE / max(1.0, h.sum()))).astype(np.float16).tobytes())
                 yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(lo, hi - lo), "x": pa.array(rows, pa.binary())})
 
     return run
@@ -127,14 +129,18 @@ def learn(docs: DataFrame, p: Learning = Learning(), families: dict[str, tuple[s
     take = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, each / counts[k]))]), F.col("lang"))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < take * (1 << 20))
     sample = drawn.select("lang", "text").mapInArrow(_histograms(p), "lang string, x binary").toArrow()
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(-1, p.size).copy()
     number = {k: i for i, k in enumerate(languages)}
     lang = np.array([number[k] for k in sample.column("lang").to_pylist()], np.int64)
+    x = np.empty((sample.num_rows, p.size), np.float32)
+    for i, row in enumerate(sample.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del sample
     listed = {k: name for name, ks in families.items() for k in ks}
     by_family: dict[str, list[int]] = {}
     for i, k in enumerate(languages):
         by_family.setdefault(listed.get(k, f"only {k}"), []).append(i)
     groups = tuple(tuple(v) for _, v in sorted(by_family.items()))
+    x /= _SCALE
     scale = 1 / (x.std(0) + 1e-4)
     x *= scale
 
@@ -146,7 +152,10 @@ def learn(docs: DataFrame, p: Learning = Learning(), families: dict[str, tuple[s
             out.append(Machine(i, j, (w * scale).astype(np.float32), b))
         return tuple(out)
 
-    return Model(languages, groups, between([np.isin(lang, g) for g in groups]), tuple(between([lang == k for k in g]) for g in groups))
+    model = Model(languages, groups, between([np.isin(lang, g) for g in groups]), tuple(between([lang == k for k in g]) for g in groups))
+    del x
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _decided(margins: np.ndarray, machines: tuple[Machine, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
