@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +47,14 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but those used put into one, out of the way of an operator's own names; and what puts them back."""
+    rest = [c for c in docs.columns if c not in used]
+    here = [c for c in used if c in docs.columns]
+    slim = docs.select(*here, F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("_rest"))
+    return slim, lambda df: df.select(*[F.col("_rest").getField(c).alias(c) if c in rest else F.col(c) for c in docs.columns])
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

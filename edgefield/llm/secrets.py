@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgefield.llm._common import written
+from edgefield.llm._common import set_aside, written
 
 
 def _either_case(word: str) -> str:
@@ -172,8 +172,12 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def masked(found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """found with every span in text replaced by mark; overlapping spans are one. n_chars, where there is such a column, follows."""
+def masked(docs: DataFrame, scan: Scan = Scan(), mark: str = "[secret]") -> DataFrame:
+    """docs with every secret in text replaced by mark; overlapping spans are one. n_chars, where there is such a column, follows.
+
+    docs' columns come back as they are, whatever their names; a null text stays null."""
+    slim, back = set_aside(docs, "text", "n_chars")
+    found = find_secrets(slim, scan)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -182,10 +186,9 @@ def masked(found: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    spans = F.array_sort(F.concat("base", "random"))
-    new = F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
-    out = found.withColumn("_new", new)
-    if "n_chars" in found.columns:
-        kind = found.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("_new").cast(kind)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_new")).drop("_new", "base", "random")
+    found = found.withColumn("_spans", F.array_sort(F.concat("base", "random")))
+    out = found.withColumn("_new", F.when(F.size("_spans") > 0, F.aggregate("_spans", zero, step, rest)).otherwise(text))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("_new").cast(kind)).otherwise(F.col("n_chars")))
+    return back(out.withColumn("text", F.col("_new")))
