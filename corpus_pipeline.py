@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgefield.llm import langid, minhash, mixing, packing, secrets
-from edgefield.llm._common import table, written
+from edgefield.llm._common import set_aside, table, written
 
 LEAST_LANGUAGE_SCORE = 0.25  # below it a document's language is not known well enough to keep the document
 SHARE = 0.7  # of the tokens that reach mixing
@@ -14,9 +14,10 @@ SHARE = 0.7  # of the tokens that reach mixing
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language is quite unsure, go; the others get the predicted language."""
-    out = langid.annotated(docs, langid.learn(docs))
+    slim, back = set_aside(docs, "doc_id", "text", "lang")
+    out = langid.annotated(slim, langid.learn(slim))
     kept = out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return back(kept.withColumn("lang", F.col("lang_pred")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +28,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in place; every document stays."""
-    return secrets.masked(secrets.find_secrets(docs)).select(*docs.columns)
+    return secrets.masked(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn so that sources, languages and forms near their target weights."""
-    return mixing.mixed(docs, mixing.Mix(share=SHARE)).where("kept").select(*docs.columns)
+    slim, back = set_aside(docs, "doc_id", "text", "source", "lang")
+    return back(mixing.mixed(slim, mixing.Mix(share=SHARE)).where("kept"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
