@@ -51,3 +51,29 @@ def placeholders(text: Column) -> Column:
 
 def close_enough(a: Column, b: Column, share: float = 0.005) -> Column:
     return F.abs(a - b) <= share * F.greatest(F.abs(a), F.abs(b))
+
+
+#: Nine stops of a colour-blind-safe sequential map, from low to high.
+STOPS = ("440154", "472d7b", "3b528b", "2c728e", "21918c", "28ae80", "5ec962", "addc30", "fde725")
+
+
+def colour(t: Column) -> Column:
+    """A colour between the stops for a share of 0 to 1; nothing and what is no number count 0."""
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(t, F.lit(0.0)), F.lit(0.0)))) * (len(STOPS) - 1)
+    k = F.least(F.floor(x), F.lit(len(STOPS) - 2)).cast("int")
+    table = F.array(*[F.array(*[F.lit(int(s[i : i + 2], 16)) for i in (0, 2, 4)]) for s in STOPS])
+    mix = lambda i: F.floor(F.get(F.get(table, k), F.lit(i)) * (1 - (x - k)) + F.get(F.get(table, k + 1), F.lit(i)) * (x - k) + 0.5)
+    return F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(mix(i))), 2, "0") for i in range(3)])
+
+
+def with_unit(value: Column, unit: Column, digits: int = 4) -> Column:
+    """A number is only ever shown with its unit."""
+    return F.when(F.coalesce(unit, F.lit("")) == "", F.raise_error(F.lit("a number without a unit is not shown"))).otherwise(F.concat_ws(" ", F.format_number(value, digits), unit))
+
+
+BUILD_KEYS = ("cv2_module", "build_info_sha256", "kleidicv")
+
+
+def public_fingerprint(fingerprint: Column, licensed: Column) -> Column:
+    """A machine's fingerprint without what is read from a licensed build."""
+    return F.when(licensed, F.map_filter(fingerprint, lambda k, _: ~k.isin(*BUILD_KEYS))).otherwise(fingerprint)
