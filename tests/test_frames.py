@@ -119,3 +119,17 @@ def test_report_rules(spark):
     text = json.loads(report.rendered({"id": 1}, c, f, {"ms": None, "x": {"value": 1, "unit": "ms", "source": "s"}}, ["x"] * 5))
     assert list(text)[:3] == ["run", "coverage", "findings"] and text["measurements"]["ms"] == "not measured"
     assert {r.image for r in report.with_evidence(f, spark.createDataFrame([("a", "1.png")], "axis string, image string")).collect()} == {"1.png", "set-level"}
+
+
+def test_ledger_files(spark, tmp_path):
+    from edgefield.operators.ledgers import latest
+    from edgefield.sources import ledger
+
+    rows = spark.createDataFrame([("r1", "p1", "{}", 1, 0.5, 10, "x", "d"), ("r2", "p1", "{}", 1, 0.4, 10, "x", "d")], "run_id string, probe_id string, condition string, seed int, map50 double, n_frames int, pipeline string, dataset string")
+    path = str(tmp_path / "ledger")
+    ledger.append_probes(rows, path)
+    ledger.append_probes(rows.withColumn("seed", rows.seed + 1).withColumn("map50", rows.map50 / 2), path)
+    got = latest(ledger.run_records(spark, path, "r1", ["run_id", "probe_id", "seed", "map50"]), ["run_id", "probe_id"], ["seed"]).collect()
+    assert [(r.probe_id, r.map50) for r in got] == [("p1", 0.25)]
+    with pytest.raises(ValueError):
+        ledger.append_probes(rows.drop("map50"), path)
