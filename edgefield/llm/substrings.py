@@ -126,6 +126,21 @@ def _elsewhere_smaller(batch: pa.Table) -> pa.Table:
     return _answer(batch, keep)
 
 
+def _spaced(w: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words, or of those marked, each with a space after it; and where each begins, with the end."""
+    start, end = (w.start, w.end) if keep is None else (w.start[keep], w.end[keep])
+    edges = np.zeros(len(w.data) + 1, np.int8)
+    edges[start] += 1
+    edges[end] -= 1
+    inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+    at = np.r_[0, np.cumsum(end - start + 1)]
+    letters = np.ones(at[-1], bool)
+    letters[at[1:] - 1] = False
+    out = np.full(at[-1], 32, np.uint8)
+    out[letters] = w.data[inside]
+    return out, at
+
+
 def _occurrences(w: Words, phrases: np.ndarray, anchors: np.ndarray, confirmed: np.ndarray, anchor: int) -> np.ndarray:
     """Marks each phrase position where an automaton of the recurring phrases finds one of them."""
     used = np.unique(anchors)
@@ -135,21 +150,20 @@ def _occurrences(w: Words, phrases: np.ndarray, anchors: np.ndarray, confirmed:
     if not len(hit):
         return found
     _, first = np.unique(phrases[hit], return_index=True)
-    text = w.data.tobytes().decode("latin-1")
-    start, end = w.start.tolist(), w.end.tolist()
+    spaced, at = _spaced(w)
+    text = " " + spaced.tobytes().decode("latin-1")  # a word begins after the space at its place
+    where = at.tolist()
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in hit[first].tolist():
-        automaton.add_word(" " + " ".join([text[start[i] : end[i]] for i in range(p, p + anchor)]) + " ")
+        automaton.add_word(text[where[p] : where[p + anchor] + 1])
     automaton.make_automaton()
     bounds = w.first_of_row()
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if hi - lo < anchor:
             continue
-        stream = " " + " ".join([text[start[i] : end[i]] for i in range(lo, hi)]) + " "
-        ends = [e for e, _ in automaton.iter(stream)]
+        ends = [e for e, _ in automaton.iter(text[where[lo] : where[hi] + 1])]
         if ends:
-            after = np.cumsum(w.end[lo:hi] - w.start[lo:hi] + 1)  # where the space after each word stands
-            found[lo + np.searchsorted(after, np.array(ends)) - anchor + 1] = True
+            found[np.searchsorted(at, np.array(ends) + where[lo]) - anchor] = True
     return found
 
 
@@ -231,16 +245,12 @@ def _removed(batch: pa.Table, smaller: np.ndarray, window: int) -> pa.Table:
         np.add.at(gone, go + window, -1)
     gone = np.cumsum(gone)[:-1] > 0
     bounds = w.first_of_row()
-    texts = batch.column("text").to_pylist()
-    n_removed, kept = [], []
-    sums = np.r_[0, np.cumsum(gone)]
-    for text, lo, hi in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist()):
-        lost = int(sums[hi] - sums[lo])
-        n_removed.append(lost)
-        of = (text or b"").split()
-        if lost:
-            of = [x for x, go in zip(of, gone[lo:hi].tolist()) if not go]
-        kept.append(b" ".join(of))
+    lost = np.r_[0, np.cumsum(gone)]
+    spaced, at = _spaced(w, ~gone)
+    kept_before = bounds - lost[bounds]
+    ends = at[kept_before]
+    kept = [spaced[a : max(a, b - 1)].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    n_removed = np.diff(lost[bounds])
     return pa.table(
         {
             "doc_id": batch.column("doc_id"),
