@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgefield.llm._blocks import into_blocks
-from edgefield.llm._common import forget, parts, whole_groups, written
+from edgefield.llm._common import forget, lean, parts, whole_groups, written
 from edgefield.llm._graph import connected_components
 
 
@@ -131,14 +131,14 @@ def near_duplicates(vectors: DataFrame, p: Hyperplanes = Hyperplanes()) -> DataF
     kind = dict(rows.dtypes)["embedding"]
     reps = written(reps, "reps")
     bits, tables = p.shape(reps.count())
-    coded = written(reps.mapInArrow(_coded(p, bits, tables), f"rep long, weight long, embedding {kind}, codes array<int>"), "coded")
+    coded = written(reps.mapInArrow(lean(_coded(p, bits, tables)), f"rep long, weight long, embedding {kind}, codes array<int>"), "coded")
     forget(reps)
     hits = coded.select("rep", F.size("embedding").alias("size"), F.posexplode("codes").alias("t", "code"))
     hits = hits.select("rep", "t", F.xxhash64("size", "t", "code").alias("bucket"))
     shared = hits.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = into_blocks(hits.join(shared, "bucket"), "bucket", "n", "rep", p.block).select("rep", "t", "block", "side", "alike")
     full = blocks.join(coded, "rep")
-    found = written(full.repartition(parts(spark), "block").sortWithinPartitions("block").mapInArrow(_compared(p), "rep long, links long, root long"), "found")
+    found = written(full.repartition(parts(spark), "block").sortWithinPartitions("block").mapInArrow(lean(_compared(p)), "rep long, links long, root long"), "found")
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_rep = (
         coded.select("rep", "weight", "embedding")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgefield.llm._common import is_held_out
+from edgefield.llm._common import is_held_out, lean
 from edgefield.llm._words import raw
 
 FAMILIES = {
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, p: Learning = Learning(), families: dict[str, tuple[s
     each = max(1, p.sample // len(languages))
     take = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, each / counts[k]))]), F.col("lang"))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < take * (1 << 20))
-    sample = drawn.select("lang", "text").mapInArrow(_histograms(p), "lang string, x binary").toArrow()
+    sample = drawn.select("lang", "text").mapInArrow(lean(_histograms(p)), "lang string, x binary").toArrow()
     number = {k: i for i, k in enumerate(languages)}
     lang = np.array([number[k] for k in sample.column("lang").to_pylist()], np.int64)
     x = np.empty((sample.num_rows, p.size), np.float32)
@@ -229,4 +229,4 @@ def annotated(docs: DataFrame, model: Model, p: Learning = Learning(), carry: li
     docs = docs.drop("lang_pred", "score")
     carry = docs.columns if carry is None else carry
     schema = T.StructType([f for f in docs.schema if f.name in carry]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(_predicted(model, p, carry), schema)
+    return docs.mapInArrow(lean(_predicted(model, p, carry)), schema)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgefield.llm._common import lean
+
 # fixed values: element ids of the two specifications
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
@@ -253,7 +255,7 @@ def stored(docs: DataFrame, layout: Layout = Layout(), batch_bytes: int = 4 << 2
         names = [x.strip().split(" ")[0] for x in ("doc_id", "n_bytes", "media", "packets", "payload_bytes", "payload_sha256", "tail_crc32", "feature")]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, types)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, _STORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(lean(run), _STORED)
 
 
 def packet_table(media: DataFrame, id_: str = "doc_id") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgefield.llm._blocks import into_blocks
-from edgefield.llm._common import forget, parts, whole_groups, written
+from edgefield.llm._common import forget, lean, parts, whole_groups, written
 from edgefield.llm._graph import connected_components
 from edgefield.llm._words import mixed, runs, words
 
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     looked at. No rows give no rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(texts.mapInArrow(_signed(p), _SIGNED), "signed")
+    signed = written(texts.mapInArrow(lean(_signed(p)), _SIGNED), "signed")
     reps = written(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set_a", "set_b", "n_shingles")
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
     hits = written(keys.join(shared, "key"), "hits")
     wanted = hits.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full_sets(p), "rep long, shingles array<long>, sketch binary"), "sets")
+    sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lean(_full_sets(p)), "rep long, shingles array<long>, sketch binary"), "sets")
     links = written(_verified(hits.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), sets, p), "links")
     near = connected_components(links)
 
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     several = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = of.join(several, "key").join(sets.select("rep", "sketch", F.size("shingles").alias("n_shingles")), "rep").join(reps.select("rep", "left", "right"), "rep")
     blocks = into_blocks(left, "key", "n", "rep", p.block).select("block", "rep", "component", "n_shingles", "sketch", "i", "j", "left", "right", "side", "alike")
-    found = blocks.repartition(parts(spark), "block").sortWithinPartitions("block").mapInArrow(_plausible(p), "a long, bs array<long>")
+    found = blocks.repartition(parts(spark), "block").sortWithinPartitions("block").mapInArrow(lean(_plausible(p)), "a long, bs array<long>")
     more = found.select("a", F.explode("bs").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     again = written(_verified(more, sets, p), "links")
     rows = reps.select("set_a", "set_b", "n_shingles", "rep")

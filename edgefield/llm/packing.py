@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgefield.llm._common import written
+from edgefield.llm._common import lean, written
 
 SEQUENCE = 2048
 END_ID = 1
@@ -87,7 +87,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, sequence: i
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(columns[0], pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("start", "length", "doc_tokens"), columns[1:4])}, "ids": pa.array(columns[4], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 class Pattern(NamedTuple):

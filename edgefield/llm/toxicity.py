@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgefield.llm._common import forget, is_held_out, written
+from edgefield.llm._common import forget, is_held_out, lean, written
 from edgefield.llm._words import PLAIN, Words, words
 
 _ENDS = np.zeros(256, bool)
@@ -134,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: Learning = Learning()) -> Model
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) < take * (1 << 20))
     # p.sample ids at most about: the bound of this broadcast
     texts = written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text"), "labelled")
-    seen = texts.mapInArrow(_seen(p), "toxic int, words array<long>")
+    seen = texts.mapInArrow(lean(_seen(p)), "toxic int, words array<long>")
     by_word = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= p.least_toxic)
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -145,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: Learning = Learning()) -> Model
     z = (F.log(a / (n1 - F.col("t") + 0.5)) - F.log(c / (F.lit(n0) - (F.col("n") - F.col("t")) + 0.5))) / F.sqrt(1 / a + 1 / c)
     picked = by_word.withColumn("z", z).where(F.col("z") >= p.least_z).orderBy(F.desc("z"), "word").limit(p.vocabulary).collect()
     vocabulary = np.sort(np.array([r["word"] for r in picked], np.int64).view(np.uint64))
-    rows = texts.mapInArrow(_instances(p, vocabulary), "toxic int, sentence array<long>, word array<long>").toArrow()
+    rows = texts.mapInArrow(lean(_instances(p, vocabulary)), "toxic int, sentence array<long>, word array<long>").toArrow()
     forget(texts)
     toxic = rows.column("toxic").to_numpy()
     # the sample's classes are not in their proportion; the leak is set to what is, where no word shows
@@ -191,5 +191,5 @@ def scored(docs: DataFrame, model: Model, p: Learning = Learning()) -> DataFrame
 
     A null or empty text scores the leak. Repeated texts score alike. A null doc_id counts as held out. Columns besides doc_id
     and text are not looked at. No rows give no rows."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model, p), "doc_id long, score double, sentences array<struct<start:long,stop:long,score:double>>")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scored(model, p)), "doc_id long, score double, sentences array<struct<start:long,stop:long,score:double>>")
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
