@@ -128,34 +128,37 @@ def learn(docs: DataFrame, p: Learning = Learning(), families: dict[str, tuple[s
     each = max(1, p.sample // len(languages))
     take = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, each / counts[k]))]), F.col("lang"))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < take * (1 << 20))
-    sample = drawn.select("lang", "text").mapInArrow(lean(_histograms(p)), "lang string, x binary").toArrow()
-    number = {k: i for i, k in enumerate(languages)}
-    lang = np.array([number[k] for k in sample.column("lang").to_pylist()], np.int64)
-    x = np.empty((sample.num_rows, p.size), np.float32)
-    for i, row in enumerate(sample.column("x")):
-        x[i] = np.frombuffer(row.as_buffer(), np.float16)
-    del sample
+    sample = drawn.select("lang", "text").mapInArrow(lean(_histograms(p)), "lang string, x binary")
     listed = {k: name for name, ks in families.items() for k in ks}
     by_family: dict[str, list[int]] = {}
     for i, k in enumerate(languages):
         by_family.setdefault(listed.get(k, f"only {k}"), []).append(i)
     groups = tuple(tuple(v) for _, v in sorted(by_family.items()))
-    x /= _SCALE
-    scale = 1 / (x.std(0) + 1e-4)
-    x *= scale
 
-    def between(classes: list[np.ndarray]) -> tuple[Machine, ...]:
+    def fitted(key, rows):
+        """The machines of the whole sample, which p.sample bounds; key 0 is between families, then each family's."""
+        x = np.empty((rows.num_rows, p.size), np.float32)
+        for i, row in enumerate(rows.column("x")):
+            x[i] = np.frombuffer(row.as_buffer(), np.float16)
+        number = {k: i for i, k in enumerate(languages)}
+        lang = np.array([number[k] for k in rows.column("lang").to_pylist()], np.int64)
+        x /= _SCALE
+        scale = 1 / (x.std(0) + 1e-4)
+        x *= scale
         out = []
-        for i, j in combinations(range(len(classes)), 2):
-            rows = np.flatnonzero(classes[i] | classes[j])
-            w, b = _machine(x[rows], np.where(classes[i][rows], 1, -1).astype(np.float32), p) if len(rows) else (np.zeros(p.size, np.float32), 0.0)
-            out.append(Machine(i, j, (w * scale).astype(np.float32), b))
-        return tuple(out)
-
-    model = Model(languages, groups, between([np.isin(lang, g) for g in groups]), tuple(between([lang == k for k in g]) for g in groups))
-    del x
-    pa.default_memory_pool().release_unused()
-    return model
+        for group, classes in enumerate([[np.isin(lang, g) for g in groups], *[[lang == k for k in g] for g in groups]]):
+            for i, j in combinations(range(len(classes)), 2):
+                own = np.flatnonzero(classes[i] | classes[j])
+                w, b = _machine(x[own], np.where(classes[i][own], 1, -1).astype(np.float32), p) if len(own) else (np.zeros(p.size, np.float32), 0.0)
+                out.append((group, i, j, (w * scale).astype(np.float32).tobytes(), float(b)))
+        names = ("group", "one", "two", "weights", "bias")
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64())
+        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
+
+    machines: list[list[Machine]] = [[] for _ in range(len(groups) + 1)]
+    for r in sample.groupBy().applyInArrow(fitted, "group int, one int, two int, weights binary, bias double").orderBy("group", "one", "two").collect():
+        machines[r["group"]].append(Machine(r["one"], r["two"], np.frombuffer(r["weights"], np.float32), r["bias"]))
+    return Model(languages, groups, tuple(machines[0]), tuple(map(tuple, machines[1:])))
 
 
 def _decided(margins: np.ndarray, machines: tuple[Machine, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
