@@ -78,34 +78,46 @@ def _encoding(s: Column) -> Column:
     return F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(s.rlike("^[A-Z2-7]+=*$"), "base32").when(s.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
 
 
-def _p_random(s: Column, encoding: Column) -> Column:
-    """Combined p-value of the battery under the hypothesis that s is random over its alphabet."""
-    plain = F.when(encoding == "hex", F.lower(s)).when(encoding == "base64", F.translate(s, "-_=", "+/")).otherwise(F.translate(s, "=", ""))
-    alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), encoding)
-    k, n = F.length(alphabet), F.length(plain)
-    symbols = F.split(plain, "")
-    squares = F.aggregate(F.array_distinct(symbols), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(plain, c, F.lit(""))), F.lit(2.0)))
-    chi = (squares * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
-    values = F.transform(symbols, lambda c: F.instr(alphabet, c).cast("double") - (k + 1) / 2)
-    high = F.size(F.filter(values, lambda v: v > 0)).cast("double")
-    low = n - high
-    neighbours = F.zip_with(F.slice(values, 1, n - 1), F.slice(values, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    changes = F.size(F.filter(neighbours, lambda x: (x["a"] > 0) != (x["b"] > 0)))
-    expected = 2 * high * low / n
-    spread = F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9)))
-    runs = F.abs((changes - expected) / spread)
-    product = F.aggregate(neighbours, F.lit(0.0), lambda acc, x: acc + x["a"] * x["b"])
-    power = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v)
-    serial = F.abs(product / F.greatest(power, F.lit(1e-9)) * F.sqrt(n.cast("double")))
-    # two-sided statistics as normal scores of their own: half-normal to normal is close to linear beyond one deviation
-    z = (chi + (runs - 0.7979) / 0.6028 + (serial - 0.7979) / 0.6028) / F.sqrt(F.lit(3.0))
-    return _normal_tail(z)
-
-
 def _band(length: Column) -> Column:
     return reduce(lambda acc, b: acc + F.when(length >= b, 1).otherwise(0), BANDS, F.lit(0))
 
 
+def _battery(pairs: Column) -> Column:
+    """pairs: array of (s, span). For each: span, key (encoding and band) and p, under the hypothesis that s is random over its
+    alphabet. Every step adds to the structs of the one before, so that no expression is written out twice."""
+    alphabets = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
+
+    def named(x: Column, keep: str, **more: Column) -> Column:
+        return F.struct(*[x[k].alias(k) for k in keep.split()], *[v.alias(k) for k, v in more.items()])
+
+    def plain(x: Column) -> Column:
+        return F.when(x["e"] == "hex", F.lower(x["s"])).when(x["e"] == "base64", F.translate(x["s"], "-_=", "+/")).otherwise(F.translate(x["s"], "=", ""))
+
+    def neighbours(x: Column) -> Column:
+        return F.zip_with(F.slice(x["values"], 1, x["count"] - 1), F.slice(x["values"], 2, x["count"] - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    zero = F.lit(0.0)
+    out = F.transform(pairs, lambda x: named(x, "span s", e=_encoding(x["s"])))
+    out = F.transform(out, lambda x: named(x, "span", key=F.concat_ws("/", x["e"], _band(F.length(x["s"])).cast("string")), plain=plain(x), alphabet=F.element_at(alphabets, x["e"])))
+    out = F.transform(out, lambda x: named(x, "span key plain alphabet", count=F.length(x["plain"]), n=F.length(x["plain"]).cast("double"), k=F.length(x["alphabet"]).cast("double"), symbols=F.split(x["plain"], "")))
+    squares = lambda x: F.aggregate(F.array_distinct(x["symbols"]), zero, lambda acc, c: acc + F.pow(x["count"] - F.length(F.replace(x["plain"], c, F.lit(""))), F.lit(2.0)))
+    out = F.transform(out, lambda x: named(x, "span key count n k", squares=squares(x), values=F.transform(x["symbols"], lambda c: F.instr(x["alphabet"], c).cast("double") - (x["k"] + 1) / 2)))
+    out = F.transform(out, lambda x: named(x, "span key n k squares", high=F.size(F.filter(x["values"], lambda v: v > 0)).cast("double"), near=neighbours(x), power=F.aggregate(x["values"], zero, lambda acc, v: acc + v * v)))
+    changes = lambda x: F.size(F.filter(x["near"], lambda y: (y["a"] > 0) != (y["b"] > 0)))
+    out = F.transform(out, lambda x: named(x, "span key n k squares power", changes=changes(x), product=F.aggregate(x["near"], zero, lambda acc, y: acc + y["a"] * y["b"]), expected=2 * x["high"] * (x["n"] - x["high"]) / x["n"]))
+
+    def score(x: Column) -> Column:
+        n, k, expected = x["n"], x["k"], x["expected"]
+        chi = (x["squares"] * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
+        runs = F.abs((x["changes"] - expected) / F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9))))
+        serial = F.abs(x["product"] / F.greatest(x["power"], F.lit(1e-9)) * F.sqrt(n))
+        # two-sided statistics as normal scores of their own: half-normal to normal is close to linear beyond one deviation
+        return (chi + (runs - 0.7979) / 0.6028 + (serial - 0.7979) / 0.6028) / F.sqrt(F.lit(3.0))
+
+    out = F.transform(out, lambda x: named(x, "span key", z=score(x)))
+    return F.transform(out, lambda x: named(x, "span key", p=_normal_tail(x["z"])))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """Adds base (spans of the patterns) and tested (candidates with key and p) to docs; its text column stays as it is."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -125,10 +137,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         lambda x: x["s"].rlike("[0-9]") & x["s"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < x["span"]["stop"]) & (x["span"]["start"] < b["stop"])),
     )
     spans = spans.withColumn("_pairs", pairs)
-    tested = F.transform(
-        "_pairs", lambda x: F.struct(x["span"].alias("span"), F.concat_ws("/", _encoding(x["s"]), _band(F.length(x["s"])).cast("string")).alias("key"), _p_random(x["s"], _encoding(x["s"])).alias("p"))
-    )
-    return spans.select(*docs.columns, "base", F.when(F.size("_pairs") > 0, tested).alias("tested"))
+    return spans.select(*docs.columns, "base", F.when(F.size("_pairs") > 0, _battery(F.col("_pairs"))).alias("tested"))
 
 
 def cut_offs(tested: DataFrame, scan: Scan = Scan()) -> dict[str, float]:
