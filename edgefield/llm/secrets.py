@@ -154,12 +154,13 @@ def cut_offs(tested: DataFrame, scan: Scan = Scan()) -> dict[str, float]:
     return out
 
 
-def find_secrets(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
-    """docs with a text column. Returns docs' columns, base and random: arrays of (start, kind, stop) in code points, by start, then kind.
+def find_secrets(docs: DataFrame, scan: Scan = Scan(), keep: list[str] | None = None) -> DataFrame:
+    """docs with a text column. Returns docs' columns, or those of keep, with base and random: arrays of (start, kind, stop) in code points, by start, then kind.
 
     A null text is empty and has no spans. Repeated rows and ties of ids change nothing, since rows are looked at one by one
     and the cut-offs count all of them. Columns of docs named base, tested or random are replaced. No rows give no rows."""
-    rows = written(scanned(docs.drop("base", "tested", "random")), "scanned")
+    docs = docs.drop("base", "tested", "random")
+    rows = written(scanned(docs).select(*(docs.columns if keep is None else keep), "base", "tested"), "scanned")
     cuts = cut_offs(rows, scan)
     if cuts:
         table = F.create_map(*[F.lit(x) for kv in sorted(cuts.items()) for x in kv])
