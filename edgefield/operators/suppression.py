@@ -1,4 +1,4 @@
-"""Class-aware non-maximum suppression as a fold over the boxes of an image and label in score order."""
+"""Class-aware non-maximum suppression as a fold over the boxes of a probe, image and label in score order."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from edgefield.functions.geometry import BOX, iou
 
+KEY = ["probe_id", "image_id", "label"]
+
 
 def suppress(detections: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """detections: image_id, label, score, box. Adds kept; a box goes if one already kept overlaps it by more than threshold."""
+    """detections: probe_id, image_id, label, score, box. Adds kept; a box goes if one of its probe already kept overlaps it by more than threshold."""
     box = lambda c: tuple(c[x] for x in BOX)
-    grouped = detections.groupBy("image_id", "label").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), *BOX, "score"))).alias("ds"))
+    grouped = detections.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), *BOX, "score"))).alias("ds"))
     kind = "struct<x0:double,y0:double,x1:double,y1:double>"
     start = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.array().cast("array<boolean>").alias("flags"))
 
@@ -21,5 +23,5 @@ def suppress(detections: DataFrame, threshold: float = 0.45) -> DataFrame:
         return F.struct(F.when(free, F.array_append(acc["kept"], own)).otherwise(acc["kept"]).alias("kept"), F.array_append(acc["flags"], free).alias("flags"))
 
     flags = F.aggregate("ds", start, step, lambda acc: acc["flags"])
-    rows = grouped.select("image_id", "label", F.explode(F.arrays_zip(F.col("ds").alias("d"), flags.alias("kept"))).alias("r"))
-    return rows.select("image_id", "label", *[F.col(f"r.d.{c}").alias(c) for c in ("score", *BOX)], F.col("r.kept").alias("kept"))
+    rows = grouped.select(*KEY, F.explode(F.arrays_zip(F.col("ds").alias("d"), flags.alias("kept"))).alias("r"))
+    return rows.select(*KEY, *[F.col(f"r.d.{c}").alias(c) for c in ("score", *BOX)], F.col("r.kept").alias("kept"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgefield.functions.geometry import BOX, iou
 from edgefield.operators import matching as M
+from edgefield.operators.suppression import suppress
 from edgefield.queries import fixtures as X
 from edgefield.sources.tables import detections, probes, truths
 
@@ -23,11 +24,20 @@ def truth_counts(spark, d):
     return M.truth_counts(truths(spark, d))
 
 
-def iou_pairs(spark, d):
-    t = truths(spark, d).select("image_id", "label", "gt_idx", *[F.col(c).alias(f"t_{c}") for c in BOX])
-    both = detections(spark, d).where("probe_id = 3").join(t, M.KEY)
+def _overlaps(dets: DataFrame, truths: DataFrame, *by: str) -> DataFrame:
+    t = truths.select("image_id", "label", "gt_idx", *[F.col(c).alias(f"t_{c}") for c in BOX])
+    both = dets.join(t, M.KEY)
     o = iou(tuple(F.col(c) for c in BOX), tuple(F.col(f"t_{c}") for c in BOX))
-    return both.withColumn("o", o).groupBy("label").agg(F.count("*").alias("n_pairs"), F.sum((F.col("o") >= 0.5).cast("long")).alias("n_match"), F.round(F.avg("o"), 9).alias("mean_iou"))
+    return both.withColumn("o", o).groupBy(*by).agg(F.count("*").alias("n_pairs"), F.sum((F.col("o") >= 0.5).cast("long")).alias("n_match"), F.round(F.avg("o"), 9).alias("mean_iou"))
+
+
+def iou_pairs(spark, d):
+    """One probe only, as its SQL says; iou_pairs_by_probe has all."""
+    return _overlaps(detections(spark, d).where("probe_id = 3"), truths(spark, d), "label")
+
+
+def iou_pairs_by_probe(spark, d):
+    return _overlaps(detections(spark, d), truths(spark, d), "probe_id", "label")
 
 
 def greedy_match(spark, d):
@@ -64,15 +74,22 @@ def induced_fp_anti(spark, d):
     return M.induced_false_positives(_matches(spark, d)).groupBy("probe_id", "label").agg(F.count("*").alias("n_induced"), F.round(F.max("score"), 9).alias("top_score"))
 
 
+def _suppressed(dets: DataFrame, *by: str) -> DataFrame:
+    return suppress(dets).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
+
+
 def nms_fold(spark, d):
-    """Greedy suppression within an image and label: a box goes if a kept one with a higher score overlaps it by more than 0.45."""
-    from edgefield.operators.suppression import suppress
+    """One probe only, as its SQL says; nms_by_probe has all."""
+    return _suppressed(detections(spark, d).where("probe_id = 2"), "label")
+
 
-    return suppress(detections(spark, d).where("probe_id = 2")).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
+def nms_by_probe(spark, d):
+    """Greedy suppression within a probe, image and label: a box goes if a kept one with a higher score overlaps it by more than 0.45."""
+    return _suppressed(detections(spark, d), "probe_id", "label")
 
 
 _ROUND = "round({}, 9) AS {}"
-QUERIES = {f.__name__: f for f in (truth_counts, iou_pairs, greedy_match, ap_by_class, map50_by_probe, probe_counts, scored_label_semi, verdicts, confidence_filter, induced_fp_anti, nms_fold)}
+QUERIES = {f.__name__: f for f in (truth_counts, iou_pairs, greedy_match, ap_by_class, map50_by_probe, probe_counts, scored_label_semi, verdicts, confidence_filter, induced_fp_anti, nms_fold, iou_pairs_by_probe, nms_by_probe)}
 SQL = {
     "truth_counts": f"WITH {X.TRUTHS} SELECT label, count(*) AS n_gt FROM truths GROUP BY label",
     "iou_pairs": f"WITH {X.TRUTHS}, {X.DETECTIONS} SELECT label, count(*) AS n_pairs, sum(CASE WHEN o >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_match, round(avg(o), 9) AS mean_iou FROM (SELECT d.label, {X.iou('d', 't')} AS o FROM dets d JOIN truths t ON d.image_id = t.image_id AND d.label = t.label WHERE probe_id = 3) GROUP BY label",
@@ -91,4 +108,12 @@ r AS (SELECT n.image_id, n.label, n.rk, coalesce(over_, []) AS over_ FROM n LEFT
 f AS (SELECT image_id, label, rk, true AS kept, [rk] AS ks FROM r WHERE rk = 1
   UNION ALL SELECT r.image_id, r.label, r.rk, NOT list_has_any(r.over_, f.ks), CASE WHEN list_has_any(r.over_, f.ks) THEN f.ks ELSE list_append(f.ks, r.rk) END FROM f JOIN r ON r.image_id = f.image_id AND r.label = f.label AND r.rk = f.rk + 1)
 SELECT label, count(*) AS n, sum(kept::INT)::BIGINT AS n_kept FROM f GROUP BY label""",
+    "iou_pairs_by_probe": f"WITH {X.TRUTHS}, {X.DETECTIONS} SELECT probe_id, label, count(*) AS n_pairs, sum(CASE WHEN o >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_match, round(avg(o), 9) AS mean_iou FROM (SELECT d.probe_id, d.label, {X.iou('d', 't')} AS o FROM dets d JOIN truths t ON d.image_id = t.image_id AND d.label = t.label) GROUP BY ALL",
+    "nms_by_probe": f"""WITH RECURSIVE {X.TRUTHS}, {X.DETECTIONS},
+n AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, label ORDER BY score DESC, x0, y0, x1, y1) AS rk FROM dets),
+o AS (SELECT a.probe_id, a.image_id, a.label, a.rk, list(b.rk) AS over_ FROM n a JOIN n b ON a.probe_id = b.probe_id AND a.image_id = b.image_id AND a.label = b.label AND b.rk < a.rk WHERE {X.iou('a', 'b')} > 0.45 GROUP BY ALL),
+r AS (SELECT n.probe_id, n.image_id, n.label, n.rk, coalesce(over_, []) AS over_ FROM n LEFT JOIN o USING (probe_id, image_id, label, rk)),
+f AS (SELECT probe_id, image_id, label, rk, true AS kept, [rk] AS ks FROM r WHERE rk = 1
+  UNION ALL SELECT r.probe_id, r.image_id, r.label, r.rk, NOT list_has_any(r.over_, f.ks), CASE WHEN list_has_any(r.over_, f.ks) THEN f.ks ELSE list_append(f.ks, r.rk) END FROM f JOIN r ON r.probe_id = f.probe_id AND r.image_id = f.image_id AND r.label = f.label AND r.rk = f.rk + 1)
+SELECT probe_id, label, count(*) AS n, sum(kept::INT)::BIGINT AS n_kept FROM f GROUP BY ALL""",
 }

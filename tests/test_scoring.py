@@ -104,3 +104,32 @@ def test_suppression(spark):
     _, d = frames(spark, [(0, 0, 1, 0.0, 0.0, 1.0, 1.0)], [(0, 0, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (0, 0, 0, 0.8, 1.0, 0.0, 11.0, 10.0), (0, 0, 0, 0.7, 5.0, 0.0, 15.0, 10.0), (0, 0, 1, 0.6, 0.0, 0.0, 10.0, 10.0)])
     assert {r.score: r.kept for r in suppress(d).collect()} == {0.9: True, 0.8: False, 0.7: True, 0.6: True}
     assert len(BOX) == 4
+
+
+def test_suppression_keeps_probes_apart(spark):
+    rng = random.Random(5)
+    box = lambda: (x := rng.randrange(0, 20), y := rng.randrange(0, 20), x + rng.randrange(5, 20), y + rng.randrange(5, 20))
+    rows = list({(rng.randrange(3), rng.randrange(4), rng.randrange(2), rng.randrange(1, 9) / 8, *map(float, box())) for _ in range(300)})
+    _, d = frames(spark, [(0, 0, 1, 0.0, 0.0, 1.0, 1.0)], rows)
+    want, kept = {}, {}
+    for r in sorted(rows, key=lambda r: (r[:3], -r[3], r[4:])):
+        free = all(plain_iou(r[4:], k) <= 0.45 for k in kept.get(r[:3], []))
+        want[r] = free
+        if free:
+            kept.setdefault(r[:3], []).append(r[4:])
+    assert {(r.probe_id, r.image_id, r.label, r.score, r.x0, r.y0, r.x1, r.y1): r.kept for r in suppress(d).collect()} == want
+
+
+def test_pairs_and_suppression_reach_every_probe(spark):
+    from pathlib import Path
+
+    from edgefield.queries import scoring
+    from edgefield.sources.tables import PROBES, detections
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("the generated tables are not here")
+    every = {k for k, _ in PROBES}
+    assert {r.probe_id for r in scoring.iou_pairs_by_probe(spark, sf).collect()} == every
+    out = scoring.nms_by_probe(spark, sf).collect()
+    assert {r.probe_id for r in out} == every and sum(r.n for r in out) == detections(spark, sf).count()
