@@ -53,6 +53,16 @@ def close_enough(a: Column, b: Column, share: float = 0.005) -> Column:
     return F.abs(a - b) <= share * F.greatest(F.abs(a), F.abs(b))
 
 
+def tolerance_bucket(x: Column, share: float = 0.005) -> Column:
+    """The logarithmic bucket of a positive number: numbers that are close enough are in the same bucket or in neighbouring ones."""
+    return F.floor(F.log(x) / (2 * share)).cast("long")
+
+
+def near_buckets(x: Column, share: float = 0.005) -> Column:
+    b = tolerance_bucket(x, share)
+    return F.array(b - 1, b, b + 1)
+
+
 #: Nine stops of a colour-blind-safe sequential map, from low to high.
 STOPS = ("440154", "472d7b", "3b528b", "2c728e", "21918c", "28ae80", "5ec962", "addc30", "fde725")
 

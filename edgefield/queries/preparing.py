@@ -106,13 +106,22 @@ def nearest_images(spark, d):
     return _cells(spark).select("i", "j", F.hypot(F.col("i") - 5.0, F.col("j") - 9.0).alias("r")).orderBy("r", "i", "j").limit(20).select("i", "j")
 
 
+def figures_matched(docs, values):
+    """docs: doc_id, text; values: v. Counts of each document's figures, and of those that any of the values is close enough to.
+
+    Both sides are cut to their distinct numbers and meet in buckets of the tolerance; 0 is close to 0 only and has a bucket of its own."""
+    figures = docs.select("doc_id", F.explode(F.array_distinct(T.cited_numbers(F.col("text")))).alias("figure")).withColumn("x", F.col("figure").try_cast("double"))
+    here = F.when(F.col("x") > 0, T.near_buckets(F.col("x"))).otherwise(F.array(F.lit(None).cast("long")))
+    there = F.when(F.col("v") > 0, T.tolerance_bucket(F.col("v")))
+    numbers = figures.select("x").distinct().withColumn("b", F.explode(here))
+    v = values.select("v").where("v >= 0").distinct().withColumn("b", there)
+    hits = numbers.join(v, numbers["b"].eqNullSafe(v["b"])).where(T.close_enough(F.col("x"), F.col("v"))).select("x", F.lit(1).alias("hit")).distinct()
+    return figures.join(hits, "x", "left").groupBy("doc_id").agg(F.count("*").alias("n_figures"), F.count("hit").alias("n_matched"))
+
+
 def doc_figures(spark, d):
     """Decimal figures of texts against a table of values, to half a per cent; figures without a match are problems."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.cited_numbers(F.col("text")))).alias("figure"))
-    values = table(spark, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") / 10.0).alias("v")).groupBy(F.floor("v").cast("long").alias("whole")).agg(F.min("v").alias("v"))
-    f = docs.withColumn("x", F.col("figure").try_cast("double"))
-    near = f.join(values, F.floor("x") == F.col("whole"), "left")
-    return near.groupBy("doc_id").agg(F.count("*").alias("n_figures"), F.sum(F.coalesce(T.close_enough(F.col("x"), F.col("v")), F.lit(False)).cast("long")).alias("n_matched"))
+    return figures_matched(table(spark, d, "documents"), table(spark, d, "part").select((F.col("p_size") / 10.0).alias("v")))
 
 
 def citations(spark, d):
