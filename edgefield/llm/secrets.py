@@ -1,21 +1,22 @@
 """Secret scans, by patterns and by a battery of randomness tests, in DataFrame functions only.
 
-Patterns give the base spans. Besides them every run of 20 or more characters of the usual encodings that holds a letter and
-a digit is tested for randomness over the alphabet of the encoding it is inferred to have (hex, base32, alphanumeric,
-base64): chi-squared for uniform symbols, the number of runs above and below the alphabet's middle, and the serial
-correlation of neighbours. The three are combined into one p-value by Stouffer's rule: near 0 for words, uniform for
-random strings.
+Patterns give the base spans. Besides them every run of 20 or more characters of the usual encodings is tested for randomness
+over the alphabet of the encoding it is inferred to have (hex, base32, alphanumeric, base64): chi-squared for uniform symbols,
+the number of runs above and below the alphabet's middle, and the serial correlation of neighbours. The three are combined
+into one p-value by Stouffer's rule: near 0 for words, uniform for random strings.
 
-What counts as random is set by false-discovery control for each encoding and band of lengths, over all documents: short
-strings that pass are often words, long ones hardly ever. In a band, random strings spread evenly over the p-values; twice the
-number above 0.5 estimates them. At a cut-off t, what passes beyond their expected number is false. The least cut-off
-whose false share is at most the wanted rate is taken; a band where none is has no findings.
+The null hypothesis is that a run is no secret: its characters follow one another as in the corpus's shorter runs, which a
+bigram model of a bounded sample of texts says. The likelihood of a run as a random string over that under the model is an
+e-value: under the null its mean is at most 1, whatever its length, encoding or company. Runs are random where they fit the
+battery at its least cut-off and their e-value passes the e-value form of Benjamini and Hochberg's rule, which holds under any
+dependence. Among m runs a lone one has to reach m / false_rate, a few characters' worth, so a secret does not need others.
 
 Positions come from the pieces between matches: a match starts where the lengths of all before it end.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import NamedTuple
 
@@ -48,8 +49,16 @@ BANDS = (24, 32, 40, 48, 64, 96, 128)  # upper ends of the lengths, exclusive; t
 CUTS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
 
 
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"  # of candidates
+WORD = "[A-Za-z0-9+/_=-]+"
+MOST_GAIN = 64  # whole units of log e-value that are told apart; no number of runs asks for more
+
+
 class Scan(NamedTuple):
     false_rate: float = 0.05
+    sample: int = 20_000  # texts, at most about, that the model of runs learns from
+    prefix: int = 20_000  # characters of each that it reads
+    prior: float = 20.0  # weight of single characters against pairs
 
 
 def _positions(matches: Column, pieces: Column, kind: int) -> Column:
@@ -82,6 +91,30 @@ def _band(length: Column) -> Column:
     return reduce(lambda acc, b: acc + F.when(length >= b, 1).otherwise(0), BANDS, F.lit(0))
 
 
+def learn_runs(docs: DataFrame, scan: Scan = Scan()) -> list[float]:
+    """The log probability of each symbol (column) after each other one (row) in runs that are too short for candidates, row by row."""
+    n = len(SYMBOLS)
+    share = min(1.0, scan.sample / max(1, docs.count()))
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select(F.substring("text", 1, scan.prefix).alias("text"))
+    runs = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    pairs = runs.where("length(s) BETWEEN 2 AND 19").select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("pair"))
+    counts = [[0] * n for _ in range(n)]
+    for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most n * n
+        counts[SYMBOLS.index(r["pair"][0])][SYMBOLS.index(r["pair"][1])] += r["n"]
+    total = sum(map(sum, counts))
+    single = [(sum(row[j] for row in counts) + 1) / (total + n) for j in range(n)]
+    return [math.log((counts[i][j] + scan.prior * single[j]) / (sum(counts[i]) + scan.prior)) for i in range(n) for j in range(n)]
+
+
+def _gain(s: Column, model: list[float]) -> Column:
+    """The log e-value of s: its likelihood as a random string of its alphabet over that under the model, given its first symbol."""
+    table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
+    places = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    size = reduce(lambda acc, kv: F.when(_encoding(s) == kv[0], len(kv[1])).otherwise(acc), ALPHABETS.items(), F.lit(len(ALPHABETS["base64"])))
+    steps = F.zip_with(F.slice(places, 1, F.length(s) - 1), F.slice(places, 2, F.length(s) - 1), lambda a, b: F.get(table, a * len(SYMBOLS) + b))
+    return -(F.length(s) - 1) * F.log(size.cast("double")) - F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def _battery(pairs: Column) -> Column:
     """pairs: array of (s, span). For each: span, key (encoding and band) and p, under the hypothesis that s is random over its
     alphabet. Every step adds to the structs of the one before, so that no expression is written out twice."""
@@ -118,8 +151,8 @@ def _battery(pairs: Column) -> Column:
     return F.transform(out, lambda x: named(x, "span key", p=_normal_tail(x["z"])))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """Adds base (spans of the patterns) and tested (candidates with key and p) to docs; its text column stays as it is."""
+def scanned(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+    """Adds base (spans of the patterns) and tested (candidates with key and p, and gain where a model is given) to docs; its text column stays as it is."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs
     for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_long", CANDIDATE)):
@@ -134,14 +167,20 @@ def scanned(docs: DataFrame) -> DataFrame:
     spans = d.withColumn("_long_at", at("_long", CANDIDATE, 3))
     pairs = F.filter(
         F.arrays_zip(F.col("_long").alias("s"), F.col("_long_at").alias("span")),
-        lambda x: x["s"].rlike("[0-9]") & x["s"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < x["span"]["stop"]) & (x["span"]["start"] < b["stop"])),
+        lambda x: x["s"].rlike("[A-Za-z0-9]") & ~F.exists("base", lambda b: (b["start"] < x["span"]["stop"]) & (x["span"]["start"] < b["stop"])),
     )
     spans = spans.withColumn("_pairs", pairs)
-    return spans.select(*docs.columns, "base", F.when(F.size("_pairs") > 0, _battery(F.col("_pairs"))).alias("tested"))
+    tested = _battery(F.col("_pairs"))
+    if model is not None:
+        gains = F.transform("_pairs", lambda x: _gain(x["s"], model))
+        tested = F.zip_with(tested, gains, lambda x, g: F.struct(*[x[k].alias(k) for k in ("span", "key", "p")], g.alias("gain")))
+    return spans.select(*docs.columns, "base", F.when(F.size("_pairs") > 0, tested).alias("tested"))
 
 
 def cut_offs(tested: DataFrame, scan: Scan = Scan()) -> dict[str, float]:
-    """The least p that counts as random, by encoding and band; at most four times eight entries."""
+    """The least p that counts as random, by encoding and band, at most four times eight entries, where a band's company alone is to say it.
+
+    For looking at bands only: few random strings in a band make it unsure, so find_secrets does not use it."""
     one = tested.where("tested IS NOT NULL").select(F.explode("tested").alias("x")).select("x.key", "x.p")
     rows = one.groupBy("key").agg(F.sum(F.when(F.col("p") > 0.5, 2).otherwise(0)).alias("random"), *[F.sum((F.col("p") >= c).cast("long")).alias(f"c{i}") for i, c in enumerate(CUTS)]).collect()
     out = {}
@@ -154,19 +193,28 @@ def cut_offs(tested: DataFrame, scan: Scan = Scan()) -> dict[str, float]:
     return out
 
 
+def least_gain(tested: DataFrame, scan: Scan = Scan()) -> int | None:
+    """The least gain that passes the e-value form of Benjamini and Hochberg's rule over all candidates, in whole units; none if none passes."""
+    one = tested.where("tested IS NOT NULL").select(F.explode("tested").alias("x")).select(F.greatest(F.lit(-1), F.least(F.lit(MOST_GAIN), F.floor("x.gain"))).alias("g"), (F.col("x.p") >= CUTS[0]).alias("fits"))
+    counts = {(r["g"], r["fits"]): r["n"] for r in one.groupBy("g", "fits").agg(F.count("*").alias("n")).collect()}
+    m = sum(counts.values())
+    for g in range(MOST_GAIN + 1):
+        passing = sum(n for (k, fits), n in counts.items() if k >= g and fits)  # others have an e-value of 0
+        if passing and g >= math.log(m / (scan.false_rate * passing)):
+            return g
+    return None
+
+
 def find_secrets(docs: DataFrame, scan: Scan = Scan(), keep: list[str] | None = None) -> DataFrame:
     """docs with a text column. Returns docs' columns, or those of keep, with base and random: arrays of (start, kind, stop) in code points, by start, then kind.
 
     A null text is empty and has no spans. Repeated rows and ties of ids change nothing, since rows are looked at one by one
-    and the cut-offs count all of them. Columns of docs named base, tested or random are replaced. No rows give no rows."""
+    and the least gain counts all of them. Columns of docs named base, tested or random are replaced. No rows give no rows."""
     docs = docs.drop("base", "tested", "random")
-    rows = written(scanned(docs).select(*(docs.columns if keep is None else keep), "base", "tested"), "scanned")
-    cuts = cut_offs(rows, scan)
-    if cuts:
-        table = F.create_map(*[F.lit(x) for kv in sorted(cuts.items()) for x in kv])
-        found = F.transform(F.filter("tested", lambda x: x["p"] >= F.coalesce(F.try_element_at(table, x["key"]), F.lit(2.0))), lambda x: x["span"])
-    else:
-        found = F.array().cast(_SPAN)
+    model = learn_runs(docs, scan)
+    rows = written(scanned(docs, model).select(*(docs.columns if keep is None else keep), "base", "tested"), "scanned")
+    least = least_gain(rows, scan)
+    found = F.transform(F.filter("tested", lambda x: (x["p"] >= CUTS[0]) & (x["gain"] >= F.lit(least))), lambda x: x["span"])
     return rows.withColumn("random", F.coalesce(found, F.array().cast(_SPAN))).drop("tested")
 
 

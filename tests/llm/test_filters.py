@@ -87,6 +87,33 @@ def test_battery_and_cut_offs_are_the_plain_ones(spark):
     assert sum(i % 5 < 3 for i in hits) > 100 and not any(i % 5 >= 3 for i in hits)
 
 
+def corpus(n):
+    import random
+
+    rng = random.Random(3)
+    words = "the of and to in that was for with river bank report 2024 user_name street-level path/to/file Table 17 haus nicht Straße être Key".split()
+    return [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(n)]
+
+
+def test_a_random_string_does_not_need_others(spark):
+    import random
+
+    rng = random.Random(11)
+    long_words = ["https//some/path/to/the/river/bank/report-2024", "internationalbankreports", "user_name_of_the_street_level_2024", "abcd" * 9 + "1", "-" * 40, "1234567890" * 3, "the-river-bank-report-of-the-street-17"]
+    plain = corpus(200) + [(200 + i, f"see {w} there") for i, w in enumerate(long_words)]
+    model = secrets.learn_runs(spark.createDataFrame(plain, "doc_id long, text string"))
+    name = [("alnum", n) for n in (20, 26, 36, 44, 60, 80, 110, 140)] + [("base64", n) for n in (26, 40, 60)] + [("base32", n) for n in (26, 40)]
+    tokens = ["".join(rng.choice(secrets.ALPHABETS[e]) for _ in range(n)) for e, n in name for _ in range(25)]
+    alone = secrets.scanned(spark.createDataFrame([(i, f"it is {t} here") for i, t in enumerate(tokens)], "doc_id long, text string"), model)
+    bar = math.log((1 + len(long_words)) / 0.05)
+    found = alone.where(F.exists("tested", lambda x: (x["p"] >= secrets.CUTS[0]) & (x["gain"] >= math.ceil(bar)))).count()
+    assert found >= 0.97 * len(tokens)
+    for token in tokens[50::100]:  # one token in a table, the only one in its band
+        df = spark.createDataFrame([*plain, (999, f"it is {token} here")], "doc_id long, text string")
+        spans = {r.doc_id: [(x.start, x.stop) for x in r.random] for r in secrets.find_secrets(df).where(F.size("random") > 0).collect()}
+        assert spans == {999: [(6, 6 + len(token))]}, token
+
+
 def test_masking(spark, odd, none):
     df = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars int")
     for r in secrets.masked(df).collect():
