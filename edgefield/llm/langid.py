@@ -3,6 +3,11 @@
 Features are frequencies of hashed byte trigrams of the lower-cased text with everything but letters as blanks. Families are
 told apart by one-versus-one machines as well; the family with the most votes wins, margins breaking ties, then the language.
 
+Machines tell the known languages apart but say nothing of texts in none of them. For that a text's surprise counts: by how much the
+mean information of its trigrams exceeds the entropy of the known language it fits best, less the error of that mean for its
+length. Texts with more surprise than the stated share of the sample's own documents, each judged without itself, are
+unfamiliar.
+
 Machines learn from a bounded sample of documents with a language, drawn evenly over the languages by a hash of the id; all
 texts are read whole, in the sample and when predicting.
 """
@@ -41,6 +46,8 @@ class Learning(NamedTuple):
     size: int = 4096  # of the hashed features
     rounds: int = 120
     ridge: float = 1e-3
+    keep: float = 0.999  # of the sample's documents that are familiar, at least
+    prior: float = 0.05  # weight of evenly spread trigrams against a language's own
 
 
 class Machine(NamedTuple):
@@ -55,6 +62,8 @@ class Model(NamedTuple):
     families: tuple[tuple[int, ...], ...]  # languages' numbers
     between: tuple[Machine, ...]  # families
     within: tuple[tuple[Machine, ...], ...]
+    information: tuple[np.ndarray, ...] = ()  # of each feature, by language
+    most: float = np.inf  # surprise of a familiar text
 
 
 def _trigrams(data: np.ndarray, size: int) -> np.ndarray:
@@ -93,15 +102,46 @@ def _histograms(p: Learning):
             for lo, hi in _slices(offsets):
                 b, starts = _padded(data, offsets, lo, hi)
                 f = _trigrams(b, p.size)
-                rows = []
+                rows, counts = [], []
                 for a, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
                     h = np.bincount(f[a : max(a, e - 2)], minlength=p.size + 1)[: p.size].astype(np.float32)
+                    counts.append(int(h.sum()))
                     rows.append((h * (_SCALE / max(1.0, h.sum()))).astype(np.float16).tobytes())
-                yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(lo, hi - lo), "x": pa.array(rows, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(lo, hi - lo), "n": pa.array(counts, pa.int64()), "x": pa.array(rows, pa.binary())})
 
     return run
 
 
+def _surprise(means: np.ndarray, n: np.ndarray, information: list[np.ndarray] | tuple[np.ndarray, ...]) -> np.ndarray:
+    """means: a text's mean information by language; n: its trigrams, three of which share a character."""
+    out = np.full(len(n), np.inf)
+    for k, w in enumerate(information):
+        share = np.exp(-w.astype(np.float64))
+        entropy = share @ w
+        out = np.minimum(out, means[:, k] - entropy - np.sqrt(3 * max(0.0, share @ (w * w) - entropy**2) / np.maximum(1, n)))
+    return out
+
+
+def _information(x: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int, p: Learning) -> tuple[list[np.ndarray], float]:
+    """What each feature tells in each language, and the most surprise of a familiar text; x holds frequencies, a row for each document."""
+    sums = [x[lang == k].sum(0, dtype=np.float64) for k in range(languages)]
+    counts = [max(1, int((lang == k).sum())) for k in range(languages)]
+    bits = lambda total, count, prior: -np.log((total + prior / p.size) / (np.asarray(total).sum(-1, keepdims=True) + prior))
+    information = [bits(t, c, p.prior * c).astype(np.float32) for t, c in zip(sums, counts)]
+    seen = []
+    for lo in range(0, len(x), 256):
+        rows = x[lo : lo + 256].astype(np.float64)
+        means = np.stack([rows @ w for w in information], 1)
+        for k in range(languages):
+            own = np.flatnonzero(lang[lo : lo + 256] == k)
+            others = np.maximum(0, sums[k] - rows[own])
+            means[own, k] = (rows[own] * bits(others, counts[k], p.prior * counts[k])).sum(1)
+        some = n[lo : lo + 256] > 0
+        seen.append(_surprise(means[some], n[lo : lo + 256][some], information))
+    seen = np.concatenate(seen) if seen else np.zeros(0)
+    return information, float(np.quantile(seen, p.keep, method="higher")) if len(seen) else np.inf
+
+
 def _machine(x: np.ndarray, y: np.ndarray, p: Learning) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by accelerated gradients; x is standardised, classes weigh the same."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
@@ -128,7 +168,7 @@ def learn(docs: DataFrame, p: Learning = Learning(), families: dict[str, tuple[s
     each = max(1, p.sample // len(languages))
     take = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, each / counts[k]))]), F.col("lang"))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < take * (1 << 20))
-    sample = drawn.select("lang", "text").mapInArrow(lean(_histograms(p)), "lang string, x binary")
+    sample = drawn.select("lang", "text").mapInArrow(lean(_histograms(p)), "lang string, n long, x binary")
     listed = {k: name for name, ks in families.items() for k in ks}
     by_family: dict[str, list[int]] = {}
     for i, k in enumerate(languages):
@@ -136,16 +176,17 @@ def learn(docs: DataFrame, p: Learning = Learning(), families: dict[str, tuple[s
     groups = tuple(tuple(v) for _, v in sorted(by_family.items()))
 
     def fitted(key, rows):
-        """The machines of the whole sample, which p.sample bounds; key 0 is between families, then each family's."""
+        """The machines of the whole sample, which p.sample bounds; key 0 is between families, then each family's; -1 has what features tell."""
         x = np.empty((rows.num_rows, p.size), np.float32)
         for i, row in enumerate(rows.column("x")):
             x[i] = np.frombuffer(row.as_buffer(), np.float16)
         number = {k: i for i, k in enumerate(languages)}
         lang = np.array([number[k] for k in rows.column("lang").to_pylist()], np.int64)
         x /= _SCALE
+        information, most = _information(x, lang, rows.column("n").to_numpy(), len(languages), p)
         scale = 1 / (x.std(0) + 1e-4)
         x *= scale
-        out = []
+        out = [(-1, k, 0, w.tobytes(), most) for k, w in enumerate(information)]
         for group, classes in enumerate([[np.isin(lang, g) for g in groups], *[[lang == k for k in g] for g in groups]]):
             for i, j in combinations(range(len(classes)), 2):
                 own = np.flatnonzero(classes[i] | classes[j])
@@ -156,9 +197,14 @@ def learn(docs: DataFrame, p: Learning = Learning(), families: dict[str, tuple[s
         return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
     machines: list[list[Machine]] = [[] for _ in range(len(groups) + 1)]
+    information, most = [], np.inf
     for r in sample.groupBy().applyInArrow(fitted, "group int, one int, two int, weights binary, bias double").orderBy("group", "one", "two").collect():
+        if r["group"] < 0:
+            information.append(np.frombuffer(r["weights"], np.float32))
+            most = r["bias"]
+            continue
         machines[r["group"]].append(Machine(r["one"], r["two"], np.frombuffer(r["weights"], np.float32), r["bias"]))
-    return Model(languages, groups, tuple(machines[0]), tuple(map(tuple, machines[1:])))
+    return Model(languages, groups, tuple(machines[0]), tuple(map(tuple, machines[1:])), tuple(information), most)
 
 
 def _decided(margins: np.ndarray, machines: tuple[Machine, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +224,12 @@ def _decided(margins: np.ndarray, machines: tuple[Machine, ...], n: int) -> tupl
     return best, sure[np.arange(rows), best] / (n - 1) if n > 1 else np.ones(rows)
 
 
-def _predicted(model: Model, p: Learning, carry: list[str]):
+def _predicted(model: Model, p: Learning, carry: list[str], judge: bool = False):
     machines = [m for group in (model.between, *model.within) for m in group]
-    table = np.zeros((p.size + 1, len(machines) + 1), np.float32)
+    information = model.information if judge else ()
+    table = np.zeros((p.size + 1, len(machines) + len(information) + 1), np.float32)
+    for k, w in enumerate(information):
+        table[: p.size, len(machines) + k] = w
     for k, m in enumerate(machines):
         table[: p.size, k] = m.weights
     table[: p.size, -1] = 1  # counts
@@ -197,7 +246,8 @@ def _predicted(model: Model, p: Learning, carry: list[str]):
                 f[starts[1:] - 1] = p.size  # trigrams that reach into the next text
                 f[starts[1:] - 2] = p.size
                 sums = np.add.reduceat(table[f], starts[:-1], axis=0).astype(np.float64)
-                margins = sums[:, :-1] / np.maximum(1.0, sums[:, -1:]) + bias
+                means = sums[:, :-1] / np.maximum(1.0, sums[:, -1:])
+                margins = means[:, : len(machines)] + bias
                 family, sure = _decided(margins[:, : cuts[1]], model.between, len(model.families))
                 langs, score = np.empty(hi - lo, object), np.zeros(hi - lo)
                 for g, members in enumerate(model.families):
@@ -213,6 +263,10 @@ def _predicted(model: Model, p: Learning, carry: list[str]):
                         langs[i], score[i] = UNKNOWN, 0.0
                 rows = batch.slice(lo, hi - lo)
                 carried = {c: rows.column(c) for c in rows.schema.names if c in carry}
+                if judge:
+                    n = sums[:, -1]
+                    known = (n == 0) | (_surprise(means[:, len(machines) :], n, information) <= model.most) if information else np.ones(hi - lo, bool)
+                    carried["familiar"] = pa.array(known)
                 yield pa.RecordBatch.from_pydict({**carried, "lang_pred": pa.array(langs.tolist(), pa.string()), "score": pa.array(np.clip(score, 0, 1))})
 
     return run
@@ -227,9 +281,11 @@ def predicted(docs: DataFrame, model: Model, p: Learning = Learning()) -> DataFr
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def annotated(docs: DataFrame, model: Model, p: Learning = Learning(), carry: list[str] | None = None) -> DataFrame:
-    """docs' columns, or those of carry, with lang_pred and score added; columns of docs with these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def annotated(docs: DataFrame, model: Model, p: Learning = Learning(), carry: list[str] | None = None, judge: bool = False) -> DataFrame:
+    """docs' columns, or those of carry, with lang_pred and score added, and before them familiar where judge is set: false for texts
+    in none of the model's languages. Columns of docs with these names are replaced."""
+    docs = docs.drop("lang_pred", "score", *(["familiar"] if judge else []))
     carry = docs.columns if carry is None else carry
-    schema = T.StructType([f for f in docs.schema if f.name in carry]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(lean(_predicted(model, p, carry)), schema)
+    schema = T.StructType([f for f in docs.schema if f.name in carry])
+    schema = (schema.add("familiar", "boolean") if judge else schema).add("lang_pred", "string").add("score", "double")
+    return docs.mapInArrow(lean(_predicted(model, p, carry, judge)), schema)

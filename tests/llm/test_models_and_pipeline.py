@@ -120,6 +120,21 @@ def test_pipeline_stages(spark, sf):
     assert sorted(map(tuple, last.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_language_stage_sends_unlearned_languages_away(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    strange = [
+        "Это совсем другой язык, которого никто не учил, и он должен уйти.", "Αυτή είναι μια πρόταση σε μια γλώσσα που δεν έμαθε κανείς", "漢字漢字日本語の文章がここにあります", "이것은 아무도 배우지 않은 언어로 쓰인 문장입니다", "xqzvk jjwqpf zzkqx vvbnmq wrtplk qqzzx kkwjx pqvvz",
+        "To zdanie jest napisane w języku, którego nikt się nie nauczył, więc musi odejść",
+    ]
+    clean = [r.text for r in docs.where("length(text) BETWEEN 200 AND 2000 AND text NOT RLIKE '[0-9]'").orderBy("doc_id").limit(40).collect()]
+    short = [" ".join(t.split()[:k]) for t in clean for k in (5, 9, 20)]
+    more = [(10**6 + i, t, None) for i, t in enumerate(strange)] + [(2 * 10**6 + i, t, None) for i, t in enumerate(short)]
+    kept = {r.doc_id for r in pipeline.language_id(spark, docs.union(spark.createDataFrame(more, docs.schema)), sf).where("doc_id >= 1000000").collect()}
+    assert not kept & {i for i, _, _ in more[: len(strange)]}
+    assert len(kept) >= 0.97 * len(short)
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, none, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     for _, stage in pipeline.STAGES:
