@@ -1,22 +1,26 @@
 """Secret scans, by patterns and by a battery of randomness tests, in DataFrame functions only.
 
-Patterns give the base spans. Besides them every run of 20 or more characters of the usual encodings is tested for randomness
-over the alphabet of the encoding it is inferred to have (hex, base32, alphanumeric, base64): chi-squared for uniform symbols,
-the number of runs above and below the alphabet's middle, and the serial correlation of neighbours. The three are combined
-into one p-value by Stouffer's rule: near 0 for words, uniform for random strings.
+Patterns give the base spans. Besides them every run of 20 or more characters of the usual encodings, be it under a base span or
+not, is tested for randomness over the alphabet of the encoding it is inferred to have (hex, base32, alphanumeric, base64):
+chi-squared for uniform symbols, the number of runs above and below the alphabet's middle, and the serial correlation of
+neighbours. The three are combined into one p-value by Stouffer's rule: near 0 for words, uniform for random strings.
 
 The null hypothesis is that a run is no secret: its characters follow one another as in the corpus's shorter runs, which a
-bigram model of a bounded sample of texts says. The likelihood of a run as a random string over that under the model is an
+bigram model of all texts says. The likelihood of a run as a random string over that under the model is an
 e-value: under the null its mean is at most 1, whatever its length, encoding or company. Runs are random where they fit the
 battery at its least cut-off and their e-value passes the e-value form of Benjamini and Hochberg's rule, which holds under any
 dependence. Among m runs a lone one has to reach m / false_rate, a few characters' worth, so a secret does not need others.
 
-Positions come from the pieces between matches: a match starts where the lengths of all before it end.
+Positions come from the pieces between matches: a match starts where the lengths of all before it end. Running sums are taken
+in two levels of about the square root of the number of matches, and arrays go into a lambda as its argument, never as a
+column named within it, which would be computed again for each element.
 """
 
 from __future__ import annotations
 
 import math
+import operator
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -34,7 +38,7 @@ _NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "a
 ASSIGN = rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # whole runs; shorter ones are no matches
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
 
 KINDS = ("assign", "access", "hex", "random")  # ties of start go by this order
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -50,28 +54,43 @@ CUTS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
 
 
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"  # of candidates
-WORD = "[A-Za-z0-9+/_=-]+"
+WORD = "[A-Za-z0-9+/_-]+={0,2}"
+_BLOCK = 1024  # characters of a text that are cut from at once
 MOST_GAIN = 64  # whole units of log e-value that are told apart; no number of runs asks for more
 
 
 class Scan(NamedTuple):
     false_rate: float = 0.05
-    sample: int = 20_000  # texts, at most about, that the model of runs learns from
-    prefix: int = 20_000  # characters of each that it reads
     prior: float = 20.0  # weight of single characters against pairs
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """For each of values (an int array) all before it, joined from 0 on. No array grows beyond about the square root of their number."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    fold = lambda v: F.aggregate(v, zero, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def in_blocks(v: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / side).cast("int")), lambda k: fold(F.slice(v, k * side + 1, side)))
+
+    whole = lambda blocks: F.flatten(F.zip_with(blocks, fold(F.transform(blocks, lambda b: b["at"]))["out"], lambda b, base: F.transform(b["out"], lambda x: join(base, x))))
+    return F.when(F.size(values) > 0, _let(values, lambda v: _let(in_blocks(v), whole))).otherwise(F.array().cast("array<int>"))
+
+
 def _positions(matches: Column, pieces: Column, kind: int) -> Column:
     """Spans of the matches, given the pieces between them."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    sizes = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("own")))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(pieces, i))
-        stop = start + F.length(F.get(matches, i))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))).alias("out"))
+    def spans(v: Column) -> Column:
+        span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["own"]).alias("stop"))
+        return F.zip_with(_before(F.transform(v, lambda x: x["gap"] + x["own"])), v, span)
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(matches) > 0, _let(sizes, spans)).otherwise(F.array().cast(_SPAN))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -94,9 +113,7 @@ def _band(length: Column) -> Column:
 def learn_runs(docs: DataFrame, scan: Scan = Scan()) -> list[float]:
     """The log probability of each symbol (column) after each other one (row) in runs that are too short for candidates, row by row."""
     n = len(SYMBOLS)
-    share = min(1.0, scan.sample / max(1, docs.count()))
-    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select(F.substring("text", 1, scan.prefix).alias("text"))
-    runs = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
     pairs = runs.where("length(s) BETWEEN 2 AND 19").select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("pair"))
     counts = [[0] * n for _ in range(n)]
     for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most n * n
@@ -160,15 +177,12 @@ def scanned(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     some = lambda name: F.size(name) > 0
     d = d.withColumn("_values", F.when(some("_assign"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))))
     at = lambda name, pattern, kind: F.when(some(name), _positions(F.col(name), F.split(text, pattern, -1), kind)).otherwise(F.array().cast(_SPAN))
-    d = d.withColumn("_assign", at("_assign", ASSIGN, 0)).withColumn("_access_at", at("_access", ACCESS, 1)).withColumn("_hex", at("_hex", HEX, 2))
-    assign = F.coalesce(F.filter("_assign", lambda x, i: F.length(F.get(F.col("_values"), i)) >= 6), F.array().cast(_SPAN))
+    d = d.withColumn("_assign", at("_assign", ASSIGN, 0)).withColumn("_access_at", at("_access", ACCESS, 1)).withColumn("_hex", at("_hex", HEX, 2)).withColumn("_long_at", at("_long", CANDIDATE, 3))
+    long_enough = F.filter(F.zip_with("_assign", "_values", lambda x, v: F.struct(x.alias("x"), F.length(v).alias("n"))), lambda y: y["n"] >= 6)
+    assign = F.when(some("_assign"), F.transform(long_enough, lambda y: y["x"])).otherwise(F.array().cast(_SPAN))
     access = F.filter("_access_at", lambda x: x["stop"] - x["start"] >= 20)
-    d = d.withColumn("base", F.array_sort(F.concat(assign, access, "_hex")))
-    spans = d.withColumn("_long_at", at("_long", CANDIDATE, 3))
-    pairs = F.filter(
-        F.arrays_zip(F.col("_long").alias("s"), F.col("_long_at").alias("span")),
-        lambda x: x["s"].rlike("[A-Za-z0-9]") & ~F.exists("base", lambda b: (b["start"] < x["span"]["stop"]) & (x["span"]["start"] < b["stop"])),
-    )
+    spans = d.withColumn("base", F.array_sort(F.concat(assign, access, "_hex")))
+    pairs = F.filter(F.zip_with("_long", "_long_at", lambda s, span: F.struct(s.alias("s"), span.alias("span"))), lambda x: x["s"].rlike("[A-Za-z0-9]"))
     spans = spans.withColumn("_pairs", pairs)
     tested = _battery(F.col("_pairs"))
     if model is not None:
@@ -236,16 +250,24 @@ def masked(docs: DataFrame, scan: Scan = Scan(), mark: str = "[secret]") -> Data
     docs' columns come back as they are, whatever their names; a null text stays null."""
     slim, back = set_aside(docs, "text", "n_chars")
     found = find_secrets(slim, scan)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def cut(blocks: Column, lo: Column, hi: Column) -> Column:
+        """Characters lo to hi, from the blocks that hold them."""
+        first = F.floor(lo / _BLOCK).cast("int")
+        here = F.array_join(F.slice(blocks, first + 1, F.floor((hi - 1) / _BLOCK).cast("int") - first + 1), "")
+        return F.when(lo < hi, F.substring(here, lo - first * _BLOCK + 1, hi - lo)).otherwise("")
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
+    def replaced(x: Column) -> Column:
+        """x: blocks of the text and its spans. What stands before a span that begins a run of overlapping ones, and the mark; then the rest."""
+        before = _before(F.transform(x["spans"], lambda s: s["stop"]), F.greatest)
+        gaps = F.filter(F.zip_with(before, x["spans"], lambda lo, s: F.struct(lo.alias("lo"), s["start"].alias("hi"))), lambda g: g["lo"] <= g["hi"])
+        last = F.array_max(F.transform(x["spans"], lambda s: s["stop"]))
+        return F.concat(F.array_join(F.transform(gaps, lambda g: F.concat(cut(x["blocks"], g["lo"], g["hi"]), F.lit(mark))), ""), cut(x["blocks"], last, x["size"]))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     found = found.withColumn("_spans", F.array_sort(F.concat("base", "random")))
-    out = found.withColumn("_new", F.when(F.size("_spans") > 0, F.aggregate("_spans", zero, step, rest)).otherwise(text))
+    whole = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)).alias("blocks"), F.col("_spans").alias("spans"), F.length(text).alias("size"))
+    out = found.withColumn("_new", F.when(F.size("_spans") > 0, _let(whole, replaced)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("_new").cast(kind)).otherwise(F.col("n_chars")))

@@ -114,6 +114,66 @@ def test_a_random_string_does_not_need_others(spark):
         assert spans == {999: [(6, 6 + len(token))]}, token
 
 
+def plain_scan(texts, false_rate=0.05, prior=20.0):
+    """All spans of each text in plain Python: the patterns, and runs that the battery and the e-values call random."""
+    n, of = len(secrets.SYMBOLS), secrets.SYMBOLS.index
+    counts = [[0] * n for _ in range(n)]
+    for t in texts:
+        for run in re.findall("[A-Za-z0-9+/_-]+={0,2}", t or ""):
+            for a, b in zip(run, run[1:]) if len(run) < 20 else ():
+                counts[of(a)][of(b)] += 1
+    total = sum(map(sum, counts))
+    single = [(sum(row[j] for row in counts) + 1) / (total + n) for j in range(n)]
+    cost = lambda a, b: math.log((counts[of(a)][of(b)] + prior * single[of(b)]) / (sum(counts[of(a)]) + prior))
+    tested = []
+    for i, t in enumerate(texts):
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", t or ""):
+            if re.search("[A-Za-z0-9]", m[0]):
+                name, p = p_value(m[0])
+                gain = -(len(m[0]) - 1) * math.log(len(secrets.ALPHABETS[name])) - sum(cost(a, b) for a, b in zip(m[0], m[0][1:]))
+                tested.append((i, m.start(), m.end(), gain, p >= 0.001))
+    passing = lambda g: sum(x[3] >= g and x[4] for x in tested)
+    least = next((g for g in range(65) if passing(g) and g >= math.log(len(tested) / (false_rate * passing(g)))), math.inf)
+    out = [base_spans(t or "") for t in texts]
+    for i, a, b, gain, fits in tested:
+        if fits and gain >= least:
+            out[i].append((a, 3, b))
+    return [",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(x)) for x in out]
+
+
+def test_all_spans_are_the_plain_ones_and_planted_strings_are_found(spark):
+    import random
+
+    rng = random.Random(23)
+    planted, texts = set(), [t for _, t in corpus(400)] + [t for t in TEXTS if t is None or len(t) < 1000]
+    for i in range(0, 400, 4):
+        token = "".join(rng.choice(secrets.ALPHABETS[rng.choice(["hex", "alnum", "base64", "base32"])]) for _ in range(rng.randrange(28, 90)))
+        lead = ("see ", "token = ", "secret=", "it is 𝔘 ")[i // 4 % 4]
+        planted.add((i, len(texts[i]) + 1 + len(lead), len(token)))
+        texts[i] += f" {lead}{token}= there" if i % 3 == 0 else f" {lead}{token} there"
+    texts += ["internationalbankreports and street-level-of-the-river/bank/report", "-" * 40, "=" * 30, "1234567890" * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digests(secrets.find_secrets(df)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_scan(texts)
+    found = {(i, int(x.split(":")[1])) for i, spans in got.items() for x in spans.split(",") if x.startswith("random")}
+    wanted = {(i, a) for i, a, _ in planted}
+    assert len(found & wanted) >= 0.9 * len(wanted), "recall"
+    assert len(found & wanted) >= 0.95 * len(found), "precision"
+    assert any("random" in got[i] and "assign" in got[i] for i in got), "runs under base spans are tested too"
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    text = lambda n: "".join(f"w\u00e9{i} token=abc{i:06d} " for i in range(n))
+    for n in (5_000, 50_000):
+        df = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        begin = time.time()
+        assert secrets.digests(secrets.find_secrets(df)).first().n_assign == n
+        assert secrets.masked(df).first().text == re.sub("token=abc[0-9]{6}", "[secret]", text(n))
+        assert time.time() - begin < 90  # an array that grows in a fold takes hours
+
+
 def test_masking(spark, odd, none):
     df = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars int")
     for r in secrets.masked(df).collect():
