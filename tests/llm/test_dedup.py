@@ -4,9 +4,11 @@ import string
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from edgefield.llm import embeddings, minhash, substrings
+from edgefield.llm._words import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {ord(c): ord(c) + 32 for c in string.ascii_uppercase}
@@ -92,14 +94,47 @@ def brute_substrings(docs, n=13):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 12, 1 << 21])
-def test_substrings_are_brute_force(spark, sf, chunk):
+@pytest.mark.parametrize("chunk, hot", [(1 << 12, 1), (1 << 14, substrings.HOT), (1 << 21, substrings.HOT), (1 << 21, 1)])
+def test_substrings_are_brute_force(spark, sf, chunk, hot):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     docs += [(10_000 + i, " ".join(f"p{j}" for j in range(i, i + 13))) for i in range(0, 30, 3)] + [(20_000, " ".join(f"p{j}" for j in range(60))), (20_001, "x " * 500), (20_002, "x " * 12), (20_003, "x " * 14)]
-    got = substrings.kept_digest(substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), chunk_bytes=chunk)).collect()
+    got = substrings.kept_digest(substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), chunk_bytes=chunk, hot=hot)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_substrings(docs)
 
 
+def by_hand(docs, finds=True):
+    """The three passes over one chunk and one shard, without Spark; finds False: with automata that find nothing."""
+    batch = pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": pa.array([None if t is None else t.encode() for _, t in docs], pa.binary())})
+    passages = substrings._passages_of(0, batch, np.zeros(0, np.uint64), np.zeros(0, np.uint64), 1, 13, 5)
+    seen = substrings._occurrences
+    substrings._occurrences = seen if finds else lambda w, phrases, anchor: np.zeros(max(0, len(w.hash) - anchor + 1), bool)
+    try:
+        told = substrings._located(passages, 13, 5)
+    finally:
+        substrings._occurrences = seen
+    out = substrings._removed(batch, substrings._joined(told.column("windows"), np.int64), 13)
+    return {i: (w, r, hashlib.sha256(k).hexdigest()) for i, w, r, k in zip(*(out.column(c).to_pylist() for c in ("doc_id", "n_words", "n_removed", "kept")))}
+
+
+def test_automata_alone_name_what_goes():
+    passage = " ".join(f"p{j}" for j in range(40))
+    docs = [(1, "a b " + passage), (2, passage + " c d"), (3, "x " * 40), (4, "y " + passage[:60]), (5, "x " * 20)]
+    assert by_hand(docs) == brute_substrings(docs) and by_hand(docs)[2][1] == 40
+    assert all(r == 0 for _, r, _ in by_hand(docs, finds=False).values())
+
+
+def test_equal_hashes_of_unequal_words_remove_nothing(monkeypatch):
+    w = words(pa.array(["a b c d a b c e a b c d".encode()], pa.binary()))
+    same = w._replace(hash=np.zeros(len(w.hash), np.uint64))
+    assert substrings._word_ids(same, np.arange(12)).tolist() == [0, 1, 2, 3, 0, 1, 2, 7, 0, 1, 2, 3]
+    assert substrings._classes(w, np.array([0, 4, 8]), np.zeros(3, np.uint64), 4).tolist() == [0, 4, 0]
+    docs = [(i, " ".join(f"w{i % 3}x{j}" for j in range(i, i + 30))) for i in range(12)]
+    monkeypatch.setattr(substrings, "mixed", lambda x: x & np.uint64(3))  # phrases collide
+    whole = substrings.runs
+    monkeypatch.setattr(substrings, "runs", lambda h, r, k: (whole(h, r, k)[0] & np.uint64(1), whole(h, r, k)[1]) if k == 13 else whole(h, r, k))
+    assert by_hand(docs) == brute_substrings(docs)
+
+
 def test_substrings_of_odd_rows(odd, none):
     got = defaultdict(list)
     for r in substrings.remove_repeats(odd, chunk_bytes=1 << 16).collect():
