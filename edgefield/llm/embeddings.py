@@ -44,6 +44,15 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _matrix(vectors: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All components one after the other (null: NaN), and where each vector begins, with the end."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    offsets = vectors.offsets.to_numpy()
+    values = vectors.values.slice(offsets[0], offsets[-1] - offsets[0])
+    return values.cast(pa.float64()).to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
 def _coded(p: Hyperplanes, bits: int, tables: int):
     """Codes of the vectors, one for each table; vectors that are not finite or zero get no row."""
 
@@ -52,16 +61,18 @@ def _coded(p: Hyperplanes, bits: int, tables: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                vectors = part.column("embedding")
-                by_size: dict[int, list[int]] = {}
-                for i, v in enumerate(vectors.to_pylist()):
-                    if v and None not in v and all(map(math.isfinite, v)) and any(v):
-                        by_size.setdefault(len(v), []).append(i)
-                for size, rows in by_size.items():
+                values, offsets = _matrix(part.column("embedding"))
+                sizes = np.diff(offsets)
+                for size in np.unique(sizes[sizes > 0]).tolist():
+                    rows = np.flatnonzero(sizes == size)
+                    x = values[offsets[rows][:, None] + np.arange(size)]
+                    good = np.isfinite(x).all(1) & (x != 0).any(1)
+                    rows, x = rows[good], x[good]
+                    if not len(rows):
+                        continue
                     if size not in planes:
                         planes[size] = np.random.default_rng([p.seed, size]).standard_normal((size, bits * tables))
-                    taken = part.take(pa.array(rows))
-                    x = _unit(np.array(taken.column("embedding").to_pylist(), np.float64))
+                    taken, x = part.take(pa.array(rows)), _unit(x)
                     signs = (x @ planes[size] >= 0).reshape(len(rows), tables, bits)
                     codes = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(2)
                     yield pa.RecordBatch.from_pydict({"rep": taken.column("rep"), "weight": taken.column("weight"), "embedding": taken.column("embedding"), "codes": pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32()))})
@@ -100,15 +111,15 @@ def _compared(p: Hyperplanes):
             key = table.column("block").to_numpy()
             rep, weight, of = (table.column(c).to_numpy() for c in ("rep", "weight", "t"))
             side, alike = table.column("side").to_numpy(), table.column("alike").to_numpy(zero_copy_only=False)
-            codes = np.stack(table.column("codes").to_numpy())
-            vectors = table.column("embedding").to_pylist()
+            codes = _matrix(table.column("codes"))[0].astype(np.int32).reshape(len(key), -1)
+            values, offsets = _matrix(table.column("embedding"))
             cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
             links, root = np.zeros(len(key), np.int64), rep.copy()
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 rows = np.arange(hi - lo)
                 a, b = (rows, rows) if alike[lo] else (rows[side[lo:hi] == 0], rows[side[lo:hi] == 1])
                 if len(a) and len(b) and hi - lo > 1:
-                    x = _unit(np.array(vectors[lo:hi], np.float64))
+                    x = _unit(values[offsets[lo] : offsets[hi]].reshape(hi - lo, -1))
                     links[lo:hi], least = block(rep[lo:hi], weight[lo:hi], x, codes[lo:hi], int(of[lo]), a, b, bool(alike[lo]))
                     root[lo:hi] = rep[lo:hi][least]
             some = (links > 0) | (root != rep)
