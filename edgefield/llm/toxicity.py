@@ -5,7 +5,8 @@ words do not show: P = 1 - (1 - leak) * product(1 - p of each sentence), a noisy
 document labels alone. Sentences at 0.5 and above are located in the text.
 
 Learning sees a bounded sample of labelled documents, drawn by a hash of the id, half of them toxic if there are so many. Words
-that tell the classes apart are picked by counts on Spark; only they come to the driver, with the sentences they stand in.
+that tell the classes apart are picked by counts on Spark; one task learns from the sample's (sentence, word) pairs, and the driver
+gets the words and their weights only.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _seen(p: Learning):
 
 
 def _instances(p: Learning, vocabulary: np.ndarray):
-    """For each document, (sentence, word number) of the vocabulary's words in it."""
+    """For each document, (sentence, word number) of the vocabulary's words in it, each pair once."""
 
     def run(batches):
         for batch in batches:
@@ -75,30 +76,22 @@ def _instances(p: Learning, vocabulary: np.ndarray):
                 sentence = _sentences(w)
                 at = np.minimum(np.searchsorted(vocabulary, w.hash), max(0, len(vocabulary) - 1))
                 known = np.flatnonzero(vocabulary[at] == w.hash) if len(vocabulary) and len(at) else np.zeros(0, np.int64)
-                cuts = np.searchsorted(w.row[known], np.arange(part.num_rows + 1))
-                pieces = [(sentence[known[a:b]], at[known[a:b]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic"), "sentence": pa.array([s for s, _ in pieces], pa.list_(pa.int64())), "word": pa.array([v for _, v in pieces], pa.list_(pa.int64()))})
+                _, first = np.unique(sentence[known] * max(1, len(vocabulary)) + at[known], return_index=True)
+                known = known[first]  # by sentence, and so by document
+                cuts = np.searchsorted(w.row[known], np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[known].astype(np.int32))) for x in (sentence, at)]
+                yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic"), "sentence": lists[0], "word": lists[1]})
 
     return run
 
 
-def _train(toxic: np.ndarray, sentences: list, terms: list, size: int, p: Learning) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and leak by Adam on the noisy-or likelihood."""
-    bag, instance, word = [], [], []
-    n = 0
-    for i, (s, t) in enumerate(zip(sentences, terms)):
-        if len(s):
-            ids, at = np.unique(s, return_inverse=True)
-            pair = np.unique(np.stack([at + n, np.asarray(t)]), axis=1)
-            instance.append(pair[0])
-            word.append(pair[1])
-            bag += [i] * len(ids)
-            n += len(ids)
+def _train(toxic: np.ndarray, bag_of: np.ndarray, inst: np.ndarray, term: np.ndarray, size: int, p: Learning) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak by Adam on the noisy-or likelihood. bag_of: each sentence's document; inst, term: the pairs' sentences and words."""
+    n = len(bag_of)
     y = toxic.astype(float)
     share = float(np.clip(y.mean(), 1e-3, 0.5))
     theta = np.zeros(size + 2)
     theta[size], theta[size + 1] = -4.0, np.log(share * 0.3 / (1 - share * 0.3))
-    bag_of, inst, term = np.array(bag, np.int64), np.concatenate(instance or [np.zeros(0, np.int64)]), np.concatenate(word or [np.zeros(0, np.int64)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, p.rounds + 1):
@@ -145,13 +138,22 @@ def learn(docs: DataFrame, labels: DataFrame, p: Learning = Learning()) -> Model
     z = (F.log(a / (n1 - F.col("t") + 0.5)) - F.log(c / (F.lit(n0) - (F.col("n") - F.col("t")) + 0.5))) / F.sqrt(1 / a + 1 / c)
     picked = by_word.withColumn("z", z).where(F.col("z") >= p.least_z).orderBy(F.desc("z"), "word").limit(p.vocabulary).collect()
     vocabulary = np.sort(np.array([r["word"] for r in picked], np.int64).view(np.uint64))
-    rows = texts.mapInArrow(lean(_instances(p, vocabulary)), "toxic int, sentence array<long>, word array<long>").toArrow()
+
+    def fitted(rows: pa.Table) -> pa.Table:
+        """The weights, then bias and leak, from the whole sample, which p.sample bounds."""
+        sentence, word = (rows.column(c).combine_chunks() for c in ("sentence", "word"))
+        document = np.repeat(np.arange(rows.num_rows), np.diff(sentence.offsets.to_numpy()))
+        key = document << 32 | sentence.flatten().to_numpy()
+        own, inst = np.unique(key, return_inverse=True)
+        weights, bias, leak = _train(rows.column("toxic").to_numpy(), own >> 32, inst, word.flatten().to_numpy(), len(vocabulary), p)
+        return pa.table({"i": pa.array(range(len(weights) + 2), pa.int32()), "v": pa.array([*weights, bias, leak], pa.float64())})
+
+    rows = texts.mapInArrow(lean(_instances(p, vocabulary)), "toxic int, sentence array<int>, word array<int>")
+    *weights, bias, leak = (r["v"] for r in rows.groupBy().applyInArrow(fitted, "i int, v double").orderBy("i").collect())
     forget(texts)
-    toxic = rows.column("toxic").to_numpy()
     # the sample's classes are not in their proportion; the leak is set to what is, where no word shows
-    weights, bias, leak = _train(toxic, rows.column("sentence").to_pylist(), rows.column("word").to_pylist(), len(vocabulary), p)
     odds = leak / (1 - leak) * (ones / zeros) / (n1 / n0)
-    return Model(vocabulary, weights, bias, float(odds / (1 + odds)))
+    return Model(vocabulary, np.array(weights), bias, float(odds / (1 + odds)))
 
 
 def _scored(model: Model, p: Learning):
