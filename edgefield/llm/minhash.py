@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: MinHash) -> DataFrame:
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """docs: doc_id, text. Returns one row for each row: doc_id, n_shingles, component_id, kept.
 
-    Null texts and texts without words have no shingles and link with nothing. Rows that share a doc_id are one node. A null
+    Null texts and texts without words have no shingles and link with nothing. Rows that share a doc_id are one node, with the links of each of their texts. A null
     doc_id has no component and is kept. Of a component the smallest doc_id is kept. Columns besides doc_id and text are not
     looked at. No rows give no rows."""
     spark = docs.sparkSession
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
     hits = written(keys.join(shared, "key"), "hits")
     wanted = hits.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lean(_full_sets(p)), "rep long, shingles array<long>, sketch binary"), "sets")
+    sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(lean(_full_sets(p)), "rep long, shingles array<long>, sketch binary"), "sets")
     links = written(_verified(hits.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), sets, p), "links")
     near = connected_components(links)
 
@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     rows = reps.select("set_a", "set_b", "n_shingles", "rep")
     same_id = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(rows, ["set_a", "set_b", "n_shingles"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     component = connected_components(reduce(DataFrame.union, [near.select(F.col("node").alias("a"), F.col("component").alias("b")), again, same_id]))
-    forget(hits)
+    for done in (hits, reps, sets, links, again):
+        forget(done)
     out = signed.select("doc_id", "n_shingles").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
