@@ -153,7 +153,7 @@ def _slots(histogram: dict[int, int], size: int, first_sequence: int) -> list[tu
 def packed(pieces: DataFrame, sequence: int = SEQUENCE, group_rows: int = 4096) -> DataFrame:
     """pieces: doc_id, start, length and any other columns. Adds sequence_id and offset to every row.
 
-    Lengths are 1 to sequence; together (doc_id, start, length) need not be unique, repeated rows go to places of their own. Other
+    Lengths are 1 to sequence, others are an error; together (doc_id, start, length) need not be unique, repeated rows go to places of their own. Other
     columns come through as they are, save ones named sequence_id or offset, which are replaced. No rows give no rows."""
     spark = pieces.sparkSession
     pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
@@ -165,8 +165,11 @@ def packed(pieces: DataFrame, sequence: int = SEQUENCE, group_rows: int = 4096)
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    if any(length is None or not 0 < length <= sequence for length in histogram):
+        raise ValueError(f"lengths of pieces are from 1 to {sequence}")
     slots = spark.createDataFrame(_slots(histogram, sequence, 0), "_length long, _from long, _to long, _sequence long, _per long, _offset long")
-    within = Window.partitionBy("length", "_group").orderBy("doc_id", "start")
+    # rows that are equal in all columns may change places; no others do when a task is run again
+    within = Window.partitionBy("length", "_group").orderBy("doc_id", "start", F.xxhash64(*[f"`{c}`" for c, kind in pieces.dtypes if "map<" not in kind]))
     rank = ranked.withColumn("_row", F.row_number().over(within) - 1).join(starts, ["length", "_group"]).withColumn("_rank", F.col("_row") + F.col("_before"))
     # at most a few entries for each length up to sequence: a bound that does not depend on the corpus
     placed = rank.join(F.broadcast(slots), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
