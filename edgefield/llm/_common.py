@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,30 +21,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage is cut, and lost executors lose nothing of it."""
+    """df, written to the shared folder and read again: its lineage is cut, and lost executors lose nothing of it.
+
+    What nobody forgets before goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
+    _on_disk(df.sparkSession, path, lambda fs, where: fs.deleteOnExit(where))
     return out
 
 
+def _on_disk(spark: SparkSession, path: str, act: Callable) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    act(where.getFileSystem(spark._jsc.hadoopConfiguration()), where)
+
+
 def forget(df: DataFrame | None) -> None:
     """Deletes what written() made, once nothing reads it any more."""
     path = getattr(df, "_written_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _on_disk(df.sparkSession, path, lambda fs, where: fs.delete(where, True))
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
@@ -69,15 +78,19 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def lean(run: Callable) -> Callable:
-    """run, giving its memory back when a task's rows are through: Python workers outlive tasks and wait beside the next ones.
+    """run, on batches of bounded bytes (a row that has more is alone), giving its memory back when a task's rows are through: Python
+    workers outlive tasks and wait beside the next ones."""
 
-    Batches that go to Python are bounded by bytes from here on, not by rows alone, since texts may be long."""
-    session = SparkSession.getActiveSession()
-    if session:
-        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    def bounded(batch):
+        if batch.nbytes <= BATCH_BYTES or batch.num_rows < 2:
+            yield batch
+        else:
+            half = batch.num_rows // 2
+            yield from bounded(batch.slice(0, half))
+            yield from bounded(batch.slice(half))
 
     def lean_run(batches):
-        yield from run(batches)
+        yield from run(part for batch in batches for part in bounded(batch))
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
