@@ -1,8 +1,11 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest, in DataFrame functions only.
 
-The trees learn from URLs that a rule labels. A bounded sample of them, drawn by a hash of the URL, is enough for trees of two
-levels; its gradients are summed up by node, feature and bin on Spark, and only those sums, a few hundred numbers, come
-to the driver, which picks the splits. A fitted model is one column expression, so scoring stays in generated code.
+The trees learn from URLs that a rule labels, save a held-out fifth of them by a hash of the URL. A bounded sample of rows is enough
+for trees of two levels; its gradients are summed up by node, feature and bin on Spark, and only those sums, a few hundred
+numbers, come to the driver, which picks the splits. A fitted model is one column expression, so scoring stays in generated code.
+
+URLs that no rule fits mostly have suffixes that no label has. So that the trees learn what an unknown suffix is worth, which is the
+share of blocks among all labels and no more, the suffix is hidden in a part of the sample.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ RULES = (
 
 
 class Boost(NamedTuple):
-    sample: int = 20_000  # labelled URLs to learn from, at most about
+    sample: int = 20_000  # labelled rows to learn from, at most about
+    hidden: int = 3  # one in so many of them learns without its suffix
     trees: int = 16
     rate: float = 0.3
     bins: int = 16
@@ -71,8 +75,15 @@ def _suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def features(urls: DataFrame, suffix_table: dict[str, tuple[float, float]], default: float) -> DataFrame:
-    """Adds x: the features of url, host and path, as doubles in the order of FEATURES."""
+def is_held_out(url: Column) -> Column:
+    """Labelled URLs that the trees do not learn from: crc32 of the URL, by 5, leaves 0."""
+    return F.pmod(F.crc32(F.coalesce(url, F.lit("")).cast("binary")), F.lit(5)) == 0
+
+
+def features(urls: DataFrame, suffix_table: dict[str, tuple[float, float]], default: float, hidden: Column | None = None) -> DataFrame:
+    """Adds x: the features of url, host and path, as doubles in the order of FEATURES.
+
+    hidden: the rows whose suffix counts as one that was not seen."""
     url = F.coalesce(F.col("url"), F.lit(""))
     n = F.length(url)
     share = lambda c: c.cast("double") / F.greatest(n, F.lit(1))
@@ -88,6 +99,8 @@ def features(urls: DataFrame, suffix_table: dict[str, tuple[float, float]], defa
         suffix_rate, suffix_share = F.coalesce(F.try_element_at(rate, _suffix(F.col("host"))), F.lit(default)), F.coalesce(F.try_element_at(part, _suffix(F.col("host"))), F.lit(0.0))
     else:
         suffix_rate, suffix_share = F.lit(default), F.lit(0.0)
+    if hidden is not None:
+        suffix_rate, suffix_share = F.when(hidden, default).otherwise(suffix_rate), F.when(hidden, 0.0).otherwise(suffix_share)
     values = (
         n,
         F.length("host"),
@@ -160,10 +173,13 @@ def _best(sums: list, edges: list[list[float]], ridge: float) -> tuple[Split | N
 
 
 def fit(labelled: DataFrame, p: Boost = Boost()) -> Model:
-    """labelled: url, host, path, y (1: block). Learns from about p.sample rows at most, drawn by a hash of the URL."""
+    """labelled: url, host, path, y (1: block), and page_id if rows are to be told apart. Learns from about p.sample rows at most, drawn
+    by a hash of both, so that a URL of very many rows is one of the sample's according to them."""
+    labelled = labelled.where(~is_held_out(F.col("url")))
     n = labelled.count()
     take = min(1.0, p.sample / max(n, 1))
-    drawn = labelled.where(F.pmod(F.xxhash64("url", F.lit(5)), F.lit(1 << 20)) < int(take * (1 << 20)))
+    row = ["url", "page_id"] if "page_id" in labelled.columns else ["url"]
+    drawn = labelled.where(F.pmod(F.xxhash64(*row, F.lit(5)), F.lit(1 << 20)) < int(take * (1 << 20)))
     sample = written(drawn.select("url", "host", "path", F.col("y").cast("double").alias("y")), "labelled")
     size, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if not size:
@@ -171,7 +187,8 @@ def fit(labelled: DataFrame, p: Boost = Boost()) -> Model:
     default = (blocked + 1) / (size + 2)
     top = sample.groupBy(_suffix(F.col("host")).alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy(F.desc("n"), "s").limit(p.suffixes).collect()
     suffixes = {r["s"]: ((r["y"] + p.smooth * default) / (r["n"] + p.smooth), r["n"] / size) for r in top}
-    wide = written(features(sample, suffixes, default).select("url", "y", "x"), "features")
+    hidden = F.pmod(F.xxhash64("url", F.lit(9)), F.lit(p.hidden)) == 0
+    wide = written(features(sample, suffixes, default, hidden).select("url", "y", "x"), "features")
     forget(sample)
     quantiles = wide.agg(*[F.percentile(F.get("x", F.lit(i)), [j / p.bins for j in range(1, p.bins)]).alias(f"q{i}") for i in range(len(FEATURES))]).first()
     edges = [sorted(set(q)) for q in quantiles]
@@ -202,7 +219,8 @@ def fit(labelled: DataFrame, p: Boost = Boost()) -> Model:
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, p: Boost = Boost()) -> DataFrame:
-    """pages: page_id, url. One row for each row: page_id, host, path, rule, verdict, score (of block, by the trees; for every row).
+    """pages: page_id, url. One row for each row: page_id, host, path, rule, verdict, score (of block, by the trees; for every row),
+    held_out (nothing was learned from the URL).
 
     A URL that is null or has no :// has an empty host and path; no rule fits it and the trees judge it. Without any labelled
     URL, or with labels of one kind, the trees know only the prior. Repeated rows get equal verdicts. Columns besides
@@ -214,4 +232,4 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, p: Boost = Boost()
     rows = rows.withColumn("rule", text).withColumn("_by_rule", verdict)
     model = fit(rows.where("_by_rule IS NOT NULL").withColumn("y", (F.col("_by_rule") == "block").cast("int")), p)
     out = model.score(rows)
-    return out.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score", is_held_out(F.col("url")).alias("held_out"))
