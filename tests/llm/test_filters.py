@@ -207,6 +207,31 @@ def test_mixing_meets_its_targets(spark):
     assert set(again[again.kept].doc_id) == set(out[out.kept].doc_id)
 
 
+def test_stated_weights_and_what_cannot_be_met(spark):
+    rows = [(i, "w " * (1 + i % 9), ("a", "b", "c", "d")[i % 4], ("en", "fr")[i % 3 % 2], "t") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    mix = mixing.Mix(share=0.3, targets={"source": {"a": 0.3, "b": 0.0, "gone": 0.2}, "lang": {"en": 0.25, "fr": 0.75}})
+    cells = mixing.cells(df.select("source", "lang", "topic", mixing.tokens_of(F.col("text")).alias("tokens")), mix)
+    told = {(r.dimension, r.level): r for r in mixing.report(cells, mix).collect()}
+    assert told["source", "a"].raked == pytest.approx(0.3 / 0.8, abs=2e-6)  # the weight of a level that is not there is spread
+    assert told["source", "b"].raked == 0 and ("source", "gone") not in told
+    assert told["source", "c"].raked == pytest.approx(0.25 / 0.8, rel=0.02) and told["lang", "fr"].raked == pytest.approx(0.75, abs=2e-6)
+    assert max(r.off for r in told.values()) <= 2e-6 and sum(r.expected for r in told.values()) == pytest.approx(3)
+    out = mixing.mixed(df, mix).toPandas()
+    assert not out[out.source == "b"].kept.any()
+    assert (out.tokens * out.probability).sum() == pytest.approx(0.3 * out.tokens.sum(), rel=1e-6)
+    # two levels that only occur together cannot have different shares: it ends, and says how far off it is
+    tied = df.where("(source = 'a') = (lang = 'en') AND source IN ('a', 'b')")
+    apart = mixing.Mix(targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "fr": 0.8}}, sweeps=5)
+    assert mixing.report(mixing.cells(tied.select("source", "lang", "topic", F.lit(1).alias("tokens")), apart), apart).agg(F.max("off")).first()[0] > 0.1
+    # more of a cell is asked for than there is
+    much = mixing.mixed(df, mixing.Mix(share=0.9, targets={"source": {"a": 1.0}})).toPandas()
+    assert (much[much.source == "a"].probability == 1).all() and not much[much.source != "a"].kept.any()
+    for bad in ({"lang": {"en": 1.5}}, {"lang": {"en": -1.0, "fr": 1.0}}, {"other": {"x": 1.0}}):
+        with pytest.raises(ValueError):
+            mixing.mixed(df, mixing.Mix(targets=bad))
+
+
 def test_mixing_of_odd_rows(spark, odd, none):
     out = mixing.mixed(odd)
     assert out.count() == odd.count() and out.columns.count("tokens") == 1
@@ -246,6 +271,27 @@ def test_rules_are_the_plain_ones(spark, sf):
         assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
 
 
+def test_trees_on_held_out_urls(spark):
+    """Labels by a rule on the path, shown by the URL's form in nine of ten: precision and recall where nothing was learned."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        bad = i % 3 == 0
+        odd = rng.random() < 0.1
+        path = "/de/" if bad else "/fr/"
+        rows.append((i, f"http://h{i % 50}.com{path}{'x' * rng.randrange(5)}" + (f"?a={rng.randrange(10**9)}&b=1&c=2" if bad != odd else "")))
+    rows += [(10**5 + i, "http://same.com/de/x") for i in range(3000)] + [(2 * 10**5 + i, f"http://h{i}.net/x") for i in range(300)]
+    rows.append((10**6, "http://h.com/de/" + "y" * 100_000))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    out = urls.judged(df, p=urls.Boost(sample=3000)).toPandas()
+    held = out[out.held_out & out.rule.notna() & (out.page_id < 10**5)]
+    guess, truth = held.score >= 0.5, held.verdict == "block"
+    assert len(held) > 900 and (guess & truth).sum() >= 0.8 * guess.sum() and (guess & truth).sum() >= 0.8 * truth.sum()
+    assert out[out.page_id.between(10**5, 10**5 + 2999)].score.nunique() == 1
+
+
 def test_trees_learn(spark):
     rows = [(f"http://h{i}.net/{'buy-' * (i % 2 * 4)}a/{i % 7}", f"h{i}.net", f"/{'buy-' * (i % 2 * 4)}a/{i % 7}", i % 2) for i in range(600)]
     df = spark.createDataFrame(rows, "url string, host string, path string, y int")

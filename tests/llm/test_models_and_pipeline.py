@@ -136,10 +136,87 @@ def test_language_stage_sends_unlearned_languages_away(spark, sf):
 
 
 def test_pipeline_stages_take_odd_rows(spark, odd, none, sf):
+    """odd has columns of the operators' own names; they come through with their values."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    for _, stage in pipeline.STAGES:
-        assert stage(spark, odd.select("doc_id", "text", "lang", "source", "n_chars"), sf).count() > 0
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    ids = lambda df: sorted((r.doc_id, r.text or "") for r in df.where("doc_id IS NOT NULL").collect())
+    for name, stage in pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
+        if name == "pack":
+            assert stage(spark, odd, sf).where("start = 0").count() == len(rows)
+            continue
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns and out.where("component_id = 'x' AND kept = 'x' AND score = 'x' AND base = 'x' AND tested = 'x'").count() == out.count() > 0
+        kept = ids(out)
+        if name == "language_id":
+            assert not {i for i, _ in kept} & {3, 4, 5, 14} and {1, 2, 12, 13} <= {i for i, _ in kept}
+        if name == "near_dedup":
+            assert {i for i, _ in kept} == {i for i, _ in rows if i is not None} - {2, 8, 10, 11, 13}
+            assert stage(spark, odd.union(odd), sf).count() == out.count() == len(rows) - 6
+        if name == "secret_scan":
+            assert [i for i, _ in kept] == sorted(i for i, _ in rows if i is not None) and out.where("text IS NULL").count() == 2
+        if name == "mix":
+            assert {3, 4, 5} <= {i for i, _ in kept}
+
+
+def test_pipeline_is_its_plain_version(spark, sf):
+    """Each stage after the learned one against a plain version of it, on what the stage before kept."""
+    import hashlib
+
+    import pandas as pd
+    from test_dedup import WORD, brute_minhash
+    from test_filters import plain_scan
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = written(pipeline.language_id(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), "first")
+    rows = {r.doc_id: r.asDict() for r in docs.collect()}
+    stays = brute_minhash([(i, r["text"]) for i, r in rows.items()], 5)
+    rows = {i: r for i, r in rows.items() if stays[i][2]}
+    for r, spans in zip(rows.values(), plain_scan([r["text"] for r in rows.values()])):
+        out, at = "", 0
+        for start, stop in (tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x):
+            if start >= at:
+                out += r["text"][at:start] + "[secret]"
+            at = max(at, stop)
+        r["text"] = out + r["text"][at:]
+    m = pipeline.MIX
+    x = pd.DataFrame(rows.values())
+    x["tokens"] = x.text.map(lambda t: len(WORD.findall(t)))
+    assert (x.tokens > 0).all()
+    form = lambda t, n: "table" if t.count("|") * 4 >= n else "shout" if t.count("!") * 2 >= n else "noise" if sum(map(t.count, "#$%&*")) * 2 >= n else "list" if t.count("\n") * 12 >= n else "prose"
+    x["topic"] = [form(t, n) for t, n in zip(x.text, x.tokens)]
+    cells = x.groupby(["source", "lang", "topic"]).tokens.sum().astype(float).reset_index(name="t")
+    cells["w"], total = cells.t, cells.t.sum()
+    want = {}
+    for d, temper in zip(("source", "lang", "topic"), m.tempers):
+        share = pd.Series(m.targets[d]) if d in m.targets else cells.groupby(d).t.sum() ** temper
+        want[d] = share / share.sum() * total
+    off = 1.0
+    while off > m.tolerance:
+        off = 0.0
+        for d in want:
+            s = cells.groupby(d).w.transform("sum")
+            off = max(off, (s - cells[d].map(want[d])).abs().max() / total)
+            cells["w"] *= cells[d].map(want[d]) / s
+    by, held = m.share, None
+    while True:
+        now = by * cells.w / cells.t >= 1
+        if held is not None and now.sum() == held.sum():
+            break
+        held = now
+        by = max(by, (m.share * total - cells.t[now].sum()) / cells.w[~now].sum())
+    x = x.merge(cells, on=["source", "lang", "topic"])
+    draw = x.doc_id.map(lambda i: int(hashlib.md5(f"{m.seed}{i}".encode()).hexdigest()[:12], 16) / 2**48)
+    kept = x[draw < (by * x.w / x.t).clip(upper=1)]
+    import public_tokenizers
+
+    encode = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    n_tokens = {i: len(encode.encode(t, add_special_tokens=False).ids) + 1 for i, t in zip(kept.doc_id, kept.text)}
+    got = pipeline.run(spark, sf).toPandas()
+    assert got.groupby("doc_id")["length"].sum().to_dict() == n_tokens
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 2048
 
 
 def test_registered_queries():
