@@ -45,12 +45,39 @@ def regressions(old: dict, new: dict, strict: bool = False) -> list[str]:
     return out
 
 
+def planned(definition: dict, ledger: list[dict]) -> dict:
+    """The next round of one run: what to do, with which probes (at most a wave) and what is known of its axes."""
+    from edgefield.plans import rounds
+
+    plan = rounds.plan_rounds(*rounds.tables(_session(), "run", definition, ledger))
+    rows = lambda df, *order: [{k: v for k, v in r.asDict().items() if k != "run_id"} for r in df.orderBy(*order).collect()]
+    probes = [{"probe_id": p["probe_id"], "set": {p["axis"]: p["value"]} if p["axis"] else {}, "command": p["command"]} for p in rows(plan.probes, "axis", "value")]
+    return {**rows(plan.actions, "run_id")[0], "probes": probes, "findings": rows(plan.findings, "axis")}
+
+
 def _session():
     from pyspark.sql import SparkSession
 
     return SparkSession.builder.appName("edgefield").getOrCreate()
 
 
+def run_report(dataset: str, seed: int, n_frames: int, found: dict) -> str:
+    """found: axis to (clean map50, outcome). What was covered of each axis comes before what was found, each finding with a witness
+    (the failing probe of least axis value), its bracket's width and middle, and the command that repeats its milder end."""
+    coverage, findings = [], []
+    for name, (clean, o) in found.items():
+        axis, values = AXES[name], [v for v, _ in o.probes]
+        coverage.append({"axis": name, "unit": axis.unit, "probed": sorted(values), "percent": round(100 * (max(values) - min(values)) / (axis.hi - axis.lo), 2)})
+        failing = [v for v, bad in o.probes if bad]
+        located = o.lower is not None
+        at = o.upper if axis.severe_end == "hi" else o.lower
+        findings.append({
+            "axis": name, "unit": axis.unit, "baseline_map50": clean, "status": o.status, "lower": o.lower, "upper": o.upper, "width": o.upper - o.lower if located else None, "middle": (o.lower + o.upper) / 2 if located else None,
+            "probes_used": o.probes_used, "witness": min(failing) if failing else None, "reproduce": f"edgefield probe --dataset {dataset} --set {name}={at!r} --seed {seed}" if located else None,
+        })
+    return json.dumps({"run": {"dataset": dataset, "seed": seed, "n_frames": n_frames}, "coverage": coverage, "findings": findings}, indent=2)
+
+
 def _set(spark, folder: str, labels: list[str], limit: int):
     """Frames with pixels and truths of a folder with manifest.json and raw frames (.bgr, square)."""
     from pyspark.sql import functions as F
@@ -95,10 +122,10 @@ def main(argv: list[str] | None = None) -> int:
         return int(bool(found))
     if args.verb in ("plan", "approve", "cancel"):
         d = read(args.run)
-        run = budget.Run(tuple((AXES[a["axis"]], a["target_width"]) for a in d["axes"]), d["budget_usd"], d["cost_per_probe_usd"], d.get("verify_samples", 5), d.get("prepaid_usd", 0.0), d.get("probes_per_axis"), status=d.get("status", "RUNNING"), version=d.get("version", 1), pending=d.get("pending_allocation"))
+        run = budget.Run(d["budget_usd"], d["cost_per_probe_usd"], d.get("probes_per_axis"), d.get("status", "RUNNING"), d.get("version", 1), d.get("pending_allocation"))
         if args.verb == "plan":
             ledger = [json.loads(x) for x in Path(args.ledger).read_text().splitlines() if x.strip()]
-            print(json.dumps(budget.plan_round(run, ledger), sort_keys=True))
+            print(json.dumps(planned(d, ledger), sort_keys=True))
             return 0
         after = budget.approve(run, args.amount, args.by) if args.verb == "approve" else budget.cancel(run)
         d |= {"budget_usd": after.budget, "version": after.version, "status": after.status, "probes_per_axis": after.caps, "pending_allocation": after.pending}
@@ -115,9 +142,8 @@ def main(argv: list[str] | None = None) -> int:
         for row in probe.scored(probe.wave(frames, {"probe": condition}, probe.BrightBoxes, args.seed), truths, probes).collect():
             print(json.dumps(row.asDict()))
         return 0
-    for axis in args.axis:
-        clean, found = probe.search_axis(frames, truths, axis, probe.BrightBoxes, args.seed)
-        print(json.dumps({"axis": axis, "baseline_map50": clean, "status": found.status, "lower": found.lower, "upper": found.upper, "probes_used": found.probes_used}))
+    found = {axis: probe.search_axis(frames, truths, axis, probe.BrightBoxes, args.seed) for axis in args.axis}
+    print(run_report(args.dataset, args.seed, frames.count(), found))
     return 0
 
 

@@ -236,7 +236,7 @@ SQL = {
     "failed_cells": f"WITH {_CELLS} SELECT sum(failed::INT)::BIGINT AS n_failed, count(*) AS n FROM cells",
     "image_stops": f"WITH {_CELLS}, h AS (SELECT * FROM cells WHERE (i * 7 + j * 3) % 5 = 0 AND i % 2 = 0) SELECT array_to_string(list_sort(list(DISTINCT i)), ',') AS \"is\", array_to_string(list_sort(list(DISTINCT j)), ',') AS js FROM h",
     "nearest_images": f"WITH {_CELLS} SELECT i, j FROM cells ORDER BY sqrt((i - 5.0::DOUBLE) * (i - 5.0::DOUBLE) + (j - 9.0::DOUBLE) * (j - 9.0::DOUBLE)), i, j LIMIT 20",
-    "doc_figures": rf"WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{T.NUMBER}'))) AS figure FROM documents), x AS (SELECT doc_id, try_cast(figure AS DOUBLE) AS x FROM f), v AS (SELECT floor(p_size / 10.0::DOUBLE)::BIGINT AS whole, min(p_size / 10.0::DOUBLE) AS v FROM part GROUP BY 1) SELECT doc_id, count(*) AS n_figures, sum(coalesce(abs(x - v) <= 0.005 * greatest(abs(x), abs(v)), false)::INT)::BIGINT AS n_matched FROM x LEFT JOIN v ON floor(x) = whole GROUP BY 1",
+    "doc_figures": rf"WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{T.NUMBER}'))) AS figure FROM documents), x AS (SELECT doc_id, try_cast(figure AS DOUBLE) AS x FROM f), v AS (SELECT DISTINCT p_size / 10.0::DOUBLE AS v FROM part), h AS (SELECT DISTINCT x FROM (SELECT DISTINCT x FROM x) JOIN v ON abs(x - v) <= 0.005 * greatest(abs(x), abs(v))) SELECT doc_id, count(*) AS n_figures, sum((h.x IS NOT NULL)::INT)::BIGINT AS n_matched FROM x LEFT JOIN h USING (x) GROUP BY 1",
     "citations": rf"SELECT conv_id, sum(len(regexp_extract_all(regexp_replace(regexp_replace(text, '`[^`\n]*`', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '{T.NUMBER}')))::BIGINT AS uncited, sum(len(regexp_extract_all(text, '\[TBD\]')))::BIGINT AS placeholders, sum(len(regexp_extract_all(text, 'the')))::BIGINT AS the FROM conversations GROUP BY 1",
     "decision_export": "SELECT conv_id, printf('%04d-%s', row_number() OVER (PARTITION BY conv_id ORDER BY turn, role), role) AS decision_id, length(text)::INT AS chars FROM conversations",
     "unit_of": f"WITH a AS (SELECT unnest([{', '.join(repr(x) for x in _AXIS_NAMES)}]) AS axis), b AS (SELECT axis, split_part(axis, '.', 1) AS degradation, split_part(axis, '.', 2) AS f FROM a) SELECT axis, degradation, f AS field, {_UNIT} AS unit FROM b",

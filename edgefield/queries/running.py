@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from edgefield.functions.axes import AXES
 from edgefield.operators import kernels as K
 from edgefield.operators import measures
-from edgefield.plans import budget, levelset
+from edgefield.plans import levelset, rounds
 from edgefield.sources import scene
+from edgefield.sources.shared import folder, written
+from edgefield.sources.tables import table
 from edgefield.streaming import ledger
 
 _SEED = 20260906
@@ -35,59 +34,105 @@ def mtf50(spark, d):
     return measures.measure(scene.frames(spark, 8, 96), ["image_id"]).select("image_id", "mtf50_cy_px")
 
 
+_SURFACE = "0.9D * exp(-0.7D * (pow((i / 16.0D - 0.3D) / 0.25D, 2) + pow((j / 16.0D - 0.35D) / 0.3D, 2)))"
+
+
 def level_set(spark, d):
     """A 17 x 17 map classified from few probes; a wave of cells is one job over the response."""
-    surface = "0.9D * exp(-0.7D * (pow((i / 16.0D - 0.3D) / 0.25D, 2) + pow((j / 16.0D - 0.35D) / 0.3D, 2)))"
+    grid = spark.range(17 * 17).select((F.col("id") % 17).cast("int").alias("i"), F.floor(F.col("id") / 17).cast("int").alias("j"))
+    return levelset.classified(grid, lambda cells: cells.withColumn("value", F.expr(_SURFACE)), 0.5)
+
+
+def _plan(spark, d) -> rounds.Plan:
+    """Runs of users: their events are probes at 33 severities of the axis that their kind stands for, judged by an edge of the run."""
+    names = [a for a in ("fog.beta_per_m", "jpeg.quality", "low_light.illuminance_lux", "motion_blur.exposure_ms")]
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.pmod("event_id", F.lit(4)).cast("int").alias("place"), F.floor(F.col("value") * 32 / 100).alias("g"))
+    s = F.col("g") / 32.0
+    edge = (F.pmod(F.col("run_id") * 7 + F.col("place") * 5, F.lit(41)) - 3.5) / 32
+    axis = F.element_at(F.array(*map(F.lit, names)), F.col("place") + 1)
+    probes = e.select("run_id", F.concat(axis, F.lit("#"), F.col("g")).alias("probe_id"), axis.alias("axis"), rounds.to_value(s).alias("value"), F.when(s >= edge, 0.1).otherwise(0.6).alias("map50")).distinct()
+    ids = e.select("run_id").distinct()
+    base = ids.where("run_id % 10 != 0").select("run_id", F.lit(rounds.BASELINE).alias("probe_id"), F.lit(None).cast("string").alias("axis"), F.lit(None).cast("double").alias("value"), F.lit(0.6).alias("map50"))
+    ledger = written(probes.unionByName(base), "probes")
+    runs = ids.select("run_id", (0.2 + F.pmod("run_id", F.lit(9)) / 10.0).alias("budget"), F.lit(0.01).alias("price"), F.lit(0.0).alias("prepaid"), F.lit(0.6).alias("share"), F.lit(5).alias("verify"))
+    axes = ids.crossJoin(F.broadcast(spark.createDataFrame(list(enumerate(names)), "place int, axis string"))).select("run_id", "axis", "place", F.lit(1 / 32).alias("width"), F.when(F.pmod("run_id", F.lit(13)) == 0, 6).alias("cap"))  # four axes
+    return rounds.plan_rounds(runs, axes, ledger)
 
-    def evaluate(cells):
-        rows = spark.createDataFrame([(k, i, j) for k, (i, j) in enumerate(cells)], "k int, i int, j int")
-        return [r["v"] for r in rows.select("k", F.expr(surface).alias("v")).orderBy("k").collect()]
 
-    found = levelset.level_set(evaluate, 17, 17, 0.5)
-    return spark.createDataFrame([(i, j, bool(found.failed[j, i]), bool(found.measured[j, i]), found.probes.get((i, j))) for j in range(17) for i in range(17)], "i int, j int, failed boolean, measured boolean, map50 double")
+def round_plan(spark, d):
+    """What the next round of every run does, and how many of its probes can be paid."""
+    return _plan(spark, d).actions.select("run_id", "action", "requested", "paid", F.round("spent", 6).alias("spent"), F.round("remaining", 6).alias("remaining"))
 
 
-def round_plan(spark, d):
-    """A run planned round by round from its ledger alone, against responses with known edges, until it is done."""
-    edges = {"motion_blur.exposure_ms": 13.1, "low_light.illuminance_lux": 19.0, "fog.beta_per_m": 0.061, "jpeg.quality": 9.4}
-    run = budget.Run(tuple((AXES[a], (AXES[a].hi - AXES[a].lo) / 32) for a in edges), 0.4, 0.01)
-    rows: list[dict] = []
-    rounds = 0
-    while (step := budget.plan_round(run, rows))["action"] == "probe":
-        rounds += 1
-        for p in step["probes"]:
-            fails = any(v >= edges[a] if AXES[a].severe_end == "hi" else v <= edges[a] for a, v in p["set"].items())
-            rows.append({**p, "map50": 0.1 if fails else 0.6})
-    return spark.createDataFrame([(f["axis"], f["status"], f["lower"], f["upper"], f["probes_used"], rounds, len(rows)) for f in step["findings"]], "axis string, status string, lower double, upper double, probes_used int, rounds int, charged int")
+def round_findings(spark, d):
+    """What is known of every run's axes."""
+    return _plan(spark, d).findings.select("run_id", "axis", "status", *[F.round(c, 6).alias(c) for c in ("lower", "upper", "width", "middle")], "probes_used")
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+def round_probes(spark, d):
+    """The probes that the next round of every run asks for and can pay."""
+    return _plan(spark, d).probes.select("run_id", "axis", F.round("value", 6).alias("value"))
+
+
+def _streamed(spark, d, rows, mode, sink) -> str:
+    to = folder(spark, "stream")
+    ledger.drained(rows(ledger.events(spark, d, "events.parquet")), mode, f"{to}/check", lambda df, n: sink(df, n).write.mode("overwrite").parquet(f"{to}/out/batch={n}"))
+    return f"{to}/out"
 
 
 def streaming_ledger(spark, d):
     """Verdicts by run and axis from a stream of records in which retries repeat a probe: the last state of each key."""
-    to = _folder(spark)
-    sink = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{to}/out/batch={n}")
-    ledger.drained(ledger.verdicts(ledger.events(spark, f"{d}/events.parquet")), "update", f"{to}/check", sink)
-    rows = spark.read.parquet(f"{to}/out")
-    last = rows.groupBy("run_id", "axis").agg(F.max_by(F.struct("n_failed", "n_passed"), "batch").alias("s"))
-    # which record of a probe comes first is up to the stream; how many probes a run has is not
-    return last.groupBy("run_id").agg(F.sum(F.col("s.n_failed") + F.col("s.n_passed")).alias("n_probes"))
+    out = _streamed(spark, d, ledger.verdicts, "update", lambda df, n: df.withColumn("batch", F.lit(n)))
+    last = spark.read.parquet(out).groupBy("run_id", "axis").agg(F.max_by(F.struct("n_failed", "n_passed"), "batch").alias("s"))
+    return last.select("run_id", "axis", "s.n_failed", "s.n_passed").where("n_failed + n_passed > 0")
 
 
 def streaming_windows(spark, d):
     """Counts by hour and kind, of windows that the watermark closed."""
-    to = _folder(spark)
-    sink = lambda df, n: df.write.mode("overwrite").parquet(f"{to}/out/batch={n}")
-    ledger.drained(ledger.windows(ledger.events(spark, f"{d}/events.parquet")), "append", f"{to}/check", sink)
-    return spark.read.parquet(f"{to}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "top")
-
-
-QUERIES = {f.__name__: f for f in (kernel_sweep, mtf50, level_set, round_plan, streaming_ledger, streaming_windows)}
+    out = _streamed(spark, d, ledger.windows, "append", lambda df, n: df)
+    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "top")
+
+
+def streaming_sliding(spark, d):
+    """Counts by overlapping windows of an hour, one every quarter, of those that the watermark closed."""
+    out = _streamed(spark, d, ledger.sliding, "append", lambda df, n: df)
+    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "top")
+
+
+def streaming_sessions(spark, d):
+    """Bouts of each run that the watermark closed."""
+    out = _streamed(spark, d, ledger.sessions, "append", lambda df, n: df)
+    return spark.read.parquet(out).select("run_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+
+
+_K = f"""
+WITH e AS (SELECT user_id AS run_id, event_id % 4 AS place, floor(value * 32 / 100)::BIGINT AS g FROM events),
+o AS (SELECT DISTINCT run_id, place, g, g / 32.0::DOUBLE >= ((run_id * 7 + place * 5) % 41 - 3.5) / 32 AS f FROM e),
+r AS (SELECT DISTINCT run_id, 0.2::DOUBLE + (run_id % 9) / 10.0::DOUBLE AS budget, run_id % 10 <> 0 AS based, CASE WHEN run_id % 13 = 0 THEN 6 END AS cap FROM e),
+m AS (SELECT r.*, (SELECT count(*) FROM o WHERE o.run_id = r.run_id) + based::INT AS charged FROM r),
+x AS (SELECT m.*, place, axis, benign, severe FROM m, (VALUES (0, 'fog.beta_per_m', 0.0::DOUBLE, 0.12::DOUBLE), (1, 'jpeg.quality', 100.0, 5.0), (2, 'low_light.illuminance_lux', 400.0, 0.5), (3, 'motion_blur.exposure_ms', 0.0, 40.0)) v(place, axis, benign, severe) WHERE based),
+l AS (SELECT x.*, coalesce((SELECT list(g ORDER BY g) FROM o WHERE o.run_id = x.run_id AND o.place = x.place AND NOT f), []::BIGINT[]) AS ok, coalesce((SELECT list(g ORDER BY g) FROM o WHERE o.run_id = x.run_id AND o.place = x.place AND f), []::BIGINT[]) AS bad FROM x),
+s AS (SELECT *, len(ok) + len(bad) AS used, [p FOR p IN [0, 8, 16, 24, 32] IF NOT list_contains(ok, p) AND NOT list_contains(bad, p)] AS absent FROM l),
+t AS (SELECT *, CASE WHEN len(absent) > 0 THEN NULL WHEN list_contains(bad, 0) THEN 'fails_throughout' WHEN list_contains(ok, 32) THEN 'passes_throughout' WHEN list_min(bad) - list_max(ok) <= 1 THEN 'located' END AS early FROM s),
+u AS (SELECT *, CASE WHEN early IS NULL AND cap <= used THEN 'capped' ELSE early END AS status,
+  CASE WHEN early IS NOT NULL THEN []::DOUBLE[] WHEN len(absent) > 0 THEN [p::DOUBLE FOR p IN absent] ELSE [(list_min(bad) + list_max(ok)) / 2.0::DOUBLE] END AS ask FROM t),
+w AS (SELECT run_id, place, axis, benign, severe, unnest(ask[1:greatest(0, coalesce(cap - used, 99))]) AS g FROM u WHERE status IS NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY place, g) AS k FROM w),
+y AS (SELECT m.*, CASE WHEN based THEN (SELECT count(*) FROM w WHERE w.run_id = m.run_id) ELSE 1 END AS requested, greatest(0, floor((budget - charged * 0.01::DOUBLE) / 0.01::DOUBLE + 1e-9))::BIGINT AS affordable FROM m)
+"""
+_VERDICTS = "WITH k AS (SELECT user_id AS run_id, event_id % 64 AS p, arg_min(event_type, event_id) AS axis, arg_min(value < 50, event_id) AS failed FROM events GROUP BY ALL) SELECT run_id, axis, sum(failed::INT)::BIGINT AS n_failed, sum((NOT failed)::INT)::BIGINT AS n_passed FROM k GROUP BY ALL"
+_SLIDING = "SELECT * FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS start, event_type, count(*) AS n, max(value) AS top FROM events, range(4) r(i) GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+_SESSIONS = """WITH a AS (SELECT user_id AS run_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT run_id, ts, sum(new) OVER (PARTITION BY run_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM a)
+SELECT * FROM (SELECT run_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM b GROUP BY run_id, k) WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+QUERIES = {f.__name__: f for f in (kernel_sweep, mtf50, level_set, round_plan, round_findings, round_probes, streaming_ledger, streaming_windows, streaming_sliding, streaming_sessions)}
 SQL = {
-    "round_plan": "SELECT * FROM (VALUES ('motion_blur.exposure_ms', 'located', 12.5::DOUBLE, 13.75::DOUBLE, 8::INT, 5::INT, 33::INT), ('low_light.illuminance_lux', 'located', 12.984375, 25.46875, 8, 5, 33), ('fog.beta_per_m', 'located', 0.06, 0.06375, 8, 5, 33), ('jpeg.quality', 'located', 7.96875, 10.9375, 8, 5, 33)) t(axis, status, lower, upper, probes_used, rounds, charged)",
-    "streaming_ledger": "SELECT user_id AS run_id, count(DISTINCT event_id % 64)::BIGINT AS n_probes FROM events GROUP BY 1",
+    "round_plan": _K + "SELECT run_id, CASE WHEN requested = 0 THEN 'done' WHEN affordable = 0 THEN 'halted' ELSE 'probe' END AS action, requested, least(requested, affordable) AS paid, round(charged * 0.01::DOUBLE, 6) AS spent, round(budget - charged * 0.01::DOUBLE, 6) AS remaining FROM y",
+    "round_findings": _K + "SELECT run_id, axis, status, round(least(p, q), 6) AS lower, round(greatest(p, q), 6) AS upper, round(abs(p - q), 6) AS width, round((p + q) / 2, 6) AS middle, used AS probes_used FROM (SELECT *, CASE WHEN status = 'located' THEN benign + list_max(ok) / 32.0::DOUBLE * (severe - benign) END AS p, CASE WHEN status = 'located' THEN benign + list_min(bad) / 32.0::DOUBLE * (severe - benign) END AS q FROM u WHERE status IS NOT NULL)",
+    "round_probes": _K + "SELECT run_id, axis, round(benign + g / 32 * (severe - benign), 6) AS value FROM n JOIN y USING (run_id) WHERE k <= affordable UNION ALL SELECT run_id, NULL, NULL FROM y WHERE NOT based AND affordable > 0",
+    "streaming_ledger": _VERDICTS,
     "streaming_windows": "SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    "streaming_sliding": _SLIDING,
+    "streaming_sessions": _SESSIONS,
 }

@@ -9,11 +9,13 @@ from edgefield.functions.geometry import BOX, iou
 from edgefield.operators import matching as M
 from edgefield.operators.suppression import suppress
 from edgefield.queries import fixtures as X
+from edgefield.sources.shared import written
 from edgefield.sources.tables import detections, probes, truths
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    return M.greedy_match(detections(spark, d), truths(spark, d))
+    """Written once: scores, verdicts and counts read it several times."""
+    return written(M.greedy_match(detections(spark, d), truths(spark, d)), "matches")
 
 
 def _map50(spark: SparkSession, d: str) -> DataFrame:
@@ -32,8 +34,7 @@ def _overlaps(dets: DataFrame, truths: DataFrame, *by: str) -> DataFrame:
 
 
 def iou_pairs(spark, d):
-    """One probe only, as its SQL says; iou_pairs_by_probe has all."""
-    return _overlaps(detections(spark, d).where("probe_id = 3"), truths(spark, d), "label")
+    return _overlaps(detections(spark, d), truths(spark, d), "label")
 
 
 def iou_pairs_by_probe(spark, d):
@@ -79,8 +80,8 @@ def _suppressed(dets: DataFrame, *by: str) -> DataFrame:
 
 
 def nms_fold(spark, d):
-    """One probe only, as its SQL says; nms_by_probe has all."""
-    return _suppressed(detections(spark, d).where("probe_id = 2"), "label")
+    """Greedy suppression within a probe, image and label, by label."""
+    return _suppressed(detections(spark, d), "label")
 
 
 def nms_by_probe(spark, d):
@@ -88,11 +89,17 @@ def nms_by_probe(spark, d):
     return _suppressed(detections(spark, d), "probe_id", "label")
 
 
-_ROUND = "round({}, 9) AS {}"
+_NMS = f"""WITH RECURSIVE {X.TRUTHS}, {X.DETECTIONS},
+n AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, label ORDER BY score DESC, x0, y0, x1, y1) AS rk FROM dets),
+o AS (SELECT a.probe_id, a.image_id, a.label, a.rk, list(b.rk) AS over_ FROM n a JOIN n b ON a.probe_id = b.probe_id AND a.image_id = b.image_id AND a.label = b.label AND b.rk < a.rk WHERE {X.iou('a', 'b')} > 0.45 GROUP BY ALL),
+r AS (SELECT n.probe_id, n.image_id, n.label, n.rk, coalesce(over_, []) AS over_ FROM n LEFT JOIN o USING (probe_id, image_id, label, rk)),
+f AS (SELECT probe_id, image_id, label, rk, true AS kept, [rk] AS ks FROM r WHERE rk = 1
+  UNION ALL SELECT r.probe_id, r.image_id, r.label, r.rk, NOT list_has_any(r.over_, f.ks), CASE WHEN list_has_any(r.over_, f.ks) THEN f.ks ELSE list_append(f.ks, r.rk) END FROM f JOIN r ON r.probe_id = f.probe_id AND r.image_id = f.image_id AND r.label = f.label AND r.rk = f.rk + 1)
+"""
 QUERIES = {f.__name__: f for f in (truth_counts, iou_pairs, greedy_match, ap_by_class, map50_by_probe, probe_counts, scored_label_semi, verdicts, confidence_filter, induced_fp_anti, nms_fold, iou_pairs_by_probe, nms_by_probe)}
 SQL = {
     "truth_counts": f"WITH {X.TRUTHS} SELECT label, count(*) AS n_gt FROM truths GROUP BY label",
-    "iou_pairs": f"WITH {X.TRUTHS}, {X.DETECTIONS} SELECT label, count(*) AS n_pairs, sum(CASE WHEN o >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_match, round(avg(o), 9) AS mean_iou FROM (SELECT d.label, {X.iou('d', 't')} AS o FROM dets d JOIN truths t ON d.image_id = t.image_id AND d.label = t.label WHERE probe_id = 3) GROUP BY label",
+    "iou_pairs": f"WITH {X.TRUTHS}, {X.DETECTIONS} SELECT label, count(*) AS n_pairs, sum(CASE WHEN o >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_match, round(avg(o), 9) AS mean_iou FROM (SELECT d.label, {X.iou('d', 't')} AS o FROM dets d JOIN truths t ON d.image_id = t.image_id AND d.label = t.label) GROUP BY label",
     "greedy_match": X.ALL + "SELECT probe_id, image_id, label, score, x0, y0, x1, y1, matched, round(best_iou, 9) AS best_iou FROM matches",
     "ap_by_class": X.ALL + "SELECT probe_id, label, n_gt, round(ap, 9) AS ap FROM ap",
     "map50_by_probe": X.ALL + "SELECT probe_id, round(map50, 9) AS map50 FROM map50",
@@ -101,19 +108,7 @@ SQL = {
     "verdicts": X.ALL + "SELECT probe_id, round(map50, 9) AS map50, round((SELECT map50 * 0.6::DOUBLE FROM map50 WHERE probe_id = 0), 9) AS threshold, map50 < (SELECT map50 * 0.6::DOUBLE FROM map50 WHERE probe_id = 0) AS failed FROM map50",
     "confidence_filter": f"WITH {X.TRUTHS}, {X.DETECTIONS} SELECT probe_id, count(*) AS n_shown FROM dets WHERE score >= 0.5 GROUP BY 1",
     "induced_fp_anti": X.ALL + f"SELECT probe_id, label, count(*) AS n_induced, round(max(score), 9) AS top_score FROM matches d WHERE NOT matched AND probe_id <> 0 AND NOT EXISTS (SELECT 1 FROM matches c WHERE c.probe_id = 0 AND c.image_id = d.image_id AND c.label = d.label AND {X.iou('d', 'c')} >= 0.5) GROUP BY ALL",
-    "nms_fold": f"""WITH RECURSIVE {X.TRUTHS}, {X.DETECTIONS},
-n AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, x0, y0, x1, y1) AS rk FROM dets WHERE probe_id = 2),
-o AS (SELECT a.image_id, a.label, a.rk, list(b.rk) AS over_ FROM n a JOIN n b ON a.image_id = b.image_id AND a.label = b.label AND b.rk < a.rk WHERE {X.iou('a', 'b')} > 0.45 GROUP BY ALL),
-r AS (SELECT n.image_id, n.label, n.rk, coalesce(over_, []) AS over_ FROM n LEFT JOIN o USING (image_id, label, rk)),
-f AS (SELECT image_id, label, rk, true AS kept, [rk] AS ks FROM r WHERE rk = 1
-  UNION ALL SELECT r.image_id, r.label, r.rk, NOT list_has_any(r.over_, f.ks), CASE WHEN list_has_any(r.over_, f.ks) THEN f.ks ELSE list_append(f.ks, r.rk) END FROM f JOIN r ON r.image_id = f.image_id AND r.label = f.label AND r.rk = f.rk + 1)
-SELECT label, count(*) AS n, sum(kept::INT)::BIGINT AS n_kept FROM f GROUP BY label""",
     "iou_pairs_by_probe": f"WITH {X.TRUTHS}, {X.DETECTIONS} SELECT probe_id, label, count(*) AS n_pairs, sum(CASE WHEN o >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_match, round(avg(o), 9) AS mean_iou FROM (SELECT d.probe_id, d.label, {X.iou('d', 't')} AS o FROM dets d JOIN truths t ON d.image_id = t.image_id AND d.label = t.label) GROUP BY ALL",
-    "nms_by_probe": f"""WITH RECURSIVE {X.TRUTHS}, {X.DETECTIONS},
-n AS (SELECT *, row_number() OVER (PARTITION BY probe_id, image_id, label ORDER BY score DESC, x0, y0, x1, y1) AS rk FROM dets),
-o AS (SELECT a.probe_id, a.image_id, a.label, a.rk, list(b.rk) AS over_ FROM n a JOIN n b ON a.probe_id = b.probe_id AND a.image_id = b.image_id AND a.label = b.label AND b.rk < a.rk WHERE {X.iou('a', 'b')} > 0.45 GROUP BY ALL),
-r AS (SELECT n.probe_id, n.image_id, n.label, n.rk, coalesce(over_, []) AS over_ FROM n LEFT JOIN o USING (probe_id, image_id, label, rk)),
-f AS (SELECT probe_id, image_id, label, rk, true AS kept, [rk] AS ks FROM r WHERE rk = 1
-  UNION ALL SELECT r.probe_id, r.image_id, r.label, r.rk, NOT list_has_any(r.over_, f.ks), CASE WHEN list_has_any(r.over_, f.ks) THEN f.ks ELSE list_append(f.ks, r.rk) END FROM f JOIN r ON r.probe_id = f.probe_id AND r.image_id = f.image_id AND r.label = f.label AND r.rk = f.rk + 1)
-SELECT probe_id, label, count(*) AS n, sum(kept::INT)::BIGINT AS n_kept FROM f GROUP BY ALL""",
+    "nms_fold": _NMS + "SELECT label, count(*) AS n, sum(kept::INT)::BIGINT AS n_kept FROM f GROUP BY label",
+    "nms_by_probe": _NMS + "SELECT probe_id, label, count(*) AS n, sum(kept::INT)::BIGINT AS n_kept FROM f GROUP BY ALL",
 }

@@ -5,25 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from edgefield.functions.axes import AXES
+from edgefield.plans import runs as R
+from edgefield.plans.rounds import to_value
 from edgefield.sources.tables import table
 
-_AXES = "(VALUES ('motion_blur.exposure_ms', 0.0D, 40.0D, 'hi', 13.1D), ('low_light.illuminance_lux', 0.5D, 400.0D, 'lo', 19.0D), ('fog.beta_per_m', 0.0D, 0.12D, 'hi', 0.061D), ('jpeg.quality', 5.0D, 100.0D, 'lo', 9.4D), ('never.fails', 0.0D, 1.0D, 'hi', 2.0D), ('always.fails', 0.0D, 1.0D, 'hi', -1.0D)) AS t(axis, lo, hi, severe_end, edge)"
-_VALUE = "CASE WHEN severe_end = 'hi' THEN lo + ({s}) * (hi - lo) ELSE hi + ({s}) * (lo - hi) END"
-_FAILS = "CASE WHEN severe_end = 'hi' THEN " + _VALUE + " >= edge ELSE " + _VALUE + " <= edge END"
+_NAMES = ("fog.beta_per_m", "jpeg.quality", "low_light.illuminance_lux", "motion_blur.exposure_ms")
 
 
-def _value(s: str) -> str:
-    return _VALUE.format(s=s)
-
-
-def _fails(s: str) -> str:
-    return _FAILS.format(s=s)
-
-
-def _duck(text: str) -> str:
-    import re
-
-    return re.sub(r"(-?\d+\.\d+)D", r"\1::DOUBLE", text)
+def _responses(spark, d, shift=0.0):
+    """One response for each run: from a severity that its events make on it fails, and every seventh recovers further up."""
+    m = F.pmod(F.sum("event_id"), F.lit(1100)).cast("double")
+    runs = table(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(((m + 0.37) / 1000 - 0.05).alias("edge"))
+    axis = F.element_at(F.array(*map(F.lit, _NAMES)), (F.pmod("run_id", F.lit(4)) + 1).cast("int"))
+    recovers = F.when((F.pmod("run_id", F.lit(7)) == 0) & (F.col("edge") >= 0), F.col("edge") + 0.3)
+    return runs.withColumn("edge", F.col("edge") + shift).select("run_id", axis.alias("axis"), "edge", recovers.alias("recovers"))
 
 
 def _verdict_series(spark, d):
@@ -45,55 +41,44 @@ def first_crossing(spark, d):
     return found.select("run_id", "at", F.least("x.v", "x.value").alias("lower"), F.greatest("x.v", "x.value").alias("upper"))
 
 
-_NESTED = f"""
-SELECT axis, steps, count(*) AS n_probes, sum(CASE WHEN {_fails('idx / 32.0D')} THEN 1 ELSE 0 END) AS n_failed, min(CASE WHEN {_fails('idx / 32.0D')} THEN idx END) AS first_failed
-FROM {_AXES} CROSS JOIN (SELECT {{idx}} AS idx) g CROSS JOIN (VALUES (33), (17), (9), (5)) AS s(steps)
-WHERE idx % CAST(32 / (steps - 1) AS INT) = 0 GROUP BY axis, steps
-"""
-
-
 def nested_grid(spark, d):
     """Coarser grids as strides of the finest, which is probed once."""
-    return spark.sql(_NESTED.replace("{idx}", "explode(sequence(0, 32))")).select("axis", "steps", "n_probes", F.col("n_failed").cast("long").alias("n_failed"), "first_failed")
-
-
-def _bisect(start: str, first: str) -> str:
-    """start: axis columns with the bracket (a, b) to begin with, or a status; a recursive halving to 1/32."""
-    return f"""
-WITH RECURSIVE axes AS (SELECT * FROM {_AXES}),
-{start},
-r AS (
-  SELECT axis, lo, hi, severe_end, edge, a, b, n FROM s0 WHERE status IS NULL
-  UNION ALL
-  SELECT axis, lo, hi, severe_end, edge, CASE WHEN {_fails('(a + b) / 2')} THEN a ELSE (a + b) / 2 END, CASE WHEN {_fails('(a + b) / 2')} THEN (a + b) / 2 ELSE b END, n + 1
-  FROM r WHERE b - a > 1.0D / 32
-),
-z AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY n DESC) AS k FROM r)
-SELECT axis, coalesce(status, 'located') AS status, least({_value('za')}, {_value('zb')}) AS lower, greatest({_value('za')}, {_value('zb')}) AS upper, coalesce(zn, n) AS probes_used
-FROM s0 LEFT JOIN (SELECT axis AS x, a AS za, b AS zb, n AS zn FROM z WHERE k = 1) y ON s0.axis = y.x {first}
-"""
-
-
-_ENDS = f"s0 AS (SELECT *, 0.0D AS a, 1.0D AS b, CASE WHEN {_fails('0.0D')} THEN 'fails_throughout' WHEN NOT ({_fails('1.0D')}) THEN 'passes_throughout' END AS status, CASE WHEN {_fails('0.0D')} THEN 1 ELSE 2 END AS n FROM axes)"
-_SCAN = f"""scan AS (SELECT *, i / 4.0D AS s, {_fails('i / 4.0D')} AS f FROM axes CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(i)),
-steps AS (SELECT *, lag(s) OVER (PARTITION BY axis ORDER BY i) AS p, lag(f) OVER (PARTITION BY axis ORDER BY i) AS g FROM scan),
-s0 AS (SELECT axis, lo, hi, severe_end, edge, min(CASE WHEN f <> g THEN p END) AS a, min(CASE WHEN f <> g THEN s END) AS b,
-  CASE WHEN sum(CASE WHEN f <> g THEN 1 ELSE 0 END) > 1 THEN 'not_monotone' WHEN sum(CASE WHEN f <> g THEN 1 ELSE 0 END) = 0 THEN CASE WHEN min(CASE WHEN f THEN 1 ELSE 0 END) = 1 THEN 'fails_throughout' ELSE 'passes_throughout' END END AS status, 5 AS n
-  FROM steps GROUP BY axis, lo, hi, severe_end, edge)"""
-_CHEAP, _VERIFIED = _bisect(_ENDS, ""), _bisect(_SCAN, "")
-_INVERTED = _bisect(_ENDS, "WHERE severe_end = 'lo'")
+    finest = R.grid_probes(_responses(spark, d)).withColumn("steps", F.explode(F.array(*map(F.lit, (33, 17, 9, 5)))))
+    rows = finest.where(F.pmod("idx", (F.lit(32) / (F.col("steps") - 1)).cast("int")) == 0).groupBy("run_id", "axis", "steps")
+    return rows.agg(F.count("*").alias("n_probes"), F.count_if("failed").alias("n_failed"), F.min(F.when(F.col("failed"), F.col("idx"))).alias("first_failed"))
+
+
+def _rounded(found):
+    return found.select("run_id", "axis", "status", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"), "probes_used")
 
 
 def bisect_cheap(spark, d):
-    return spark.sql(_CHEAP)
+    """The search without a scan, over responses that change once."""
+    return _rounded(R.searched(_responses(spark, d).where("recovers IS NULL"), 1 / 32))
 
 
 def bisect_verified(spark, d):
-    return spark.sql(_VERIFIED)
+    """The search after a scan of five points, which finds the responses that recover."""
+    return _rounded(R.searched(_responses(spark, d), 1 / 32, 5))
 
 
 def locate_inverted_axis(spark, d):
-    return spark.sql(_INVERTED)
+    """The same on axes whose low end is the severe one: brackets in ascending order all the same."""
+    inverted = [a for a in _NAMES if AXES[a].severe_end == "lo"]
+    return _rounded(R.searched(_responses(spark, d).where(F.col("axis").isin(inverted)), 1 / 32, 5))
+
+
+def boundary_width(spark, d):
+    """Width and middle of every bracket, null where it is open."""
+    found = R.searched(_responses(spark, d), 1 / 32, 5)
+    width, middle = R.width_and_middle(F.col("lower"), F.col("upper"))
+    return found.select("run_id", "axis", F.round(width, 9).alias("width"), F.round(middle, 9).alias("middle"))
+
+
+def boundary_witness(spark, d):
+    """The failing probe of least axis value of each run's grid."""
+    probes = R.grid_probes(_responses(spark, d)).withColumn("value", to_value(F.col("s"))).select("run_id", "axis", "value", "failed", "idx")
+    return R.witness(probes).select("run_id", "axis", F.round("value", 9).alias("value"), "idx")
 
 
 def missing_scan_points(spark, d):
@@ -104,39 +89,18 @@ def missing_scan_points(spark, d):
     return wanted.alias("e").join(seen.alias("o"), close, "left_anti")
 
 
-_OLD = "(VALUES ('motion_blur.exposure_ms', 'located', 12.5D, 13.75D), ('low_light.illuminance_lux', 'located', 12.984D, 25.469D), ('fog.beta_per_m', 'passes_throughout', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)), ('jpeg.quality', 'located', 7.969D, 10.938D), ('gone.axis', 'located', 1.0D, 2.0D)) AS o(axis, old_status, old_lower, old_upper)"
-_NEW = "(VALUES ('motion_blur.exposure_ms', 'located', 11.25D, 12.5D), ('low_light.illuminance_lux', 'located', 0.5D, 12.984D), ('fog.beta_per_m', 'located', 0.06D, 0.064D), ('jpeg.quality', 'fails_throughout', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)), ('new.axis', 'located', 1.0D, 2.0D)) AS n(axis, status, lower, upper)"
-_EDGE = "CASE WHEN a.severe_end = 'hi' THEN ({lo} - a.lo) / (a.hi - a.lo) ELSE ({hi} - a.hi) / (a.lo - a.hi) END"
-_REGRESSION = f"""
-SELECT n.axis, n.status, o.old_status, CASE
-  WHEN o.axis IS NULL THEN 'new' WHEN n.lower IS NULL THEN CASE WHEN n.status = 'fails_throughout' THEN 'skipped: fails throughout' ELSE 'skipped' END
-  WHEN o.old_lower IS NULL THEN CASE WHEN o.old_status = 'passes_throughout' THEN 'regression: boundary appeared' ELSE 'skipped' END
-  WHEN {_EDGE.format(lo='n.lower', hi='n.upper')} < {_EDGE.format(lo='o.old_lower', hi='o.old_upper')} - 1e-12 THEN 'regression: milder condition' ELSE 'ok' END AS outcome
-FROM {_NEW} LEFT JOIN {_OLD} ON o.axis = n.axis LEFT JOIN {_AXES.replace('AS t(', 'AS a(')} ON a.axis = n.axis
-"""
-
-
 def regression_check(spark, d):
-    """New findings against old ones in severity, so that either end of an axis may be the severe one."""
-    return spark.sql(_REGRESSION)
-
-
-_SAVINGS = f"""
-SELECT steps, count(*) AS n_axes, sum(valid) AS n_valid, avg(CASE WHEN valid = 1 THEN saving END) AS mean_saving, min(CASE WHEN valid = 1 THEN saving END) AS min_saving,
-  CASE WHEN min(CASE WHEN valid = 1 THEN saving END) >= 3.0D THEN 1 ELSE 0 END AS gate
-FROM (SELECT steps, CAST(steps AS DOUBLE) / (5 + {{rounds}}) AS saving, CASE WHEN abs((found_a + found_b) / 2 - (grid_a + grid_b) / 2) <= 1.0D / (steps - 1) THEN 1 ELSE 0 END AS valid
-  FROM (SELECT axis, steps, greatest(max(CASE WHEN NOT f THEN s END), 0.0D) AS grid_a, min(CASE WHEN f THEN s END) AS grid_b,
-      floor(max(CASE WHEN NOT f THEN s END) * 32) / 32 AS found_a, ceil(min(CASE WHEN f THEN s END) * 32) / 32 AS found_b
-    FROM (SELECT axis, steps, i / CAST(steps - 1 AS DOUBLE) AS s, {_fails('i / CAST(steps - 1 AS DOUBLE)')} AS f FROM {_AXES} CROSS JOIN (VALUES (33), (17), (9), (5)) AS g(steps) CROSS JOIN (SELECT {{idx}} AS i) n WHERE i < steps AND edge BETWEEN lo AND hi) p
-    GROUP BY axis, steps) q) w GROUP BY steps
-"""
-_ROUNDS = "CASE steps WHEN 33 THEN 3 WHEN 17 THEN 2 WHEN 9 THEN 1 ELSE 0 END"
+    """New findings against old ones in severity, so that either end of an axis may be the severe one; old edges lie 1/64 higher, and every
+    eleventh run is new."""
+    old = R.searched(_responses(spark, d, 1 / 64).where("run_id % 11 != 0"), 1 / 32, 5)
+    return R.regressions(R.searched(_responses(spark, d), 1 / 32, 5), old)
 
 
 def savings_by_level(spark, d):
-    """Grid steps by probes of the verified search (five of the scan, then halvings), over the axes it is valid on."""
-    out = spark.sql(_SAVINGS.replace("{idx}", "explode(sequence(0, 32))").replace("{rounds}", _ROUNDS))
-    return out.select("steps", "n_axes", F.col("n_valid").cast("long").alias("n_valid"), F.round("mean_saving", 9).alias("mean_saving"), F.round("min_saving", 9).alias("min_saving"), "gate")
+    """Grid steps by probes of the verified search (five of the scan, then halvings), over the runs it is valid on."""
+    saved = F.when(F.col("valid"), F.col("saving"))
+    out = R.compared_to_grid(_responses(spark, d)).groupBy("steps").agg(F.count("*").alias("n_runs"), F.count_if("valid").alias("n_valid"), F.round(F.avg(saved), 9).alias("mean_saving"), F.round(F.min(saved), 9).alias("min_saving"))
+    return out.withColumn("gate", F.coalesce(F.col("min_saving") >= 3.0, F.lit(False)))
 
 
 def matrix_summary(spark, d):
@@ -151,16 +115,35 @@ def matrix_summary(spark, d):
 
 
 _EVENTS = "e AS (SELECT user_id AS run_id, ts, event_id, value, value < 50 AS failed, lag(value < 50) OVER w AS b, lag(value) OVER w AS v, row_number() OVER w AS \"at\" FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
-QUERIES = {f.__name__: f for f in (transitions, first_crossing, nested_grid, bisect_cheap, bisect_verified, locate_inverted_axis, missing_scan_points, regression_check, savings_by_level, matrix_summary)}
+# The oracles say in closed form what the search comes to: the first grid point at or above the edge is its ceiling.
+_E = """
+WITH m AS (SELECT user_id AS run_id, ((sum(event_id) % 1100)::DOUBLE + 0.37::DOUBLE) / 1000 - 0.05::DOUBLE AS edge FROM events GROUP BY 1),
+e AS (SELECT m.*, axis, benign, severe, CASE WHEN run_id % 7 = 0 AND edge >= 0 THEN edge + 0.3::DOUBLE END AS recovers
+  FROM m JOIN (VALUES (0, 'fog.beta_per_m', 0.0::DOUBLE, 0.12::DOUBLE), (1, 'jpeg.quality', 100.0, 5.0), (2, 'low_light.illuminance_lux', 400.0, 0.5), (3, 'motion_blur.exposure_ms', 0.0, 40.0)) v(place, axis, benign, severe) ON run_id % 4 = place)"""
+_ASK = """
+k AS (SELECT *, greatest(0, ceil(edge * 32)) AS k, coalesce(recovers <= 1, false) AS back FROM e),
+z AS (SELECT *, CASE WHEN back AND floor(recovers * 4) < recovers * 4 THEN 'not_monotone' WHEN k = 0 THEN 'fails_throughout' WHEN k > 32 THEN 'passes_throughout' ELSE 'located' END AS status FROM k),
+f AS (SELECT run_id, axis, status, k, CASE WHEN status = 'located' THEN least(benign + (k - 1) / 32 * (severe - benign), benign + k / 32 * (severe - benign)) END AS lower,
+  CASE WHEN status = 'located' THEN greatest(benign + (k - 1) / 32 * (severe - benign), benign + k / 32 * (severe - benign)) END AS upper, CASE WHEN status = 'located' THEN 8 ELSE 5 END AS probes_used, benign, severe FROM z)"""
+_FOUND = "SELECT run_id, axis, status, round(lower, 9) AS lower, round(upper, 9) AS upper, {}::INT AS probes_used FROM f {}"
+_CHEAP = _E + "," + _ASK.replace("FROM e)", "FROM e WHERE recovers IS NULL)") + _FOUND.format("CASE status WHEN 'fails_throughout' THEN 1 WHEN 'passes_throughout' THEN 2 ELSE 7 END", "")
+_MILD = """, o AS (SELECT run_id, CASE WHEN back THEN 'not_monotone' WHEN j = 0 THEN 'fails_throughout' WHEN j > 32 THEN 'passes_throughout' ELSE 'located' END AS old_status, j
+  FROM (SELECT run_id, greatest(0, ceil((edge + 1 / 64.0::DOUBLE) * 32)) AS j, coalesce(recovers_ <= 1, false) AS back FROM (SELECT *, CASE WHEN run_id % 7 = 0 AND edge >= 0 THEN edge + 0.3::DOUBLE END AS recovers_ FROM m)) WHERE run_id % 11 <> 0)
+SELECT f.run_id, axis, status, old_status, CASE WHEN old_status IS NULL THEN 'new' WHEN status = 'fails_throughout' THEN 'skipped: fails throughout' WHEN status <> 'located' THEN 'skipped'
+  WHEN old_status = 'passes_throughout' THEN 'regression: boundary appeared' WHEN old_status <> 'located' THEN 'skipped' WHEN k < j THEN 'regression: milder condition' ELSE 'ok' END AS outcome FROM f LEFT JOIN o USING (run_id)"""
+_EVENTS = "e AS (SELECT user_id AS run_id, ts, event_id, value, value < 50 AS failed, lag(value < 50) OVER w AS b, lag(value) OVER w AS v, row_number() OVER w AS \"at\" FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+QUERIES = {f.__name__: f for f in (transitions, first_crossing, nested_grid, bisect_cheap, bisect_verified, locate_inverted_axis, boundary_width, boundary_witness, missing_scan_points, regression_check, savings_by_level, matrix_summary)}
 SQL = {
+    "nested_grid": _E + " SELECT run_id, axis, steps::INT AS steps, count(*) AS n_probes, sum((i / (steps - 1.0::DOUBLE) >= edge AND coalesce(i / (steps - 1.0::DOUBLE) < recovers, true))::INT)::BIGINT AS n_failed, CASE WHEN edge <= 1 THEN greatest(0, ceil(edge * (steps - 1)))::INT * (32 // (steps - 1))::INT END AS first_failed FROM e, (VALUES (33), (17), (9), (5)) g(steps), range(33) n(i) WHERE i < steps GROUP BY run_id, axis, steps, edge",
+    "bisect_cheap": _CHEAP,
+    "bisect_verified": _E + "," + _ASK + _FOUND.format("probes_used", ""),
+    "locate_inverted_axis": _E + "," + _ASK + _FOUND.format("probes_used", "WHERE severe < benign"),
+    "boundary_width": _E + "," + _ASK + " SELECT run_id, axis, CASE WHEN status = 'located' THEN round(abs(severe - benign) / 32, 9) END AS width, CASE WHEN status = 'located' THEN round(benign + (2 * k - 1) / 64 * (severe - benign), 9) END AS middle FROM f",
+    "boundary_witness": _E + " SELECT run_id, axis, round(benign + i / 32.0::DOUBLE * (severe - benign), 9) AS value, i::INT AS idx FROM (SELECT *, CASE WHEN severe > benign THEN greatest(0, ceil(edge * 32)) ELSE least(32, coalesce(ceil(recovers * 32) - 1, 32)) END AS i FROM e) WHERE edge <= 1",
+    "regression_check": _E + "," + _ASK + _MILD,
+    "savings_by_level": _E + "," + _ASK + ", v AS (SELECT steps, (SELECT count(*) FROM f) AS n_runs, (SELECT count(*) FROM f WHERE status = 'located') AS n_valid, round(steps / (5 + log2((steps - 1) / 4)), 9) AS s FROM (VALUES (33), (17), (9), (5)) g(steps)) SELECT steps::INT AS steps, n_runs, n_valid, s AS mean_saving, s AS min_saving, s >= 3 AS gate FROM v",
     "transitions": f"WITH {_EVENTS} SELECT run_id, \"at\", event_id, b AS before, failed FROM e WHERE failed <> b",
     "first_crossing": f"WITH {_EVENTS} SELECT run_id, min(\"at\") AS \"at\", least(min_by(v, \"at\"), min_by(value, \"at\")) AS lower, greatest(min_by(v, \"at\"), min_by(value, \"at\")) AS upper FROM e WHERE failed AND NOT b GROUP BY run_id",
-    "nested_grid": _duck(_NESTED.replace("{idx}", "unnest(range(33))::INT").replace("sum(CASE", "sum(CASE")).replace("AS n_failed", "::BIGINT AS n_failed"),
-    "bisect_cheap": _duck(_CHEAP),
-    "bisect_verified": _duck(_VERIFIED),
-    "locate_inverted_axis": _duck(_INVERTED),
     "missing_scan_points": "WITH o AS (SELECT DISTINCT user_id AS run_id, floor(value / 25) / 4.0::DOUBLE AS v FROM events) SELECT run_id, w FROM (SELECT DISTINCT run_id FROM o) r, (SELECT unnest(range(9)) / 8.0::DOUBLE AS w) g WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.run_id = r.run_id AND abs(w - v) <= greatest(1e-12, 1e-12 * greatest(abs(w), abs(v))))",
-    "regression_check": _duck(_REGRESSION),
-    "savings_by_level": "SELECT steps, n_axes, n_valid::BIGINT AS n_valid, round(mean_saving, 9) AS mean_saving, round(min_saving, 9) AS min_saving, gate FROM (" + _duck(_SAVINGS.replace("{idx}", "unnest(range(33))::INT").replace("{rounds}", _ROUNDS)) + ")",
     "matrix_summary": "SELECT dataset, count(DISTINCT (dataset, detector, located)) AS combinations, sum(located::INT)::BIGINT AS n_located, max(coalesce(error, 0)) AS max_error, round(min(saving), 9) AS min_saving FROM (SELECT o_custkey % 3 AS dataset, o_orderkey % 2 AS detector, o_orderstatus <> 'P' AS located, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 5) / 4.0::DOUBLE END AS error, 33.0::DOUBLE / (6 + o_custkey % 5) AS saving FROM orders) GROUP BY 1",
 }

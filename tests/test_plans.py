@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from edgefield import cli
 from edgefield.functions.axes import AXES, unit_of
-from edgefield.plans import budget, levelset
+from edgefield.plans import budget, levelset, rounds
 from edgefield.plans.search import boundary, grid_crossing, locate, next_step, transitions
 
 CASES = [("motion_blur.exposure_ms", 13.1, 12.5, 13.75), ("low_light.illuminance_lux", 19.0, 12.984375, 25.46875), ("fog.beta_per_m", 0.061, 0.06, 0.06375), ("jpeg.quality", 9.4, 7.96875, 10.9375)]
@@ -101,57 +101,102 @@ def test_gate_checks_in_order():
     assert budget.heuristic_order(["c", "b", "a"], {"a": 5.0, "c": 0.0}) == ["b", "c", "a"]
 
 
-def run_of(limit, **more):
-    return budget.Run(tuple((AXES[n], (AXES[n].hi - AXES[n].lo) / 32) for n, *_ in CASES), limit, 0.01, **more)
+def definition(limit, **more):
+    return {"axes": [{"axis": n, "target_width": (AXES[n].hi - AXES[n].lo) / 32} for n, *_ in CASES], "budget_usd": limit, "cost_per_probe_usd": 0.01, **more}
 
 
-def play(run, rows):
+def play(d, rows):
     edges = {n: e for n, e, *_ in CASES}
-    while (step := budget.plan_round(run, rows))["action"] == "probe":
+    while (step := cli.planned(d, rows))["action"] == "probe":
         for p in step["probes"]:
             bad = any(response(AXES[a], edges[a])(v) for a, v in p["set"].items())
-            rows.append({**p, "map50": 0.1 if bad else 0.6})
+            rows.append({"probe_id": p["probe_id"], "set": p["set"], "map50": 0.1 if bad else 0.6})
     return step
 
 
-def test_rounds_until_done_halted_and_approved():
+def test_rounds_until_done_and_halted(spark):
+    """Round by round from the ledger alone: the published brackets with the published number of probes."""
     rows = []
-    done = play(run_of(0.4), rows)
-    assert done["action"] == "done" and len(rows) == 33 and {f["status"] for f in done["findings"]} == {"located"}
+    done = play(definition(0.4), rows)
+    assert done["action"] == "done" and len(rows) == 33
+    found = {f["axis"]: f for f in done["findings"]}
+    for name, _, lower, upper in CASES:
+        assert (found[name]["status"], found[name]["probes_used"]) == ("located", 8)
+        assert (found[name]["lower"], found[name]["upper"]) == (pytest.approx(lower, abs=2e-3), pytest.approx(upper, abs=2e-3))
+        assert found[name]["width"] == pytest.approx((AXES[name].hi - AXES[name].lo) / 32)
     rows = []
-    halted = play(run_of(0.08), rows)
-    assert halted["action"] == "halted" and len(rows) == 8
-    waiting = run_of(0.08, status="AWAITING_APPROVAL", pending={"fog.beta_per_m": 3})
+    halted = play(definition(0.08, probes_per_axis={"jpeg.quality": 3}), rows)
+    assert halted["action"] == "halted" and len(rows) == 8 and halted["remaining"] == pytest.approx(0)
+
+
+def test_all_runs_of_a_ledger_are_planned_at_once(spark):
+    runs = spark.createDataFrame([(r, 1.0, 0.01, 0.0, 0.6, 5) for r in "abcdefg"], "run_id string, budget double, price double, prepaid double, share double, verify int")
+    axes = spark.createDataFrame([(r, "jpeg.quality", 0, 1 / 32, 6 if r == "f" else None) for r in "abcdefg"], "run_id string, axis string, place int, width double, cap int")
+    value = AXES["jpeg.quality"].from_severity
+    fails = {"b": lambda s: True, "c": lambda s: False, "d": lambda s: 0.3 < s < 0.6, "e": lambda s: s > 0.4, "f": lambda s: s > 0.4, "g": lambda s: s < 0.1}
+    rows = [(r, "baseline", None, None, 0.6) for r in "bcdefg"] + [(r, f"p{k}", "jpeg.quality", value(k / 4), 0.1 if f(k / 4) else 0.6) for r, f in fails.items() for k in range(5)]
+    rows += [("f", "again", "jpeg.quality", value(0.375), 0.6), ("e", "twice", "jpeg.quality", value(0.375), 0.6), ("e", "twice", "jpeg.quality", value(0.375), 0.6)]
+    plan = rounds.plan_rounds(runs, axes, spark.createDataFrame(rows, "run_id string, probe_id string, axis string, value double, map50 double"))
+    found = {r.run_id: r.status for r in plan.findings.collect()}
+    assert found == {"b": "fails_throughout", "c": "passes_throughout", "d": "not_monotone", "f": "capped", "g": "not_monotone"}
+    asked = {r.run_id: (r.probe_id, r.command) for r in plan.probes.collect()}
+    assert set(asked) == {"a", "e"} and asked["a"][0] == "baseline" and f"jpeg.quality={value(0.4375)}" in asked["e"][1]
+    acts = {r.run_id: (r.action, r.requested) for r in plan.actions.collect()}
+    assert acts["a"] == ("probe", 1) and acts["b"] == ("done", 0)
+
+
+def test_approvals_proposals_and_guarded_probes():
+    waiting = budget.Run(0.08, 0.01, status="AWAITING_APPROVAL", pending={"fog.beta_per_m": 3})
     more = budget.approve(waiting, 0.4, "someone")
     assert (more.version, more.status, more.caps) == (2, "RUNNING", {"fog.beta_per_m": 3})
-    assert play(more, rows)["action"] == "done"
     with pytest.raises(budget.Refused):
-        budget.approve(run_of(1), 1, "someone")
+        budget.approve(budget.Run(1, 0.01), 1, "someone")
     with pytest.raises(budget.Refused):
         budget.approve(waiting, 1, " ")
     assert budget.cancel(waiting).status == "CANCELLED"
-    capped = play(run_of(0.4, caps={"jpeg.quality": 3}), [])
-    assert {f["axis"]: f["status"] for f in capped["findings"]}["jpeg.quality"] == "capped"
+    c = budget.Contract(0.03, 0.01)
+    scored = []
+    assert budget.guarded(c, 2, lambda i: scored.append(i) or i) == [0, 1]
+    with pytest.raises(budget.Refused):
+        budget.guarded(c, 2, scored.append)
+    assert scored == [0, 1] and c.probes_remaining == 1
+    axes = [n for n, *_ in CASES]
+    c = budget.Contract(0.05, 0.01)
+    say = lambda tool, args: budget.review(tool, args, axes, c, 0)
+    reviews = [say("prioritize_axes", {"order": axes[::-1]}), say("reallocate_budget", {"probes_per_axis": {axes[0]: 2}}), say("reallocate_budget", {"probes_per_axis": {axes[1]: 99}}), say("delete", {})]
+    after = budget.merged(definition(0.05), reviews, 0.002)
+    assert [a["axis"] for a in after["axes"]] == axes[::-1] and after["probes_per_axis"] == {axes[0]: 2} and after["prepaid_usd"] == 0.002
+    assert after["status"] == "AWAITING_APPROVAL" and after["pending_allocation"] == {axes[1]: 99}
+
+
+def window(i, j):
+    return 0.9 * math.exp(-0.7 * (((i / 16 - 0.3) / 0.25) ** 2 + ((j / 16 - 0.35) / 0.3) ** 2))
 
 
-def window(cells):
-    return [0.9 * math.exp(-0.7 * (((i / 16 - 0.3) / 0.25) ** 2 + ((j / 16 - 0.35) / 0.3) ** 2)) for i, j in cells]
+def diagonal(i, j):
+    return 0.2 + 0.6 * (1 - (i / 16 + j / 16) / 2) ** 1.5
 
 
-def diagonal(cells):
-    return [0.2 + 0.6 * (1 - (i / 16 + j / 16) / 2) ** 1.5 for i, j in cells]
+@pytest.mark.parametrize("surface,most", [(window, 30), (diagonal, 30), (lambda i, j: 0.9, 9), (lambda i, j: 0.1, 9)])
+def test_level_sets(spark, surface, most):
+    grid = spark.createDataFrame([(i, j) for j in range(17) for i in range(17)], "i int, j int")
+    waves = []
 
+    def respond(cells):
+        rows = [(c.i, c.j, float(surface(c.i, c.j))) for c in cells.collect()]
+        waves.append(len(rows))
+        return spark.createDataFrame(rows, "i int, j int, value double")
 
-@pytest.mark.parametrize("surface,most", [(window, 25), (diagonal, 25), (lambda c: [0.9] * len(c), 9), (lambda c: [0.1] * len(c), 9)])
-def test_level_sets(surface, most):
-    found = levelset.level_set(surface, 17, 17, 0.5)
-    want = np.array(surface([(i, j) for j in range(17) for i in range(17)])).reshape(17, 17) < 0.5
-    wrong = np.argwhere(found.failed != want)
-    for j, i in wrong:  # a miss lies within a cell of the edge
-        around = want[max(0, j - 1) : j + 2, max(0, i - 1) : i + 2]
-        assert around.any() and not around.all()
-    assert len(found.probes) <= most and found.status == "converged"
-    assert levelset.level_set(surface, 17, 17, 0.5, most=4).probes.__len__() == 4
+    got = levelset.classified(grid, respond, 0.5).toPandas()
+    want = np.array([[surface(i, j) < 0.5 for i in range(17)] for j in range(17)])
+    for i, j, failed in got[["i", "j", "failed"]].itertuples(index=False):
+        if failed != want[j, i]:  # a miss lies within a cell of the edge
+            around = want[max(0, j - 1) : j + 2, max(0, i - 1) : i + 2]
+            assert around.any() and not around.all()
+    assert got.measured.sum() == sum(waves) <= most and got.sure.all() and max(waves[1:], default=0) <= 3
+    assert levelset.classified(grid, respond, 0.5, most=4).where("measured").count() == 4
+    with pytest.raises(ValueError):
+        levelset.classified(grid, lambda cells: cells.selectExpr("i", "j", "CAST(NULL AS DOUBLE) AS value"), 0.5)
 
 
 def test_units_and_ranges():
@@ -166,7 +211,7 @@ def test_planner_needs_no_spark():
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "False"
 
 
-def test_command_line(tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys):
     old = {"findings": [{"axis": "fog.beta_per_m", "status": "located", "lower": 0.06, "upper": 0.064}, {"axis": "jpeg.quality", "status": "located", "lower": 8.0, "upper": 11.0}]}
     worse = {"findings": [{"axis": "fog.beta_per_m", "status": "located", "lower": 0.03, "upper": 0.034}, {"axis": "jpeg.quality", "status": "fails_throughout", "lower": None, "upper": None}]}
     for name, d in (("old", old), ("new", worse)):
@@ -179,6 +224,9 @@ def test_command_line(tmp_path, capsys):
     (tmp_path / "ledger").write_text("")
     capsys.readouterr()
     assert cli.main(["plan", "--run", str(tmp_path / "run"), "--ledger", str(tmp_path / "ledger")]) == 0
-    assert json.loads(capsys.readouterr().out)["probes"] == [{"probe_id": "baseline", "set": {}}]
+    assert json.loads(capsys.readouterr().out)["probes"] == [{"probe_id": "baseline", "set": {}, "command": "edgefield probe --seed 20260906"}]
+    told = json.loads(cli.run_report("road", 7, 10, {"jpeg.quality": (0.6, locate(AXES["jpeg.quality"], lambda vs: [v <= 9.4 for v in vs], 95 / 32, 5))}))
+    assert list(told) == ["run", "coverage", "findings"] and told["coverage"][0]["percent"] == 100.0
+    assert told["findings"][0]["witness"] == 5.0 and told["findings"][0]["reproduce"].startswith("edgefield probe --dataset road --set jpeg.quality=7.96")
     assert cli.main(["approve", "--run", str(tmp_path / "run"), "--amount", "1", "--by", "me"]) == 0
     assert json.loads(capsys.readouterr().out)["version"] == 2
