@@ -35,6 +35,7 @@ class Axis:
         return (value - benign) / (severe - benign)
 
 
+# Names, units and ranges of the axes.
 AXES = {
     a.name: a
     for a in (

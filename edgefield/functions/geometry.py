@@ -69,6 +69,20 @@ def signal_electrons(lux: Column, exposure_ms: Column) -> Column:
     return lux * exposure_ms * 180.0 / 1000.0
 
 
+def shot_noise(signal: Column) -> Column:
+    """Of a mid-grey patch, in electrons."""
+    return F.sqrt(signal * 0.5)
+
+
+def modelled_snr_db(signal: Column, read_noise_e: float = 2.0) -> Column:
+    noise = F.sqrt(signal * 0.5 + read_noise_e**2)
+    return 20.0 * F.log10(F.greatest(signal * 0.5, F.lit(1e-9)) / F.greatest(noise, F.lit(1e-9)))
+
+
+def shift_per_row(shift_px: Column, height_px: Column) -> Column:
+    return shift_px / F.nullif(height_px, F.lit(0))
+
+
 def exif_lux(exposure_s: Column, f_number: Column, iso: Column, mean_linear: Column | None = None) -> Column:
     """Scene illuminance from exposure settings; null where one of them is missing or zero."""
     lux = 250.0 * f_number * f_number / (F.nullif(exposure_s, F.lit(0.0)) * F.nullif(iso, F.lit(0.0)))

@@ -36,6 +36,63 @@ def command(axis: Column, value: Column, seed: Column) -> Column:
     return F.concat_ws(" ", F.lit("edgefield probe --axis"), axis, F.lit("--value"), value, F.lit("--seed"), seed.cast("string"))
 
 
+def set_command(condition: Column, seed: Column) -> Column:
+    """condition: a map of axis to value as text; its entries in the order of their names."""
+    entries = F.transform(F.array_sort(F.map_entries(condition)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.concat_ws(" ", F.lit("edgefield probe --set"), F.array_join(entries, " "), F.lit("--seed"), seed.cast("string"))
+
+
+def worker_command(condition: Column, fixed: Column, dataset: Column, pipeline: Column, frames: Column, seed: Column) -> Column:
+    """The same with what is pinned besides the axes, and what it runs over; nothing is said of pins where there are none."""
+    pins = F.transform(F.array_sort(F.map_entries(fixed)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    fix = F.when(F.size(pins) > 0, F.concat(F.lit("--fix "), F.array_join(pins, " ")))
+    return F.concat_ws(" ", set_command(condition, seed), fix, F.lit("--dataset"), dataset, F.lit("--pipeline"), pipeline, F.lit("--frames"), frames.cast("string"))
+
+
+CITATION = r"(-?[\d,]+(?:\.\d+)?)\s*([%×xA-Za-zµ°/]{1,12})?\s*<!--\s*bench:([^\s>]+?)\s*-->"
+_COVERED = CITATION + r"|`[^`]*`|(?s:<!--.*?-->)"
+DECIMAL = r"(?<![\w.])\d+\.\d+(?!\d|\.\d)"
+
+
+def cited_figures(text: Column) -> Column:
+    """Figures with a source beside them: an array of (value, unit or null, path); thousands are told by commas."""
+    part = lambda i: F.regexp_extract_all(text, F.lit(CITATION), F.lit(i))
+    rows = F.arrays_zip(part(1).alias("v"), part(2).alias("u"), part(3).alias("p"))
+    return F.transform(rows, lambda r: F.struct(F.replace(r["v"], F.lit(","), F.lit("")).try_cast("double").alias("value"), F.nullif(r["u"], F.lit("")).alias("unit"), r["p"].alias("path")))
+
+
+def uncited_figures(text: Column) -> Column:
+    """Decimals that no citation covers and that stand in no code span or comment: an array of (line, figure), lines from 1."""
+    pieces, covered = F.split(text, _COVERED, -1), F.regexp_extract_all(text, F.lit(_COVERED), F.lit(0))
+    blanked = F.array_join(F.zip_with(pieces, covered, lambda p, c: F.concat(p, F.coalesce(F.regexp_replace(c, r"[^\n]", " "), F.lit("")))), "")
+    lines = F.transform(F.split(blanked, "\n"), lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(DECIMAL), F.lit(0)), lambda f: F.struct((i + 1).alias("line"), f.alias("figure"))))
+    return F.flatten(lines)
+
+
+def limitations(markdown: Column) -> Column:
+    """The bold openings of the numbered items under the heading of known limitations, as plain text; none without the heading."""
+    section = F.when(F.instr(markdown, F.lit("## Known limitations")) > 0, F.substring(markdown, F.instr(markdown, F.lit("## Known limitations")) + 20, F.length(markdown)))
+    items = F.regexp_extract_all(section, F.lit(r"(?m)^\d+\.\s+\*\*(.+?)\*\*"), F.lit(1))
+    return F.coalesce(F.transform(items, lambda x: F.trim(F.regexp_replace(F.replace(x, F.lit("`"), F.lit("")), r"\s+", " "))), F.array().cast("array<string>"))
+
+
+def trace_line(decision_id: Column, tool: Column, accepted: Column, detail: Column) -> Column:
+    """One line of a run's decisions: id and tool in columns of fixed width, what became of it, and what it was about."""
+    head = F.concat_ws(" ", F.rpad(decision_id, 16, " "), F.rpad(tool, 24, " "), F.when(accepted, "accepted").otherwise("REFUSED "))
+    return F.concat_ws(" ", head, detail)
+
+
+def trace_detail(tool: Column, call: Column, usd: Column, left: Column, probes: Column, order: Column, reason: Column, axis: Column) -> Column:
+    """What a decision was about, by its tool; null for tools that say nothing more."""
+    money = lambda c: F.concat(F.lit("$"), F.format_string("%.4f", c))
+    return (
+        F.when(tool == "explain_failure", F.concat(F.lit("facts for "), axis))
+        .when(tool == "agent.model_call", F.concat(F.lit("call "), call.cast("string"), F.lit(": charged "), money(usd), F.lit(", contract left "), money(left)))
+        .when(tool == "reallocate_budget", F.concat(probes.cast("string"), F.lit(" probes split -> "), reason))
+        .when(tool == "prioritize_axes", F.concat(F.lit("order "), F.array_join(order, ","), F.lit(" -> "), reason))
+    )
+
+
 def cited_numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
 

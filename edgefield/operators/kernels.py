@@ -7,6 +7,7 @@ A probe is a pure function of condition and seed: a single kernel uses the seed
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 from typing import Any
@@ -14,11 +15,13 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from edgefield.functions.axes import AXES
 
 Kernel = Callable[[np.ndarray, dict[str, float], np.random.Generator], np.ndarray]
 
+# Fixed values.
 #: Least and most of every parameter, and its value where neither an axis nor the caller gives one.
 PARAMETERS: dict[str, dict[str, tuple[float, float, float | None]]] = {
     "fog": {"beta_per_m": (0, 3, None), "depth_near_m": (1e-9, 1000, 5), "depth_far_m": (1e-9, 5000, 80), "airlight": (0, 1, 0.9)},
@@ -240,6 +243,22 @@ def apply(frames: DataFrame, condition: dict[str, float], seed: int, fixed: dict
     return frames.mapInPandas(run, frames.schema)
 
 
+def sweep(frames: DataFrame, conditions: DataFrame, seed: int, look: Callable[[np.ndarray], dict[str, float]], names: tuple[str, ...]) -> DataFrame:
+    """frames with image_id; conditions: axis, value, one row each and few of them. What look(image) says of every frame under every
+    condition, with a digest of its pixels, as one pass: frames and conditions are dealt over the tasks together."""
+    pairs = frames.select("image_id", "height", "width", "pixels").crossJoin(F.broadcast(conditions)).repartition("image_id", "axis", "value")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                image = degraded(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3), {r.axis: r.value}, seed)
+                rows.append((r.image_id, r.axis, r.value, hashlib.sha256(image.tobytes()).hexdigest(), *(look(image)[n] for n in names)))
+            yield pd.DataFrame(rows, columns=["image_id", "axis", "value", "sha256", *names])
+
+    return pairs.mapInPandas(run, ", ".join(["image_id long, axis string, value double, sha256 string", *(f"{n} double" for n in names)]))
+
+
 def detect(frames: DataFrame, make: Callable[[], Any]) -> DataFrame:
     """Detections of a pipeline over frames: image_id, label, score and box. make() builds the pipeline once for each task; its
     predict(image, image_id) gives (label, score, x0, y0, x1, y1) rows."""

@@ -45,6 +45,19 @@ def billed(tasks: DataFrame, prices: DataFrame, least_seconds: float = 60.0) ->
     return tasks.join(F.broadcast(prices), "machine").withColumn("cost", hours * (F.col("vcpu") * F.col("vcpu_hour") + F.col("gb") * F.col("gb_hour")))  # a price list
 
 
+#: Fixed values, in dollars: a GB-second and a request of a function, a transition between steps.
+FUNCTION_GB_S, FUNCTION_REQUEST, TRANSITION = 0.0000133334, 0.0000002, 0.000025
+
+
+def run_costs(tasks: DataFrame, prices: DataFrame, extras: DataFrame) -> DataFrame:
+    """Whole cost of each run: its tasks, functions, transitions and model calls. extras: run_id, gb_seconds, requests, transitions, model_usd."""
+    by_run = billed(tasks, prices).groupBy("run_id").agg(F.count("*").alias("tasks"), F.sum(F.greatest("seconds", F.lit(60.0))).alias("billed_s"), F.sum("cost").alias("task_usd"))
+    out = by_run.join(extras, "run_id", "left").fillna(0, ["gb_seconds", "requests", "transitions", "model_usd"])
+    out = out.withColumn("function_usd", F.col("gb_seconds") * FUNCTION_GB_S + F.col("requests") * FUNCTION_REQUEST).withColumn("transition_usd", F.col("transitions") * TRANSITION)
+    total = F.col("task_usd") + F.col("function_usd") + F.col("transition_usd") + F.col("model_usd")
+    return out.select("run_id", "tasks", "billed_s", "task_usd", "function_usd", "transition_usd", "model_usd", total.alias("total_usd"))
+
+
 def reviewed(proposals: DataFrame, cap: int = 10) -> DataFrame:
     """proposals: calls, tool, order, axes, axis, probes, cost, remaining. Adds outcome and state, by the gate's order of checks."""
     whole = (F.array_sort("order") == F.array_sort("axes")) & (F.size(F.array_distinct("order")) == F.size("order"))

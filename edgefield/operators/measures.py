@@ -66,6 +66,43 @@ def mtf50(g: np.ndarray) -> float:
     return float(0.5 * (i - 1 + part) / bins)
 
 
+def area_resized(image: np.ndarray, most: int = 640) -> np.ndarray:
+    """A frame whose longer side is at most so many pixels: each new pixel is the mean of the area it covers. Smaller frames stay."""
+    h, w = image.shape[:2]
+    scale = most / max(h, w)
+    if scale >= 1:
+        return image
+    out = image.astype(np.float64)
+    for axis, (n, m) in enumerate(((h, round(h * scale)), (w, round(w * scale)))):
+        # areas from running sums, read at fractions of a pixel
+        sums = np.concatenate([np.zeros_like(out.take([0], axis)), out.cumsum(axis)], axis)
+        at = np.arange(m + 1) * (n / m)
+        lo = np.minimum(at.astype(int), n - 1)
+        shape = [-1 if a == axis else 1 for a in range(out.ndim)]
+        edge = sums.take(lo, axis) + (at - lo).reshape(shape) * (sums.take(lo + 1, axis) - sums.take(lo, axis))
+        out = np.diff(edge, axis=axis) / (n / m)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def mean_linear(image: np.ndarray, gamma: float = 2.2) -> float:
+    """Mean linear luminance of a frame, 0 to 1."""
+    return float(np.mean((grey(image) / 255.0) ** gamma))
+
+
+def prepared(frames: DataFrame, most: int = 640) -> DataFrame:
+    """frames with image_id, height, width and pixels: the same, made small enough, with mean_linear."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, p, h, w in zip(pdf["image_id"], pdf["pixels"], pdf["height"], pdf["width"]):
+                image = area_resized(np.frombuffer(p, np.uint8).reshape(h, w, 3), most)
+                rows.append((i, image.shape[0], image.shape[1], image.tobytes(), mean_linear(image)))
+            yield pd.DataFrame(rows, columns=["image_id", "height", "width", "pixels", "mean_linear"])
+
+    return frames.select("image_id", "height", "width", "pixels").mapInPandas(run, "image_id long, height int, width int, pixels binary, mean_linear double")
+
+
 def measured(image: np.ndarray) -> dict[str, float]:
     g = grey(image)
     return {

@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 from edgefield.functions.axes import AXES
 from edgefield.operators import kernels as K
 from edgefield.operators import matching as M
+from edgefield.operators import measures as M2
 from edgefield.plans.search import Outcome, locate
 
 _DETECTED = "probe_id string, image_id long, label int, score double, x0 double, y0 double, x1 double, y1 double"
 
 
-def wave(frames: DataFrame, conditions: dict[str, dict[str, float]], make: Callable[[], Any], seed: int) -> DataFrame:
+def wave(frames: DataFrame, conditions: dict[str, dict[str, float]], make: Callable[[], Any], seed: int, fixed: dict[str, float] | None = None) -> DataFrame:
     """Detections of every condition on every frame. conditions: probe_id to {"kernel.parameter": value}; {} is the clean set.
+    fixed pins parameters of the kernels that a condition has, unless the condition says otherwise.
 
     All conditions are checked before anything runs. The frames' bytes are not multiplied: a task degrades its frame once
     for each condition, and only detections leave it."""
-    for condition in conditions.values():
-        K.steps(condition)
+    pins = {probe: pinned(condition, fixed) for probe, condition in conditions.items()}
+    for probe, condition in conditions.items():
+        K.steps(condition, pins[probe])
 
     def run(batches):
         pipeline = make()
@@ -33,13 +36,37 @@ def wave(frames: DataFrame, conditions: dict[str, dict[str, float]], make: Calla
             for i, p, h, w in zip(pdf["image_id"], pdf["pixels"], pdf["height"], pdf["width"]):
                 image = np.frombuffer(p, np.uint8).reshape(h, w, 3)
                 for probe, condition in conditions.items():
-                    seen = K.degraded(image, condition, seed) if condition else image
+                    seen = K.degraded(image, condition, seed, pins[probe]) if condition else image
                     rows += [(probe, i, *r) for r in pipeline.predict(seen, i)]
             yield pd.DataFrame(rows, columns=["probe_id", "image_id", "label", "score", "x0", "y0", "x1", "y1"])
 
     return frames.mapInPandas(run, _DETECTED)
 
 
+def pinned(condition: dict[str, float], fixed: dict[str, float] | None) -> dict[str, float]:
+    """The pins of the kernels that a condition has."""
+    kernels = {name.partition(".")[0] for name in condition}
+    return {k: v for k, v in (fixed or {}).items() if k.partition(".")[0] in kernels}
+
+
+def record(frames: DataFrame, probe_id: str, condition: dict[str, float], seed: int, fixed: dict[str, float] | None = None) -> dict[str, Any]:
+    """What a composite probe did: its steps with all parameters, and the measures of the first frame before and after."""
+    first = frames.orderBy("image_id").limit(1)
+    row = lambda df: next(iter(r.asDict() for r in M2.measure(df, ["image_id"]).collect()), None)
+    pins = pinned(condition, fixed)
+    return {"probe_id": probe_id, "steps": [{"kernel": k, "parameters": v} for k, v in K.steps(condition, pins)], "clean": row(first), "degraded": row(K.apply(first, condition, seed, pins) if condition else first)}
+
+
+def coupled_map(frames: DataFrame, truths: DataFrame, x: tuple[str, list[float]], y: tuple[str, list[float]], make: Callable[[], Any], seed: int, couple: Callable[[float, float], dict[str, float]] = lambda a, b: {}) -> DataFrame:
+    """map50 of every pair of values of two axes as one wave: i, j, x, y, map50. couple(x, y) pins further parameters, as where one
+    exposure stands for the blur and for the light of a cell."""
+    cells = [(i, j, a, b) for i, a in enumerate(x[1]) for j, b in enumerate(y[1])]
+    conditions = {f"{i},{j}": {**couple(a, b), x[0]: a, y[0]: b} for i, j, a, b in cells}
+    probes = frames.sparkSession.createDataFrame([(f"{i},{j}", i, j, a, b) for i, j, a, b in cells], "probe_id string, i int, j int, x double, y double")
+    out = scored(wave(frames, conditions, make, seed), truths, probes.select("probe_id"))
+    return probes.join(out.select("probe_id", "map50"), "probe_id").select("i", "j", "x", "y", "map50")
+
+
 def scored(detections: DataFrame, truths: DataFrame, probes: DataFrame) -> DataFrame:
     """map50 and counts of each probe; labels that the set does not annotate are left out."""
     counts = M.truth_counts(truths)

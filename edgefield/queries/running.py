@@ -18,16 +18,8 @@ _SEED = 20260906
 
 def kernel_sweep(spark, d):
     """Every axis at its benign end, middle and severe end over synthetic frames, with measures and a digest of the pixels."""
-    frames = scene.frames(spark, 4, 96)
-    out = None
-    for name, axis in AXES.items():
-        for s in (0.0, 0.5, 1.0):
-            value = axis.from_severity(s)
-            seen = K.apply(frames, {name: value}, _SEED)
-            digest = seen.select("image_id", "height", "width", "pixels", F.sha2("pixels", 256).alias("sha256"))
-            rows = measures.measure(digest, ["image_id", "sha256"]).withColumn("axis", F.lit(name)).withColumn("value", F.lit(value))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    conditions = spark.createDataFrame([(name, axis.from_severity(s)) for name, axis in AXES.items() for s in (0.0, 0.5, 1.0)], "axis string, value double")
+    return K.sweep(scene.frames(spark, 4, 96), conditions, _SEED, measures.measured, measures.NAMES)
 
 
 def mtf50(spark, d):

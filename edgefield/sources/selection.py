@@ -46,6 +46,12 @@ def manifest(spark: SparkSession, path: str, known: list[str], limit: int = 0) -
     return images.select("image_id", F.col("i.file").alias("file")), truths.withColumn("gt_idx", F.row_number().over(order)).select("image_id", "label", "gt_idx", *box)
 
 
+def intact(wanted: DataFrame, folder: str) -> DataFrame:
+    """wanted: file, sha256. Those of its files whose bytes have the digest that is wanted; missing and damaged ones go."""
+    found = wanted.sparkSession.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("_sha256"))
+    return wanted.join(found, "file").where(F.lower("sha256") == F.col("_sha256")).drop("_sha256")
+
+
 def with_pixels(frames: DataFrame, folder: str) -> DataFrame:
     """Frames joined with their files' bytes and digest; files that are missing drop their frames."""
     files = frames.sparkSession.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.sha2("content", 256).alias("sha256"))

@@ -133,3 +133,37 @@ def test_ledger_files(spark, tmp_path):
     assert [(r.probe_id, r.map50) for r in got] == [("p1", 0.25)]
     with pytest.raises(ValueError):
         ledger.append_probes(rows.drop("map50"), path)
+
+
+def test_area_resize_is_block_means_and_fractions():
+    image = np.random.default_rng(3).integers(0, 256, (12, 18, 3), dtype=np.uint8)
+    half = measures.area_resized(image, 9)
+    want = np.rint(image.reshape(6, 2, 9, 2, 3).astype(float).mean(axis=(1, 3)))
+    assert half.shape == (6, 9, 3) and (half == want).all()
+    assert measures.area_resized(image, 18) is image
+    odd = measures.area_resized(np.repeat(image[:1], 5, 0)[:, :7], 3)  # 5 x 7 to 2 x 3: each new pixel covers 7 / 3 columns
+    row = image[0, :7].astype(float)
+    cover = np.array([[max(0, min(x + 1, (k + 1) * 7 / 3) - max(x, k * 7 / 3)) for x in range(7)] for k in range(3)]) / (7 / 3)
+    assert odd.shape == (2, 3, 3) and (odd == np.rint(cover @ row)[None]).all()
+    assert measures.mean_linear(np.full((4, 4, 3), 255, np.uint8)) == 1.0
+
+
+def test_pins_records_and_coupled_maps(spark):
+    frames = scene.frames(spark, 2, 96)
+    clean = probe.wave(frames, {"c": {}}, probe.BrightBoxes, 7)
+    truths = clean.where("score > 0.5").selectExpr("image_id", "label", "CAST(row_number() OVER (PARTITION BY image_id, label ORDER BY x0, y0) AS INT) AS gt_idx", "x0", "y0", "x1", "y1")
+    assert probe.pinned({"low_light.illuminance_lux": 5.0}, {"low_light.exposure_ms": 3.0, "fog.airlight": 0.5}) == {"low_light.exposure_ms": 3.0}
+    with pytest.raises(ValueError):
+        probe.wave(frames, {"x": {"low_light.illuminance_lux": 5.0}}, probe.BrightBoxes, 7, fixed={"low_light.nothing": 1.0})
+    told = probe.record(frames, "p", {"low_light.illuminance_lux": 5.0}, 7, {"low_light.exposure_ms": 3.0})
+    assert told["steps"][0]["parameters"]["exposure_ms"] == 3.0 and told["degraded"]["mean_level"] < told["clean"]["mean_level"]
+    got = {(r.i, r.j): r.map50 for r in probe.coupled_map(frames, truths, ("motion_blur.exposure_ms", [0.0, 30.0]), ("low_light.illuminance_lux", [400.0, 1.0]), probe.BrightBoxes, 7, lambda ms, lux: {"low_light.exposure_ms": max(ms, 1.0)}).collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 0), (1, 1)} and got[0, 1] <= got[0, 0]
+
+
+def test_digest_filter(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_bytes(name.encode() * 10)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    wanted = spark.createDataFrame([("a", digest(b"a" * 10).upper()), ("b", digest(b"a" * 10)), ("d", digest(b""))], "file string, sha256 string")
+    assert [r.file for r in selection.intact(wanted, str(tmp_path)).collect()] == ["a"]
