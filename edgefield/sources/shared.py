@@ -13,7 +13,7 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, deleted when the driver ends. On a single machine a folder of our own will do."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         base = spark.sparkContext.getCheckpointDir()
