@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgefield.operators.ranges import ordered_ranges
+
 
 def segments(curve: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """A curve's points as segments: by, x0, y0, x1, y1, and its ends x_lo, x_hi. Points of equal x count in the order of y."""
@@ -74,20 +76,19 @@ def gap_summary(compared: DataFrame, boundary_lo: float) -> DataFrame:
     return out.withColumn("direction", way).withColumn("overstated_by", F.when(F.col("brightest_failing_lux").isNull(), F.lit(boundary_lo) / F.col("darkest_lux")))
 
 
-def equal_bins(rows: DataFrame, value: str, tie: str, k: int) -> DataFrame:
+def equal_bins(rows: DataFrame, value: str, tie: str, k: int, ranges: int = 1024) -> DataFrame:
     """Bins of equal counts in the order of value, the first ones larger by one where it does not divide.
 
     Ranks are counted within ranges of the value and ranges are summed up, so no task sorts all rows."""
-    groups = F.floor(F.col(value))
-    per = rows.groupBy(groups.alias("_g")).agg(F.count("*").alias("_n"))
-    ahead = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select("_g", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    n = rows.count()
+    ranged = ordered_ranges(rows, value, tie, "_g", ranges)
+    per = ranged.groupBy("_g").agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)  # a few thousand ranges
+    before = per.select("_g", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     rank = F.row_number().over(Window.partitionBy("_g").orderBy(value, tie)) - 1 + F.col("_before")
-    small, extra = n // k, n % k
+    small, extra = F.floor(F.col("_all") / k), F.col("_all") % k
     first = extra * (small + 1)
-    bin_ = F.when(rank < first, F.floor(rank / (small + 1))).otherwise(extra + F.floor((rank - first) / max(small, 1)))
-    return rows.withColumn("_g", groups).join(before, "_g").withColumn("bin", (bin_ + 1).cast("int")).drop("_g", "_before")
+    bin_ = F.when(rank < first, F.floor(rank / (small + 1))).otherwise(extra + F.floor((rank - first) / F.greatest(small, F.lit(1))))
+    return ranged.join(before, "_g").withColumn("bin", (bin_ + 1).cast("int")).drop("_g", "_before", "_all")
 
 
 def uncertain(value: Column, lo: float, hi: float) -> Column:

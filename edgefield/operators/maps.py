@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,14 +23,25 @@ def in_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def nearest_other(cells: DataFrame, far: int = 1_000_000) -> DataFrame:
-    """Chebyshev distance of each cell to the nearest with another verdict; far if there is none.
-
-    Only cells on an edge can be nearest, so the theta join is with the boundary and not with the whole map."""
-    around = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1)]
-    moved = cells.select(F.explode(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), F.col("failed").alias("other")) for a, b in around])).alias("m")).select("m.*").distinct()
-    rim = cells.join(moved, ["i", "j"]).where("other != failed").select(F.col("i").alias("ri"), F.col("j").alias("rj"), F.col("failed").alias("rf")).distinct()
-    gap = F.greatest(F.abs(F.col("i") - F.col("ri")), F.abs(F.col("j") - F.col("rj")))
-    return cells.join(rim, F.col("failed") != F.col("rf"), "left").groupBy("i", "j", "failed").agg(F.coalesce(F.min(gap), F.lit(far)).alias("distance"))
+    """cells: i, j, failed (not null). Chebyshev distance of each cell to the nearest with another verdict; far if there is none.
+
+    Two passes: windows along i say how far the nearest cell of either verdict is within a column, and each row of the map then
+    takes the best column as an array of its own. No cell is joined with a rim; a row holds as many cells as the map is wide."""
+    column = Window.partitionBy("j").orderBy("i")
+    below, above = column.rowsBetween(Window.unboundedPreceding, 0), column.rowsBetween(0, Window.unboundedFollowing)
+
+    def away(verdict: Column) -> Column:
+        at = F.when(verdict, F.col("i"))
+        return F.least(F.col("i") - F.last(at, ignorenulls=True).over(below), F.first(at, ignorenulls=True).over(above) - F.col("i"), F.lit(far))
+
+    near = cells.select("i", "j", "failed", away(F.col("failed")).alias("to_failed"), away(~F.col("failed")).alias("to_passed"))
+    rows = near.groupBy("i").agg(F.collect_list(F.struct("j", "failed", "to_failed", "to_passed")).alias("row"))
+
+    def nearest(c: Column) -> Column:
+        gap = F.transform("row", lambda o: F.greatest(F.abs(o["j"] - c["j"]), F.when(c["failed"], o["to_passed"]).otherwise(o["to_failed"])))
+        return F.struct(c["j"].alias("j"), c["failed"].alias("failed"), F.least(F.array_min(gap), F.lit(far)).alias("distance"))
+
+    return rows.select("i", F.inline(F.transform("row", nearest)))
 
 
 def validity(truth: DataFrame, found: DataFrame) -> DataFrame:

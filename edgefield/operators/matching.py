@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgefield.functions.geometry import BOX, iou
+from edgefield.operators.ranges import ordered_ranges
 
 IOU = 0.5
 KEY = ["image_id", "label"]
@@ -55,25 +56,27 @@ def truth_counts(truths: DataFrame) -> DataFrame:
     return truths.groupBy("label").agg(F.count("*").alias("n_gt"))
 
 
-def average_precision(matches: DataFrame, counts: DataFrame, buckets: int = 4096) -> DataFrame:
-    """ap by probe and label, for labels that have truths and detections. counts: label, n_gt.
+def average_precision(matches: DataFrame, counts: DataFrame, ranges: int = 1024) -> DataFrame:
+    """ap by probe and label, for labels that have truths and detections. counts: label, n_gt. Reads matches three times.
 
     Precision is made monotone from the right; only hits add recall, so AP is the sum over hits of that precision by n_gt.
-    A probe and label may hold any share of the rows: they are ranked within buckets of the score, and what stands before a
-    bucket (hits, rows) and after it (the largest precision) comes from sums by bucket."""
+    A probe and label may hold any share of the rows, and a score too: they are ranked within ranges of score and image, and what
+    stands before a range (hits, rows) and after it (the largest precision) comes from sums by range."""
     group = ["probe_id", "label"]
-    rows = matches.withColumn("b", F.floor(F.col("score") * buckets)).withColumn("hit", F.col("matched").cast("int"))
-    ahead = Window.partitionBy(*group).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = matches.withColumn("falling", -F.col("score")).withColumn("hit", F.col("matched").cast("int"))
+    rows = ordered_ranges(rows, "falling", "image_id", "b", ranges)
+    ahead = Window.partitionBy(*group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*group, "b").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
     before = sums.select(*group, "b", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(ahead), F.lit(0)).alias("h0"))
-    by = Window.partitionBy(*group, "b").orderBy(F.desc("score"), "image_id", *BOX)
+    by = Window.partitionBy(*group, "b").orderBy("falling", "image_id", *BOX)
     ranked = rows.join(before, [*group, "b"]).withColumn("precision", (F.col("h0") + F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0))) / (F.col("n0") + F.row_number().over(by)))
     ranked = ranked.withColumn("within", F.max("precision").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    # a bucket's hits and their precision, with its largest precision; hits below the largest of later buckets take that one
-    per = ranked.groupBy(*group, "b").agg(F.max("precision").alias("most"), F.collect_list(F.when(F.col("matched"), F.col("within"))).alias("hits"))
-    later = Window.partitionBy(*group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    # a range's hits by their precision, with its largest; hits below the largest of later ranges take that one
+    level = ranked.groupBy(*group, "b", "within").agg(F.sum("hit").alias("n"))
+    per = level.groupBy(*group, "b").agg(F.max("within").alias("most"), F.collect_list(F.when(F.col("n") > 0, F.struct("within", "n"))).alias("levels"))
+    later = Window.partitionBy(*group).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("later", F.coalesce(F.max("most").over(later), F.lit(0.0)))
-    area = F.aggregate("hits", F.lit(0.0), lambda acc, p: acc + F.greatest(p, F.col("later")))
+    area = F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + x["n"] * F.greatest(x["within"], F.col("later")))
     total = per.withColumn("area", area).groupBy(*group).agg(F.sum("area").alias("area"))
     return total.join(F.broadcast(counts), "label").select(*group, (F.col("area") / F.col("n_gt")).alias("ap"), "n_gt")  # one row for each label
 

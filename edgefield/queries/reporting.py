@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgefield.functions import text as T
 from edgefield.operators import decoding as D
+from edgefield.operators.ranges import first_ranks
 from edgefield.plans import report
 from edgefield.sources.ledger import numbered
 from edgefield.sources.tables import table
@@ -14,9 +15,10 @@ from edgefield.sources.tables import table
 
 def rank_correlation(spark, d):
     """Rank correlation of value and time by kind of event; ranks of ties are the first of them."""
-    e = table(spark, d, "events")
-    r = e.select("event_type", F.rank().over(Window.partitionBy("event_type").orderBy("value")).cast("double").alias("a"), F.rank().over(Window.partitionBy("event_type").orderBy("ts")).cast("double").alias("b"))
-    return r.groupBy("event_type").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    e = table(spark, d, "events").select("event_type", "value", F.expr("timestampdiff(MICROSECOND, TIMESTAMP '1970-01-01', ts)").alias("at"))
+    for of, rank in (("value", "a"), ("at", "b")):
+        e = e.join(first_ranks(e, ["event_type"], of, rank), ["event_type", of])
+    return e.groupBy("event_type").agg(F.round(F.corr(F.col("a").cast("double"), F.col("b").cast("double")), 6).alias("rho"))
 
 
 def grid_decode(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgefield.functions.geometry import BOX, iou
 from edgefield.operators import matching as M
+from edgefield.operators.ranges import first_ranks, ordered_ranges
 from edgefield.operators.suppression import suppress
 
 
@@ -61,7 +62,7 @@ def test_matching_is_the_plain_one(spark):
         assert (r.matched, r.gt_idx) == (hit, gt) and r.best_iou == pytest.approx(best)
 
 
-def ap_of(spark, hits, n_gt, buckets=4096):
+def ap_of(spark, hits, n_gt, buckets=1024):
     rows = [(0, i, 0, 1.0 - i / 100, 0.0, 0.0, 1.0, 1.0, bool(h)) for i, h in enumerate(hits)]
     m = spark.createDataFrame(rows, "probe_id int, image_id long, label int, score double, x0 double, y0 double, x1 double, y1 double, matched boolean")
     return M.average_precision(m, spark.createDataFrame([(0, n_gt)], "label int, n_gt long"), buckets).first().ap
@@ -133,3 +134,33 @@ def test_pairs_and_suppression_reach_every_probe(spark):
     assert {r.probe_id for r in scoring.iou_pairs_by_probe(spark, sf).collect()} == every
     out = scoring.nms_by_probe(spark, sf).collect()
     assert {r.probe_id for r in out} == every and sum(r.n for r in out) == detections(spark, sf).count()
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, -1.5, 0.0, 0.25, 0.25001, 7.0, float("inf")]), st.integers(0, 30)), max_size=60, unique=True), st.sampled_from([1, 2, 5, 1024]))
+def test_ranges_rise_in_the_order_of_value_and_tie(spark, rows, parts):
+    df = spark.createDataFrame(rows, "v double, t long")
+    got = sorted(((r.v is not None, r.v or 0.0), r.t, r.g) for r in ordered_ranges(df, "v", "t", "g", parts).collect())
+    assert len(got) == len(rows) and [g for *_, g in got] == sorted(g for *_, g in got)
+
+
+def test_a_value_that_most_rows_share_is_cut_by_the_tie(spark):
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN id / 100 ELSE 5.0D END AS v", "id AS t")
+    sizes = [r["count"] for r in ordered_ranges(df, "v", "t", "g", 64).groupBy("g").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 20_000 / 64 * 2
+
+
+def test_first_ranks_are_those_of_one_sort(spark):
+    df = spark.range(500).selectExpr("id % 2 AS k", "CAST(pmod(id * 37, 41) AS double) AS v")
+    want = {(r.k, r.v): r.n for r in df.selectExpr("k", "v", "rank() OVER (PARTITION BY k ORDER BY v) AS n").collect()}
+    assert {(r.k, r.v): r.n for r in first_ranks(df, ["k"], "v", "n", 7).collect()} == want
+
+
+def test_average_precision_with_one_score_for_all(spark):
+    rows = [(0, i, 0, 0.5, 0.0, 0.0, 1.0, 1.0, i % 3 == 0) for i in range(300)]
+    m = spark.createDataFrame(rows, "probe_id int, image_id long, label int, score double, x0 double, y0 double, x1 double, y1 double, matched boolean")
+    hits, best, area = 100, 0.0, 0.0
+    for i in range(299, -1, -1):
+        best = max(best, (i // 3 + 1) / (i + 1))
+        area += best * (i % 3 == 0)
+    assert M.average_precision(m, spark.createDataFrame([(0, hits)], "label int, n_gt long"), 16).first().ap == pytest.approx(area / hits)
