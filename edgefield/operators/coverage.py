@@ -76,7 +76,7 @@ def gap_summary(compared: DataFrame, boundary_lo: float) -> DataFrame:
     return out.withColumn("direction", way).withColumn("overstated_by", F.when(F.col("brightest_failing_lux").isNull(), F.lit(boundary_lo) / F.col("darkest_lux")))
 
 
-def equal_bins(rows: DataFrame, value: str, tie: str, k: int, ranges: int = 1024) -> DataFrame:
+def equal_bins(rows: DataFrame, value: str, tie: str, k: int, ranges: int = 512) -> DataFrame:
     """Bins of equal counts in the order of value, the first ones larger by one where it does not divide.
 
     Ranks are counted within ranges of the value and ranges are summed up, so no task sorts all rows."""

@@ -56,7 +56,7 @@ def truth_counts(truths: DataFrame) -> DataFrame:
     return truths.groupBy("label").agg(F.count("*").alias("n_gt"))
 
 
-def average_precision(matches: DataFrame, counts: DataFrame, ranges: int = 1024) -> DataFrame:
+def average_precision(matches: DataFrame, counts: DataFrame, ranges: int = 512) -> DataFrame:
     """ap by probe and label, for labels that have truths and detections. counts: label, n_gt. Reads matches three times.
 
     Precision is made monotone from the right; only hits add recall, so AP is the sum over hits of that precision by n_gt.
@@ -98,8 +98,8 @@ def counts_by_probe(matches: DataFrame, counts: DataFrame) -> DataFrame:
 
 def verdicts(scores: DataFrame, baseline_probe: int = 0, share: float = 0.6) -> DataFrame:
     """failed: map50 is strictly below the share of the baseline's."""
-    base = scores.where(F.col("probe_id") == baseline_probe).select((F.col("map50") * share).alias("threshold"))
-    return scores.crossJoin(F.broadcast(base)).withColumn("failed", F.col("map50") < F.col("threshold"))
+    base = F.max(F.when(F.col("probe_id") == baseline_probe, F.col("map50"))).over(Window.partitionBy())  # one row for each probe
+    return scores.withColumn("threshold", base * share).where("threshold IS NOT NULL").withColumn("failed", F.col("map50") < F.col("threshold"))
 
 
 def scored_labels(detections: DataFrame, truths: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -16,23 +17,25 @@ def _indexed(rows: DataFrame, value: str, cuts: list[float], out: str) -> DataFr
     return Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep").transform(at).drop("_v")
 
 
-def ordered_ranges(rows: DataFrame, value: str, tie: str, out: str, parts: int = 1024) -> DataFrame:
-    """Adds out, a number that rises in the order of (value, tie), equal for about a share of 1/parts of the rows.
+def ordered_ranges(rows: DataFrame, value: str, tie: str, out: str, parts: int = 512) -> DataFrame:
+    """Adds out, a number that rises in the order of (value, tie), equal for about three shares of 1/parts of the rows at most.
 
-    Cuts are quantiles of the value; rows whose value is itself a cut are a range of their own, cut again by quantiles of the
+    Cuts are quantiles of the value; a value that is three of them or more is a range of its own, cut again by quantiles of the
     tie, so neither crowded values nor a value that many rows share make a large range. The driver holds 2 * parts numbers.
-    Only one value shared by more than its share of rows that also share one tie stays whole."""
+    Only rows that share both value and tie stay together whatever their number."""
     shares = [(i + 1) / parts for i in range(parts - 1)] or [0.5]
     at = lambda c: F.percentile_approx(F.col(c).cast("double"), shares, 10 * parts)
     found = rows.agg(at(value).alias("v"), at(tie).alias("t")).first()
-    values, ties = ([c for c in sorted(set(cs or [])) if math.isfinite(c)] for cs in found)
-    marked = _indexed(_indexed(rows, value, values, "_i"), tie, ties, "_j")
-    is_cut = F.coalesce(F.get(F.lit([math.nan, *values]), F.col("_i").cast("int")) == F.col(value).cast("double"), F.lit(False))
-    place = F.col("_i").cast("long") * 2 + F.when(is_cut, 0).otherwise(1)
-    return marked.withColumn(out, place * (parts + 2) + F.when(is_cut, F.col("_j").cast("long")).otherwise(0)).drop("_i", "_j")
+    values, ties = (Counter(c for c in cs or [] if math.isfinite(c)) for cs in found)
+    marked = _indexed(_indexed(rows, value, sorted(values), "_i"), tie, sorted(ties), "_j")
+    # the cut at a range's lower end where many rows share it
+    shared = F.lit([math.nan, *(v if values[v] > 2 else math.nan for v in sorted(values))])
+    is_shared = F.coalesce(F.get(shared, F.col("_i").cast("int")) == F.when(~F.isnan(value), F.col(value).cast("double")), F.lit(False))
+    place = F.col("_i").cast("long") * 2 + F.when(is_shared, 0).otherwise(1)
+    return marked.withColumn(out, place * (parts + 2) + F.when(is_shared, F.col("_j").cast("long")).otherwise(0)).drop("_i", "_j")
 
 
-def first_ranks(rows: DataFrame, group: list[str], value: str, out: str, parts: int = 1024) -> DataFrame:
+def first_ranks(rows: DataFrame, group: list[str], value: str, out: str, parts: int = 512) -> DataFrame:
     """group, a numeric value and out: rank() of the value within its group, which may hold any share of the rows.
 
     Equal values are counted first and are one row here; what stands before a range comes from sums by range."""
