@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgefield.llm import embeddings, langid, matroska, minhash, mixing, packing, secrets, substrings, toxicity, urls
+from edgefield.llm import embeddings, langid, matroska, minhash, mixing, packing, secrets, sharding, substrings, toxicity, turns, urls
 from edgefield.llm._common import table
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -95,6 +95,16 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_rem
 FROM w LEFT JOIN lost USING (doc_id)
 """
 
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    return turns.digests(original, turns.repaired(turns.damaged(original)))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placement(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
@@ -106,9 +116,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_sharding": op13_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_dedup": OP3_SQL,
     "op6_mixing": mixing.oracle(OP6_MIX),
     "op10_substring_dedup": OP10_SQL,
+    "op12_conversation_repair": turns.ORACLE_SQL,
+    "op13_sharding": sharding.oracle(),
 }
