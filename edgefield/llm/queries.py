@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgefield.llm import embeddings, langid, matroska, minhash, mixing, packing, secrets, sharding, substrings, toxicity, turns, urls
+from edgefield.llm import embeddings, langid, matroska, minhash, mixing, negatives, packing, secrets, sharding, substrings, toxicity, turns, urls
 from edgefield.llm._common import table
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -96,6 +96,24 @@ FROM w LEFT JOIN lost USING (doc_id)
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label))
+
+
+OP11_SQL = """
+WITH f AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q, len(embedding) AS size
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM f a JOIN f b ON a.vec_id % 100 = 0 AND a.vec_id != b.vec_id AND a.size = b.size),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     original = table(spark, sf_dir, "conversations")
     return turns.digests(original, turns.repaired(turns.damaged(original)))
@@ -116,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_sharding": op13_sharding,
 }
@@ -123,6 +142,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_dedup": OP3_SQL,
     "op6_mixing": mixing.oracle(OP6_MIX),
     "op10_substring_dedup": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_conversation_repair": turns.ORACLE_SQL,
     "op13_sharding": sharding.oracle(),
 }
