@@ -49,9 +49,19 @@ def worker_command(condition: Column, fixed: Column, dataset: Column, pipeline:
     return F.concat_ws(" ", set_command(condition, seed), fix, F.lit("--dataset"), dataset, F.lit("--pipeline"), pipeline, F.lit("--frames"), frames.cast("string"))
 
 
-CITATION = r"(-?[\d,]+(?:\.\d+)?)\s*([%×xA-Za-zµ°/]{1,12})?\s*<!--\s*bench:([^\s>]+?)\s*-->"
-_COVERED = CITATION + r"|`[^`]*`|(?s:<!--.*?-->)"
-DECIMAL = r"(?<![\w.])\d+\.\d+(?!\d|\.\d)"
+#: Fixed values, the syntax of the documents: a figure's source stands in a comment after it; code spans and comments are not prose.
+SOURCE_MARK = r"<!--[ \t]*bench:([^\s>]+)[ \t]*-->"
+CODE_SPAN = r"`[^`]*`"
+COMMENT = r"(?s:<!--.*?-->)"
+
+# A citation is a number, a unit of at most twelve letters or signs if there is one, and the source's comment, on one line.
+_COUNT = r"-?\d[\d,]*(?:\.\d+)?"
+_UNIT = r"[\p{L}%°×/]{1,12}"
+CITATION = rf"({_COUNT})[ \t]*({_UNIT})?[ \t]*{SOURCE_MARK}"
+_NOT_PROSE = "|".join((CITATION, CODE_SPAN, COMMENT))
+#: Words and numbers with what dots hold together: a decimal is one that begins with digits, a dot and digits, and goes on with neither.
+_TOKEN = r"[\w.]*\w"
+_DECIMAL = r"^(\d+\.\d+)(?:[^\d.]|\.\D|$)"
 
 
 def cited_figures(text: Column) -> Column:
@@ -63,17 +73,22 @@ def cited_figures(text: Column) -> Column:
 
 def uncited_figures(text: Column) -> Column:
     """Decimals that no citation covers and that stand in no code span or comment: an array of (line, figure), lines from 1."""
-    pieces, covered = F.split(text, _COVERED, -1), F.regexp_extract_all(text, F.lit(_COVERED), F.lit(0))
-    blanked = F.array_join(F.zip_with(pieces, covered, lambda p, c: F.concat(p, F.coalesce(F.regexp_replace(c, r"[^\n]", " "), F.lit("")))), "")
-    lines = F.transform(F.split(blanked, "\n"), lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(DECIMAL), F.lit(0)), lambda f: F.struct((i + 1).alias("line"), f.alias("figure"))))
-    return F.flatten(lines)
+    prose, covered = F.split(text, _NOT_PROSE, -1), F.regexp_extract_all(text, F.lit(_NOT_PROSE), F.lit(0))
+    blanks = F.transform(covered, lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\n]+", "")))  # line ends stay, to count by
+    joined = F.array_join(F.zip_with(prose, blanks, lambda p, b: F.concat(p, F.coalesce(b, F.lit("")))), "")
+    figures = lambda line: F.filter(F.transform(F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0)), lambda t: F.regexp_extract(t, _DECIMAL, 1)), lambda f: f != "")
+    return F.flatten(F.transform(F.split(joined, "\n"), lambda line, i: F.transform(figures(line), lambda f: F.struct((i + 1).alias("line"), f.alias("figure")))))
 
 
 def limitations(markdown: Column) -> Column:
-    """The bold openings of the numbered items under the heading of known limitations, as plain text; none without the heading."""
-    section = F.when(F.instr(markdown, F.lit("## Known limitations")) > 0, F.substring(markdown, F.instr(markdown, F.lit("## Known limitations")) + 20, F.length(markdown)))
-    items = F.regexp_extract_all(section, F.lit(r"(?m)^\d+\.\s+\*\*(.+?)\*\*"), F.lit(1))
-    return F.coalesce(F.transform(items, lambda x: F.trim(F.regexp_replace(F.replace(x, F.lit("`"), F.lit("")), r"\s+", " "))), F.array().cast("array<string>"))
+    """What each numbered item under the heading of known limitations opens with in bold, as plain text; none without the heading.
+
+    An item begins where a line begins with a number, a dot and a bold text; it may run over several lines."""
+    under = F.get(F.split(markdown, "## Known limitations", 2), F.lit(1))
+    items = F.slice(F.split(under, r"(?m)^\d+\.\s+(?=\*\*)", -1), 2, 1 << 20)
+    bold = F.transform(items, lambda item: F.split(item, r"\*\*", 3))
+    plain = F.transform(F.filter(bold, lambda b: (F.size(b) == 3) & (b[1] != "")), lambda b: F.trim(F.regexp_replace(F.translate(b[1], "`", ""), r"\s+", " ")))
+    return F.coalesce(plain, F.array().cast("array<string>"))
 
 
 def trace_line(decision_id: Column, tool: Column, accepted: Column, detail: Column) -> Column:
@@ -103,7 +118,9 @@ def masked_code(text: Column) -> Column:
 
 
 def placeholders(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\[TBD\]"))
+    """How many notes in brackets say that something is to come: [TBD] or [TBD with a note], [update after something], in any case."""
+    notes = F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\]\[]*)\]"), F.lit(1)), F.lower)
+    return F.size(F.filter(notes, lambda n: n.rlike(r"^tbd\b") | n.startswith("update after ")))
 
 
 def close_enough(a: Column, b: Column, share: float = 0.005) -> Column:
