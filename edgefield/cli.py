@@ -9,6 +9,7 @@ from pathlib import Path
 
 from edgefield.functions.axes import AXES
 from edgefield.plans import budget
+from edgefield.plans.report import NOT_MEASURED
 
 
 def pairs(items: list[str]) -> dict[str, float]:
@@ -61,13 +62,14 @@ def _session():
     return SparkSession.builder.appName("edgefield").getOrCreate()
 
 
-def run_report(dataset: str, seed: int, n_frames: int, found: dict) -> str:
-    """found: axis to (clean map50, outcome). What was covered of each axis comes before what was found, each finding with a witness
-    (the failing probe of least axis value), its bracket's width and middle, and the command that repeats its milder end."""
+def run_report(dataset: str, seed: int, n_frames: int, found: dict, covered: dict[str, dict]) -> str:
+    """found: axis to (clean map50, outcome); covered: axis to what the set itself covers of it, by plans.covered. That comes before what
+    was found, with the regions that no frame reaches; an axis that no measure shows says "not measured". Each finding has a witness (the
+    failing probe of least axis value), its bracket's width and middle, and the command that repeats its milder end."""
     coverage, findings = [], []
     for name, (clean, o) in found.items():
         axis, values = AXES[name], [v for v, _ in o.probes]
-        coverage.append({"axis": name, "unit": axis.unit, "probed": sorted(values), "percent": round(100 * (max(values) - min(values)) / (axis.hi - axis.lo), 2)})
+        coverage.append({"axis": name, "unit": axis.unit, "probed": sorted(values), **covered.get(name, {"percent": NOT_MEASURED})})
         failing = [v for v, bad in o.probes if bad]
         located = o.lower is not None
         at = o.upper if axis.severe_end == "hi" else o.lower
@@ -133,6 +135,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     from edgefield.plans import probe
+    from edgefield.plans.covered import described
 
     spark = _session()
     frames, truths = _set(spark, args.dataset, args.labels, args.limit)
@@ -143,7 +146,8 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(row.asDict()))
         return 0
     found = {axis: probe.search_axis(frames, truths, axis, probe.BrightBoxes, args.seed) for axis in args.axis}
-    print(run_report(args.dataset, args.seed, frames.count(), found))
+    probed = {axis: [v for v, _ in o.probes] for axis, (_, o) in found.items()}
+    print(run_report(args.dataset, args.seed, frames.count(), found, described(frames, probed, args.seed)))
     return 0
 
 

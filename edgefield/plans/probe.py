@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgefield.functions.axes import AXES
@@ -15,6 +15,7 @@ from edgefield.operators import kernels as K
 from edgefield.operators import matching as M
 from edgefield.operators import measures as M2
 from edgefield.plans.search import Outcome, locate
+from edgefield.sources.store import ProbeStore
 
 _DETECTED = "probe_id string, image_id long, label int, score double, x0 double, y0 double, x1 double, y1 double"
 
@@ -74,14 +75,41 @@ def scored(detections: DataFrame, truths: DataFrame, probes: DataFrame) -> DataF
     return M.map50(matches, counts, probes).join(M.counts_by_probe(matches, counts), "probe_id", "left")
 
 
-def search_axis(frames: DataFrame, truths: DataFrame, axis_name: str, make: Callable[[], Any], seed: int, steps: int = 33, verify: int = 5, share: float = 0.6) -> tuple[float, Outcome]:
-    """The clean set's map50, and where on an axis the pipeline falls below its share of that. A wave is one job."""
+class Memory(NamedTuple):
+    """A store, and what of a probe's identity its condition and seed do not say: the set's name and size, and the pipeline's."""
+
+    store: ProbeStore
+    dataset: str
+    frames: int
+    pipeline: str
+
+
+def recalled(memory: Memory, spark: SparkSession, conditions: dict[str, dict[str, float]], seed: int, fresh: Callable[[dict[str, dict[str, float]]], dict[str, float]]) -> dict[str, float]:
+    """map50 of a wave's probes: what the store holds is not run again, and what is run is put there. A wave is a handful of probes."""
+    kind = "probe_id string, dataset string, frames long, pipeline string, condition map<string,double>, seed long"
+    row = lambda probe: (probe, memory.dataset, memory.frames, memory.pipeline, {k: float(v) for k, v in conditions[probe].items()}, seed)
+    wanted = spark.createDataFrame([row(p) for p in conditions], kind)
+    known = {r["probe_id"]: r["map50"] for r in memory.store.get(wanted, ["map50"]).where("hit").collect()}
+    absent = {p: c for p, c in conditions.items() if p not in known}
+    if absent:
+        found = fresh(absent)
+        memory.store.put(spark.createDataFrame([(*row(p)[1:], found[p]) for p in absent], kind.removeprefix("probe_id string, ") + ", map50 double"))
+        known |= found
+    return known
+
+
+def search_axis(frames: DataFrame, truths: DataFrame, axis_name: str, make: Callable[[], Any], seed: int, steps: int = 33, verify: int = 5, share: float = 0.6, memory: Memory | None = None) -> tuple[float, Outcome]:
+    """The clean set's map50, and where on an axis the pipeline falls below its share of that. A wave is one job, of the probes that
+    no store holds."""
     spark, axis = frames.sparkSession, AXES[axis_name]
 
-    def map50(conditions: dict[str, dict[str, float]]) -> dict[str, float]:
+    def run(conditions: dict[str, dict[str, float]]) -> dict[str, float]:
         probes = spark.createDataFrame([(k,) for k in conditions], "probe_id string")
         return {r["probe_id"]: r["map50"] for r in scored(wave(frames, conditions, make, seed), truths, probes).collect()}
 
+    def map50(conditions: dict[str, dict[str, float]]) -> dict[str, float]:
+        return recalled(memory, spark, conditions, seed, run) if memory else run(conditions)
+
     clean = map50({"baseline": {}})["baseline"]
 
     def evaluate(values: list[float]) -> list[bool]:

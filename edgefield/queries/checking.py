@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from edgefield.functions.axes import AXES
 from edgefield.operators import figures
+from edgefield.plans import covered
+from edgefield.queries.recording import tiles
+from edgefield.sources.shared import folder
+from edgefield.sources.store import ProbeStore
 from edgefield.sources.tables import table
 
 
@@ -37,7 +42,30 @@ def cited_paths(spark, d):
     return figures.checked(_citing(spark, d), _recorded(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (cited_paths,)}
+def probe_store(spark, d):
+    """Events as probes: a first put, a retry of some that replaces them, a compaction, and then a look-up of them all."""
+    e = table(spark, d, "events")
+    axis = F.create_map(F.lit("fog.beta_per_m"), F.col("value"), F.lit("jpeg.quality"), F.pmod("user_id", F.lit(3)).cast("double"))
+    probes = e.select("event_id", F.col("event_type").alias("dataset"), F.lit(100).alias("frames"), F.lit("stand-in").alias("pipeline"), axis.alias("condition"), F.lit(7).alias("seed"), (F.col("event_id") / 8).alias("map50"))
+    store = ProbeStore(spark, folder(spark, "store"))
+    store.put(probes.where("event_id % 2 = 0"), ["event_id"])
+    store.put(probes.where("event_id % 6 = 0").withColumn("map50", F.col("map50") + 0.5), ["event_id"])
+    store.compact()
+    # the same conditions in another order, off by rounding and with zero's other sign
+    quality, beta = F.col("condition")["jpeg.quality"], F.col("condition")["fog.beta_per_m"]
+    axis = F.create_map(F.lit("jpeg.quality"), F.when(quality == 0, F.lit(-0.0)).otherwise(quality), F.lit("fog.beta_per_m"), beta * (1 + 1e-15))
+    return store.get(probes.drop("map50").withColumn("condition", axis), ["map50"]).select("event_id", "hit", "map50")
+
+
+def measured_coverage(spark, d):
+    """What frames made of all vectors cover of three axes, by a sweep of nine values each. Not as SQL: kernels run on pixels."""
+    probed = {name: [AXES[name].from_severity(k / 8) for k in range(9)] for name in ("fog.beta_per_m", "jpeg.quality", "motion_blur.exposure_ms")}
+    out = covered.covered(covered.measured(tiles(spark, d), probed, 7))
+    r = lambda c: F.round(c, 9).alias(c)
+    return out.select("axis", r("covered_lo"), r("covered_hi"), r("fraction"), F.size("uncovered").alias("n_uncovered"))
+
+
+QUERIES = {f.__name__: f for f in (cited_paths, probe_store, measured_coverage)}
 SQL = {
     "cited_paths": """WITH e AS (SELECT event_id, user_id, floor(value * 100 + 0.5)::BIGINT AS cents, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
 p AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS l, event_id AS i, cents, k, user_id AS u FROM documents JOIN e ON event_id = doc_id)
@@ -46,4 +74,7 @@ SELECT doc_id, (l + 2)::INT AS line, CASE i % 5 WHEN 3 THEN 'e/x' ELSE 'e/' END
        CASE i % 5 WHEN 1 THEN 'another value' WHEN 2 THEN 'no number there' WHEN 3 THEN 'no such file' ELSE 'fine' END AS verdict FROM p
 UNION ALL SELECT doc_id, l + 3, 'e/' || i || '.run.seen[0]', (cents + cents // 250)::DOUBLE, cents::DOUBLE, 'fine' FROM p
 UNION ALL SELECT doc_id, l + 3, 'e/' || i || '.run.kind', 7::DOUBLE, NULL, 'no number there' FROM p""",
+    "probe_store": """WITH k AS (SELECT event_id, event_type || '|' || printf('%.11e', value) || '|' || user_id % 3 AS k FROM events),
+a AS (SELECT k, max(event_id) AS i FROM k WHERE event_id % 2 = 0 GROUP BY k), b AS (SELECT k, max(event_id) AS i FROM k WHERE event_id % 6 = 0 GROUP BY k)
+SELECT event_id, a.i IS NOT NULL AS hit, coalesce(b.i / 8 + 0.5, a.i / 8)::DOUBLE AS map50 FROM k LEFT JOIN a USING (k) LEFT JOIN b USING (k)""",
 }

@@ -71,7 +71,7 @@ def whole_run_cost(spark, d):
     return L.run_costs(tasks, prices, extras).select("run_id", "tasks", *[F.round(c, 6).alias(c) for c in ("billed_s", "task_usd", "function_usd", "transition_usd", "model_usd", "total_usd")])
 
 
-def _tiles(spark, d):
+def tiles(spark, d):
     """Every embedding as a grey frame of 8 x 8."""
 
     def run(batches):
@@ -84,13 +84,13 @@ def _tiles(spark, d):
 
 def tile_measures(spark, d):
     """The operator's own measures of every frame."""
-    out = measures.measure(_tiles(spark, d), ["image_id"])
+    out = measures.measure(tiles(spark, d), ["image_id"])
     return out.select("image_id", F.round("laplacian_var", 6).alias("laplacian_var"), F.round("rms_contrast", 6).alias("rms_contrast"), F.round("mean_level", 6).alias("mean_level"))
 
 
 def tile_luminance(spark, d):
     """Every frame at half its size, and the mean linear luminance of that."""
-    out = measures.prepared(_tiles(spark, d), 4)
+    out = measures.prepared(tiles(spark, d), 4)
     return out.select("image_id", "height", "width", F.round("mean_linear", 6).alias("mean_linear"))
 
 

@@ -225,8 +225,8 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["plan", "--run", str(tmp_path / "run"), "--ledger", str(tmp_path / "ledger")]) == 0
     assert json.loads(capsys.readouterr().out)["probes"] == [{"probe_id": "baseline", "set": {}, "command": "edgefield probe --seed 20260906"}]
-    told = json.loads(cli.run_report("road", 7, 10, {"jpeg.quality": (0.6, locate(AXES["jpeg.quality"], lambda vs: [v <= 9.4 for v in vs], 95 / 32, 5))}))
-    assert list(told) == ["run", "coverage", "findings"] and told["coverage"][0]["percent"] == 100.0
+    told = json.loads(cli.run_report("road", 7, 10, {"jpeg.quality": (0.6, locate(AXES["jpeg.quality"], lambda vs: [v <= 9.4 for v in vs], 95 / 32, 5))}, {}))
+    assert list(told) == ["run", "coverage", "findings"] and told["coverage"][0]["percent"] == "not measured"
     assert told["findings"][0]["witness"] == 5.0 and told["findings"][0]["reproduce"].startswith("edgefield probe --dataset road --set jpeg.quality=7.96")
     assert cli.main(["approve", "--run", str(tmp_path / "run"), "--amount", "1", "--by", "me"]) == 0
     assert json.loads(capsys.readouterr().out)["version"] == 2
