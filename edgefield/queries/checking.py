@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from edgefield.functions.axes import AXES
 from edgefield.operators import figures
+from edgefield.operators import ledgers as L
 from edgefield.plans import covered
 from edgefield.queries.recording import tiles
 from edgefield.sources.shared import folder
@@ -65,7 +66,30 @@ def measured_coverage(spark, d):
     return out.select("axis", r("covered_lo"), r("covered_hi"), r("fraction"), F.size("uncovered").alias("n_uncovered"))
 
 
-QUERIES = {f.__name__: f for f in (cited_paths, probe_store, measured_coverage)}
+def run_states(spark, d):
+    """Events of users as what happens to a run: plans, halts, approvals, ends; what a run's status does not allow is refused."""
+    event = F.expr("CASE WHEN value < 5 THEN 'redo' WHEN event_type = 'error' THEN 'halt' WHEN event_type = 'purchase' THEN 'approve' WHEN event_type = 'signup' AND event_id % 8 = 0 THEN 'finalize' WHEN event_type = 'signup' AND event_id % 8 = 1 THEN 'cancel' ELSE 'plan' END")
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), event.alias("event"), (F.col("value") - 20).alias("amount"), F.when(F.col("event_id") % 7 == 0, " ").otherwise("someone").alias("by"))
+    return L.run_states(e).withColumn("budget", F.round("budget", 6))
+
+
+_DECISIONS = """SELECT event_id // 24 AS run_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'charge' WHEN 'view' THEN 'prioritize_axes' WHEN 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 'delete_run' ELSE 'charge' END ELSE 'reallocate_budget' END AS tool,
+floor(value)::BIGINT AS cents, event_id % 6 AS n, event_id % 3 AS m, CASE event_id % 3 WHEN 0 THEN 'b,a' WHEN 1 THEN 'a,b' ELSE 'a,a' END AS o FROM events"""
+
+
+def proposal_effects(spark, d):
+    """Charges and proposals of runs in their order, and what holds of each run after every one."""
+    text = _DECISIONS.replace("event_id // 24", "event_id DIV 24").replace("floor(value)::BIGINT", "CAST(floor(value) AS BIGINT)").replace("FROM events", "FROM {events}")
+    e = spark.sql(text, events=table(spark, d, "events"))
+    one = F.create_map(F.when(F.col("seq") % 11 == 0, "z").otherwise("a"), F.when(F.col("seq") % 17 == 0, -1).otherwise(F.col("n").cast("int")))
+    split = F.when(F.col("seq") % 13 == 0, None).when(F.col("seq") % 4 == 0, F.map_concat(one, F.create_map(F.lit("b"), F.col("m").cast("int")))).otherwise(one)
+    decisions = e.select("run_id", "seq", "tool", "cents", F.split("o", ",").alias("order"), split.alias("split"))
+    runs = e.select("run_id").distinct().select("run_id", F.array(F.lit("a"), F.lit("b")).alias("axes"), F.lit(150).cast("long").alias("limit"), F.lit(30).cast("long").alias("price"))
+    told = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias(c)
+    return L.proposal_effects(decisions, runs).select("run_id", "seq", "outcome", "accepted", "state", "calls", "spent", F.array_join("order", ",").alias("order"), told("split"), told("pending"))
+
+
+QUERIES = {f.__name__: f for f in (cited_paths, probe_store, measured_coverage, run_states, proposal_effects)}
 SQL = {
     "cited_paths": """WITH e AS (SELECT event_id, user_id, floor(value * 100 + 0.5)::BIGINT AS cents, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
 p AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS l, event_id AS i, cents, k, user_id AS u FROM documents JOIN e ON event_id = doc_id)
@@ -77,4 +101,25 @@ UNION ALL SELECT doc_id, l + 3, 'e/' || i || '.run.kind', 7::DOUBLE, NULL, 'no n
     "probe_store": """WITH k AS (SELECT event_id, event_type || '|' || printf('%.11e', value) || '|' || user_id % 3 AS k FROM events),
 a AS (SELECT k, max(event_id) AS i FROM k WHERE event_id % 2 = 0 GROUP BY k), b AS (SELECT k, max(event_id) AS i FROM k WHERE event_id % 6 = 0 GROUP BY k)
 SELECT event_id, a.i IS NOT NULL AS hit, coalesce(b.i / 8 + 0.5, a.i / 8)::DOUBLE AS map50 FROM k LEFT JOIN a USING (k) LEFT JOIN b USING (k)""",
+    "run_states": """WITH RECURSIVE e AS (SELECT user_id AS run_id, event_id AS seq, CASE WHEN value < 5 THEN 'redo' WHEN event_type = 'error' THEN 'halt' WHEN event_type = 'purchase' THEN 'approve' WHEN event_type = 'signup' AND event_id % 8 = 0 THEN 'finalize' WHEN event_type = 'signup' AND event_id % 8 = 1 THEN 'cancel' ELSE 'plan' END AS event,
+  value > 20 AND event_id % 7 <> 0 AS named, value - 20 AS amount, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT DISTINCT run_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS event, NULL::BOOLEAN AS accepted, 'PLANNING' AS status, 0::BIGINT AS round, 1::BIGINT AS version, 0::DOUBLE AS budget FROM e
+UNION ALL
+SELECT run_id, k, seq, event, ok, CASE WHEN NOT ok THEN was ELSE CASE event WHEN 'halt' THEN 'AWAITING_APPROVAL' WHEN 'finalize' THEN 'DONE' WHEN 'cancel' THEN 'CANCELLED' ELSE 'RUNNING' END END,
+  round + (ok AND event = 'plan')::INT, version + (ok AND event = 'approve')::INT, budget + CASE WHEN ok AND event = 'approve' THEN amount ELSE 0 END
+FROM (SELECT e.*, f.status AS was, f.round, f.version, f.budget, CASE e.event WHEN 'plan' THEN f.status IN ('PLANNING', 'RUNNING') WHEN 'halt' THEN f.status = 'RUNNING' WHEN 'finalize' THEN f.status = 'RUNNING'
+  WHEN 'approve' THEN f.status = 'AWAITING_APPROVAL' AND named WHEN 'cancel' THEN f.status IN ('PLANNING', 'AWAITING_APPROVAL') ELSE false END AS ok FROM f JOIN e ON e.run_id = f.run_id AND e.k = f.k + 1))
+SELECT run_id, seq, event, accepted, status, round, version, round(budget, 6) AS budget, CASE WHEN accepted AND event = 'plan' THEN printf('%04d-plan', round) WHEN accepted AND event = 'approve' THEN printf('%04d-approve-%d', round, version) END AS decision_id FROM f WHERE k > 0""",
+    "proposal_effects": f"""WITH RECURSIVE p AS ({_DECISIONS}),
+e AS (SELECT *, CASE WHEN seq % 11 = 0 THEN 'z' ELSE 'a' END || '=' || CASE WHEN seq % 17 = 0 THEN -1 ELSE n END AS s1, CASE WHEN seq % 4 = 0 THEN 'b=' || m END AS s2, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k FROM p),
+g AS (SELECT *, CASE WHEN s2 IS NULL THEN s1 WHEN seq % 11 = 0 THEN s2 || ',' || s1 ELSE s1 || ',' || s2 END AS sp, 30 * (n + CASE WHEN s2 IS NULL THEN 0 ELSE m END) AS cost,
+  CASE WHEN tool = 'delete_run' THEN 'unknown_tool' WHEN tool = 'prioritize_axes' THEN CASE o WHEN 'a,a' THEN 'not_a_permutation' ELSE 'order_applied' END
+       WHEN seq % 13 = 0 THEN 'no_allocation' WHEN seq % 11 = 0 THEN 'unknown_axis' WHEN seq % 17 = 0 THEN 'bad_count' ELSE 'allocation_applied' END AS shape FROM e),
+f AS (SELECT DISTINCT run_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, 0::BIGINT AS calls, 0::BIGINT AS spent, NULL::VARCHAR AS "order", NULL::VARCHAR AS split, NULL::VARCHAR AS pending FROM g
+UNION ALL
+SELECT run_id, k, seq, was, calls + (tool <> 'charge')::INT, spent + CASE WHEN was = 'charged' THEN cents ELSE 0 END, CASE WHEN was = 'order_applied' THEN o ELSE "order" END,
+  CASE WHEN was = 'allocation_applied' THEN sp ELSE split END, CASE WHEN was = 'allocation_applied' THEN NULL WHEN was = 'over_budget' AND tool <> 'charge' THEN sp ELSE pending END
+FROM (SELECT g.*, f.calls, f.spent, f."order", f.split, f.pending, CASE WHEN tool = 'charge' THEN CASE WHEN f.spent + cents <= 150 THEN 'charged' ELSE 'over_budget' END WHEN f.calls >= 10 THEN 'call_cap'
+  WHEN shape = 'allocation_applied' AND cost > 150 - f.spent THEN 'over_budget' ELSE shape END AS was FROM f JOIN g ON g.run_id = f.run_id AND g.k = f.k + 1))
+SELECT run_id, seq, outcome, outcome IN ('charged', 'order_applied', 'allocation_applied') AS accepted, CASE WHEN outcome = 'over_budget' THEN 'AWAITING_APPROVAL' ELSE 'RUNNING' END AS state, calls, spent, "order", split, pending FROM f WHERE k > 0""",
 }

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from edgefield import cli
 from edgefield.functions.axes import AXES, unit_of
+from edgefield.operators import ledgers
 from edgefield.plans import budget, levelset, rounds
 from edgefield.plans.search import boundary, grid_crossing, locate, next_step, transitions
 
@@ -87,18 +88,51 @@ def test_contract_logs_refusals_and_keeps_its_limit():
     assert not c.request(1).approved and c.request(0).approved
 
 
-def test_gate_checks_in_order():
-    c = budget.Contract(0.05, 0.01)
-    axes = ["a", "b"]
-    say = lambda tool, args, calls=0: budget.review(tool, args, axes, c, calls)
-    assert say("anything", {}, 10).reason == "call_cap" and say("delete", {}).reason == "unknown_tool"
-    assert say("prioritize_axes", {"order": ["b", "a"]}).accepted
-    for order in (["a"], ["a", "a"], ["a", "b", "b"], ["a", "c"]):
-        assert say("prioritize_axes", {"order": order}).reason == "not_a_permutation"
-    split = lambda **k: say("reallocate_budget", {"probes_per_axis": k})
-    assert split().reason == "no_allocation" and split(z=1).reason == "unknown_axis" and split(a=-1).reason == "bad_count" and split(a=1.5).reason == "bad_count"
-    assert split(a=3, b=2).accepted and split(a=3, b=3).state == "AWAITING_APPROVAL"
-    assert budget.heuristic_order(["c", "b", "a"], {"a": 5.0, "c": 0.0}) == ["b", "c", "a"]
+DECISION = "run_id string, seq long, tool string, cents long, order array<string>, split map<string,int>"
+
+
+def effects(spark, decisions, axes, limit=5, price=1):
+    runs = spark.createDataFrame([("r", axes, limit, price)], "run_id string, axes array<string>, limit long, price long")
+    rows = [("r", i, tool, kw.get("cents"), kw.get("order"), kw.get("split")) for i, (tool, kw) in enumerate(decisions)]
+    return ledgers.proposal_effects(spark.createDataFrame(rows, DECISION), runs).orderBy("seq").collect()
+
+
+def test_gate_checks_in_order(spark):
+    order, split = lambda *o: ("prioritize_axes", {"order": list(o)}), lambda **k: ("reallocate_budget", {"split": k})
+    said = lambda *d: [(r.outcome, r.state) for r in effects(spark, d, ["a", "b"])]
+    run, wait = "RUNNING", "AWAITING_APPROVAL"
+    assert said(("delete", {}), order("b", "a"), order("a"), order("a", "a"), order("a", "b", "b"), order("a", "c"), ("prioritize_axes", {})) == [("unknown_tool", run), ("order_applied", run), *[("not_a_permutation", run)] * 5]
+    assert said(split(), split(z=1), split(a=-1), split(a=None), split(a=-1, z=1), ("reallocate_budget", {}), split(a=3, b=2), split(a=3, b=3), ("charge", {"cents": 1}), split(a=3, b=2), split(a=1)) == [
+        ("no_allocation", run), ("unknown_axis", run), ("bad_count", run), ("bad_count", run), ("unknown_axis", run), ("no_allocation", run), ("allocation_applied", run), ("over_budget", wait), ("charged", run), ("over_budget", wait), ("allocation_applied", run),
+    ]
+    rows = effects(spark, [order("b", "a"), split(a=9), ("charge", {"cents": 9}), ("charge", {"cents": 4}), split(b=1), *[order("a", "b")] * 9], ["a", "b"])
+    assert rows[1].pending == {"a": 9} and rows[1].split is None and (rows[2].outcome, rows[2].spent, rows[3].spent) == ("over_budget", 0, 4)
+    assert rows[4].pending is None and rows[4].split == {"b": 1} and rows[4].order == ["b", "a"] and rows[5].order == ["a", "b"]
+    assert [r.outcome for r in rows[5:]] == ["order_applied"] * 7 + ["call_cap"] * 2 and rows[-1].calls == 12
+
+
+def test_run_states(spark):
+    events = [("plan", None, None), ("plan", None, None), ("cancel", None, None), ("approve", 1.0, "me"), ("halt", None, None), ("plan", None, None), ("approve", 0.0, "me"), ("approve", 2.0, " "), ("approve", None, "me"), ("approve", 2.5, "me"), ("plan", None, None), ("redo", None, None), (None, None, None), ("finalize", None, None), ("plan", None, None), ("cancel", None, None)]
+    rows = [("r", i, *e) for i, e in enumerate(events)] + [("s", 0, "cancel", None, None), ("s", 1, "plan", None, None), (None, 0, "plan", None, None)]
+    got = ledgers.run_states(spark.createDataFrame(rows, "run_id string, seq long, event string, amount double, by string")).collect()
+    r = sorted((x for x in got if x.run_id == "r"), key=lambda x: x.seq)
+    assert [x.accepted for x in r] == [True, True, False, False, True, False, False, False, False, True, True, False, False, True, False, False]
+    assert [x.decision_id for x in r if x.decision_id] == ["0001-plan", "0002-plan", "0002-approve-2", "0003-plan"]
+    assert (r[-1].status, r[-1].round, r[-1].version, r[-1].budget) == ("DONE", 3, 2, 2.5) and r[5].status == "AWAITING_APPROVAL"
+    assert [(x.status, x.accepted) for x in sorted((x for x in got if x.run_id == "s"), key=lambda x: x.seq)] == [("CANCELLED", True), ("CANCELLED", False)]
+    assert [(x.status, x.round) for x in got if x.run_id is None] == [("RUNNING", 1)]
+
+
+def test_folds_carry_their_state_over_batches(spark):
+    n = 30_000  # several batches of one key
+    rows = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS run_id", "id AS ts", "id AS event_id", "CASE WHEN id % 1001 = 0 THEN NULL ELSE id % 7 END AS cents").repartition(5)
+    got = {r.event_id: (r.approved, r.spent) for r in ledgers.budget_fold(rows, 12_000).collect()}
+    spent = {}
+    for i in range(n):
+        key, cents = ("hot" if i % 3 == 0 else i % 50), (None if i % 1001 == 0 else i % 7)
+        ok = None if cents is None else spent.get(key, 0) + cents <= 12_000
+        spent[key] = spent.get(key, 0) + (cents if ok else 0)
+        assert got[i] == (ok, spent[key])
 
 
 def definition(limit, **more):
@@ -145,7 +179,7 @@ def test_all_runs_of_a_ledger_are_planned_at_once(spark):
     assert acts["a"] == ("probe", 1) and acts["b"] == ("done", 0)
 
 
-def test_approvals_proposals_and_guarded_probes():
+def test_approvals_proposals_and_guarded_probes(spark):
     waiting = budget.Run(0.08, 0.01, status="AWAITING_APPROVAL", pending={"fog.beta_per_m": 3})
     more = budget.approve(waiting, 0.4, "someone")
     assert (more.version, more.status, more.caps) == (2, "RUNNING", {"fog.beta_per_m": 3})
@@ -161,10 +195,8 @@ def test_approvals_proposals_and_guarded_probes():
         budget.guarded(c, 2, scored.append)
     assert scored == [0, 1] and c.probes_remaining == 1
     axes = [n for n, *_ in CASES]
-    c = budget.Contract(0.05, 0.01)
-    say = lambda tool, args: budget.review(tool, args, axes, c, 0)
-    reviews = [say("prioritize_axes", {"order": axes[::-1]}), say("reallocate_budget", {"probes_per_axis": {axes[0]: 2}}), say("reallocate_budget", {"probes_per_axis": {axes[1]: 99}}), say("delete", {})]
-    after = budget.merged(definition(0.05), reviews, 0.002)
+    told = effects(spark, [("prioritize_axes", {"order": axes[::-1]}), ("reallocate_budget", {"split": {axes[0]: 2}}), ("reallocate_budget", {"split": {axes[1]: 99}}), ("delete", {})], axes)
+    after = budget.merged(definition(0.05), told[-1].asDict(), 0.002)
     assert [a["axis"] for a in after["axes"]] == axes[::-1] and after["probes_per_axis"] == {axes[0]: 2} and after["prepaid_usd"] == 0.002
     assert after["status"] == "AWAITING_APPROVAL" and after["pending_allocation"] == {axes[1]: 99}
 
