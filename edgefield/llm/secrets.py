@@ -1,15 +1,22 @@
 """Secret scans, by patterns and by a battery of randomness tests, in DataFrame functions only.
 
 Patterns give the base spans. Besides them every run of 20 or more characters of the usual encodings, be it under a base span or
-not, is tested for randomness over the alphabet of the encoding it is inferred to have (hex, base32, alphanumeric, base64):
-chi-squared for uniform symbols, the number of runs above and below the alphabet's middle, and the serial correlation of
-neighbours. The three are combined into one p-value by Stouffer's rule: near 0 for words, uniform for random strings.
+not, is tested over the alphabet of the encoding it is inferred to have (hex, base32, alphanumeric, base64): chi-squared for uniform
+symbols, the number of runs above and below the alphabet's middle, and the serial correlation of neighbours. Each statistic
+becomes a normal score by its exact moments for random strings of its length: equal pairs of symbols, which are what chi-squared
+counts, by mean, variance and skewness; changes between the halves as a fair binomial; products of neighbours by variance and
+kurtosis. Counts are made continuous by a fraction that the string's checksum gives. The least of the three p-values, as one of
+three, is the battery's p: uniform for random strings, near 0 for words and patterns.
 
-The null hypothesis is that a run is no secret: its characters follow one another as in the corpus's shorter runs, which a
-bigram model of all texts says. The likelihood of a run as a random string over that under the model is an
-e-value: under the null its mean is at most 1, whatever its length, encoding or company. Runs are random where they fit the
-battery at its least cut-off and their e-value passes the e-value form of Benjamini and Hochberg's rule, which holds under any
-dependence. Among m runs a lone one has to reach m / false_rate, a few characters' worth, so a secret does not need others.
+False discoveries are controlled within each encoding and band of lengths, on both sides:
+
+* Benjamini and Hochberg's rule on the battery's p-values says which runs are not random; of those that it throws out at most
+  the share `lost` are random strings. Where a band is all random strings, the cut is `lost` by their number.
+* What is left is held against the corpus: the likelihood of a run as a random string over that under a bigram model of all texts'
+  shorter runs is an e-value, whose mean is at most 1 for runs that are like those, whatever their length or company. The e-value form of the
+  rule takes those that pass, with all runs of the band that were thrown out counting as e-values of 0.
+
+Among m runs of a band a lone secret has to reach m / false_rate, a few characters' worth, so a secret does not need others.
 
 Positions come from the pieces between matches: a match starts where the lengths of all before it end. Running sums are taken
 in two levels of about the square root of the number of matches, and arrays go into a lambda as its argument, never as a
@@ -38,7 +45,7 @@ _NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "a
 ASSIGN = rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # whole runs; shorter ones are no matches
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"  # whole runs, tried at their beginnings only
 
 KINDS = ("assign", "access", "hex", "random")  # ties of start go by this order
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -50,17 +57,16 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 BANDS = (24, 32, 40, 48, 64, 96, 128)  # upper ends of the lengths, exclusive; the last band is open
-CUTS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
-
-
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"  # of candidates
 WORD = "[A-Za-z0-9+/_-]+={0,2}"
 _BLOCK = 1024  # characters of a text that are cut from at once
 MOST_GAIN = 64  # whole units of log e-value that are told apart; no number of runs asks for more
+_STEPS, _LEVELS = 4, 400  # levels of p: quarters of a power of two, down to 2 ** -100
 
 
 class Scan(NamedTuple):
-    false_rate: float = 0.05
+    false_rate: float = 0.05  # of what is found
+    lost: float = 0.005  # of what the battery throws out
     prior: float = 20.0  # weight of single characters against pairs
 
 
@@ -94,12 +100,11 @@ def _positions(matches: Column, pieces: Column, kind: int) -> Column:
 
 
 def _normal_tail(z: Column) -> Column:
-    """P(Z > z), by the classic polynomial for the error function (error below 1e-7)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
+    """P(Z > z) for z of 0 or more, to a few parts in a million of itself: a polynomial near 0, a continued fraction beyond 2."""
+    t = 1 / (1 + 0.2316419 * z)
     series = reduce(lambda acc, c: (acc + c) * t, (-1.821255978, 1.781477937, -0.356563782, 0.319381530), F.lit(1.330274429) * t)
-    upper = F.exp(-x * x / 2) / 2.5066282746310002 * series
-    return F.when(z >= 0, upper).otherwise(1 - upper)
+    ratio = 1 / reduce(lambda acc, i: z + i / acc, range(12, 0, -1), z + 13.0)
+    return F.exp(-z * z / 2) / 2.5066282746310002 * F.when(z > 2, ratio).otherwise(series)
 
 
 def _encoding(s: Column) -> Column:
@@ -149,31 +154,53 @@ def _battery(pairs: Column) -> Column:
     zero = F.lit(0.0)
     out = F.transform(pairs, lambda x: named(x, "span s", e=_encoding(x["s"])))
     out = F.transform(out, lambda x: named(x, "span", key=F.concat_ws("/", x["e"], _band(F.length(x["s"])).cast("string")), plain=plain(x), alphabet=F.element_at(alphabets, x["e"])))
-    out = F.transform(out, lambda x: named(x, "span key plain alphabet", count=F.length(x["plain"]), n=F.length(x["plain"]).cast("double"), k=F.length(x["alphabet"]).cast("double"), symbols=F.split(x["plain"], "")))
+    part = lambda x: (F.crc32(x["plain"].cast("binary")) + 0.5) / 4294967296.0 - 0.5
+    out = F.transform(out, lambda x: named(x, "span key plain alphabet", u=part(x), count=F.length(x["plain"]), n=F.length(x["plain"]).cast("double"), k=F.length(x["alphabet"]).cast("double"), symbols=F.split(x["plain"], "")))
     squares = lambda x: F.aggregate(F.array_distinct(x["symbols"]), zero, lambda acc, c: acc + F.pow(x["count"] - F.length(F.replace(x["plain"], c, F.lit(""))), F.lit(2.0)))
-    out = F.transform(out, lambda x: named(x, "span key count n k", squares=squares(x), values=F.transform(x["symbols"], lambda c: F.instr(x["alphabet"], c).cast("double") - (x["k"] + 1) / 2)))
-    out = F.transform(out, lambda x: named(x, "span key n k squares", high=F.size(F.filter(x["values"], lambda v: v > 0)).cast("double"), near=neighbours(x), power=F.aggregate(x["values"], zero, lambda acc, v: acc + v * v)))
+    out = F.transform(out, lambda x: named(x, "span key count n k u", squares=squares(x), values=F.transform(x["symbols"], lambda c: F.instr(x["alphabet"], c).cast("double") - (x["k"] + 1) / 2)))
+    out = F.transform(out, lambda x: named(x, "span key n k u squares", near=neighbours(x)))
     changes = lambda x: F.size(F.filter(x["near"], lambda y: (y["a"] > 0) != (y["b"] > 0)))
-    out = F.transform(out, lambda x: named(x, "span key n k squares power", changes=changes(x), product=F.aggregate(x["near"], zero, lambda acc, y: acc + y["a"] * y["b"]), expected=2 * x["high"] * (x["n"] - x["high"]) / x["n"]))
-
-    def score(x: Column) -> Column:
-        n, k, expected = x["n"], x["k"], x["expected"]
-        chi = (x["squares"] * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
-        runs = F.abs((x["changes"] - expected) / F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9))))
-        serial = F.abs(x["product"] / F.greatest(x["power"], F.lit(1e-9)) * F.sqrt(n))
-        # two-sided statistics as normal scores of their own: half-normal to normal is close to linear beyond one deviation
-        return (chi + (runs - 0.7979) / 0.6028 + (serial - 0.7979) / 0.6028) / F.sqrt(F.lit(3.0))
-
-    out = F.transform(out, lambda x: named(x, "span key", z=score(x)))
-    return F.transform(out, lambda x: named(x, "span key", p=_normal_tail(x["z"])))
+    out = F.transform(out, lambda x: named(x, "span key n k u squares", changes=changes(x), product=F.aggregate(x["near"], zero, lambda acc, y: acc + y["a"] * y["b"])))
+
+    def moments(x: Column) -> Column:
+        """The equal pairs' deviation and the shape of the gamma law with their skewness; the other two statistics as deviations."""
+        n, k = x["n"], x["k"]
+        pairs, q = n * (n - 1) / 2, 1 / k
+        var = pairs * q * (1 - q) + 1 / 12
+        third = pairs * q * (1 - q) * (1 - 2 * q) + n * (n - 1) * (n - 2) * q * q * (1 - q)
+        equal = ((x["squares"] - n) / 2 + x["u"] - pairs * q) / F.sqrt(var)
+        m, beta = n - 1, 0.6 * (3 * k * k - 7) / (k * k - 1)
+        runs = (x["changes"] + x["u"] - m / 2) / F.sqrt(m / 4 + 1 / 12)
+        serial = x["product"] / (F.sqrt(m) * (k * k - 1) / 12)
+        return named(x, "span key", equal=equal, shape=4 * var * var * var / (third * third), runs=F.abs(runs), serial=F.abs(serial), flat=-2 / m, peaked=(beta * beta - 3 + 6 * (beta - 1) * (m - 1) / m) / m)
+
+    def scores(x: Column) -> Column:
+        """Normal scores: the gamma law's by cube roots, the symmetric ones' by their kurtosis."""
+        a = x["shape"]
+        above = F.greatest(1 + x["equal"] / F.sqrt(a), F.lit(1e-9))
+        even = lambda z, kurtosis: F.greatest(z - kurtosis / 24 * (z * z * z - 3 * z), F.lit(0.0))
+        # far out the correction of a law with heavy tails would turn round: it stops where it is largest
+        peaked = F.least(x["serial"], F.sqrt(8 / x["peaked"] + 1))
+        return named(x, "span key", a=3 * F.sqrt(a) * (F.cbrt(above) - 1 + 1 / (9 * a)), b=even(x["runs"], x["flat"]), c=even(peaked, x["peaked"]))
+
+    def p_value(x: Column) -> Column:
+        tail = lambda z: F.when(z >= 0, _normal_tail(F.abs(z))).otherwise(1 - _normal_tail(F.abs(z)))
+        least = F.least(tail(x["a"]), 2 * tail(x["b"]), 2 * tail(x["c"]))
+        return least * (3 - 3 * least + least * least)  # 1 - (1 - least) ** 3, without the loss
+
+    for step in (moments, scores, lambda x: named(x, "span key", p=p_value(x))):
+        out = F.transform(out, step)
+    return out
 
 
 def scanned(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """Adds base (spans of the patterns) and tested (candidates with key and p, and gain where a model is given) to docs; its text column stays as it is."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs
-    for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_long", CANDIDATE)):
-        d = d.withColumn(name, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    # most texts hold no match at all: what a match has to hold is looked for before the pattern is, and long hex runs only within candidates
+    says = reduce(operator.or_, [F.lower(text).contains(word) for word in ("password", "passwd", "secret", "token", "api")])
+    for name, pattern, may in (("_long", CANDIDATE, F.lit(True)), ("_assign", ASSIGN, says), ("_access", ACCESS, text.contains("AKIA")), ("_hex", HEX, F.size("_long") > 0)):
+        d = d.withColumn(name, F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     some = lambda name: F.size(name) > 0
     d = d.withColumn("_values", F.when(some("_assign"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))))
     at = lambda name, pattern, kind: F.when(some(name), _positions(F.col(name), F.split(text, pattern, -1), kind)).otherwise(F.array().cast(_SPAN))
@@ -191,44 +218,47 @@ def scanned(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     return spans.select(*docs.columns, "base", F.when(F.size("_pairs") > 0, tested).alias("tested"))
 
 
-def cut_offs(tested: DataFrame, scan: Scan = Scan()) -> dict[str, float]:
-    """The least p that counts as random, by encoding and band, at most four times eight entries, where a band's company alone is to say it.
+class Control(NamedTuple):
+    """What a band asks of a run: a level of p (see _level) below this one, and at least this whole gain; None: no run passes."""
+
+    level: int
+    gain: int | None
 
-    For looking at bands only: few random strings in a band make it unsure, so find_secrets does not use it."""
-    one = tested.where("tested IS NOT NULL").select(F.explode("tested").alias("x")).select("x.key", "x.p")
-    rows = one.groupBy("key").agg(F.sum(F.when(F.col("p") > 0.5, 2).otherwise(0)).alias("random"), *[F.sum((F.col("p") >= c).cast("long")).alias(f"c{i}") for i, c in enumerate(CUTS)]).collect()
-    out = {}
-    for r in rows:
-        for i, c in enumerate(CUTS):
-            passing = r[f"c{i}"]
-            if passing and max(0.0, passing - r["random"] * (1 - c)) <= scan.false_rate * passing:
-                out[r["key"]] = c
-                break
-    return out
 
+def _level(p: Column) -> Column:
+    """p as its place below 1 in steps of a quarter of a power of two; larger for smaller p."""
+    return F.least(F.floor(-F.log2(F.greatest(p, F.lit(1e-300))) * _STEPS), F.lit(_LEVELS)).cast("int")
 
-def least_gain(tested: DataFrame, scan: Scan = Scan()) -> int | None:
-    """The least gain that passes the e-value form of Benjamini and Hochberg's rule over all candidates, in whole units; none if none passes."""
-    one = tested.where("tested IS NOT NULL").select(F.explode("tested").alias("x")).select(F.greatest(F.lit(-1), F.least(F.lit(MOST_GAIN), F.floor("x.gain"))).alias("g"), (F.col("x.p") >= CUTS[0]).alias("fits"))
-    counts = {(r["g"], r["fits"]): r["n"] for r in one.groupBy("g", "fits").agg(F.count("*").alias("n")).collect()}
-    m = sum(counts.values())
-    for g in range(MOST_GAIN + 1):
-        passing = sum(n for (k, fits), n in counts.items() if k >= g and fits)  # others have an e-value of 0
-        if passing and g >= math.log(m / (scan.false_rate * passing)):
-            return g
-    return None
+
+def controls(tested: DataFrame, scan: Scan = Scan()) -> dict[str, Control]:
+    """For each encoding and band (32 at most) what its runs have to meet, from the counts of all runs by level and gain."""
+    one = tested.where("tested IS NOT NULL").select(F.explode("tested").alias("x")).select("x.key", _level(F.col("x.p")).alias("level"), F.greatest(F.lit(-1), F.least(F.lit(MOST_GAIN), F.floor("x.gain"))).cast("int").alias("g"))
+    bands: dict[str, dict[tuple[int, int], int]] = {}
+    for r in one.groupBy("key", "level", "g").agg(F.count("*").alias("n")).collect():  # levels and gains are bounded
+        bands.setdefault(r["key"], {})[r["level"], r["g"]] = r["n"]
+    out = {}
+    for key, counts in bands.items():
+        m = sum(counts.values())
+        below = lambda level: sum(n for (k, _), n in counts.items() if k >= level)
+        level = next((k for k in range(_LEVELS + 1) if 2 ** (-k / _STEPS) * m <= scan.lost * below(k)), _LEVELS + 1)
+        passing = lambda g: sum(n for (k, h), n in counts.items() if k < level and h >= g)
+        gain = next((g for g in range(MOST_GAIN + 1) if passing(g) and g >= math.log(m / (scan.false_rate * passing(g)))), None)
+        out[key] = Control(level, gain)
+    return out
 
 
 def find_secrets(docs: DataFrame, scan: Scan = Scan(), keep: list[str] | None = None) -> DataFrame:
     """docs with a text column. Returns docs' columns, or those of keep, with base and random: arrays of (start, kind, stop) in code points, by start, then kind.
 
     A null text is empty and has no spans. Repeated rows and ties of ids change nothing, since rows are looked at one by one
-    and the least gain counts all of them. Columns of docs named base, tested or random are replaced. No rows give no rows."""
+    and the bands' counts take in all of them. Columns of docs named base, tested or random are replaced. No rows give no rows."""
     docs = docs.drop("base", "tested", "random")
     model = learn_runs(docs, scan)
     rows = written(scanned(docs, model).select(*(docs.columns if keep is None else keep), "base", "tested"), "scanned")
-    least = least_gain(rows, scan)
-    found = F.transform(F.filter("tested", lambda x: (x["p"] >= CUTS[0]) & (x["gain"] >= F.lit(least))), lambda x: x["span"])
+    asked = {key: c for key, c in controls(rows, scan).items() if c.gain is not None}
+    bands = F.create_map(*[x for key, c in asked.items() for x in (F.lit(key), F.struct(F.lit(c.level).alias("level"), F.lit(c.gain).alias("gain")))]) if asked else F.lit(None).cast("map<string,struct<level:int,gain:int>>")
+    met = lambda x: _let(F.try_element_at(bands, x["key"]), lambda c: F.coalesce((_level(x["p"]) < c["level"]) & (x["gain"] >= c["gain"]), F.lit(False)))
+    found = F.transform(F.filter("tested", met), lambda x: x["span"])
     return rows.withColumn("random", F.coalesce(found, F.array().cast(_SPAN))).drop("tested")
 
 
