@@ -29,7 +29,8 @@ def measured(frames: DataFrame, probed: dict[str, list[float]], seed: int) -> Da
     value, and with a null value of every frame as it is.
 
     One pass: a task degrades its frame once for each condition, and only numbers leave it. Nothing is inferred. Values are
-    checked before anything runs; frames without pixels are left out."""
+    checked before anything runs; frames without pixels are left out. Frames are dealt evenly first: degrading one takes far longer than
+    sending it."""
     wanted = [(axis, float(v)) for axis, values in probed.items() if axis in SHOWN_BY for v in values]
     for axis, value in wanted:
         K.steps({axis: value})
@@ -45,7 +46,9 @@ def measured(frames: DataFrame, probed: dict[str, list[float]], seed: int) -> Da
                 rows += [(axis, v, measures.measured(K.degraded(image, {axis: v}, seed))[SHOWN_BY[axis]]) for axis, v in wanted]
             yield pd.DataFrame(rows, columns=["axis", "value", "metric"])
 
-    return frames.where("pixels IS NOT NULL").select("height", "width", "pixels").mapInPandas(run, "axis string, value double, metric double")
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frames.where("pixels IS NOT NULL").repartition(n, "image_id").select("height", "width", "pixels")
+    return dealt.mapInPandas(run, "axis string, value double, metric double")
 
 
 def covered(measurements: DataFrame) -> DataFrame:

@@ -55,7 +55,9 @@ def label_intersection(spark, d):
 
 
 def off_grid_columns(spark, d):
-    return spark.sql("SELECT explode(array_except(sequence(0, 30), sequence(7, 30, 8))) AS col")
+    """Columns of a map that events fall on and that its coarse grid lacks."""
+    e = table(spark, d, "events").select(F.pmod("event_id", F.lit(31)).cast("int").alias("col"))
+    return e.subtract(e.where("col % 8 = 7"))
 
 
 def probe_identity(spark, d):
@@ -67,43 +69,42 @@ def probe_identity(spark, d):
     return a.join(b, "event_id", "full").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_diff"))
 
 
-_SURFACE = "0.9D * exp(-0.7D * (pow((i / 16.0D - 0.3D) / 0.25D, 2) + pow((j / 16.0D - 0.35D) / 0.3D, 2)))"
+def _cells(spark, d):
+    """A map of 17 x 17 cells, each scored by the events that fall on it."""
+    e = table(spark, d, "events").select(F.pmod("event_id", F.lit(17)).cast("int").alias("i"), F.pmod(F.floor(F.col("event_id") / 17), F.lit(17)).cast("int").alias("j"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("cents"))
+    cells = e.groupBy("i", "j").agg(F.sum("cents").alias("c"), F.count("*").alias("n"))
+    return cells.select("i", "j", (F.col("c") / (F.col("n") * 10000.0)).alias("map50"), (F.col("c") < 5000 * F.col("n")).alias("failed"))
 
 
-def _cells(spark):
-    grid = spark.range(17 * 17).select((F.col("id") % 17).cast("int").alias("i"), F.floor(F.col("id") / 17).cast("int").alias("j"))
-    return grid.withColumn("map50", F.expr(_SURFACE)).withColumn("failed", F.col("map50") < 0.5)
-
-
-_CELLS = "g AS (SELECT i::INT AS i, j::INT AS j FROM range(17) a(i), range(17) b(j)), cells AS (SELECT i, j, " + _SURFACE.replace("D", "::DOUBLE") + " AS map50, " + _SURFACE.replace("D", "::DOUBLE") + " < 0.5 AS failed FROM g)"
+_CELLS = "g AS (SELECT (event_id % 17)::INT AS i, (event_id // 17 % 17)::INT AS j, sum(floor(value * 100 + 0.5)::BIGINT)::BIGINT AS c, count(*) AS n FROM events GROUP BY 1, 2), cells AS (SELECT i, j, c / (n * 10000.0::DOUBLE) AS map50, c < 5000 * n AS failed FROM g)"
 
 
 def boundary_edges(spark, d):
-    return M.edges(_cells(spark))
+    return M.edges(_cells(spark, d))
 
 
 def uncovered_mask(spark, d):
-    cells = _cells(spark).withColumn("x", F.col("i") / 16.0).withColumn("y", F.col("j") / 16.0)
+    cells = _cells(spark, d).withColumn("x", F.col("i") / 16.0).withColumn("y", F.col("j") / 16.0)
     regions = spark.createDataFrame([("x", 0.25, 0.0), ("y", 0.8, 1.0)], "axis string, a double, b double")
     return M.in_regions(cells, regions).select("i", "j", "uncovered")
 
 
 def nearest_opposite(spark, d):
-    return M.nearest_other(_cells(spark))
+    return M.nearest_other(_cells(spark, d))
 
 
 def failed_cells(spark, d):
-    return _cells(spark).agg(F.sum(F.col("failed").cast("long")).alias("n_failed"), F.count("*").alias("n"))
+    return _cells(spark, d).agg(F.sum(F.col("failed").cast("long")).alias("n_failed"), F.count("*").alias("n"))
 
 
 def image_stops(spark, d):
     """Rows and columns of a map with an image."""
-    has = _cells(spark).where("(i * 7 + j * 3) % 5 = 0 AND i % 2 = 0")
+    has = _cells(spark, d).where("(i * 7 + j * 3) % 5 = 0 AND i % 2 = 0")
     return has.agg(F.array_join(F.array_sort(F.collect_set("i")), ",").alias("is"), F.array_join(F.array_sort(F.collect_set("j")), ",").alias("js"))
 
 
 def nearest_images(spark, d):
-    return _cells(spark).select("i", "j", F.hypot(F.col("i") - 5.0, F.col("j") - 9.0).alias("r")).orderBy("r", "i", "j").limit(20).select("i", "j")
+    return _cells(spark, d).select("i", "j", F.hypot(F.col("i") - 5.0, F.col("j") - 9.0).alias("r")).orderBy("r", "i", "j").limit(20).select("i", "j")
 
 
 def figures_matched(docs, values):
@@ -141,8 +142,10 @@ _AXIS_NAMES = ("motion_blur.exposure_ms", "motion_blur.angular_velocity_deg_s",
 
 
 def unit_of(spark, d):
-    a = spark.createDataFrame([(x,) for x in _AXIS_NAMES], "axis string").withColumn("p", T.degradation_of(F.col("axis")))
-    return a.select("axis", F.col("p.degradation").alias("degradation"), F.col("p.field").alias("field"), T.unit_of(F.col("p.field")).alias("unit"))
+    """What the name of each event's axis says: degradation, field and unit."""
+    axis = F.element_at(F.array(*map(F.lit, _AXIS_NAMES)), F.pmod("event_id", F.lit(len(_AXIS_NAMES))).cast("int") + 1)
+    a = table(spark, d, "events").select("event_id", axis.alias("axis")).withColumn("p", T.degradation_of(F.col("axis")))
+    return a.select("event_id", "axis", F.col("p.degradation").alias("degradation"), F.col("p.field").alias("field"), T.unit_of(F.col("p.field")).alias("unit"))
 
 
 def probe_keys(spark, d):
@@ -158,8 +161,9 @@ def severity_roundtrip(spark, d):
 
 
 def physics_derived(spark, d):
+    """Physical quantities of every event's condition, its value being how far each axis is turned up."""
     q = F.col("q")
-    rows = spark.range(0, 41).select("id", (F.col("id") / 40.0).alias("q"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("value") / 100.0).alias("q"))
     r = lambda c, n: F.round(c, 9).alias(n)
     return rows.select(
         "id", r(G.psf_length_px(q * 40, F.lit(60.0)), "psf_px"), r(G.circle_of_confusion_px(0.6 + q * 5.4, F.lit(4.7), pitch_um=2.0), "coc_px"), r(G.corner_displacement_px(q * 0.4, q * 0.1), "corner_px"), r(G.row_shift_px(q * 40, F.lit(120.0)), "row_shift_px"),
@@ -167,7 +171,7 @@ def physics_derived(spark, d):
     )
 
 
-_PHYSICS = """WITH r AS (SELECT i::BIGINT AS id, i / 40.0::DOUBLE AS q FROM range(41) t(i)) SELECT id, round(900 * tan(radians(60.0::DOUBLE * (q * 40) / 1000)), 9) AS psf_px,
+_PHYSICS = """WITH r AS (SELECT event_id AS id, value / 100.0::DOUBLE AS q FROM events) SELECT id, round(900 * tan(radians(60.0::DOUBLE * (q * 40) / 1000)), 9) AS psf_px,
 round(abs((0.6::DOUBLE + q * 5.4) - 20) / (0.6::DOUBLE + q * 5.4) * (0.008::DOUBLE * 0.008) / (4.7::DOUBLE * (20 - 0.008::DOUBLE)) / 2e-6::DOUBLE, 9) AS coc_px,
 round(abs(q * 0.4::DOUBLE * 0.5 + q * 0.1::DOUBLE * 0.25) * (0.9::DOUBLE * 256 * sqrt(2.0) / 2), 9) AS corner_px, round(900 * tan(radians(120.0::DOUBLE * (q * 40) / 1000)), 9) AS row_shift_px,
 round(exp(-(q * 0.12::DOUBLE) * 5), 9) AS t_near, round(exp(-(q * 0.12::DOUBLE) * 80), 9) AS t_far, round(CASE WHEN q * 0.12 > 1e-9 THEN 3.912::DOUBLE / (q * 0.12::DOUBLE) END, 9) AS visibility_m, round((0.5::DOUBLE + q * 399.5) * 10 * 180 / 1000, 9) AS signal_e FROM r"""
@@ -228,7 +232,7 @@ SQL = {
     "nod_select": f"WITH k AS (SELECT l_orderkey AS image_id, {_CLS} AS cls, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey * 100 + l_linenumber) AS rk FROM lineitem) SELECT image_id, max(CASE WHEN rk = 1 THEN cls END) AS main FROM k GROUP BY 1 HAVING max((cls = 'car')::INT) = 1 AND max(CASE WHEN rk = 1 THEN cls END) <> 'person'",
     "annotation_text": f"SELECT {_CLS} AS cls, count(*) AS n, sum(l_linenumber)::DOUBLE AS width, max(l_suppkey + 8)::DOUBLE AS lowest FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1",
     "label_intersection": f"WITH {_ANN} SELECT DISTINCT label FROM a WHERE label IN (0, 2, 4, 9)",
-    "off_grid_columns": "SELECT i::INT AS col FROM range(31) t(i) WHERE i % 8 <> 7",
+    "off_grid_columns": "SELECT (event_id % 31)::INT AS col FROM events EXCEPT SELECT (event_id % 31)::INT FROM events WHERE event_id % 31 % 8 = 7",
     "probe_identity": "WITH a AS (SELECT event_id, value AS a FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id, CASE WHEN event_type = 'view' THEN value + 0.5 ELSE value END AS b FROM events WHERE event_id % 5 <> 0) SELECT CASE WHEN a IS NULL THEN 'second only' WHEN b IS NULL THEN 'first only' WHEN a = b THEN 'identical' ELSE 'differs' END AS kind, count(*) AS n, max(abs(a - b)) AS max_diff FROM a FULL JOIN b USING (event_id) GROUP BY 1",
     "boundary_edges": f"WITH {_CELLS}, k AS (SELECT i, j, failed, lag(failed) OVER (PARTITION BY j ORDER BY i) AS l, lag(failed) OVER (PARTITION BY i ORDER BY j) AS t FROM cells) SELECT i, j, 'left' AS side FROM k WHERE l <> failed UNION ALL SELECT i, j, 'top' FROM k WHERE t <> failed",
     "uncovered_mask": f"WITH {_CELLS} SELECT i, j, (i / 16.0 BETWEEN 0.0 AND 0.25) OR (j / 16.0 BETWEEN 0.8 AND 1.0) AS uncovered FROM cells",
@@ -239,7 +243,7 @@ SQL = {
     "doc_figures": rf"WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{T.NUMBER}'))) AS figure FROM documents), x AS (SELECT doc_id, try_cast(figure AS DOUBLE) AS x FROM f), v AS (SELECT DISTINCT p_size / 10.0::DOUBLE AS v FROM part), h AS (SELECT DISTINCT x FROM (SELECT DISTINCT x FROM x) JOIN v ON abs(x - v) <= 0.005 * greatest(abs(x), abs(v))) SELECT doc_id, count(*) AS n_figures, sum((h.x IS NOT NULL)::INT)::BIGINT AS n_matched FROM x LEFT JOIN h USING (x) GROUP BY 1",
     "citations": rf"SELECT conv_id, sum(len(regexp_extract_all(regexp_replace(regexp_replace(text, '`[^`\n]*`', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '{T.NUMBER}')))::BIGINT AS uncited, sum(len(regexp_extract_all(text, '\[TBD\]')))::BIGINT AS placeholders, sum(len(regexp_extract_all(text, 'the')))::BIGINT AS the FROM conversations GROUP BY 1",
     "decision_export": "SELECT conv_id, printf('%04d-%s', row_number() OVER (PARTITION BY conv_id ORDER BY turn, role), role) AS decision_id, length(text)::INT AS chars FROM conversations",
-    "unit_of": f"WITH a AS (SELECT unnest([{', '.join(repr(x) for x in _AXIS_NAMES)}]) AS axis), b AS (SELECT axis, split_part(axis, '.', 1) AS degradation, split_part(axis, '.', 2) AS f FROM a) SELECT axis, degradation, f AS field, {_UNIT} AS unit FROM b",
+    "unit_of": f"WITH a AS (SELECT event_id, [{', '.join(repr(x) for x in _AXIS_NAMES)}][event_id % {len(_AXIS_NAMES)} + 1] AS axis FROM events), b AS (SELECT event_id, axis, split_part(axis, '.', 1) AS degradation, split_part(axis, '.', 2) AS f FROM a) SELECT event_id, axis, degradation, f AS field, {_UNIT} AS unit FROM b",
     "probe_keys": """SELECT event_id, event_type || '@' || user_id AS probe_id, 'road|' || event_type || '|100|' || event_id || '|{"a.x":"1","b.y":"' || user_id || '"}' AS store_key, 'edgefield probe --axis ' || event_type || ' --value ' || user_id || ' --seed 7' AS command FROM events""",
     "severity_roundtrip": "SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN (value - 0.5) / 399.5 ELSE (value - 400.0) / -399.5 END, 9) AS severity, round(least(greatest(value, 1.0), 99.0), 9) AS value FROM events",
     "physics_derived": _PHYSICS,

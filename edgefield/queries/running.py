@@ -8,6 +8,7 @@ from edgefield.functions.axes import AXES
 from edgefield.operators import kernels as K
 from edgefield.operators import measures
 from edgefield.plans import levelset, rounds
+from edgefield.queries.recording import tiles
 from edgefield.sources import scene
 from edgefield.sources.shared import folder, written
 from edgefield.sources.tables import table
@@ -23,7 +24,8 @@ def kernel_sweep(spark, d):
 
 
 def mtf50(spark, d):
-    return measures.measure(scene.frames(spark, 8, 96), ["image_id"]).select("image_id", "mtf50_cy_px")
+    """Where the spectrum of each vector's frame falls to half."""
+    return measures.measure(tiles(spark, d), ["image_id"]).select("image_id", "mtf50_cy_px")
 
 
 _SURFACE = "0.9D * exp(-0.7D * (pow((i / 16.0D - 0.3D) / 0.25D, 2) + pow((j / 16.0D - 0.35D) / 0.3D, 2)))"
