@@ -220,7 +220,7 @@ def test_pipeline_is_its_plain_version(spark, sf):
 
 
 def test_registered_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -229,7 +229,7 @@ def test_queries_are_their_sql(spark, sf, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = c.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, sf)
