@@ -89,3 +89,51 @@ def exif_lux(exposure_s: Column, f_number: Column, iso: Column, mean_linear: Col
     if mean_linear is not None:
         lux = lux * mean_linear / 0.18
     return F.when(f_number != 0, lux)
+
+
+def letterbox_scale(width: Column, height: Column, size: float = 640.0) -> Column:
+    """What an image is scaled by to fit a square input; it lies in the upper left corner, the rest is padding."""
+    return F.least(size / width, size / height)
+
+
+def into_letterbox(box: tuple[Column, ...], scale: Column, size: float = 640.0) -> tuple[Column, ...]:
+    """A corner box of the image in the pixels of the input, clipped to it."""
+    return tuple(clamp(c * scale, F.lit(0.0), F.lit(size)) for c in box)
+
+
+def out_of_letterbox(box: tuple[Column, ...], scale: Column) -> tuple[Column, ...]:
+    """The inverse, for boxes within the input."""
+    return tuple(c / scale for c in box)
+
+
+def _lens(x: Column, y: Column, lens: tuple[Column, ...]) -> tuple[Column, Column, Column]:
+    """What a lens (k1, k2, p1, p2) does at a point of the unit plane: its radial factor and its tangential shifts."""
+    k1, k2, p1, p2 = lens
+    r2 = x * x + y * y
+    return 1 + k1 * r2 + k2 * r2 * r2, 2 * p1 * x * y + p2 * (r2 + 2 * x * x), p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
+
+
+def distorted(x: Column, y: Column, lens: tuple[Column, ...]) -> Column:
+    """Where a lens shows a point of the unit plane: a struct of x and y."""
+    radial, dx, dy = _lens(x, y, lens)
+    return F.struct((x * radial + dx).alias("x"), (y * radial + dy).alias("y"))
+
+
+def undistorted(x: Column, y: Column, lens: tuple[Column, ...], rounds: int = 20) -> Column:
+    """The point that a lens shows at x, y: fixed-point rounds from the point itself, each dividing what is left of the shown point without
+    the shifts by the radial factor. They close in where distortion grows by less than the radius does; distorting again tells."""
+
+    def closer(s: Column, _: Column) -> Column:
+        radial, dx, dy = _lens(s["x"], s["y"], lens)
+        return F.struct(((x - dx) / radial).alias("x"), ((y - dy) / radial).alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(x.alias("x"), y.alias("y")), closer)
+
+
+def round_trip_px(width: Column, height: Column, lens: tuple[Column, ...], px: Column, py: Column, focal: float = 0.9) -> Column:
+    """How far undistorting and distorting again moves a pixel, the larger of both coordinates; the focal length is a share of the longer side."""
+    f, cx, cy = focal * F.greatest(width, height), (width - 1) / 2.0, (height - 1) / 2.0
+    x, y = (px - cx) / f, (py - cy) / f
+    u = undistorted(x, y, lens)
+    d = distorted(u["x"], u["y"], lens)
+    return F.greatest(F.abs(d["x"] * f + cx - px), F.abs(d["y"] * f + cy - py))

@@ -3,12 +3,12 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from edgefield.queries import checking, costing, covering, preparing, recording, reporting, running, scoring, searching
+from edgefield.queries import checking, comparing, costing, covering, preparing, recording, reporting, running, scoring, searching
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {k: f for g in (scoring, checking, searching, covering, costing, preparing, running, reporting, recording) for k, f in g.QUERIES.items()}
-SQL = {k: q for g in (scoring, checking, searching, covering, costing, preparing, running, reporting, recording) for k, q in g.SQL.items()}
+QUERIES = {k: f for g in (scoring, checking, comparing, searching, covering, costing, preparing, running, reporting, recording) for k, f in g.QUERIES.items()}
+SQL = {k: q for g in (scoring, checking, comparing, searching, covering, costing, preparing, running, reporting, recording) for k, q in g.SQL.items()}
 
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="the generated tables are not here")
 
