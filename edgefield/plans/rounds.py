@@ -60,61 +60,71 @@ def observed(runs: DataFrame, axes: DataFrame, ledger: DataFrame) -> DataFrame:
     return seen.groupBy(*RUN_AXIS, _key(F.col("s")).alias("k")).agg(F.min("s").alias("s"), F.max((F.col("map50") < F.col("bar"))).alias("failed"))
 
 
-def _brackets(scan: DataFrame, seen: DataFrame) -> DataFrame:
-    """run_id, axis, missing (of the scan), changes, first, a, b: how the scan came out, and for one change its bracket, halved so far."""
-    order = Window.partitionBy(*RUN_AXIS).orderBy("k")
-    known = scan.join(seen.select(*RUN_AXIS, "k", "failed"), [*RUN_AXIS, "k"], "left")
-    steps = known.withColumn("turn", F.col("failed") != F.lag("failed").over(order)).withColumn("before", F.lag("s").over(order))
-    came = steps.groupBy(*RUN_AXIS).agg(
-        F.count_if(F.col("failed").isNull()).alias("missing"), F.count_if("turn").alias("changes"), F.min_by("failed", "k").alias("first"), F.min(F.when(F.col("turn"), F.col("before"))).alias("lo"), F.min(F.when(F.col("turn"), F.col("s"))).alias("hi")
-    )
-    one = came.where("missing = 0 AND changes = 1").select(*RUN_AXIS, "lo", "hi").join(seen, RUN_AXIS).where("s >= lo - 1e-9 AND s <= hi + 1e-9")
+def _scanned(axes: DataFrame, seen: DataFrame) -> DataFrame:
+    """axes with verify, each with used, absent (places of the scan without a result, in order), changes, first, and lo and hi around the
+    first change. An axis keeps no more of its conditions than its scan has places; the others are only counted."""
+    last = F.col("verify") - 1
+    place = F.round(F.col("s") * last).cast("int")
+    met = F.col("failed").isNotNull() & (_key(place / last.cast("double")) == F.col("k"))
+    own = [c for c in axes.columns if c not in RUN_AXIS]
+    counted = axes.join(seen, RUN_AXIS, "left").groupBy(*RUN_AXIS, *own).agg(F.count("k").alias("used"), F.sort_array(F.collect_list(F.when(met, F.struct(place.alias("i"), "s", "failed")))).alias("scan"))
+    before = lambda j: F.get("scan", j - 1)
+    steps = F.transform("scan", lambda x, j: F.struct((x["failed"] != before(j)["failed"]).alias("turn"), before(j)["s"].alias("lo"), x["s"].alias("hi")))
+    turns = F.filter(steps, lambda x: x["turn"])
+    out = counted.withColumns({"absent": F.array_except(F.sequence(F.lit(0), last), F.col("scan.i")), "turns": turns, "first": F.get("scan", F.lit(0))["failed"]})
+    turn = F.get("turns", F.lit(0))
+    return out.withColumns({"changes": F.size("turns"), "lo": turn["lo"], "hi": turn["hi"]}).drop("scan", "turns")
+
+
+def _brackets(scanned: DataFrame, seen: DataFrame) -> DataFrame:
+    """scanned with a and b: for a whole scan with one change, its bracket, halved so far."""
+    one = scanned.where("size(absent) = 0 AND changes = 1").select(*RUN_AXIS, "lo", "hi").join(seen, RUN_AXIS).where("s >= lo - 1e-9 AND s <= hi + 1e-9")
     upper = one.groupBy(*RUN_AXIS).agg(F.min(F.when(F.col("failed"), F.col("s"))).alias("b"))
-    lower = one.join(upper, RUN_AXIS).where("NOT failed AND s < b").groupBy(*RUN_AXIS).agg(F.max("s").alias("a"))
-    return came.join(upper, RUN_AXIS, "left").join(lower, RUN_AXIS, "left")
+    ends = one.join(upper, RUN_AXIS).groupBy(*RUN_AXIS, "b").agg(F.max(F.when(~F.col("failed") & (F.col("s") < F.col("b")), F.col("s"))).alias("a"))
+    return scanned.join(ends, RUN_AXIS, "left")
 
 
 def plan_rounds(runs: DataFrame, axes: DataFrame, ledger: DataFrame, seed: int = 20260906) -> Plan:
-    """The next wave of every run. A run without a baseline asks for that alone; the baseline is charged like any probe."""
+    """The next wave of every run. A run without a baseline asks for that alone; the baseline is charged like any probe. A probe of the
+    scan whose result is null is asked for again.
+
+    The ledger is read twice, for sums of each run and for the conditions of its axes; from then on an axis is one row."""
+    based = F.col("probe_id") == BASELINE
+    each = ledger.groupBy("run_id").agg(F.count("*").alias("charged"), F.count_if(based).alias("based"))
+    money = runs.join(each, "run_id", "left").withColumns({"charged": F.coalesce("charged", F.lit(0)), "ready": F.coalesce(F.col("based") > 0, F.lit(False))})
+    money = money.withColumn("spent", F.col("prepaid") + F.col("charged") * F.col("price"))
+    money = money.withColumn("affordable", F.greatest(F.lit(0), F.floor((F.col("budget") - F.col("spent")) / F.col("price") + 1e-9))).select("run_id", "budget", "spent", "affordable", "verify", "ready")
+
     seen = observed(runs, axes, ledger)
-    ready = ledger.where(F.col("probe_id") == BASELINE).select("run_id").distinct()
-    all_axes = axes.join(runs.select("run_id", "verify"), "run_id").join(ready, "run_id", "left_semi")
-    points = all_axes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("verify") - 1))).withColumn("s", F.col("i") / (F.col("verify") - 1.0)).withColumn("k", _key(F.col("s")))
-    scan = points.select(*RUN_AXIS, "k", "s")
-    used = seen.groupBy(*RUN_AXIS).agg(F.count("*").alias("used"))
-    state = all_axes.join(_brackets(scan, seen), RUN_AXIS).join(used, RUN_AXIS, "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    state = _brackets(_scanned(axes.join(money.where("ready").select("run_id", "verify"), "run_id").select(*RUN_AXIS, "place", "width", "cap", "verify"), seen), seen)
     one_sided = F.col("a").isNull() | F.col("b").isNull()  # the scan turns from fail to pass
+    left = F.coalesce(F.col("cap") - F.col("used"), F.lit(1 << 30))
     status = (
-        F.when(F.col("missing") > 0, None)
+        F.when(F.size("absent") > 0, None)
         .when(F.col("changes") > 1, "not_monotone")
         .when(F.col("changes") == 0, F.when(F.col("first"), "fails_throughout").otherwise("passes_throughout"))
         .when(one_sided, "not_monotone")
         .when(F.col("b") - F.col("a") <= F.col("width") + 1e-12, "located")
     )
-    state = state.withColumn("status", status).withColumn("left", F.coalesce(F.col("cap") - F.col("used"), F.lit(1 << 30)))
-    state = state.withColumn("status", F.when(F.col("status").isNull() & (F.col("left") <= 0), "capped").otherwise(F.col("status")))
+    state = state.withColumn("status", F.coalesce(status, F.when(left <= 0, "capped")))
     ends = [F.when(F.col("status") == "located", to_value(F.col(x))) for x in ("a", "b")]
     found = state.where("status IS NOT NULL").select("run_id", "axis", "status", F.least(*ends).alias("lower"), F.greatest(*ends).alias("upper"), F.col("used").alias("probes_used"))
     findings = found.withColumns({"width": F.col("upper") - F.col("lower"), "middle": (F.col("lower") + F.col("upper")) / 2})
 
-    open_ = state.where("status IS NULL").select("run_id", "axis", "place", "missing", "a", "b", "left")
-    scan_left = scan.join(seen.select(*RUN_AXIS, "k"), [*RUN_AXIS, "k"], "left_anti").join(open_, RUN_AXIS).select("run_id", "axis", "place", "left", "s")
-    halves = open_.where("missing = 0").select("run_id", "axis", "place", "left", ((F.col("a") + F.col("b")) / 2).alias("s"))
-    asked = scan_left.unionByName(halves).withColumn("n", F.row_number().over(Window.partitionBy(*RUN_AXIS).orderBy("s"))).where("n <= left")
-    asked = asked.select("run_id", "axis", "place", "s", to_value(F.col("s")).alias("value"))
-    first = runs.join(ready, "run_id", "left_anti").select("run_id", F.lit(None).cast("string").alias("axis"), F.lit(-1).alias("place"), F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("value"))
-    wanted = first.unionByName(asked)
-
-    charged = ledger.groupBy("run_id").agg(F.count("*").alias("charged"))
-    money = runs.join(charged, "run_id", "left").withColumn("spent", F.col("prepaid") + F.coalesce("charged", F.lit(0)) * F.col("price"))
-    money = money.withColumn("affordable", F.greatest(F.lit(0), F.floor((F.col("budget") - F.col("spent")) / F.col("price") + 1e-9))).select("run_id", "budget", "spent", "affordable")
-    turn = Window.partitionBy("run_id").orderBy("place", "s")
-    paid = wanted.withColumn("n", F.row_number().over(turn)).join(money, "run_id").where("n <= affordable")
+    points = F.transform("absent", lambda i: i / (F.col("verify") - 1.0))
+    ask = F.when(F.size("absent") > 0, points).otherwise(F.array((F.col("a") + F.col("b")) / 2))
+    open_ = state.where("status IS NULL").select("run_id", "axis", "place", F.slice(ask, F.lit(1), left.cast("int")).alias("ask"))
+    asked = open_.select("run_id", "axis", "place", F.explode("ask").alias("s"))
+    first = money.where("NOT ready").select("run_id", F.lit(None).cast("string").alias("axis"), F.lit(-1).alias("place"), F.lit(0.0).alias("s"))
+    wanted = first.unionByName(asked).withColumn("value", to_value(F.col("s")))
+    turn = Window.partitionBy("run_id").orderBy("place", "s")  # a wave: as many rows as its axes have places
+    paid = wanted.withColumn("n", F.row_number().over(turn)).join(money.select("run_id", "affordable"), "run_id").where("n <= affordable")
     name = F.coalesce(F.concat(F.col("axis"), F.lit("@"), F.round("value", 12).cast("string")), F.lit(BASELINE))
     at = F.when(F.col("axis").isNotNull(), F.concat(F.lit(" --set "), F.col("axis"), F.lit("="), F.round("value", 12).cast("string"))).otherwise("")
     probes = paid.select("run_id", name.alias("probe_id"), "axis", "value", F.concat(F.lit("edgefield probe"), at, F.lit(f" --seed {seed}")).alias("command"))
-    requested = wanted.groupBy("run_id").agg(F.count("*").alias("requested"))
-    actions = money.join(requested, "run_id", "left").withColumn("requested", F.coalesce("requested", F.lit(0))).withColumn("paid", F.least("requested", "affordable").cast("long"))
+    requested = open_.groupBy("run_id").agg(F.sum(F.size("ask")).alias("requested"))
+    actions = money.join(requested, "run_id", "left").withColumn("requested", F.when(~F.col("ready"), F.lit(1).cast("long")).otherwise(F.coalesce("requested", F.lit(0))))
+    actions = actions.withColumn("paid", F.least("requested", "affordable").cast("long"))
     action = F.when(F.col("requested") == 0, "done").when(F.col("paid") == 0, "halted").otherwise("probe")
     return Plan(findings, probes, actions.select("run_id", action.alias("action"), "requested", "paid", "spent", (F.col("budget") - F.col("spent")).alias("remaining")))
 
