@@ -27,24 +27,18 @@ class Plan(NamedTuple):
     actions: DataFrame  # run_id, action, requested, paid, spent, remaining
 
 
-def _axis(pick) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for a in AXES.values() for x in (a.name, float(pick(a)))]), F.col("axis"))
+def _end(severity: float, axis: Column | None) -> Column:
+    ends = F.create_map(*[F.lit(x) for a in AXES.values() for x in (a.name, float(a.from_severity(severity)))])
+    return F.element_at(ends, F.col("axis") if axis is None else axis)
 
 
-def _benign() -> Column:
-    return _axis(lambda a: a.from_severity(0.0))
+def to_value(s: Column, axis: Column | None = None) -> Column:
+    """A severity in the units of its axis, which the column axis names unless another does."""
+    return _end(0.0, axis) + s * (_end(1.0, axis) - _end(0.0, axis))
 
 
-def _severe() -> Column:
-    return _axis(lambda a: a.from_severity(1.0))
-
-
-def to_value(s: Column) -> Column:
-    return _benign() + s * (_severe() - _benign())
-
-
-def to_severity(value: Column) -> Column:
-    return (value - _benign()) / (_severe() - _benign())
+def to_severity(value: Column, axis: Column | None = None) -> Column:
+    return (value - _end(0.0, axis)) / (_end(1.0, axis) - _end(0.0, axis))
 
 
 def _key(s: Column) -> Column:

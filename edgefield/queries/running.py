@@ -12,9 +12,10 @@ from edgefield.queries.recording import tiles
 from edgefield.sources import scene
 from edgefield.sources.shared import folder, written
 from edgefield.sources.tables import table
-from edgefield.streaming import ledger
+from edgefield.streaming import ledger, planning
 
 _SEED = 20260906
+_AXES = ("fog.beta_per_m", "jpeg.quality", "low_light.illuminance_lux", "motion_blur.exposure_ms")
 
 
 def kernel_sweep(spark, d):
@@ -37,20 +38,30 @@ def level_set(spark, d):
     return levelset.classified(grid, lambda cells: cells.withColumn("value", F.expr(_SURFACE)), 0.5)
 
 
-def _plan(spark, d) -> rounds.Plan:
-    """Runs of users: their events are probes at 33 severities of the axis that their kind stands for, judged by an edge of the run."""
-    names = [a for a in ("fog.beta_per_m", "jpeg.quality", "low_light.illuminance_lux", "motion_blur.exposure_ms")]
-    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.pmod("event_id", F.lit(4)).cast("int").alias("place"), F.floor(F.col("value") * 32 / 100).alias("g"))
-    s = F.col("g") / 32.0
-    edge = (F.pmod(F.col("run_id") * 7 + F.col("place") * 5, F.lit(41)) - 3.5) / 32
-    axis = F.element_at(F.array(*map(F.lit, names)), F.col("place") + 1)
-    probes = e.select("run_id", F.concat(axis, F.lit("#"), F.col("g")).alias("probe_id"), axis.alias("axis"), rounds.to_value(s).alias("value"), F.when(s >= edge, 0.1).otherwise(0.6).alias("map50")).distinct()
-    ids = e.select("run_id").distinct()
-    base = ids.where("run_id % 10 != 0").select("run_id", F.lit(rounds.BASELINE).alias("probe_id"), F.lit(None).cast("string").alias("axis"), F.lit(None).cast("double").alias("value"), F.lit(0.6).alias("map50"))
-    ledger = written(probes.unionByName(base), "probes")
+def _recorded(spark, e):
+    """Events as records: probes at 33 severities of the axis that an event's kind stands for, judged by an edge of the run; for most runs a baseline."""
+    place, g = F.pmod("event_id", F.lit(4)).cast("int"), F.floor(F.col("value") * 32 / 100)
+    edge = (F.pmod(F.col("user_id") * 7 + place * 5, F.lit(41)) - 3.5) / 32
+    axis = F.element_at(F.array(*map(F.lit, _AXES)), place + 1)
+    null = F.lit(None)
+    probe = F.struct(F.concat(axis, F.lit("#"), g).alias("probe_id"), axis.alias("axis"), (g / 32.0).alias("s"), F.when(g / 32.0 >= edge, 0.1).otherwise(0.6).alias("map50"))
+    base = F.struct(F.lit(rounds.BASELINE).alias("probe_id"), null.cast("string").alias("axis"), null.cast("double").alias("s"), F.lit(0.6).alias("map50"))
+    rows = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seen"), F.explode(F.when(F.col("user_id") % 10 != 0, F.array(probe, base)).otherwise(F.array(probe))).alias("r"))
+    return rows.select("run_id", "r.probe_id", "r.axis", rounds.to_value(F.col("r.s"), F.col("r.axis")).alias("value"), "r.map50", "seen")
+
+
+def _defined(spark, e):
+    """Runs of users and their axes."""
+    ids = e.select(F.col("user_id").alias("run_id")).distinct()
     runs = ids.select("run_id", (0.2 + F.pmod("run_id", F.lit(9)) / 10.0).alias("budget"), F.lit(0.01).alias("price"), F.lit(0.0).alias("prepaid"), F.lit(0.6).alias("share"), F.lit(5).alias("verify"))
-    axes = ids.crossJoin(F.broadcast(spark.createDataFrame(list(enumerate(names)), "place int, axis string"))).select("run_id", "axis", "place", F.lit(1 / 32).alias("width"), F.when(F.pmod("run_id", F.lit(13)) == 0, 6).alias("cap"))  # four axes
-    return rounds.plan_rounds(runs, axes, ledger)
+    axes = ids.crossJoin(F.broadcast(spark.createDataFrame(list(enumerate(_AXES)), "place int, axis string"))).select("run_id", "axis", "place", F.lit(1 / 32).alias("width"), F.when(F.pmod("run_id", F.lit(13)) == 0, 6).alias("cap"))  # four axes
+    return runs, axes
+
+
+def _plan(spark, d) -> rounds.Plan:
+    e = table(spark, d, "events")
+    ledger = _recorded(spark, e).select("run_id", "probe_id", "axis", "value", "map50").distinct()
+    return rounds.plan_rounds(*_defined(spark, e), written(ledger, "probes"))
 
 
 def round_plan(spark, d):
@@ -68,6 +79,26 @@ def round_probes(spark, d):
     return _plan(spark, d).probes.select("run_id", "axis", F.round("value", 6).alias("value"))
 
 
+def _planned_from_stream(spark, d) -> str:
+    """The ledger arrives as three files, one a batch, by a hash of the event; every batch plans the runs that it reports on."""
+    to, e = folder(spark, "planned"), table(spark, d, "events")
+    parts = e.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    parts.repartition("part").write.partitionBy("part").parquet(f"{to}/in")
+    rows = _recorded(spark, ledger.events(spark, f"{to}/in", batch_files=1))
+    ledger.drained(rows, "append", f"{to}/check", planning.planner(*_defined(spark, e), f"{to}/out"))
+    return f"{to}/out"
+
+
+def streamed_plan(spark, d):
+    """What the next round of every run does, planned batch by batch from the stream of its ledger."""
+    return planning.actions(spark, _planned_from_stream(spark, d)).select("run_id", "action", "requested", "paid", F.round("spent", 6).alias("spent"), F.round("remaining", 6).alias("remaining"))
+
+
+def streamed_probes(spark, d):
+    """The probes that the stream's last plan of every run asks for."""
+    return planning.wanted(spark, _planned_from_stream(spark, d)).select("run_id", "axis", F.round("value", 6).alias("value"))
+
+
 def _streamed(spark, d, rows, mode, sink) -> str:
     to = folder(spark, "stream")
     ledger.drained(rows(ledger.events(spark, d, "events.parquet")), mode, f"{to}/check", lambda df, n: sink(df, n).write.mode("overwrite").parquet(f"{to}/out/batch={n}"))
@@ -120,7 +151,7 @@ _SESSIONS = """WITH a AS (SELECT user_id AS run_id, ts, coalesce(ts >= lag(ts) O
 b AS (SELECT run_id, ts, sum(new) OVER (PARTITION BY run_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM a)
 SELECT * FROM (SELECT run_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM b GROUP BY run_id, k) WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
 
-QUERIES = {f.__name__: f for f in (kernel_sweep, mtf50, level_set, round_plan, round_findings, round_probes, streaming_ledger, streaming_windows, streaming_sliding, streaming_sessions)}
+QUERIES = {f.__name__: f for f in (kernel_sweep, mtf50, level_set, round_plan, round_findings, round_probes, streamed_plan, streamed_probes, streaming_ledger, streaming_windows, streaming_sliding, streaming_sessions)}
 SQL = {
     "round_plan": _K + "SELECT run_id, CASE WHEN requested = 0 THEN 'done' WHEN affordable = 0 THEN 'halted' ELSE 'probe' END AS action, requested, least(requested, affordable) AS paid, round(charged * 0.01::DOUBLE, 6) AS spent, round(budget - charged * 0.01::DOUBLE, 6) AS remaining FROM y",
     "round_findings": _K + "SELECT run_id, axis, status, round(least(p, q), 6) AS lower, round(greatest(p, q), 6) AS upper, round(abs(p - q), 6) AS width, round((p + q) / 2, 6) AS middle, used AS probes_used FROM (SELECT *, CASE WHEN status = 'located' THEN benign + list_max(ok) / 32.0::DOUBLE * (severe - benign) END AS p, CASE WHEN status = 'located' THEN benign + list_min(bad) / 32.0::DOUBLE * (severe - benign) END AS q FROM u WHERE status IS NOT NULL)",
@@ -130,3 +161,4 @@ SQL = {
     "streaming_sliding": _SLIDING,
     "streaming_sessions": _SESSIONS,
 }
+SQL |= {"streamed_plan": SQL["round_plan"], "streamed_probes": SQL["round_probes"]}

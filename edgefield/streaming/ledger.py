@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def events(spark: SparkSession, folder: str, name: str = "*") -> DataFrame:
-    """A stream over a folder of ledger files, with the schema of those that are there; name is a pattern of their names."""
-    stream = spark.readStream.schema(spark.read.option("pathGlobFilter", name).parquet(folder).schema).option("pathGlobFilter", name).parquet(folder)
+def events(spark: SparkSession, folder: str, name: str = "*", batch_files: int | None = None) -> DataFrame:
+    """A stream over a folder of ledger files, with the schema of those that are there; name is a pattern of their names. A batch takes
+    all files that are there, or no more than batch_files of them."""
+    reader = spark.readStream.schema(spark.read.option("pathGlobFilter", name).parquet(folder).schema).option("pathGlobFilter", name)
+    stream = (reader.option("maxFilesPerTrigger", batch_files) if batch_files else reader).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
