@@ -1,8 +1,9 @@
 """Rounds planned from the ledger as a stream: each batch plans the next wave of the runs that it reports on, and of no others.
 
 Under one folder, every batch has its own place, written over when the batch is repeated: ledger/batch=N/bucket=B with the batch's
-records, actions/batch=N and probes/batch=N with what it planned. Nothing is kept in memory between batches, so a restart plans
-what the stream would have planned, and the same records in one batch or in many end in the same plan of every run.
+records, plans/batch=N with a row for each run that it planned and the run's next wave in it, a bounded number of probes. Nothing is
+kept in memory between batches, so a restart plans what the stream would have planned, and the same records in one batch or in many
+end in the same plan of every run.
 
 Records: run_id, probe_id, axis, value, map50, seen (whatever orders a probe's retries; the least counts). A record without run or
 probe is of none and goes. Repeated records change nothing; a batch without records plans nothing.
@@ -53,21 +54,25 @@ def planner(runs: DataFrame, axes: DataFrame, to: str, buckets: int = 64) -> Cal
         touched = written.select("run_id").distinct()
         ledger = recorded(spark, to, number, written, buckets)
         out = rounds.plan_rounds(runs.join(touched, "run_id", "left_semi"), axes.join(touched, "run_id", "left_semi"), ledger)
-        out.actions.write.mode("overwrite").parquet(f"{to}/actions/batch={number}")
-        out.probes.write.mode("overwrite").parquet(f"{to}/probes/batch={number}")
+        asked = out.probes.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("probe_id", "axis", "value", "command"))).alias("probes"))
+        out.actions.join(asked, "run_id", "left").write.mode("overwrite").parquet(f"{to}/plans/batch={number}")
 
     return plan
 
 
+def _last(spark: SparkSession, to: str, names: list[str]) -> DataFrame:
+    last = F.max_by(F.struct(*names, "batch"), "batch")
+    return spark.read.parquet(f"{to}/plans").groupBy("run_id").agg(last.alias("p")).select("run_id", "p.*")
+
+
 def actions(spark: SparkSession, to: str) -> DataFrame:
     """What each run does next: the last plan that a batch made of it."""
-    names = ["action", "requested", "paid", "spent", "remaining"]
-    return spark.read.parquet(f"{to}/actions").groupBy("run_id").agg(F.max_by(F.struct(*names), "batch").alias("a"), F.max("batch").alias("batch")).select("run_id", "a.*", "batch")
+    return _last(spark, to, ["action", "requested", "paid", "spent", "remaining"])
 
 
 def wanted(spark: SparkSession, to: str) -> DataFrame:
     """The probes of each run's last plan. None that is recorded is among them: a plan asks only for what its ledger lacks."""
-    return spark.read.parquet(f"{to}/probes").join(actions(spark, to).select("run_id", "batch"), ["run_id", "batch"], "left_semi").drop("batch")
+    return _last(spark, to, ["probes"]).select("run_id", F.inline("probes"))
 
 
 def dispatched(spark: SparkSession, to: str, until: int) -> DataFrame:

@@ -55,7 +55,7 @@ def test_only_runs_of_a_batch_are_planned_in_it(spark, tmp_path):
     plan = planning.planner(runs, axes, str(tmp_path), 4)
     plan(spark.createDataFrame(RECORDS[:7], RECORD), 0)
     plan(spark.createDataFrame(RECORDS[7:9], RECORD), 1)
-    planned = spark.read.parquet(f"{tmp_path}/actions").select("run_id", "batch").collect()
+    planned = spark.read.parquet(f"{tmp_path}/plans").select("run_id", "batch").collect()
     assert sorted(map(tuple, planned)) == [(1, 0), (2, 1)]
     assert sorted(os.listdir(tmp_path / "ledger")) == ["batch=0", "batch=1"]
 
