@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgefield.functions.axes import AXES
+from edgefield.sources.shared import written
 
 BASELINE = "baseline"
 RUN_AXIS = ["run_id", "axis"]
@@ -82,14 +83,16 @@ def plan_rounds(runs: DataFrame, axes: DataFrame, ledger: DataFrame, seed: int =
     """The next wave of every run. A run without a baseline asks for that alone; the baseline is charged like any probe. A probe of the
     scan whose result is null is asked for again.
 
-    The ledger is read twice, for sums of each run and for the conditions of its axes; from then on an axis is one row."""
+    The ledger is read for sums of each run and for the conditions of its axes; from then on an axis is one row. Sums, conditions and
+    axes are written to the shared folder, since all that is planned reads them: a plan that spells them out each time outgrows the driver."""
     based = F.col("probe_id") == BASELINE
     each = ledger.groupBy("run_id").agg(F.count("*").alias("charged"), F.count_if(based).alias("based"))
     money = runs.join(each, "run_id", "left").withColumns({"charged": F.coalesce("charged", F.lit(0)), "ready": F.coalesce(F.col("based") > 0, F.lit(False))})
     money = money.withColumn("spent", F.col("prepaid") + F.col("charged") * F.col("price"))
     money = money.withColumn("affordable", F.greatest(F.lit(0), F.floor((F.col("budget") - F.col("spent")) / F.col("price") + 1e-9))).select("run_id", "budget", "spent", "affordable", "verify", "ready")
+    money = written(money, "money")
 
-    seen = observed(runs, axes, ledger)
+    seen = written(observed(runs, axes, ledger), "seen")
     state = _brackets(_scanned(axes.join(money.where("ready").select("run_id", "verify"), "run_id").select(*RUN_AXIS, "place", "width", "cap", "verify"), seen), seen)
     one_sided = F.col("a").isNull() | F.col("b").isNull()  # the scan turns from fail to pass
     left = F.coalesce(F.col("cap") - F.col("used"), F.lit(1 << 30))
@@ -100,14 +103,14 @@ def plan_rounds(runs: DataFrame, axes: DataFrame, ledger: DataFrame, seed: int =
         .when(one_sided, "not_monotone")
         .when(F.col("b") - F.col("a") <= F.col("width") + 1e-12, "located")
     )
-    state = state.withColumn("status", F.coalesce(status, F.when(left <= 0, "capped")))
+    state = written(state.withColumn("status", F.coalesce(status, F.when(left <= 0, "capped"))), "state")
     ends = [F.when(F.col("status") == "located", to_value(F.col(x))) for x in ("a", "b")]
     found = state.where("status IS NOT NULL").select("run_id", "axis", "status", F.least(*ends).alias("lower"), F.greatest(*ends).alias("upper"), F.col("used").alias("probes_used"))
     findings = found.withColumns({"width": F.col("upper") - F.col("lower"), "middle": (F.col("lower") + F.col("upper")) / 2})
 
     points = F.transform("absent", lambda i: i / (F.col("verify") - 1.0))
     ask = F.when(F.size("absent") > 0, points).otherwise(F.array((F.col("a") + F.col("b")) / 2))
-    open_ = state.where("status IS NULL").select("run_id", "axis", "place", F.slice(ask, F.lit(1), left.cast("int")).alias("ask"))
+    open_ = state.where("status IS NULL").select("run_id", "axis", "place", F.slice(ask, F.lit(1), F.greatest(left, F.lit(0)).cast("int")).alias("ask"))
     asked = open_.select("run_id", "axis", "place", F.explode("ask").alias("s"))
     first = money.where("NOT ready").select("run_id", F.lit(None).cast("string").alias("axis"), F.lit(-1).alias("place"), F.lit(0.0).alias("s"))
     wanted = first.unionByName(asked).withColumn("value", to_value(F.col("s")))

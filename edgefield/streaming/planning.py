@@ -52,8 +52,10 @@ def planner(runs: DataFrame, axes: DataFrame, to: str, buckets: int = 64) -> Cal
         if written.isEmpty():
             return
         touched = written.select("run_id").distinct()
-        ledger = recorded(spark, to, number, written, buckets)
-        out = rounds.plan_rounds(runs.join(touched, "run_id", "left_semi"), axes.join(touched, "run_id", "left_semi"), ledger)
+        own = {"runs": runs.join(touched, "run_id", "left_semi"), "axes": axes.join(touched, "run_id", "left_semi"), "held": recorded(spark, to, number, written, buckets)}
+        for name, df in own.items():  # read several times by a plan; each batch writes over the one before
+            df.write.mode("overwrite").parquet(f"{to}/work/{name}")
+        out = rounds.plan_rounds(*(spark.read.schema(df.schema).parquet(f"{to}/work/{name}") for name, df in own.items()))
         asked = out.probes.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("probe_id", "axis", "value", "command"))).alias("probes"))
         out.actions.join(asked, "run_id", "left").write.mode("overwrite").parquet(f"{to}/plans/batch={number}")
 
