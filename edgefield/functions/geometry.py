@@ -137,3 +137,9 @@ def round_trip_px(width: Column, height: Column, lens: tuple[Column, ...], px: C
     u = undistorted(x, y, lens)
     d = distorted(u["x"], u["y"], lens)
     return F.greatest(F.abs(d["x"] * f + cx - px), F.abs(d["y"] * f + cy - py))
+
+
+def ladder(lo: Column, hi: Column, n: int, ratio: Column) -> Column:
+    """n values from lo to hi as an array: in equal ratios where ratio holds and both are above 0, else in equal steps. Null ends give nulls."""
+    above = F.when(ratio & (lo > 0) & (hi > 0), lo)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(above * F.pow(hi / above, k / (n - 1.0)), lo + (hi - lo) * k / (n - 1.0)))

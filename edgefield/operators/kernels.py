@@ -33,6 +33,8 @@ PARAMETERS: dict[str, dict[str, tuple[float, float, float | None]]] = {
     "jpeg": {"quality": (1, 100, None)},
 }
 STOCHASTIC = {"low_light"}
+#: Kernels that treat every channel alike and draw nothing: frames of one size go through them together, as channels of one array.
+CHANNELWISE = {"fog", "motion_blur", "defocus", "lens_distortion", "rolling_shutter"}
 
 
 def correlated(image: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -218,17 +220,44 @@ def steps(condition: dict[str, float], fixed: dict[str, float] | None = None) ->
     return out
 
 
-def degraded(image: np.ndarray, condition: dict[str, float], seed: int, fixed: dict[str, float] | None = None) -> np.ndarray:
-    if image.dtype != np.uint8 or image.ndim != 3 or image.shape[2] != 3:
+def degraded_stack(stack: np.ndarray, condition: dict[str, float], seed: int, fixed: dict[str, float] | None = None) -> np.ndarray:
+    """Frames of one size under one condition. stack: height x width x 3 n, frame after frame; each comes out as it would alone."""
+    if stack.dtype != np.uint8 or stack.ndim != 3 or stack.shape[2] % 3 or not stack.size:
         raise TypeError("frames are uint8, height x width x 3")
     plan = steps(condition, fixed)
-    out = image.copy()
+    out = stack.copy()
     for i, (kernel, values) in enumerate(plan):
         own = seed if len(plan) == 1 else int(np.random.SeedSequence([seed, i]).generate_state(1)[0])
-        out = KERNELS[kernel](out, values, np.random.default_rng(own))
+        if kernel in CHANNELWISE:
+            out = KERNELS[kernel](out, values, np.random.default_rng(own))
+        else:
+            each = [KERNELS[kernel](np.ascontiguousarray(out[..., k : k + 3]), values, np.random.default_rng(own)) for k in range(0, out.shape[2], 3)]
+            out = np.concatenate(each, axis=2)
     return out
 
 
+def degraded(image: np.ndarray, condition: dict[str, float], seed: int, fixed: dict[str, float] | None = None) -> np.ndarray:
+    if image.ndim != 3 or image.shape[2] != 3:
+        raise TypeError("frames are uint8, height x width x 3")
+    return degraded_stack(image, condition, seed, fixed)
+
+
+def stacks(pdf: pd.DataFrame, most: int = 1 << 18):
+    """Frames of a batch by size, as (places in the batch, stack), at most so many bytes in a stack or one frame."""
+    for (h, w), at in pdf.groupby(["height", "width"]).indices.items():
+        n = max(1, most // max(1, h * w * 3))
+        for k in range(0, len(at), n):
+            rows = at[k : k + n]
+            flat = np.frombuffer(b"".join(pdf["pixels"].iloc[rows]), np.uint8).reshape(len(rows), h, w, 3)
+            yield rows, np.ascontiguousarray(flat.transpose(1, 2, 0, 3)).reshape(h, w, -1)
+
+
+def unstacked(stack: np.ndarray) -> list[bytes]:
+    """The pixels of each frame of a stack, by rows."""
+    h, w, n = stack.shape
+    return [f.tobytes() for f in stack.reshape(h, w, n // 3, 3).transpose(2, 0, 1, 3)]
+
+
 def apply(frames: DataFrame, condition: dict[str, float], seed: int, fixed: dict[str, float] | None = None) -> DataFrame:
     """frames: any columns, with height, width and pixels (binary, BGR by rows). The same table with pixels degraded.
 
@@ -237,26 +266,36 @@ def apply(frames: DataFrame, condition: dict[str, float], seed: int, fixed: dict
 
     def run(batches):
         for pdf in batches:
-            out = [degraded(np.frombuffer(p, np.uint8).reshape(h, w, 3), condition, seed, fixed).tobytes() for p, h, w in zip(pdf["pixels"], pdf["height"], pdf["width"])]
-            yield pdf.assign(pixels=pd.Series(out, index=pdf.index, dtype=object))
+            out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            for rows, stack in stacks(pdf):
+                for i, pixels in zip(rows, unstacked(degraded_stack(stack, condition, seed, fixed))):
+                    out.iloc[i] = pixels
+            yield pdf.assign(pixels=out)
 
     return frames.mapInPandas(run, frames.schema)
 
 
-def sweep(frames: DataFrame, conditions: DataFrame, seed: int, look: Callable[[np.ndarray], dict[str, float]], names: tuple[str, ...]) -> DataFrame:
-    """frames with image_id; conditions: axis, value, one row each and few of them. What look(image) says of every frame under every
-    condition, with a digest of its pixels, as one pass: frames and conditions are dealt over the tasks together."""
-    pairs = frames.select("image_id", "height", "width", "pixels").crossJoin(F.broadcast(conditions)).repartition("image_id", "axis", "value")
+def sweep(frames: DataFrame, conditions: list[tuple[str, float]], seed: int, look: Callable[[np.ndarray], dict[str, np.ndarray]], names: tuple[str, ...]) -> DataFrame:
+    """frames with image_id, height, width and pixels; conditions: (axis, value). What look(stack) says of every frame under every
+    condition, with a digest of its pixels: image_id, axis, value, sha256 and names.
+
+    Conditions are of the caller's making and are checked here. A task reads its frames once and goes over the conditions itself:
+    nothing is joined or shuffled, and no pixel leaves the task. Frames without pixels, or of another length than their size says, are
+    an error; a repeated frame or condition has its rows repeated, and an empty table has none."""
+    for axis, value in conditions:
+        steps({axis: value})
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                image = degraded(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3), {r.axis: r.value}, seed)
-                rows.append((r.image_id, r.axis, r.value, hashlib.sha256(image.tobytes()).hexdigest(), *(look(image)[n] for n in names)))
-            yield pd.DataFrame(rows, columns=["image_id", "axis", "value", "sha256", *names])
-
-    return pairs.mapInPandas(run, ", ".join(["image_id long, axis string, value double, sha256 string", *(f"{n} double" for n in names)]))
+            for rows, stack in stacks(pdf):
+                for axis, value in conditions:
+                    seen = degraded_stack(stack, {axis: value}, seed)
+                    told = look(seen)
+                    digests = [hashlib.sha256(p).hexdigest() for p in unstacked(seen)]
+                    yield pd.DataFrame({"image_id": pdf["image_id"].to_numpy()[rows], "axis": axis, "value": value, "sha256": digests, **{n: told[n] for n in names}})
+
+    out = ", ".join(["image_id long, axis string, value double, sha256 string", *(f"{n} double" for n in names)])
+    return frames.select("image_id", "height", "width", "pixels").mapInPandas(run, out)
 
 
 def detect(frames: DataFrame, make: Callable[[], Any]) -> DataFrame:

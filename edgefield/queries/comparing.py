@@ -10,7 +10,7 @@ from edgefield.functions import geometry as G
 from edgefield.operators import agreement as A
 from edgefield.operators import lateral
 from edgefield.plans.probe import BrightBoxes
-from edgefield.queries.recording import _TILE, tiles
+from edgefield.queries.recording import TILE, tiles
 from edgefield.sources.tables import table
 
 
@@ -84,5 +84,5 @@ q AS (SELECT *, 0.9::DOUBLE * greatest(w, h) AS f, (w - 1) / 2 AS cx, (h - 1) /
 s AS (SELECT n.*, 0 AS k, a AS x, b AS y FROM n UNION ALL SELECT * REPLACE (k + 1 AS k, (a - (2 * p1 * x * y + p2 * (x * x + y * y + 2 * x * x))) / (1 + k1 * (x * x + y * y) + k2 * (x * x + y * y) * (x * x + y * y)) AS x, (b - (p1 * (x * x + y * y + 2 * y * y) + 2 * p2 * x * y)) / (1 + k1 * (x * x + y * y) + k2 * (x * x + y * y) * (x * x + y * y)) AS y) FROM s WHERE k < 20),
 e AS (SELECT *, x * x + y * y AS r FROM s WHERE k = 20), g AS (SELECT p_partkey, greatest(abs((x * (1 + k1 * r + k2 * r * r) + (2 * p1 * x * y + p2 * (r + 2 * x * x))) * f + cx - px), abs((y * (1 + k1 * r + k2 * r * r) + (p1 * (r + 2 * y * y) + 2 * p2 * x * y)) * f + cy - py)) AS d FROM e)
 SELECT p_partkey, round(max(d), 6) AS error_px, round(max(d), 6) < 1 AS faithful FROM g GROUP BY 1""",
-    "lateral_detections": f"WITH {_TILE}, c AS (SELECT image_id, list_sum(g) / 64 AS mean, y, x, (g[16 * y + 2 * x + 1] + g[16 * y + 2 * x + 2] + g[16 * y + 2 * x + 9] + g[16 * y + 2 * x + 10]) / 4 AS v FROM t, range(4) a(y), range(4) b(x)) SELECT image_id, 0::INT AS label, least(1::DOUBLE, (v - mean) / 128) AS score, 2.0::DOUBLE * x AS x0, 2.0::DOUBLE * y AS y0, 2.0::DOUBLE * x + 2 AS x1, 2.0::DOUBLE * y + 2 AS y1 FROM c WHERE v - mean > 40",
+    "lateral_detections": f"WITH {TILE}, c AS (SELECT image_id, list_sum(g) / 64 AS mean, y, x, (g[16 * y + 2 * x + 1] + g[16 * y + 2 * x + 2] + g[16 * y + 2 * x + 9] + g[16 * y + 2 * x + 10]) / 4 AS v FROM t, range(4) a(y), range(4) b(x)) SELECT image_id, 0::INT AS label, least(1::DOUBLE, (v - mean) / 128) AS score, 2.0::DOUBLE * x AS x0, 2.0::DOUBLE * y AS y0, 2.0::DOUBLE * x + 2 AS x1, 2.0::DOUBLE * y + 2 AS y1 FROM c WHERE v - mean > 40",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgefield.functions import geometry as G
 from edgefield.functions import text as T
+from edgefield.functions.axes import AXES
 from edgefield.operators import maps as M
 from edgefield.queries import fixtures as X
 from edgefield.sources import selection as S
@@ -177,12 +178,17 @@ round(abs(q * 0.4::DOUBLE * 0.5 + q * 0.1::DOUBLE * 0.25) * (0.9::DOUBLE * 256 *
 round(exp(-(q * 0.12::DOUBLE) * 5), 9) AS t_near, round(exp(-(q * 0.12::DOUBLE) * 80), 9) AS t_far, round(CASE WHEN q * 0.12 > 1e-9 THEN 3.912::DOUBLE / (q * 0.12::DOUBLE) END, 9) AS visibility_m, round((0.5::DOUBLE + q * 399.5) * 10 * 180 / 1000, 9) AS signal_e FROM r"""
 
 
+_LADDERS = ("motion_blur.exposure_ms", "low_light.illuminance_lux", "fog.beta_per_m", "jpeg.quality")
+
+
 def fixture_64(spark, d):
-    """Sixteen probes on each of four axes, light in equal ratios and the others in equal steps."""
-    a = spark.createDataFrame([("motion_blur.exposure_ms", 0.0, 40.0, False), ("low_light.illuminance_lux", 0.5, 400.0, True), ("fog.beta_per_m", 0.0, 0.12, False), ("jpeg.quality", 5.0, 100.0, False)], "axis string, lo double, hi double, ratio boolean")
-    k = F.col("k")
-    v = F.when(F.col("ratio"), F.col("lo") * F.pow(F.col("hi") / F.when(F.col("ratio"), F.col("lo")).otherwise(1.0), k / 15.0)).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * k / 15)
-    return a.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15)))).select(F.format_string("%s#%02d", "axis", "k").alias("probe_id"), F.round(v, 9).alias("value"))
+    """Sixteen probes on each of four axes for every run, between the ends that the run has seen; light in equal ratios and the others in equal steps."""
+    axes = spark.createDataFrame([(i, n, AXES[n].lo, AXES[n].hi, n.startswith("low_light")) for i, n in enumerate(_LADDERS)], "place int, axis string, lo double, hi double, ratio boolean")
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.pmod("event_id", F.lit(4)).cast("int").alias("place"), (F.col("value") / 100).alias("q"))
+    seen = e.groupBy("run_id", "place").agg(F.min("q").alias("a"), F.max("q").alias("b")).join(F.broadcast(axes), "place")  # four axes
+    at = lambda q: F.col("lo") + F.col(q) * (F.col("hi") - F.col("lo"))
+    rungs = seen.select("run_id", "axis", F.posexplode(G.ladder(at("a"), at("b"), 16, F.col("ratio"))).alias("k", "v"))
+    return rungs.select("run_id", F.format_string("%s#%02d", "axis", "k").alias("probe_id"), F.round("v", 6).alias("value"))
 
 
 def letterbox(spark, d):
@@ -247,7 +253,9 @@ SQL = {
     "probe_keys": """SELECT event_id, event_type || '@' || user_id AS probe_id, 'road|' || event_type || '|100|' || event_id || '|{"a.x":"1","b.y":"' || user_id || '"}' AS store_key, 'edgefield probe --axis ' || event_type || ' --value ' || user_id || ' --seed 7' AS command FROM events""",
     "severity_roundtrip": "SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN (value - 0.5) / 399.5 ELSE (value - 400.0) / -399.5 END, 9) AS severity, round(least(greatest(value, 1.0), 99.0), 9) AS value FROM events",
     "physics_derived": _PHYSICS,
-    "fixture_64": "SELECT printf('%s#%02d', axis, k) AS probe_id, round(CASE WHEN ratio THEN lo * pow(hi / lo, k / 15.0::DOUBLE) ELSE lo + (hi - lo) * k / 15 END, 9) AS value FROM (VALUES ('motion_blur.exposure_ms', 0.0::DOUBLE, 40.0::DOUBLE, false), ('low_light.illuminance_lux', 0.5, 400.0, true), ('fog.beta_per_m', 0.0, 0.12, false), ('jpeg.quality', 5.0, 100.0, false)) a(axis, lo, hi, ratio), range(16) r(k)",
+    "fixture_64": """WITH e AS (SELECT user_id AS run_id, event_id % 4 AS place, min(value / 100) AS p, max(value / 100) AS q FROM events GROUP BY ALL),
+s AS (SELECT run_id, axis, ratio, lo + p * (hi - lo) AS a, lo + q * (hi - lo) AS b FROM e JOIN (VALUES (0, 'motion_blur.exposure_ms', 0.0::DOUBLE, 40.0::DOUBLE, false), (1, 'low_light.illuminance_lux', 0.5, 400.0, true), (2, 'fog.beta_per_m', 0.0, 0.12, false), (3, 'jpeg.quality', 5.0, 100.0, false)) v(place, axis, lo, hi, ratio) USING (place))
+SELECT run_id, printf('%s#%02d', axis, k) AS probe_id, round(CASE WHEN ratio THEN a * pow(b / a, k / 15.0::DOUBLE) ELSE a + (b - a) * k / 15 END, 6) AS value FROM s, range(16) r(k)""",
     "letterbox": "WITH p AS (SELECT p_partkey, p_size * 37 + 64 AS w, p_partkey % 50 * 29 + 48 AS h FROM part), s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS s FROM p) SELECT p_partkey, round(s, 9) AS scale, round_even(w * s, 0)::BIGINT AS sw, round_even(h * s, 0)::BIGINT AS sh FROM s",
     "frame_measures_small": f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: greatest(0, least(255, floor(128 + 400 * v::DOUBLE)))::DOUBLE) AS g FROM embeddings), p AS (SELECT vec_id, g, i FROM e, range(64) r(i)),
 l AS (SELECT vec_id, g[i + 1] AS v, {_px(-1, 0)} + {_px(1, 0)} + {_px(0, -1)} + {_px(0, 1)} - 4 * g[i + 1] AS l FROM p)

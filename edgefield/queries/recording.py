@@ -94,7 +94,7 @@ def tile_luminance(spark, d):
     return out.select("image_id", "height", "width", F.round("mean_linear", 6).alias("mean_linear"))
 
 
-_TILE = "t AS (SELECT vec_id AS image_id, list_transform(embedding, lambda v: greatest(0, least(255, floor(128 + 400 * v::DOUBLE)))::DOUBLE) AS g FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64)"
+TILE = "t AS (SELECT vec_id AS image_id, list_transform(embedding, lambda v: greatest(0, least(255, floor(128 + 400 * v::DOUBLE)))::DOUBLE) AS g FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64)"
 QUERIES = {f.__name__: f for f in (limitations, cited_figures, uncited_figures, decision_trace, probe_commands, sensor_noise, whole_run_cost, tile_measures, tile_luminance)}
 SQL = {
     "limitations": "SELECT p_partkey AS doc_id, 0::INT AS place, 'Only p' || p_partkey || ' of them' AS limitation FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, 1, 'Size ' || p_size FROM part WHERE p_partkey % 6 IN (2, 4)",
@@ -108,8 +108,8 @@ SELECT event_id, rpad(printf('%04d-agent', user_id), 16, ' ') || ' ' || rpad(too
     "whole_run_cost": """WITH t AS (SELECT l_orderkey AS run_id, count(*) AS tasks, sum(greatest(l_quantity * 4, 60.0)) AS billed_s, sum(greatest(l_quantity * 4, 60.0) / 3600.0::DOUBLE * (2 * v::DOUBLE + 4 * g::DOUBLE)) AS task_usd FROM lineitem JOIN (VALUES ('A', 0.04048, 0.004445), ('N', 0.03238, 0.00356), ('R', 0.03, 0.003)) p(machine, v, g) ON machine = l_returnflag GROUP BY 1),
 x AS (SELECT o_orderkey AS run_id, count(*) * (512 * 0.0000133334::DOUBLE + 40 * 0.0000002::DOUBLE) AS f, sum(o_custkey % 50) * 0.000025::DOUBLE AS s, sum(o_custkey % 7) / 100.0::DOUBLE AS m FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1)
 SELECT run_id, tasks, round(billed_s::DOUBLE, 6) AS billed_s, round(task_usd, 6) AS task_usd, round(coalesce(f, 0), 6) AS function_usd, round(coalesce(s, 0), 6) AS transition_usd, round(coalesce(m, 0), 6) AS model_usd, round(task_usd + coalesce(f, 0) + coalesce(s, 0) + coalesce(m, 0), 6) AS total_usd FROM t LEFT JOIN x USING (run_id)""",
-    "tile_measures": f"""WITH {_TILE}, p AS (SELECT image_id, g, i, i // 8 AS y, i % 8 AS x FROM t, range(64) r(i)),
+    "tile_measures": f"""WITH {TILE}, p AS (SELECT image_id, g, i, i // 8 AS y, i % 8 AS x FROM t, range(64) r(i)),
 l AS (SELECT image_id, g[i + 1] AS v, g[8 * y + abs(x - 1) + 1] + g[8 * y + 7 - abs(6 - x) + 1] + g[8 * abs(y - 1) + x + 1] + g[8 * (7 - abs(6 - y)) + x + 1] - 4 * g[i + 1] AS l FROM p)
 SELECT image_id, round((64 * sum(l * l) - sum(l) * sum(l)) / 4096.0::DOUBLE, 6) AS laplacian_var, round(sqrt((64 * sum(v * v) - sum(v) * sum(v)) / 4096.0::DOUBLE), 6) AS rms_contrast, round(sum(v) / 64, 6) AS mean_level FROM l GROUP BY 1""",
-    "tile_luminance": f"WITH {_TILE}, b AS (SELECT image_id, round_even((g[16 * y + 2 * x + 1] + g[16 * y + 2 * x + 2] + g[16 * y + 2 * x + 9] + g[16 * y + 2 * x + 10]) / 4, 0) AS v FROM t, range(4) a(y), range(4) c(x)) SELECT image_id, 4::INT AS height, 4::INT AS width, round(avg(pow(v / 255.0::DOUBLE, 2.2::DOUBLE)), 6) AS mean_linear FROM b GROUP BY 1",
+    "tile_luminance": f"WITH {TILE}, b AS (SELECT image_id, round_even((g[16 * y + 2 * x + 1] + g[16 * y + 2 * x + 2] + g[16 * y + 2 * x + 9] + g[16 * y + 2 * x + 10]) / 4, 0) AS v FROM t, range(4) a(y), range(4) c(x)) SELECT image_id, 4::INT AS height, 4::INT AS width, round(avg(pow(v / 255.0::DOUBLE, 2.2::DOUBLE)), 6) AS mean_linear FROM b GROUP BY 1",
 }

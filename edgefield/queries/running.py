@@ -8,8 +8,7 @@ from edgefield.functions.axes import AXES
 from edgefield.operators import kernels as K
 from edgefield.operators import measures
 from edgefield.plans import levelset, rounds
-from edgefield.queries.recording import tiles
-from edgefield.sources import scene
+from edgefield.queries.recording import TILE, tiles
 from edgefield.sources.shared import folder, written
 from edgefield.sources.tables import table
 from edgefield.streaming import ledger, planning
@@ -19,9 +18,20 @@ _AXES = ("fog.beta_per_m", "jpeg.quality", "low_light.illuminance_lux", "motion_
 
 
 def kernel_sweep(spark, d):
-    """Every axis at its benign end, middle and severe end over synthetic frames, with measures and a digest of the pixels."""
-    conditions = spark.createDataFrame([(name, axis.from_severity(s)) for name, axis in AXES.items() for s in (0.0, 0.5, 1.0)], "axis string, value double")
-    return K.sweep(scene.frames(spark, 4, 96), conditions, _SEED, measures.measured, measures.NAMES)
+    """The frame of every embedding at the benign end, the middle and the severe end of every axis, with measures and a digest of the pixels."""
+    conditions = [(name, axis.from_severity(s)) for name, axis in AXES.items() for s in (0.0, 0.5, 1.0)]
+    return K.sweep(tiles(spark, d), conditions, _SEED, measures.measured_stack, measures.NAMES)
+
+
+def _levels(stack):
+    told = measures.measured_stack(stack)
+    return {"mean_level": told["mean_level"].round(6), "rms_contrast": told["rms_contrast"].round(6)}
+
+
+def fog_sweep(spark, d):
+    """Mean level and contrast of the frame of every embedding at nine densities of fog."""
+    conditions = [("fog.beta_per_m", AXES["fog.beta_per_m"].from_severity(i / 8)) for i in range(9)]
+    return K.sweep(tiles(spark, d), conditions, _SEED, _levels, ("mean_level", "rms_contrast")).select("image_id", F.round("value", 6).alias("beta_per_m"), "mean_level", "rms_contrast")
 
 
 def mtf50(spark, d):
@@ -151,8 +161,14 @@ _SESSIONS = """WITH a AS (SELECT user_id AS run_id, ts, coalesce(ts >= lag(ts) O
 b AS (SELECT run_id, ts, sum(new) OVER (PARTITION BY run_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM a)
 SELECT * FROM (SELECT run_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM b GROUP BY run_id, k) WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
 
-QUERIES = {f.__name__: f for f in (kernel_sweep, mtf50, level_set, round_plan, round_findings, round_probes, streamed_plan, streamed_probes, streaming_ledger, streaming_windows, streaming_sliding, streaming_sessions)}
+# single precision where the kernel has it; kernel and text agree on every level, row and density of these frames
+_FOG = f"""WITH {TILE}, p AS (SELECT image_id, k, i, g[i + 1] AS v, exp((-(0.015::DOUBLE * k)::FLOAT * (80.0::DOUBLE - 75.0::DOUBLE * (i // 8) / 7)::FLOAT)::DOUBLE)::FLOAT AS t FROM t, range(9) b(k), range(64) r(i)),
+f AS (SELECT image_id, k, CASE WHEN k = 0 THEN v ELSE floor((v::FLOAT / 255::FLOAT * t + 0.9::FLOAT * (1::FLOAT - t)) * 255::FLOAT)::DOUBLE END AS v FROM p)
+SELECT image_id, round(0.015::DOUBLE * k, 6) AS beta_per_m, round(sum(v) / 64, 6) AS mean_level, round(sqrt((64 * sum(v * v) - sum(v) * sum(v)) / 4096.0::DOUBLE), 6) AS rms_contrast FROM f GROUP BY 1, 2, k"""
+
+QUERIES = {f.__name__: f for f in (kernel_sweep, fog_sweep, mtf50, level_set, round_plan, round_findings, round_probes, streamed_plan, streamed_probes, streaming_ledger, streaming_windows, streaming_sliding, streaming_sessions)}
 SQL = {
+    "fog_sweep": _FOG,
     "round_plan": _K + "SELECT run_id, CASE WHEN requested = 0 THEN 'done' WHEN affordable = 0 THEN 'halted' ELSE 'probe' END AS action, requested, least(requested, affordable) AS paid, round(charged * 0.01::DOUBLE, 6) AS spent, round(budget - charged * 0.01::DOUBLE, 6) AS remaining FROM y",
     "round_findings": _K + "SELECT run_id, axis, status, round(least(p, q), 6) AS lower, round(greatest(p, q), 6) AS upper, round(abs(p - q), 6) AS width, round((p + q) / 2, 6) AS middle, used AS probes_used FROM (SELECT *, CASE WHEN status = 'located' THEN benign + list_max(ok) / 32.0::DOUBLE * (severe - benign) END AS p, CASE WHEN status = 'located' THEN benign + list_min(bad) / 32.0::DOUBLE * (severe - benign) END AS q FROM u WHERE status IS NOT NULL)",
     "round_probes": _K + "SELECT run_id, axis, round(benign + g / 32 * (severe - benign), 6) AS value FROM n JOIN y USING (run_id) WHERE k <= affordable UNION ALL SELECT run_id, NULL, NULL FROM y WHERE NOT based AND affordable > 0",

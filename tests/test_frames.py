@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 
 import numpy as np
 import pytest
@@ -167,3 +168,37 @@ def test_digest_filter(spark, tmp_path):
     digest = lambda b: hashlib.sha256(b).hexdigest()
     wanted = spark.createDataFrame([("a", digest(b"a" * 10).upper()), ("b", digest(b"a" * 10)), ("d", digest(b""))], "file string, sha256 string")
     assert [r.file for r in selection.intact(wanted, str(tmp_path)).collect()] == ["a"]
+
+
+def test_frames_of_one_size_go_through_together_as_they_would_alone(spark):
+    rng = np.random.default_rng(4)
+    sizes = {1: (8, 8), 2: (8, 8), 3: (9, 17), 4: (8, 8), 5: (1, 3), 6: (70, 64)}
+    images = {i: rng.integers(0, 256, (*hw, 3), dtype=np.uint8) for i, hw in sizes.items()}
+    images[4][:] = 9  # a flat frame
+    frames = spark.createDataFrame([(i, *x.shape[:2], x.tobytes(), "clash") for i, x in images.items()], "image_id long, height int, width int, pixels binary, value string")
+    conditions = [(n, a.from_severity(s)) for n, a in AXES.items() for s in (0.0, 1.0)]
+    got = {(r.image_id, r.axis, r.value): r for r in K.sweep(frames.unionByName(frames.where("image_id = 1")), conditions, SEED, measures.measured_stack, measures.NAMES).collect()}
+    assert len(got) == len(images) * len(conditions)
+    for (i, axis, value), r in got.items():
+        alone = K.degraded(images[i], {axis: value}, SEED)
+        assert r.sha256 == hashlib.sha256(alone.tobytes()).hexdigest()
+        told = measures.measured(alone)
+        assert [r[n] for n in measures.NAMES] == pytest.approx([told[n] for n in measures.NAMES], abs=1e-9)
+    assert K.sweep(frames.limit(0), conditions, SEED, measures.measured_stack, measures.NAMES).count() == 0
+    with pytest.raises(ValueError):
+        K.sweep(frames, [("fog.beta_per_m", 9.0)], SEED, measures.measured_stack, measures.NAMES)
+    batch = frames.toPandas()
+    assert sorted(i for rows, _ in K.stacks(batch, 400) for i in rows) == list(range(6)) and max(s.shape[2] // 3 for _, s in K.stacks(batch, 400)) == 2
+
+
+def test_the_spectrum_of_a_stack_is_that_of_each_frame(image):
+    g = measures.grey(image[:61, :47])
+    g -= g.mean()
+    power = np.abs(np.fft.fftshift(np.fft.fft2(g * np.outer(np.hanning(61), np.hanning(47)).astype(np.float32))))
+    rings: dict[int, list[float]] = {}
+    for y in range(61):
+        for x in range(47):
+            rings.setdefault(int(math.hypot(y - 30, x - 23)), []).append(power[y, x])
+    profile = [np.mean(rings[k]) / np.mean(rings[0]) for k in range(23)]
+    i = next(k for k, v in enumerate(profile) if v < 0.5)
+    assert float(measures.mtf50(g)) == pytest.approx(0.5 * (i - 1 + (profile[i - 1] - 0.5) / (profile[i - 1] - profile[i])) / 23)
