@@ -44,6 +44,21 @@ def nearest_other(cells: DataFrame, far: int = 1_000_000) -> DataFrame:
     return rows.select("i", F.inline(F.transform("row", nearest)))
 
 
+def survival(rows: DataFrame, wide: int) -> DataFrame:
+    """rows: map, i, j. The share of a map's rows that lie at or beyond each of its wide x wide cells in both directions: map, i, j, value.
+
+    Rows are counted by cell first; what is summed along rows and columns then has wide x wide rows a map. Rows with a null, or outside
+    the map, are not counted."""
+    inside = rows.select("map", "i", "j").na.drop().where(F.col("i").between(0, wide - 1) & F.col("j").between(0, wide - 1))
+    counted = inside.groupBy("map", "i", "j").agg(F.count("*").alias("n"))
+    axis = F.sequence(F.lit(0), F.lit(wide - 1))
+    every = counted.select("map").distinct().withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
+    full = every.join(counted, ["map", "i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    beyond = full.withColumn("n", F.sum("n").over(Window.partitionBy("map", "j").orderBy(F.desc("i"))))
+    beyond = beyond.withColumn("n", F.sum("n").over(Window.partitionBy("map", "i").orderBy(F.desc("j"))))
+    return beyond.select("map", "i", "j", (F.col("n") / F.max("n").over(Window.partitionBy("map"))).alias("value"))
+
+
 def validity(truth: DataFrame, found: DataFrame) -> DataFrame:
     """Cells whose verdict is wrong, and whether every one lies within a cell of the true edge."""
     wrong = truth.join(found.withColumnRenamed("failed", "said"), ["i", "j"]).where("said != failed").select("i", "j")

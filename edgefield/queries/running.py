@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from edgefield.functions.axes import AXES
 from edgefield.operators import kernels as K
-from edgefield.operators import measures
+from edgefield.operators import maps, measures
 from edgefield.plans import levelset, rounds
 from edgefield.queries.recording import TILE, tiles
 from edgefield.sources.shared import folder, written
@@ -39,13 +39,22 @@ def mtf50(spark, d):
     return measures.measure(tiles(spark, d), ["image_id"]).select("image_id", "mtf50_cy_px")
 
 
-_SURFACE = "0.9D * exp(-0.7D * (pow((i / 16.0D - 0.3D) / 0.25D, 2) + pow((j / 16.0D - 0.35D) / 0.3D, 2)))"
+def _line_maps(spark, d):
+    """Maps of 17 x 17 cells, one for each flag, status and place of a line: the share of its lines that reach a quantity and a price."""
+    li = table(spark, d, "lineitem")
+    cell = lambda c, top: F.floor(F.col(c) * 17 / top).cast("int")
+    return maps.survival(li.select(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("map"), cell("l_quantity", 51.0).alias("i"), cell("l_extendedprice", 110000.0).alias("j")), 17)
+
+
+def line_surface(spark, d):
+    """The whole surface of every map of lines."""
+    return _line_maps(spark, d).select("map", "i", "j", F.round("value", 9).alias("value"))
 
 
 def level_set(spark, d):
-    """A 17 x 17 map classified from few probes; a wave of cells is one job over the response."""
-    grid = spark.range(17 * 17).select((F.col("id") % 17).cast("int").alias("i"), F.floor(F.col("id") / 17).cast("int").alias("j"))
-    return levelset.classified(grid, lambda cells: cells.withColumn("value", F.expr(_SURFACE)), 0.5)
+    """Every map of lines classified at a share of a quarter, from the few of its cells that its process asks for."""
+    surface = written(_line_maps(spark, d), "surface")
+    return levelset.classified_maps(surface, lambda ask: surface.join(ask, ["map", "i", "j"], "left_semi"), 0.25)
 
 
 def _recorded(spark, e):
@@ -166,9 +175,12 @@ _FOG = f"""WITH {TILE}, p AS (SELECT image_id, k, i, g[i + 1] AS v, exp((-(0.015
 f AS (SELECT image_id, k, CASE WHEN k = 0 THEN v ELSE floor((v::FLOAT / 255::FLOAT * t + 0.9::FLOAT * (1::FLOAT - t)) * 255::FLOAT)::DOUBLE END AS v FROM p)
 SELECT image_id, round(0.015::DOUBLE * k, 6) AS beta_per_m, round(sum(v) / 64, 6) AS mean_level, round(sqrt((64 * sum(v * v) - sum(v) * sum(v)) / 4096.0::DOUBLE), 6) AS rms_contrast FROM f GROUP BY 1, 2, k"""
 
-QUERIES = {f.__name__: f for f in (kernel_sweep, fog_sweep, mtf50, level_set, round_plan, round_findings, round_probes, streamed_plan, streamed_probes, streaming_ledger, streaming_windows, streaming_sliding, streaming_sessions)}
+QUERIES = {f.__name__: f for f in (kernel_sweep, fog_sweep, mtf50, line_surface, level_set, round_plan, round_findings, round_probes, streamed_plan, streamed_probes, streaming_ledger, streaming_windows, streaming_sliding, streaming_sessions)}
 SQL = {
     "fog_sweep": _FOG,
+    "line_surface": """WITH l AS (SELECT l_returnflag || l_linestatus || l_linenumber AS map, floor(l_quantity * 17 / 51)::INT AS i, floor(l_extendedprice * 17 / 110000)::INT AS j FROM lineitem),
+c AS (SELECT map, i, j, count(*) AS n FROM l WHERE i BETWEEN 0 AND 16 AND j BETWEEN 0 AND 16 GROUP BY ALL), t AS (SELECT map, sum(n) AS n FROM c GROUP BY 1)
+SELECT map, a.i::INT AS i, b.j::INT AS j, round(coalesce((SELECT sum(c.n) FROM c WHERE c.map = t.map AND c.i >= a.i AND c.j >= b.j), 0)::DOUBLE / t.n::DOUBLE, 9) AS value FROM t, range(17) a(i), range(17) b(j)""",
     "round_plan": _K + "SELECT run_id, CASE WHEN requested = 0 THEN 'done' WHEN affordable = 0 THEN 'halted' ELSE 'probe' END AS action, requested, least(requested, affordable) AS paid, round(charged * 0.01::DOUBLE, 6) AS spent, round(budget - charged * 0.01::DOUBLE, 6) AS remaining FROM y",
     "round_findings": _K + "SELECT run_id, axis, status, round(least(p, q), 6) AS lower, round(greatest(p, q), 6) AS upper, round(abs(p - q), 6) AS width, round((p + q) / 2, 6) AS middle, used AS probes_used FROM (SELECT *, CASE WHEN status = 'located' THEN benign + list_max(ok) / 32.0::DOUBLE * (severe - benign) END AS p, CASE WHEN status = 'located' THEN benign + list_min(bad) / 32.0::DOUBLE * (severe - benign) END AS q FROM u WHERE status IS NOT NULL)",
     "round_probes": _K + "SELECT run_id, axis, round(benign + g / 32 * (severe - benign), 6) AS value FROM n JOIN y USING (run_id) WHERE k <= affordable UNION ALL SELECT run_id, NULL, NULL FROM y WHERE NOT based AND affordable > 0",

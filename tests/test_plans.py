@@ -2,6 +2,7 @@ import json
 import math
 import subprocess
 import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -262,3 +263,35 @@ def test_command_line(spark, tmp_path, capsys):
     assert told["findings"][0]["witness"] == 5.0 and told["findings"][0]["reproduce"].startswith("edgefield probe --dataset road --set jpeg.quality=7.96")
     assert cli.main(["approve", "--run", str(tmp_path / "run"), "--amount", "1", "--by", "me"]) == 0
     assert json.loads(capsys.readouterr().out)["version"] == 2
+
+
+def test_many_maps_are_classified_as_each_would_be_alone(spark):
+    surfaces = {"w": window, "d": diagonal, "flat": lambda i, j: 0.9}
+    rows = [(m, i, j, float(f(i, j))) for m, f in surfaces.items() for j in range(17) for i in range(17)]
+    truth = spark.createDataFrame([*rows, ("one", 3, 4, 0.1), ("two", 0, 0, 0.9), ("two", 9, 0, 0.1)], "map string, i int, j int, value double")
+    odd = truth.unionByName(truth.where("i = 3")).unionByName(spark.createDataFrame([(None, 1, 1, 0.0), ("w", None, 1, 0.0)], truth.schema))
+    got = levelset.classified_maps(odd, lambda ask: truth.join(ask, ["map", "i", "j"], "left_semi"), 0.5).toPandas()
+    assert got.groupby("map").size().to_dict() == {"w": 289, "d": 289, "flat": 289, "one": 1, "two": 2}
+    for m in surfaces:
+        grid = truth.where(truth["map"] == m)
+        alone = levelset.classified(grid, lambda ask: grid.select("i", "j", "value").join(ask, ["i", "j"], "left_semi"), 0.5).toPandas()
+        mine = got[got["map"] == m].drop(columns="map")
+        assert sorted(mine.astype(str).itertuples(index=False, name=None)) == sorted(alone.astype(str).itertuples(index=False, name=None))
+    small = {(r.map, r.i): r.failed for r in got[got["map"].isin(["one", "two"])].itertuples()}
+    assert small == {("one", 3): True, ("two", 0): False, ("two", 9): True}
+    assert levelset.classified_maps(truth.limit(0), lambda ask: truth, 0.5).count() == 0
+
+
+def test_the_level_set_of_line_maps_lies_within_a_cell_of_the_whole_surface(spark):
+    from edgefield.queries import running
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("the generated tables are not here")
+    found = {(r.map, r.i, r.j): r for r in running.level_set(spark, sf).collect()}
+    truth = {(r.map, r.i, r.j): r.value < 0.25 for r in running.line_surface(spark, sf).collect()}
+    assert set(found) == set(truth) and sum(r.measured for r in found.values()) < 0.25 * len(found)
+    wrong = [k for k, r in found.items() if r.failed != truth[k]]
+    assert all(not found[k].measured for k in wrong) and len(wrong) < 0.02 * len(found)
+    for m, i, j in wrong:
+        assert len({truth.get((m, a, b)) for a in range(i - 2, i + 3) for b in range(j - 2, j + 3)} - {None}) == 2
