@@ -54,7 +54,7 @@ def line_surface(spark, d):
 def level_set(spark, d):
     """Every map of lines classified at a share of a quarter, from the few of its cells that its process asks for."""
     surface = written(_line_maps(spark, d), "surface")
-    return levelset.classified_maps(surface, lambda ask: surface.join(ask, ["map", "i", "j"], "left_semi"), 0.25)
+    return levelset.classified_maps(surface, lambda ask: surface.join(ask, ["map", "i", "j"], "left_semi"), 0.25, wave=8)
 
 
 def _recorded(spark, e):
