@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgefield.functions.axes import AXES
@@ -95,3 +95,17 @@ def regressions(new: DataFrame, old: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     return both.select("run_id", "axis", "status", "old_status", outcome.alias("outcome"))
+
+
+def crossings(seen: DataFrame) -> DataFrame:
+    """seen: run_id, axis, s, failed: conditions by severity, each once, in any order. Where each axis of a run first turns from pass to fail.
+
+    Gives status, pass_s and fail_s (severities on both sides, null without a crossing) and n. Status: crossed; passes_throughout;
+    fails_throughout; or recovers, for an axis that fails from its mildest condition on and passes later without failing again. A
+    condition whose verdict or severity is null is not counted; an axis without any is not in the result."""
+    by = Window.partitionBy("run_id", "axis").orderBy("s")
+    rows = seen.where("s IS NOT NULL AND failed IS NOT NULL").select("run_id", "axis", "s", "failed", F.lag(F.struct("s", "failed")).over(by).alias("before"))
+    turn = F.when(F.col("failed") & ~F.col("before.failed"), F.struct(F.col("s").alias("fail_s"), F.col("before.s").alias("pass_s")))
+    found = rows.groupBy("run_id", "axis").agg(F.min(turn).alias("turn"), F.bool_or("failed").alias("any"), F.bool_and("failed").alias("every"), F.count("*").alias("n"))
+    status = F.when(F.col("turn").isNotNull(), "crossed").when(F.col("every"), "fails_throughout").when(F.col("any"), "recovers").otherwise("passes_throughout")
+    return found.select("run_id", "axis", status.alias("status"), "turn.pass_s", "turn.fail_s", "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from edgefield.functions.axes import AXES
 from edgefield.operators import kernels as K
 from edgefield.operators import maps, measures
-from edgefield.plans import levelset, rounds
+from edgefield.plans import levelset, rounds, runs
 from edgefield.queries.recording import TILE, tiles
 from edgefield.sources.shared import folder, written
 from edgefield.sources.tables import table
@@ -98,6 +98,16 @@ def round_probes(spark, d):
     return _plan(spark, d).probes.select("run_id", "axis", F.round("value", 6).alias("value"))
 
 
+def grid_crossing(spark, d):
+    """Where each axis of a run first turns from pass to fail, from its mildest condition to its most severe, in the axis's units."""
+    e = table(spark, d, "events")
+    runs_, axes = _defined(spark, e)
+    found = runs.crossings(rounds.observed(runs_, axes, _recorded(spark, e).drop("seen")))
+    ends = found.select("run_id", "axis", "status", *[rounds.to_value(F.col(f"{x}_s"), F.col("axis")).alias(f"{x}_value") for x in ("pass", "fail")], "n")
+    both = [f(F.col("pass_value"), F.col("fail_value")).alias(c) for f, c in ((F.least, "lower"), (F.greatest, "upper"))]
+    return ends.select("*", *both).select("run_id", "axis", "status", *[F.round(c, 6).alias(c) for c in ("pass_value", "fail_value", "lower", "upper")], "n")
+
+
 def _planned_from_stream(spark, d) -> str:
     """The ledger arrives as three files, one a batch, by a hash of the event; every batch plans the runs that it reports on."""
     to, e = folder(spark, "planned"), table(spark, d, "events")
@@ -175,9 +185,15 @@ _FOG = f"""WITH {TILE}, p AS (SELECT image_id, k, i, g[i + 1] AS v, exp((-(0.015
 f AS (SELECT image_id, k, CASE WHEN k = 0 THEN v ELSE floor((v::FLOAT / 255::FLOAT * t + 0.9::FLOAT * (1::FLOAT - t)) * 255::FLOAT)::DOUBLE END AS v FROM p)
 SELECT image_id, round(0.015::DOUBLE * k, 6) AS beta_per_m, round(sum(v) / 64, 6) AS mean_level, round(sqrt((64 * sum(v * v) - sum(v) * sum(v)) / 4096.0::DOUBLE), 6) AS rms_contrast FROM f GROUP BY 1, 2, k"""
 
-QUERIES = {f.__name__: f for f in (kernel_sweep, fog_sweep, mtf50, line_surface, level_set, round_plan, round_findings, round_probes, streamed_plan, streamed_probes, streaming_ledger, streaming_windows, streaming_sliding, streaming_sessions)}
+QUERIES = {f.__name__: f for f in (kernel_sweep, fog_sweep, mtf50, line_surface, level_set, grid_crossing, round_plan, round_findings, round_probes, streamed_plan, streamed_probes, streaming_ledger, streaming_windows, streaming_sliding, streaming_sessions)}
 SQL = {
     "fog_sweep": _FOG,
+    "grid_crossing": """WITH o AS (SELECT DISTINCT user_id AS run_id, event_id % 4 AS place, floor(value * 32 / 100) / 32.0::DOUBLE AS s FROM events WHERE user_id % 10 <> 0),
+v AS (SELECT *, s >= ((run_id * 7 + place * 5) % 41 - 3.5) / 32 AS f FROM o),
+a AS (SELECT run_id, place, count(*) AS n, bool_or(f) AS any_failed, min(s) FILTER (f) AS q, max(s) FILTER (NOT f) AS p FROM v GROUP BY ALL),
+x AS (SELECT *, p < q AS crossed FROM a JOIN (VALUES (0, 'fog.beta_per_m', 0.0::DOUBLE, 0.12::DOUBLE), (1, 'jpeg.quality', 100.0, 5.0), (2, 'low_light.illuminance_lux', 400.0, 0.5), (3, 'motion_blur.exposure_ms', 0.0, 40.0)) v(place, axis, benign, severe) USING (place))
+SELECT run_id, axis, CASE WHEN crossed THEN 'crossed' WHEN any_failed THEN 'fails_throughout' ELSE 'passes_throughout' END AS status, round(w, 6) AS pass_value, round(z, 6) AS fail_value, round(least(w, z), 6) AS lower, round(greatest(w, z), 6) AS upper, n
+FROM (SELECT *, CASE WHEN crossed THEN benign + p * (severe - benign) END AS w, CASE WHEN crossed THEN benign + q * (severe - benign) END AS z FROM x)""",
     "line_surface": """WITH l AS (SELECT l_returnflag || l_linestatus || l_linenumber AS map, floor(l_quantity * 17 / 51)::INT AS i, floor(l_extendedprice * 17 / 110000)::INT AS j FROM lineitem),
 c AS (SELECT map, i, j, count(*) AS n FROM l WHERE i BETWEEN 0 AND 16 AND j BETWEEN 0 AND 16 GROUP BY ALL), t AS (SELECT map, sum(n) AS n FROM c GROUP BY 1)
 SELECT map, a.i::INT AS i, b.j::INT AS j, round(coalesce((SELECT sum(c.n) FROM c WHERE c.map = t.map AND c.i >= a.i AND c.j >= b.j), 0)::DOUBLE / t.n::DOUBLE, 9) AS value FROM t, range(17) a(i), range(17) b(j)""",

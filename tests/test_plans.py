@@ -295,3 +295,16 @@ def test_the_level_set_of_line_maps_lies_within_a_cell_of_the_whole_surface(spar
     assert all(not found[k].measured for k in wrong) and len(wrong) < 0.02 * len(found)
     for m, i, j in wrong:
         assert len({truth.get((m, a, b)) for a in range(i - 2, i + 3) for b in range(j - 2, j + 3)} - {None}) == 2
+
+
+def test_crossings_go_from_mild_to_severe(spark):
+    from edgefield.plans import runs
+
+    series = {"up": "PPFPF", "down": "FFPP", "pass": "PP", "fail": "FFF", "dip": "FPF", "one": "P"}
+    rows = [(n, "fog", i / 8, v == "F", "clash") for n, word in series.items() for i, v in reversed(list(enumerate(word)))]
+    odd = [("up", "fog", None, True, "x"), ("up", "fog", 0.05, None, "x"), ("none", "fog", None, None, "x"), (None, None, 0.0, False, "x"), (None, None, 1.0, True, "x")]
+    got = {r.run_id: tuple(r)[2:] for r in runs.crossings(spark.createDataFrame(rows + odd, "run_id string, axis string, s double, failed boolean, status string")).collect()}
+    assert got == {
+        "up": ("crossed", 1 / 8, 2 / 8, 5), "down": ("recovers", None, None, 4), "pass": ("passes_throughout", None, None, 2), "fail": ("fails_throughout", None, None, 3),
+        "dip": ("crossed", 1 / 8, 2 / 8, 3), "one": ("passes_throughout", None, None, 1), None: ("crossed", 0.0, 1.0, 2),
+    }
