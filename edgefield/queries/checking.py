@@ -32,7 +32,7 @@ def _citing(spark, d):
         .when(kind == 1, mark(F.col("k") + 3, (id_, F.lit(".run.seen[1].props.k"))))
         .when(kind == 2, mark(F.col("k"), (id_, F.lit(".run.seen[2]"))))
         .when(kind == 3, mark(F.col("k"), (F.lit("x"), id_, F.lit(".run.id"))))
-        .otherwise(mark(F.concat(F.lit("1,"), F.lpad(F.col("user_id").cast("string"), 3, "0")), (id_, F.lit(".run.id"))))
+        .otherwise(mark(F.format_number(F.col("user_id") + 1000, 0), (id_, F.lit(".run.id"))))
     )
     second = F.concat(mark(F.col("cents") + F.floor(F.col("cents") / 250), (id_, F.lit(".run.seen[0]"))), F.lit(" and 7 <!--bench:e/"), id_, F.lit(".run.kind-->"))
     return rows.select("doc_id", F.concat("text", F.lit("\nIt took "), first, F.lit(" then\n"), second).alias("text"))
