@@ -12,6 +12,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows dealt out so that those with equal keys, nulls too, are in one task, whatever made them.
+
+    Dealt by a hash of the keys, not by the keys: rows that a join or an aggregation dealt by the keys already would not be dealt again, and
+    such a join may turn out small enough at run time to be done where its rows lie, which leaves a key's rows in several tasks."""
+    return rows.repartition(F.xxhash64(*keys))
+
+
 def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, dict[str, Any]], tuple], keep: list[str], out: str) -> DataFrame:
     """For each row the columns kept and those of out (a DDL list): step(state, row) changes the key's state and gives their values.
 
@@ -34,4 +42,4 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any]
             made = list(zip(*told)) if told else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in keep), *(pa.array(v, arrow.field(n).type) for n, v in zip(names, made))], schema=arrow)
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return dealt(rows, [key]).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edgefield.functions.geometry import BOX
 from edgefield.operators.buckets import chunks, group_starts, overlap, spans, whole
+from edgefield.operators.folds import dealt
 
 KEY = ["probe_id", "image_id", "label"]
 _LARGE = 256  # boxes of a group that are not all compared with each other, but with those kept
@@ -66,4 +67,4 @@ def suppress(detections: DataFrame, threshold: float = 0.45) -> DataFrame:
         for table in whole(batches, KEY):
             yield from table.append_column("kept", pa.array(_kept(table, threshold))).to_batches()
 
-    return rows.repartition(*KEY).sortWithinPartitions(*KEY, F.desc("score"), *BOX).mapInArrow(run, f"{kinds}, kept boolean")
+    return dealt(rows, KEY).sortWithinPartitions(*KEY, F.desc("score"), *BOX).mapInArrow(run, f"{kinds}, kept boolean")
