@@ -18,8 +18,8 @@ def _responses(spark, d, shift=0.0):
     m = F.pmod(F.sum("event_id"), F.lit(1100)).cast("double")
     runs = table(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(((m + 0.37) / 1000 - 0.05).alias("edge"))
     axis = F.element_at(F.array(*map(F.lit, _NAMES)), (F.pmod("run_id", F.lit(4)) + 1).cast("int"))
-    recovers = F.when((F.pmod("run_id", F.lit(7)) == 0) & (F.col("edge") >= 0), F.col("edge") + 0.3)
-    return runs.withColumn("edge", F.col("edge") + shift).select("run_id", axis.alias("axis"), "edge", recovers.alias("recovers"))
+    recovers = F.when((F.pmod("run_id", F.lit(7)) == 0) & (F.col("edge") >= 0), F.col("edge") + 0.3)  # of the edge before the shift
+    return runs.select("run_id", axis.alias("axis"), (F.col("edge") + shift).alias("edge"), recovers.alias("recovers"))
 
 
 def _verdict_series(spark, d):
