@@ -57,10 +57,10 @@ def observed(runs: DataFrame, axes: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def _scanned(axes: DataFrame, seen: DataFrame) -> DataFrame:
     """axes with verify, each with used, absent (places of the scan without a result, in order), changes, first, and lo and hi around the
-    first change. An axis keeps no more of its conditions than its scan has places; the others are only counted."""
+    first change. An axis keeps no more of its conditions than its scan has places; the others, those beyond its ends too, are only counted."""
     last = F.col("verify") - 1
     place = F.round(F.col("s") * last).cast("int")
-    met = F.col("failed").isNotNull() & (_key(place / last.cast("double")) == F.col("k"))
+    met = F.col("failed").isNotNull() & place.between(F.lit(0), last) & (_key(place / last.cast("double")) == F.col("k"))
     own = [c for c in axes.columns if c not in RUN_AXIS]
     counted = axes.join(seen, RUN_AXIS, "left").groupBy(*RUN_AXIS, *own).agg(F.count("k").alias("used"), F.sort_array(F.collect_list(F.when(met, F.struct(place.alias("i"), "s", "failed")))).alias("scan"))
     before = lambda j: F.get("scan", j - 1)
