@@ -106,8 +106,8 @@ def out_of_letterbox(box: tuple[Column, ...], scale: Column) -> tuple[Column, ..
     return tuple(c / scale for c in box)
 
 
-def _lens(x: Column, y: Column, lens: tuple[Column, ...]) -> tuple[Column, Column, Column]:
-    """What a lens (k1, k2, p1, p2) does at a point of the unit plane: its radial factor and its tangential shifts."""
+def lens_terms(x, y, lens):
+    """What a lens (k1, k2, p1, p2) does at a point of the unit plane, of columns or arrays: its radial factor and its tangential shifts."""
     k1, k2, p1, p2 = lens
     r2 = x * x + y * y
     return 1 + k1 * r2 + k2 * r2 * r2, 2 * p1 * x * y + p2 * (r2 + 2 * x * x), p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
@@ -115,7 +115,7 @@ def _lens(x: Column, y: Column, lens: tuple[Column, ...]) -> tuple[Column, Colum
 
 def distorted(x: Column, y: Column, lens: tuple[Column, ...]) -> Column:
     """Where a lens shows a point of the unit plane: a struct of x and y."""
-    radial, dx, dy = _lens(x, y, lens)
+    radial, dx, dy = lens_terms(x, y, lens)
     return F.struct((x * radial + dx).alias("x"), (y * radial + dy).alias("y"))
 
 
@@ -124,7 +124,7 @@ def undistorted(x: Column, y: Column, lens: tuple[Column, ...], rounds: int = 20
     the shifts by the radial factor. They close in where distortion grows by less than the radius does; distorting again tells."""
 
     def closer(s: Column, _: Column) -> Column:
-        radial, dx, dy = _lens(s["x"], s["y"], lens)
+        radial, dx, dy = lens_terms(s["x"], s["y"], lens)
         return F.struct(((x - dx) / radial).alias("x"), ((y - dy) / radial).alias("y"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(x.alias("x"), y.alias("y")), closer)

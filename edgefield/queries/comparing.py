@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from edgefield.functions import geometry as G
 from edgefield.operators import agreement as A
 from edgefield.operators import lateral
+from edgefield.operators.lenses import worst_round_trip
 from edgefield.plans.probe import BrightBoxes
 from edgefield.queries.recording import TILE, tiles
 from edgefield.sources.tables import table
@@ -54,11 +55,9 @@ def lens_round_trip(spark, d):
     key = F.col("p_partkey")
     p = table(spark, d, "part").select(
         "p_partkey", (F.col("p_size") * 16 + 320.0).alias("w"), (F.pmod(key, F.lit(50)) * 8 + 240.0).alias("h"), (F.pmod(key, F.lit(41)) / 100.0).alias("k1"), (F.pmod(key, F.lit(11)) / 100.0).alias("k2"),
-        ((F.pmod(key, F.lit(7)) - 3) / 1000.0).alias("p1"), ((F.pmod(key, F.lit(5)) - 2) / 1000.0).alias("p2"), F.explode(F.sequence(F.lit(0), F.lit(80))).alias("i"),
+        ((F.pmod(key, F.lit(7)) - 3) / 1000.0).alias("p1"), ((F.pmod(key, F.lit(5)) - 2) / 1000.0).alias("p2"),
     )
-    px, py = F.pmod("i", F.lit(9)) / 8.0 * (F.col("w") - 1), F.floor(F.col("i") / 9) / 8.0 * (F.col("h") - 1)
-    error = G.round_trip_px(F.col("w"), F.col("h"), tuple(map(F.col, ("k1", "k2", "p1", "p2"))), px, py)
-    return p.groupBy("p_partkey").agg(F.round(F.max(error), 6).alias("error_px")).withColumn("faithful", F.col("error_px") < 1)
+    return worst_round_trip(p, "p_partkey").groupBy("p_partkey").agg(F.round(F.max("error_px"), 6).alias("error_px")).withColumn("faithful", F.col("error_px") < 1)
 
 
 def lateral_detections(spark, d):

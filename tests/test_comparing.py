@@ -10,6 +10,7 @@ from edgefield.functions import geometry as G
 from edgefield.operators import agreement as A
 from edgefield.operators import kernels as K
 from edgefield.operators import lateral
+from edgefield.operators import lenses as lens
 from edgefield.plans import probe
 from edgefield.sources import scene
 
@@ -102,3 +103,13 @@ def test_a_pipeline_is_built_once_a_process():
     for _ in range(3):
         lateral.loaded("once", lambda: seen.append(1) or "pipeline")
     assert seen == [1]
+
+
+def test_lenses_at_once_are_the_columns_and_rows_do_not_grow(spark):
+    lenses = spark.createDataFrame([(i, 320.0 + 31 * i, 240.0 + 47 * i, i / 20, i / 70, (i - 5) / 900, (3 - i) / 900) for i in range(12)], "id long, w double, h double, k1 double, k2 double, p1 double, p2 double")
+    at = lenses.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(80))))
+    px, py = F.pmod("i", F.lit(9)) / 8.0 * (F.col("w") - 1), F.floor(F.col("i") / 9) / 8.0 * (F.col("h") - 1)
+    one_by_one = at.groupBy("id").agg(F.max(G.round_trip_px(F.col("w"), F.col("h"), tuple(map(F.col, ("k1", "k2", "p1", "p2"))), px, py)).alias("e"))
+    got = lens.worst_round_trip(lenses, "id", at_once=5)
+    assert dict(got.collect()) == dict(one_by_one.collect())
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
