@@ -108,17 +108,21 @@ def prepared(frames: DataFrame, most: int = 640) -> DataFrame:
     return frames.select("image_id", "height", "width", "pixels").mapInPandas(run, "image_id long, height int, width int, pixels binary, mean_linear double")
 
 
-def measured_stack(stack: np.ndarray) -> dict[str, np.ndarray]:
-    """The measures of frames of one size, stacked as channels (height x width x 3 n): n figures each."""
+#: Each measure by itself, of a plane or of n of them.
+MEASURES = {
+    "laplacian_var": lambda g: correlated(g, _LAPLACE).var((0, 1)),
+    "rms_contrast": lambda g: g.std((0, 1)),
+    "snr_db": lambda g: 20 * np.log10(np.maximum(g.mean((0, 1)), 1e-6) / np.maximum(noise_sigma(g), 1e-6)),
+    "blockiness": blockiness,
+    "mtf50_cy_px": mtf50,
+    "mean_level": lambda g: g.mean((0, 1)),
+}
+
+
+def measured_stack(stack: np.ndarray, names: tuple[str, ...] = NAMES) -> dict[str, np.ndarray]:
+    """The measures named of frames of one size, stacked as channels (height x width x 3 n): n figures each."""
     g = greys(stack)
-    return {
-        "laplacian_var": correlated(g, _LAPLACE).var((0, 1)),
-        "rms_contrast": g.std((0, 1)),
-        "snr_db": 20 * np.log10(np.maximum(g.mean((0, 1)), 1e-6) / np.maximum(noise_sigma(g), 1e-6)),
-        "blockiness": blockiness(g),
-        "mtf50_cy_px": mtf50(g),
-        "mean_level": g.mean((0, 1)),
-    }
+    return {name: MEASURES[name](g) for name in names}
 
 
 def measured(image: np.ndarray) -> dict[str, float]:

@@ -28,7 +28,7 @@ def measured(frames: DataFrame, probed: dict[str, list[float]], seed: int) -> Da
     """frames: image_id, height, width, pixels. For each axis that a measure shows: axis, value, metric of every frame at every probed
     value, and with a null value of every frame as it is.
 
-    One pass: a task degrades its frame once for each condition, and only numbers leave it. Nothing is inferred. Values are
+    One pass: a task degrades its frames, those of one size together, once for each condition, and only numbers leave it. Nothing is inferred. Values are
     checked before anything runs; frames without pixels are left out. Frames are dealt evenly first: degrading one takes far longer than
     sending it."""
     wanted = [(axis, float(v)) for axis, values in probed.items() if axis in SHOWN_BY for v in values]
@@ -38,13 +38,13 @@ def measured(frames: DataFrame, probed: dict[str, list[float]], seed: int) -> Da
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for p, h, w in zip(pdf["pixels"], pdf["height"], pdf["width"]):
-                image = np.frombuffer(p, np.uint8).reshape(h, w, 3)
-                native = measures.measured(image)
-                rows += [(axis, None, native[SHOWN_BY[axis]]) for axis in axes]
-                rows += [(axis, v, measures.measured(K.degraded(image, {axis: v}, seed))[SHOWN_BY[axis]]) for axis, v in wanted]
-            yield pd.DataFrame(rows, columns=["axis", "value", "metric"])
+            for _, stack in K.stacks(pdf):
+                native = measures.measured_stack(stack, tuple({SHOWN_BY[axis] for axis in axes}))
+                for axis in axes:
+                    yield pd.DataFrame({"axis": axis, "value": np.nan, "metric": native[SHOWN_BY[axis]]})
+                for axis, v in wanted:
+                    name = SHOWN_BY[axis]
+                    yield pd.DataFrame({"axis": axis, "value": v, "metric": measures.measured_stack(K.degraded_stack(stack, {axis: v}, seed), (name,))[name]})
 
     n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = frames.where("pixels IS NOT NULL").repartition(n, "image_id").select("height", "width", "pixels")

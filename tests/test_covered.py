@@ -54,3 +54,15 @@ def test_the_command_reports_what_the_set_covers(spark, tmp_path, capsys):
     ends, fraction = brute(list(files.values()), "fog.beta_per_m", c["probed"])
     assert c["percent"] == round(100 * fraction, 2) < 100 and c["measure"] == "rms_contrast" and c["uncovered"]
     assert list(told) == ["run", "coverage", "findings"]
+
+
+def test_frames_of_one_size_are_degraded_and_measured_together(spark, monkeypatch):
+    stack = np.concatenate([scene.scene(96, SEED + i)[:40] for i in range(5)], axis=2)
+    for q in (5.0, 50.0, 100.0):
+        seen = K.degraded_stack(stack, {"jpeg.quality": q}, SEED)
+        assert (seen == np.concatenate([K.degraded(np.ascontiguousarray(stack[..., k : k + 3]), {"jpeg.quality": q}, SEED) for k in range(0, 15, 3)], axis=2)).all()
+    calls = []
+    monkeypatch.setitem(K.KERNELS, "jpeg", lambda image, p, rng: calls.append(image.shape) or image)
+    K.degraded_stack(stack, {"jpeg.quality": 50.0}, SEED)
+    assert calls == [(40, 96, 15)]  # one call for all five
+    assert measures.measured_stack(stack, ("blockiness",)).keys() == {"blockiness"}
