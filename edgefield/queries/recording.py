@@ -14,14 +14,16 @@ from edgefield.sources.tables import table
 
 
 def _markdown(spark, d):
-    """A page of text for each part: a heading, limitations, figures with and without a source."""
+    """A page of text for each part: a heading, limitations, figures with and without a source. Parts are dealt evenly first: a small file
+    holds many, and reading a page takes far longer than sending its part."""
     n, k = F.col("p_size"), F.col("p_partkey")
     text = F.concat(
         F.lit("# Part\n2. **not yet** one\n"), F.when(k % 3 > 0, "## Known limitations\n").otherwise("## Others\n"), F.lit("1. **Only `p"), k.cast("string"), F.lit("`   of\tthem** and 1.25 more\n"),
         F.when(k % 2 == 0, F.concat(F.lit("2. **Size "), n.cast("string"), F.lit("** was 3.75 ms\n"))).otherwise(""), F.lit("took "), n.cast("string"), F.lit(".5 ms <!-- bench:a.b["), (k % 5).cast("string"), F.lit("].v --> and 1,"), F.lpad(n.cast("string"), 3, "0"),
         F.lit(" <!--bench:n-->\n`2.5\n2.75` or "), n.cast("string"), F.lit(".125\n<!-- 9.5\n-->6.5 v1.2.3"),
     )
-    return table(spark, d, "part").select(k.alias("doc_id"), text.alias("text"))
+    parts = table(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(k.alias("doc_id"), text.alias("text"))
 
 
 def limitations(spark, d):

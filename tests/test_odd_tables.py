@@ -69,3 +69,8 @@ def test_old_edges_recover_where_the_new_ones_do(spark, tmp_path):
 @pytest.mark.parametrize("name", ["round_findings", "round_plan", "round_probes", "streamed_plan", "streamed_probes"])
 def test_conditions_beyond_an_axis_are_no_places_of_its_scan(spark, tmp_path, name):
     assert compared(spark, tmp_path, name, {"events": PLANNED}) >= 1
+
+
+def test_pages_of_one_small_file_are_read_in_many_tasks(spark):
+    out = entry.queries()["uncited_figures"](spark, "/root/testdata/sf0.001")
+    assert len([n for n in out.rdd.glom().map(len).collect() if n]) == int(spark.conf.get("spark.sql.shuffle.partitions"))
