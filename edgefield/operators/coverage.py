@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,24 @@ def interpolated(points: DataFrame, at: str, curve: DataFrame, x: str, y: str, b
 
 
 def population_sweep(measured: DataFrame) -> DataFrame:
-    """measured: axis, value, metric of every frame. The median over the frames at each value."""
-    return measured.groupBy("axis", "value").agg(F.median("metric").alias("metric"))
+    """measured: axis, value, metric of every frame, read twice. The median over the frames at each value, exact.
+
+    Quantiles that are off by a thousandth of the frames at most bound each median from both sides; what lies between them, about a fiftieth
+    of the frames, is counted by metric, and of the rest only how many lie below. No group holds all its metrics."""
+    rows = measured.select("axis", "value", F.col("metric").cast("double").alias("metric"))
+    bounds = F.percentile_approx(F.when(F.isnan("metric"), math.inf).otherwise(F.col("metric")), [0.49, 0.51], 1000)
+    groups = rows.groupBy("axis", "value").agg(bounds.alias("b"), F.count("metric").alias("n"))
+    groups = groups.select(F.col("axis").alias("a"), F.col("value").alias("v"), F.col("b")[0].alias("lo"), F.when(F.col("b")[1] == math.inf, math.nan).otherwise(F.col("b")[1]).alias("hi"), "n")
+    same = F.col("axis").eqNullSafe(F.col("a")) & F.col("value").eqNullSafe(F.col("v"))
+    near = rows.join(F.broadcast(groups), same & (F.col("metric") <= F.col("hi")))  # one row for each axis and value
+    counted = near.groupBy("a", "v", "n", F.when(F.col("metric") >= F.col("lo"), F.col("metric")).alias("m")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("a", "v").orderBy(F.asc_nulls_first("m")).rowsBetween(Window.unboundedPreceding, 0))
+    counted = counted.withColumn("upto", upto)
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("k") <= place) & (place < F.col("upto")), F.col("m")))
+    middle = counted.groupBy("a", "v").agg(at(F.floor((F.col("n") - 1) / 2)).alias("m0"), at(F.floor(F.col("n") / 2)).alias("m1"))
+    median = F.when(F.col("m0") == F.col("m1"), F.col("m0")).otherwise(0.5 * F.col("m0") + 0.5 * F.col("m1"))
+    middle = middle.select(F.col("a").alias("axis"), F.col("v").alias("value"), median.alias("metric"))
+    return groups.select("a", "v").join(middle, same, "left").select(F.col("a").alias("axis"), F.col("v").alias("value"), "metric")
 
 
 def axis_coverage(axes: DataFrame, sweep: DataFrame, native: DataFrame) -> DataFrame:

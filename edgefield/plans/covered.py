@@ -11,6 +11,7 @@ from edgefield.functions.axes import AXES
 from edgefield.operators import coverage
 from edgefield.operators import kernels as K
 from edgefield.operators import measures
+from edgefield.sources.shared import written
 
 #: The measure by which a frame shows where on an axis it lies. Axes of geometry have none, and no coverage.
 SHOWN_BY = {
@@ -54,10 +55,12 @@ def measured(frames: DataFrame, probed: dict[str, list[float]], seed: int) -> Da
 def covered(measurements: DataFrame) -> DataFrame:
     """axis, lo, hi, covered_lo, covered_hi, fraction and uncovered of every axis measured.
 
-    An axis whose frames all measure beyond what the sweep reached is covered nowhere."""
+    An axis whose frames all measure beyond what the sweep reached is covered nowhere. Measurements are written once: the sweep, its
+    medians and the frames as they are would each degrade all frames anew."""
     spark = measurements.sparkSession
     axes = spark.createDataFrame([(a.name, a.lo, a.hi) for a in AXES.values()], "axis string, lo double, hi double")
-    sweep = coverage.population_sweep(measurements.where("value IS NOT NULL"))
+    measurements = written(measurements, "measurements")
+    sweep = written(coverage.population_sweep(measurements.where("value IS NOT NULL")), "sweep")
     return coverage.axis_coverage(axes, sweep, measurements.where("value IS NULL").select("axis", "metric"))
 
 

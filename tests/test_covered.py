@@ -2,9 +2,11 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgefield import cli
 from edgefield.functions.axes import AXES
+from edgefield.operators import coverage
 from edgefield.operators import kernels as K
 from edgefield.operators import measures
 from edgefield.plans import covered
@@ -66,3 +68,22 @@ def test_frames_of_one_size_are_degraded_and_measured_together(spark, monkeypatc
     K.degraded_stack(stack, {"jpeg.quality": 50.0}, SEED)
     assert calls == [(40, 96, 15)]  # one call for all five
     assert measures.measured_stack(stack, ("blockiness",)).keys() == {"blockiness"}
+
+
+def test_frames_are_degraded_once_and_blurred_by_no_more_weights_than_there_are(spark, monkeypatch):
+    out = covered.covered(covered.measured(scene.frames(spark, 2, 96), {"fog.beta_per_m": [0.0, 0.06, 0.12]}, SEED))
+    assert "MapInPandas" not in out._jdf.queryExecution().toString()  # what says it reads measurements, not frames
+    pads, pad = [], np.pad
+    monkeypatch.setattr(np, "pad", lambda a, widths, **k: pads.append(tuple(map(tuple, widths))) or pad(a, widths, **k))
+    K.correlated(scene.scene(96, SEED), K.line_psf(20.0, 0.0))
+    assert pads[0][0] == (0, 0) and pads[0][1][0] >= 10
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 999, 5000, 5001])
+def test_medians_are_those_of_whole_groups(spark, n):
+    metric = "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN pmod(id * 7919, 1009) / 8.0 ELSE -double(id) END"
+    rows = spark.range(6 * n).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' END AS axis", "double(id % 6 DIV 2) AS value", f"CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN double(id) WHEN 2 THEN IF(id % 4 = 0, double('NaN'), 1.0D) WHEN 3 THEN 5.0D ELSE {metric} END AS metric")
+    told = lambda df: sorted(str((r.axis, r.value, r.metric)) for r in df.collect())
+    out = coverage.population_sweep(rows)
+    assert told(out) == told(rows.groupBy("axis", "value").agg(F.median("metric").alias("metric")))
+    assert "median" not in out._jdf.queryExecution().optimizedPlan().toString()
