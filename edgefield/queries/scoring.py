@@ -10,7 +10,7 @@ from edgefield.operators import matching as M
 from edgefield.operators.suppression import suppress
 from edgefield.queries import fixtures as X
 from edgefield.sources.shared import written
-from edgefield.sources.tables import detections, probes, truths
+from edgefield.sources.tables import annotated, detections, probes, truths
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def iou_pairs_by_probe(spark, d):
 
 
 def greedy_match(spark, d):
-    return _matches(spark, d).select("probe_id", "image_id", "label", "score", *BOX, "matched", F.round("best_iou", 9).alias("best_iou"))
+    return M.claims(annotated(spark, d)).select("probe_id", "image_id", "label", "score", *BOX, "matched", F.round("best_iou", 9).alias("best_iou"))
 
 
 def ap_by_class(spark, d):
