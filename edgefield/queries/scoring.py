@@ -18,6 +18,11 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
     return written(M.greedy_match(detections(spark, d), truths(spark, d)), "matches")
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Claims in pieces, written once: scores, verdicts and counts read no detection."""
+    return M.scored(annotated(spark, d))
+
+
 def _map50(spark: SparkSession, d: str) -> DataFrame:
     return M.map50(_matches(spark, d), M.truth_counts(truths(spark, d)), probes(spark))
 
@@ -46,7 +51,7 @@ def greedy_match(spark, d):
 
 
 def ap_by_class(spark, d):
-    return M.average_precision(_matches(spark, d), M.truth_counts(truths(spark, d))).select("probe_id", "label", "n_gt", F.round("ap", 9).alias("ap"))
+    return M.piecewise_precision(_scored(spark, d), M.truth_counts(truths(spark, d))).select("probe_id", "label", "n_gt", F.round("ap", 9).alias("ap"))
 
 
 def map50_by_probe(spark, d):
