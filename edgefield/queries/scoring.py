@@ -24,7 +24,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _map50(spark: SparkSession, d: str) -> DataFrame:
-    return M.map50(_matches(spark, d), M.truth_counts(truths(spark, d)), probes(spark))
+    return M.piecewise_map50(_scored(spark, d), M.truth_counts(truths(spark, d)), probes(spark))
 
 
 def truth_counts(spark, d):
