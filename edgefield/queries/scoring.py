@@ -59,7 +59,7 @@ def map50_by_probe(spark, d):
 
 
 def probe_counts(spark, d):
-    return M.counts_by_probe(_matches(spark, d), M.truth_counts(truths(spark, d)))
+    return M.piecewise_counts(_scored(spark, d), M.truth_counts(truths(spark, d)))
 
 
 def scored_label_semi(spark, d):
