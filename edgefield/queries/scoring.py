@@ -9,15 +9,9 @@ from edgefield.functions.geometry import BOX, iou
 from edgefield.operators import matching as M
 from edgefield.operators.suppression import suppress
 from edgefield.queries import fixtures as X
-from edgefield.sources.shared import written
 from edgefield.sources.tables import annotated, detections, probes, truths
 
 
-def _matches(spark: SparkSession, d: str) -> DataFrame:
-    """Written once: scores, verdicts and counts read it several times."""
-    return written(M.greedy_match(detections(spark, d), truths(spark, d)), "matches")
-
-
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Claims in pieces, written once: scores, verdicts and counts read no detection."""
     return M.scored(annotated(spark, d))
@@ -77,7 +71,7 @@ def confidence_filter(spark, d):
 
 
 def induced_fp_anti(spark, d):
-    return M.induced_false_positives(_matches(spark, d)).groupBy("probe_id", "label").agg(F.count("*").alias("n_induced"), F.round(F.max("score"), 9).alias("top_score"))
+    return M.induced(annotated(spark, d)).groupBy("probe_id", "label").agg(F.count("*").alias("n_induced"), F.round(F.max("score"), 9).alias("top_score"))
 
 
 def _suppressed(dets: DataFrame, *by: str) -> DataFrame:

@@ -164,3 +164,44 @@ def test_average_precision_with_one_score_for_all(spark):
         best = max(best, (i // 3 + 1) / (i + 1))
         area += best * (i % 3 == 0)
     assert M.average_precision(m, spark.createDataFrame([(0, hits)], "label int, n_gt long"), 16).first().ap == pytest.approx(area / hits)
+
+
+def test_line_items_are_dealt_once_for_claims(spark):
+    from pathlib import Path
+
+    from edgefield.queries import scoring
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("the generated tables are not here")
+    for query in (scoring.greedy_match, scoring.induced_fp_anti):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        claims = plan[plan.index("MapInArrow") :]
+        assert claims.count("Exchange") == 1 and claims.count("Sort [") == 1 and "Join" not in plan
+
+
+def test_what_is_told_of_claims_in_their_tasks_is_what_their_rows_say(spark):
+    rng = random.Random(9)
+    box = lambda: (x := rng.randrange(0, 30), y := rng.randrange(0, 30), x + rng.randrange(5, 25), y + rng.randrange(5, 25))
+    rows, seen = [], {}
+    for _ in range(150):
+        k = (rng.choice([None, *range(12)]), rng.randrange(3))
+        seen[k] = seen.get(k, 0) + 1
+        if k[0] is not None:
+            rows.append((*k, True, None, seen[k], None, *map(float, box())))
+    for _ in range(900):
+        rows.append((rng.choice([None, *range(13)]), rng.choice([None, 0, 1, 2, 3]), False, rng.choice([None, 0, 1, 2]), None, rng.choice([None, float("nan"), 0.5, 0.25, -0.0, 0.0, 1.0]), *map(float, box())))
+    df = spark.createDataFrame(rows, "image_id long, label int, is_truth boolean, probe_id int, gt_idx int, score double, x0 double, y0 double, x1 double, y1 double")
+    df = df.repartitionByRange(3, "image_id", "label").sortWithinPartitions("image_id", "label").localCheckpoint()
+    matches = M.claims(df).localCheckpoint()
+    truths = df.where("is_truth").select("image_id", "label", "gt_idx", *BOX)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(matches, M.greedy_match(df.where("NOT is_truth").select("probe_id", "image_id", "label", "score", *BOX), truths))
+    counts, columns = M.truth_counts(truths), matches.columns
+    assert same(M.induced(df), M.induced_false_positives(matches).select(*columns)) and M.induced(df).count() > 20
+    pieces = M.scored(df)
+    assert same(M.piecewise_counts(pieces, counts), M.counts_by_probe(matches, counts))
+    told = lambda ap: {(r.probe_id, r.label): (round(r.ap, 12), r.n_gt) for r in ap.where("probe_id IS NOT NULL").collect()}
+    got = told(M.piecewise_precision(pieces, counts, 5))
+    assert got == told(M.average_precision(matches, counts)) and len(got) == 9
+    assert pieces.agg(F.max("n")).first()[0] > 8
