@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from edgefield.functions.axes import AXES
 from edgefield.operators import coverage
@@ -26,42 +28,57 @@ SHOWN_BY = {
 
 
 def measured(frames: DataFrame, probed: dict[str, list[float]], seed: int) -> DataFrame:
-    """frames: image_id, height, width, pixels. For each axis that a measure shows: axis, value, metric of every frame at every probed
-    value, and with a null value of every frame as it is.
+    """frames: image_id, height, width, pixels. A row for each frame: for each axis that a measure shows, a column of its name with the measure of the
+    frame as it is, and a column axis|value with that at every probed value.
 
-    One pass: a task degrades its frames, those of one size together, once for each condition, and only numbers leave it. Nothing is inferred. Values are
-    checked before anything runs; frames without pixels are left out. Frames are dealt evenly first: degrading one takes far longer than
-    sending it."""
-    wanted = [(axis, float(v)) for axis, values in probed.items() if axis in SHOWN_BY for v in values]
+    One pass: a task degrades its frames, those of one size together, once for each condition, and only numbers leave it; frames without
+    colour go as one plane. Nothing is inferred. Values are checked before anything runs; frames without pixels are left out. Frames are
+    dealt evenly first: degrading one takes far longer than sending it."""
+    wanted = list(dict.fromkeys((axis, float(v) + 0.0) for axis, values in probed.items() if axis in SHOWN_BY for v in values))
     for axis, value in wanted:
         K.steps({axis: value})
-    axes = sorted({axis for axis, _ in wanted})
+    asked = [(axis, None) for axis in sorted({axis for axis, _ in wanted})] + wanted
+    if not asked:
+        return frames.select(F.lit(None).cast("double").alias("none")).limit(0)
+
+    def seen(stack, planes, axis, v):
+        grey = planes if planes is None or v is None else K.degraded_levels(planes, {axis: v}, seed)
+        if grey is None:
+            grey = measures.greys(stack if v is None else K.degraded_stack(stack, {axis: v}, seed))
+        return measures.MEASURES[SHOWN_BY[axis]](grey.astype(np.float64))
+
+    names = [axis if v is None else f"{axis}|{v!r}" for axis, v in asked]
 
     def run(batches):
         for pdf in batches:
             for _, stack in K.stacks(pdf):
-                native = measures.measured_stack(stack, tuple({SHOWN_BY[axis] for axis in axes}))
-                for axis in axes:
-                    yield pd.DataFrame({"axis": axis, "value": np.nan, "metric": native[SHOWN_BY[axis]]})
-                for axis, v in wanted:
-                    name = SHOWN_BY[axis]
-                    yield pd.DataFrame({"axis": axis, "value": v, "metric": measures.measured_stack(K.degraded_stack(stack, {axis: v}, seed), (name,))[name]})
+                planes = K.levels(stack)
+                yield pd.DataFrame({name: seen(stack, planes, axis, v) for name, (axis, v) in zip(names, asked)})
 
     n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = frames.where("pixels IS NOT NULL").repartition(n, "image_id").select("height", "width", "pixels")
-    return dealt.mapInPandas(run, "axis string, value double, metric double")
+    return dealt.mapInPandas(run, StructType([StructField(name, DoubleType()) for name in names]))
+
+
+def _told(spark, columns: dict[str, str], rows: list[tuple]) -> DataFrame:
+    """A handful of rows that the driver holds, without a Python worker to make them."""
+    kinds = {"string": pa.string(), "double": pa.float64()}
+    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], kinds[k]) for i, (c, k) in enumerate(columns.items())}), ", ".join(f"{c} {k}" for c, k in columns.items()))
 
 
 def covered(measurements: DataFrame) -> DataFrame:
     """axis, lo, hi, covered_lo, covered_hi, fraction and uncovered of every axis measured.
 
-    An axis whose frames all measure beyond what the sweep reached is covered nowhere. Measurements are written once: the sweep, its
-    medians and the frames as they are would each degrade all frames anew."""
+    An axis whose frames all measure beyond what the sweep reached is covered nowhere. Measurements are written once: their extremes,
+    their medians and what bounds these would each degrade all frames anew."""
     spark = measurements.sparkSession
-    axes = spark.createDataFrame([(a.name, a.lo, a.hi) for a in AXES.values()], "axis string, lo double, hi double")
-    measurements = written(measurements, "measurements")
-    sweep = written(coverage.population_sweep(measurements.where("value IS NOT NULL")), "sweep")
-    return coverage.axis_coverage(axes, sweep, measurements.where("value IS NULL").select("axis", "metric"))
+    names = [c for c in measurements.columns if c.partition("|")[0] in SHOWN_BY]
+    of = coverage.column_figures(written(measurements, "measurements"), names) if names else {}
+    axes = _told(spark, {"axis": "string", "lo": "double", "hi": "double"}, [(a.name, a.lo, a.hi) for a in AXES.values()])
+    sweep = [(*name.split("|"), median) for name, (_, _, median) in of.items() if "|" in name]
+    native = [(name, end) for name, (least, most, _) in of.items() if "|" not in name for end in (least, most)]
+    sweep = _told(spark, {"axis": "string", "value": "double", "metric": "double"}, [(axis, float(v), m) for axis, v, m in sweep])
+    return coverage.axis_coverage(axes, sweep, _told(spark, {"axis": "string", "metric": "double"}, native))
 
 
 def described(frames: DataFrame, probed: dict[str, list[float]], seed: int) -> dict[str, dict]:

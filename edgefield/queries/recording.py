@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from edgefield.functions import geometry as G
@@ -77,11 +78,14 @@ def tiles(spark, d):
     """Every embedding as a grey frame of 8 x 8."""
 
     def run(batches):
-        for pdf in batches:
-            grey = [np.clip(np.floor(128 + 400 * np.asarray(v, np.float64)), 0, 255).astype(np.uint8) for v in pdf["embedding"]]
-            yield pd.DataFrame({"image_id": pdf["vec_id"], "height": 8, "width": 8, "pixels": [np.repeat(g, 3).tobytes() for g in grey]})
-
-    return table(spark, d, "embeddings").where("embedding IS NOT NULL AND size(embedding) = 64").select("vec_id", "embedding").mapInPandas(run, "image_id long, height int, width int, pixels binary")
+        for batch in batches:
+            at = 400 * batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 64)
+            pixels = np.repeat(np.clip(np.floor(128 + at), 0, 255).astype(np.uint8), 3, axis=1)
+            n, side = len(pixels), pa.array(np.full(len(pixels), 8, np.int32))
+            ends = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 192)
+            yield pa.RecordBatch.from_arrays([batch["vec_id"].cast(pa.int64()), side, side, pa.BinaryArray.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(pixels)])], ["image_id", "height", "width", "pixels"])
+
+    return table(spark, d, "embeddings").where("embedding IS NOT NULL AND size(embedding) = 64").select("vec_id", "embedding").mapInArrow(run, "image_id long, height int, width int, pixels binary")
 
 
 def tile_measures(spark, d):

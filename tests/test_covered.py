@@ -87,3 +87,44 @@ def test_medians_are_those_of_whole_groups(spark, n):
     out = coverage.population_sweep(rows)
     assert told(out) == told(rows.groupBy("axis", "value").agg(F.median("metric").alias("metric")))
     assert "median" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frames_without_colour_go_as_one_plane(monkeypatch):
+    rng = np.random.default_rng(SEED)
+    for h, w in ((8, 8), (17, 23)):
+        stack = np.repeat(rng.integers(0, 256, (h, w, 5)).astype(np.uint8), 3, axis=2)
+        planes = K.levels(stack)
+        assert planes.shape == (h, w, 5) and K.levels(rng.integers(0, 256, (h, w, 15)).astype(np.uint8)) is None
+        for axis, a in AXES.items():
+            for severity in (0.0, 0.3, 1.0):
+                condition = {axis: a.from_severity(severity)}
+                got = K.degraded_levels(planes, condition, SEED)
+                if axis.startswith("low_light"):
+                    assert got is None  # noise differs by channel
+                else:
+                    assert (np.repeat(got, 3, axis=2) == K.degraded_stack(stack, condition, SEED)).all()
+                    assert (got[..., 2:3] == K.degraded_levels(planes[..., 2:3], condition, SEED)).all()  # alone as in its stack
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 999, 5000, 5001])
+def test_figures_of_columns_are_those_of_whole_columns(spark, n):
+    rows = spark.range(n).selectExpr(
+        "CAST(NULL AS DOUBLE) AS none", "double(id) AS `a.b|0.5`", "IF(id % 4 = 0, double('NaN'), 1.0D) AS nan", "IF(id % 3 > 0, double('NaN'), 1 - id) AS most_nan", "5.0D AS same",
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN pmod(id * 7919, 1009) / 8.0 ELSE -double(id) END AS mixed", "IF(id % 2 = 0, double('-Infinity'), double('Infinity')) AS ends",
+    )
+    got = coverage.column_figures(rows, rows.columns)
+    for c in rows.columns:
+        want = rows.agg(F.min(f"`{c}`"), F.max(f"`{c}`"), F.median(f"`{c}`")).first()
+        assert str(got[c]) == str(tuple(want)), c
+    assert coverage.column_figures(rows.limit(0), rows.columns) == {}
+
+
+def test_a_frame_is_one_row_of_measurements(spark):
+    probed = {"fog.beta_per_m": [0.0, 0.12, 0.12, -0.0], "low_light.illuminance_lux": [5.0], "lens_distortion.k1": [0.1]}
+    rows = covered.measured(scene.frames(spark, 3, 96), probed, SEED)
+    assert rows.columns == ["fog.beta_per_m", "low_light.illuminance_lux", "fog.beta_per_m|0.0", "fog.beta_per_m|0.12", "low_light.illuminance_lux|5.0"]
+    image = scene.scene(96, SEED)
+    want = [measures.measured(i)[m] for i, m in ((image, "rms_contrast"), (image, "snr_db"), *((K.degraded(image, {a: v}, SEED), covered.SHOWN_BY[a]) for a, v in (("fog.beta_per_m", 0.0), ("fog.beta_per_m", 0.12), ("low_light.illuminance_lux", 5.0))))]
+    assert rows.count() == 3 and any(np.allclose(tuple(r), want, rtol=1e-12) for r in rows.collect())
+    assert covered.covered(covered.measured(scene.frames(spark, 1, 96), {"lens_distortion.k1": [0.1]}, SEED)).collect() == []
+    assert covered.covered(covered.measured(scene.frames(spark, 1, 96).limit(0), probed, SEED)).collect() == []
