@@ -47,53 +47,66 @@ def _key(s: Column) -> Column:
     return F.floor(s * 1e9 + 0.5).cast("long")
 
 
+def _conditions(ledger: DataFrame) -> DataFrame:
+    """run_id, axis, k, s, map50: each condition that a ledger holds of one axis, once, with the least result it gave."""
+    seen = ledger.where("axis IS NOT NULL").withColumn("s", to_severity(F.col("value")))
+    return seen.groupBy(*RUN_AXIS, _key(F.col("s")).alias("k")).agg(F.min("s").alias("s"), F.min("map50").alias("map50"))
+
+
+def _judged(axes: DataFrame, ledger: DataFrame, how: str) -> DataFrame:
+    """axes with bar, one row for each condition that the ledger holds of them: adds k, s and failed, drops bar."""
+    met = axes.join(_conditions(ledger).hint("merge"), RUN_AXIS, how)
+    return met.withColumn("failed", F.col("map50") < F.col("bar")).drop("map50", "bar")
+
+
 def observed(runs: DataFrame, axes: DataFrame, ledger: DataFrame) -> DataFrame:
     """run_id, axis, k, s, failed: each condition of a run's axes that its ledger holds, once, judged by the run's baseline."""
     base = ledger.where(F.col("probe_id") == BASELINE).groupBy("run_id").agg(F.max("map50").alias("base"))
-    bar = runs.join(base, "run_id").select("run_id", (F.col("share") * F.col("base")).alias("bar"))
-    seen = ledger.where("axis IS NOT NULL").join(axes.select(*RUN_AXIS), RUN_AXIS).join(bar, "run_id").withColumn("s", to_severity(F.col("value")))
-    return seen.groupBy(*RUN_AXIS, _key(F.col("s")).alias("k")).agg(F.min("s").alias("s"), F.max((F.col("map50") < F.col("bar"))).alias("failed"))
+    bar = runs.join(base.hint("merge"), "run_id").select("run_id", (F.col("share") * F.col("base")).alias("bar"))
+    return _judged(axes.select(*RUN_AXIS).join(bar.hint("merge"), "run_id"), ledger, "inner")
 
 
-def _scanned(axes: DataFrame, seen: DataFrame) -> DataFrame:
-    """axes with verify, each with used, absent (places of the scan without a result, in order), changes, first, and lo and hi around the
-    first change. An axis keeps no more of its conditions than its scan has places; the others, those beyond its ends too, are only counted."""
+def _brackets(judged: DataFrame) -> DataFrame:
+    """The axes of judged, a row each, with used, absent (places of the scan without a result, in order), changes, first, and a and b: for a
+    whole scan with one change, its bracket, halved so far. An axis's conditions stay rows, which windows spill; those beyond its ends are only counted."""
+    own = [c for c in judged.columns if c not in (*RUN_AXIS, "k", "s", "failed")]
+    each = Window.partitionBy(*RUN_AXIS, "place")
     last = F.col("verify") - 1
-    place = F.round(F.col("s") * last).cast("int")
-    met = F.col("failed").isNotNull() & place.between(F.lit(0), last) & (_key(place / last.cast("double")) == F.col("k"))
-    own = [c for c in axes.columns if c not in RUN_AXIS]
-    counted = axes.join(seen, RUN_AXIS, "left").groupBy(*RUN_AXIS, *own).agg(F.count("k").alias("used"), F.sort_array(F.collect_list(F.when(met, F.struct(place.alias("i"), "s", "failed")))).alias("scan"))
-    before = lambda j: F.get("scan", j - 1)
-    steps = F.transform("scan", lambda x, j: F.struct((x["failed"] != before(j)["failed"]).alias("turn"), before(j)["s"].alias("lo"), x["s"].alias("hi")))
-    turns = F.filter(steps, lambda x: x["turn"])
-    out = counted.withColumns({"absent": F.array_except(F.sequence(F.lit(0), last), F.col("scan.i")), "turns": turns, "first": F.get("scan", F.lit(0))["failed"]})
-    turn = F.get("turns", F.lit(0))
-    return out.withColumns({"changes": F.size("turns"), "lo": turn["lo"], "hi": turn["hi"]}).drop("scan", "turns")
-
-
-def _brackets(scanned: DataFrame, seen: DataFrame) -> DataFrame:
-    """scanned with a and b: for a whole scan with one change, its bracket, halved so far."""
-    one = scanned.where("size(absent) = 0 AND changes = 1").select(*RUN_AXIS, "lo", "hi").join(seen, RUN_AXIS).where("s >= lo - 1e-9 AND s <= hi + 1e-9")
-    upper = one.groupBy(*RUN_AXIS).agg(F.min(F.when(F.col("failed"), F.col("s"))).alias("b"))
-    ends = one.join(upper, RUN_AXIS).groupBy(*RUN_AXIS, "b").agg(F.max(F.when(~F.col("failed") & (F.col("s") < F.col("b")), F.col("s"))).alias("a"))
-    return scanned.join(ends, RUN_AXIS, "left")
+    at = F.round(F.col("s") * last).cast("int")
+    met = F.col("failed").isNotNull() & at.between(F.lit(0), last) & (_key(at / last.cast("double")) == F.col("k"))
+    placed = judged.withColumn("i", F.when(met, at))
+    before = F.lag(F.when(F.col("i").isNotNull(), F.struct("s", "failed"))).over(each.orderBy("i"))
+    turn = F.when(F.col("i").isNotNull() & (F.col("failed") != F.col("before.failed")), F.struct("i", F.col("before.s").alias("lo"), F.col("s").alias("hi")))
+    turned = placed.withColumn("before", before).withColumn("turn", turn).withColumn("one", F.min("turn").over(each))
+    inside = (F.col("s") >= F.col("one.lo") - 1e-9) & (F.col("s") <= F.col("one.hi") + 1e-9)
+    ends = turned.withColumn("inside", inside).withColumn("b", F.min(F.when(F.col("inside") & F.col("failed"), F.col("s"))).over(each))
+    out = ends.groupBy(*RUN_AXIS, *own).agg(
+        F.count("k").alias("used"), F.collect_set("i").alias("places"), F.count("turn").alias("changes"),
+        F.min(F.when(F.col("i").isNotNull(), F.struct("i", "failed")))["failed"].alias("first"),
+        F.max(F.when(F.col("inside") & ~F.col("failed") & (F.col("s") < F.col("b")), F.col("s"))).alias("a"), F.max("b").alias("b"),
+    )
+    out = out.withColumn("absent", F.array_except(F.sequence(F.lit(0), last), F.col("places"))).drop("places")
+    whole = (F.size("absent") == 0) & (F.col("changes") == 1)
+    return out.withColumns({c: F.when(whole, F.col(c)) for c in ("a", "b")})
 
 
 def plan_rounds(runs: DataFrame, axes: DataFrame, ledger: DataFrame, seed: int = 20260906) -> Plan:
     """The next wave of every run. A run without a baseline asks for that alone; the baseline is charged like any probe. A probe of the
     scan whose result is null is asked for again.
 
-    The ledger is read for sums of each run and for the conditions of its axes; from then on an axis is one row. Sums, conditions and
-    axes are written to the shared folder, since all that is planned reads them: a plan that spells them out each time outgrows the driver."""
+    The ledger is read for sums of each run and for the conditions of its axes; from then on an axis is one row. Sums and axes are
+    written to the shared folder, since all that is planned reads them: a plan that spells them out each time outgrows the driver.
+    Tables of a row for each run or axis are joined by sort and merge at any size: even while a shuffle of them is small enough to
+    become a broadcast at run time, the driver would have to hold them, some of them several times."""
     based = F.col("probe_id") == BASELINE
-    each = ledger.groupBy("run_id").agg(F.count("*").alias("charged"), F.count_if(based).alias("based"))
-    money = runs.join(each, "run_id", "left").withColumns({"charged": F.coalesce("charged", F.lit(0)), "ready": F.coalesce(F.col("based") > 0, F.lit(False))})
+    each = ledger.groupBy("run_id").agg(F.count("*").alias("charged"), F.count_if(based).alias("based"), F.max(F.when(based, F.col("map50"))).alias("base"))
+    money = runs.join(each.hint("merge"), "run_id", "left").withColumns({"charged": F.coalesce("charged", F.lit(0)), "ready": F.coalesce(F.col("based") > 0, F.lit(False)), "bar": F.col("share") * F.col("base")})
     money = money.withColumn("spent", F.col("prepaid") + F.col("charged") * F.col("price"))
-    money = money.withColumn("affordable", F.greatest(F.lit(0), F.floor((F.col("budget") - F.col("spent")) / F.col("price") + 1e-9))).select("run_id", "budget", "spent", "affordable", "verify", "ready")
+    money = money.withColumn("affordable", F.greatest(F.lit(0), F.floor((F.col("budget") - F.col("spent")) / F.col("price") + 1e-9))).select("run_id", "budget", "spent", "affordable", "verify", "ready", "bar")
     money = written(money, "money")
 
-    seen = written(observed(runs, axes, ledger), "seen")
-    state = _brackets(_scanned(axes.join(money.where("ready").select("run_id", "verify"), "run_id").select(*RUN_AXIS, "place", "width", "cap", "verify"), seen), seen)
+    ready = axes.join(money.where("ready").select("run_id", "verify", "bar").hint("merge"), "run_id").select(*RUN_AXIS, "place", "width", "cap", "verify", "bar")
+    state = _brackets(_judged(ready, ledger, "left"))
     one_sided = F.col("a").isNull() | F.col("b").isNull()  # the scan turns from fail to pass
     left = F.coalesce(F.col("cap") - F.col("used"), F.lit(1 << 30))
     status = (

@@ -1,7 +1,9 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from edgefield.plans import rounds
 from edgefield.streaming import planning
 
@@ -73,3 +75,20 @@ def test_lost_probes_are_asked_for_again_and_those_under_way_are_not(spark, tmp_
     assert planning.dispatched(spark, to, 0).count() == 0
     again = planning.dispatched(spark, to, 1)
     assert sorted((round(float(r.probe_id.split("@")[1]) / 0.12, 6), r.attempt) for r in again.collect()) == [(0.75, 2), (1.0, 2)]
+
+
+def plans(spark, run):
+    """The plans of all that Spark executed during run(), as they were at their end."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    told = lambda: {x.executionId(): x.physicalPlanDescription() for x in map(store.executionsList().apply, range(store.executionsList().size()))}
+    before = set(told())
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return [text for i, text in told().items() if i not in before]
+
+
+@pytest.mark.parametrize("name", ["round_findings", "grid_crossing"])
+def test_no_table_of_runs_or_axes_is_sent_to_the_driver_for_a_join(spark, name):
+    ran = plans(spark, lambda: entry.queries()[name](spark, "/root/testdata/sf0.001").collect())
+    assert any("SortMergeJoin" in text for text in ran)
+    assert not any("BroadcastHashJoin" in text for text in ran)
