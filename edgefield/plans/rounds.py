@@ -133,7 +133,7 @@ def plan_rounds(runs: DataFrame, axes: DataFrame, ledger: DataFrame, seed: int =
     at = F.when(F.col("axis").isNotNull(), F.concat(F.lit(" --set "), F.col("axis"), F.lit("="), F.round("value", 12).cast("string"))).otherwise("")
     probes = paid.select("run_id", name.alias("probe_id"), "axis", "value", F.concat(F.lit("edgefield probe"), at, F.lit(f" --seed {seed}")).alias("command"))
     requested = open_.groupBy("run_id").agg(F.sum(F.size("ask")).alias("requested"))
-    actions = money.join(requested, "run_id", "left").withColumn("requested", F.when(~F.col("ready"), F.lit(1).cast("long")).otherwise(F.coalesce("requested", F.lit(0))))
+    actions = money.join(requested.hint("merge"), "run_id", "left").withColumn("requested", F.when(~F.col("ready"), F.lit(1).cast("long")).otherwise(F.coalesce("requested", F.lit(0))))
     actions = actions.withColumn("paid", F.least("requested", "affordable").cast("long"))
     action = F.when(F.col("requested") == 0, "done").when(F.col("paid") == 0, "halted").otherwise("probe")
     return Plan(findings, probes, actions.select("run_id", action.alias("action"), "requested", "paid", "spent", (F.col("budget") - F.col("spent")).alias("remaining")))
