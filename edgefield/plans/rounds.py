@@ -105,7 +105,7 @@ def plan_rounds(runs: DataFrame, axes: DataFrame, ledger: DataFrame, seed: int =
     money = money.withColumn("affordable", F.greatest(F.lit(0), F.floor((F.col("budget") - F.col("spent")) / F.col("price") + 1e-9))).select("run_id", "budget", "spent", "affordable", "verify", "ready", "bar")
     money = written(money, "money")
 
-    ready = axes.join(money.where("ready").select("run_id", "verify", "bar").hint("merge"), "run_id").select(*RUN_AXIS, "place", "width", "cap", "verify", "bar")
+    ready = axes.join(money.where("ready").select("run_id", "verify", "affordable", "bar").hint("merge"), "run_id").select(*RUN_AXIS, "place", "width", "cap", "verify", "affordable", "bar")
     state = _brackets(_judged(ready, ledger, "left"))
     one_sided = F.col("a").isNull() | F.col("b").isNull()  # the scan turns from fail to pass
     left = F.coalesce(F.col("cap") - F.col("used"), F.lit(1 << 30))
@@ -123,12 +123,12 @@ def plan_rounds(runs: DataFrame, axes: DataFrame, ledger: DataFrame, seed: int =
 
     points = F.transform("absent", lambda i: i / (F.col("verify") - 1.0))
     ask = F.when(F.size("absent") > 0, points).otherwise(F.array((F.col("a") + F.col("b")) / 2))
-    open_ = state.where("status IS NULL").select("run_id", "axis", "place", F.slice(ask, F.lit(1), F.greatest(left, F.lit(0)).cast("int")).alias("ask"))
-    asked = open_.select("run_id", "axis", "place", F.explode("ask").alias("s"))
-    first = money.where("NOT ready").select("run_id", F.lit(None).cast("string").alias("axis"), F.lit(-1).alias("place"), F.lit(0.0).alias("s"))
+    open_ = state.where("status IS NULL").select("run_id", "axis", "place", "affordable", F.slice(ask, F.lit(1), F.greatest(left, F.lit(0)).cast("int")).alias("ask"))
+    asked = open_.select("run_id", "axis", "place", "affordable", F.explode("ask").alias("s"))
+    first = money.where("NOT ready").select("run_id", F.lit(None).cast("string").alias("axis"), F.lit(-1).alias("place"), "affordable", F.lit(0.0).alias("s"))
     wanted = first.unionByName(asked).withColumn("value", to_value(F.col("s")))
     turn = Window.partitionBy("run_id").orderBy("place", "s")  # a wave: as many rows as its axes have places
-    paid = wanted.withColumn("n", F.row_number().over(turn)).join(money.select("run_id", "affordable"), "run_id").where("n <= affordable")
+    paid = wanted.withColumn("n", F.row_number().over(turn)).where("n <= affordable")
     name = F.coalesce(F.concat(F.col("axis"), F.lit("@"), F.round("value", 12).cast("string")), F.lit(BASELINE))
     at = F.when(F.col("axis").isNotNull(), F.concat(F.lit(" --set "), F.col("axis"), F.lit("="), F.round("value", 12).cast("string"))).otherwise("")
     probes = paid.select("run_id", name.alias("probe_id"), "axis", "value", F.concat(F.lit("edgefield probe"), at, F.lit(f" --seed {seed}")).alias("command"))

@@ -36,7 +36,7 @@ def recorded(spark: SparkSession, to: str, until: int, records: DataFrame | None
     held = spark.read.option("basePath", f"{to}/ledger").parquet(f"{to}/ledger").where(F.col("batch") <= until)
     if records is not None:
         own = [r[0] for r in records.select(_bucket(buckets)).distinct().collect()]
-        held = held.where(F.col("bucket").isin(own)).join(records.select("run_id").distinct(), "run_id", "left_semi")
+        held = held.where(F.col("bucket").isin(own)).join(records.select("run_id").distinct().hint("merge"), "run_id", "left_semi")
     return held.groupBy("run_id", "probe_id").agg(F.min_by(F.struct("axis", "value", "map50"), "seen").alias("r")).select("run_id", "probe_id", "r.axis", "r.value", "r.map50")
 
 
@@ -51,13 +51,13 @@ def planner(runs: DataFrame, axes: DataFrame, to: str, buckets: int = 64) -> Cal
         written = spark.read.schema(records.schema).parquet(here)
         if written.isEmpty():
             return
-        touched = written.select("run_id").distinct()
+        touched = written.select("run_id").distinct().hint("merge")  # as many as the batch has runs: never a broadcast
         own = {"runs": runs.join(touched, "run_id", "left_semi"), "axes": axes.join(touched, "run_id", "left_semi"), "held": recorded(spark, to, number, written, buckets)}
         for name, df in own.items():  # read several times by a plan; each batch writes over the one before
             df.write.mode("overwrite").parquet(f"{to}/work/{name}")
         out = rounds.plan_rounds(*(spark.read.schema(df.schema).parquet(f"{to}/work/{name}") for name, df in own.items()))
         asked = out.probes.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("probe_id", "axis", "value", "command"))).alias("probes"))
-        out.actions.join(asked, "run_id", "left").write.mode("overwrite").parquet(f"{to}/plans/batch={number}")
+        out.actions.join(asked.hint("merge"), "run_id", "left").write.mode("overwrite").parquet(f"{to}/plans/batch={number}")
 
     return plan
 

@@ -87,7 +87,7 @@ def plans(spark, run):
     return [text for i, text in told().items() if i not in before]
 
 
-@pytest.mark.parametrize("name", ["round_findings", "round_plan", "grid_crossing"])
+@pytest.mark.parametrize("name", ["round_findings", "round_plan", "round_probes", "streamed_plan", "streamed_probes", "grid_crossing"])
 def test_no_table_of_runs_or_axes_is_sent_to_the_driver_for_a_join(spark, name):
     ran = plans(spark, lambda: entry.queries()[name](spark, "/root/testdata/sf0.001").collect())
     assert any("SortMergeJoin" in text for text in ran)
